@@ -75,7 +75,10 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 16)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b)]).astype(np.uint64)) for b in (_BASE, _BASE_INV)]
+        for i, b in enumerate((_BASE, _BASE_INV)):
+            factors = np.full(size, b, np.uint64)
+            factors[:1] = 1
+            _POWERS[i:] = [np.cumprod(factors, dtype=np.uint64)]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 

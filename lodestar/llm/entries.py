@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, bpe, packing, pii, quality, rabitq, secret_scan, urls
+from . import bitslice, bpe, packing, partenum, pii, quality, rabitq, secret_scan, suffixes, urls
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     return quality.classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    return partenum.join(table(spark, d, "documents"))
+
+
 def op3(spark: SparkSession, d: str) -> DataFrame:
     return rabitq.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -37,6 +41,10 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip(table(spark, d, "documents"), vocabulary())
 
 
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return suffixes.passages(table(spark, d, "documents"))
+
+
 def op8(spark: SparkSession, d: str) -> DataFrame:
     return secret_scan.scan(table(spark, d, "documents"))
 
@@ -52,10 +60,12 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_knn": op1,
+        "op2_partenum": op2,
         "op3_one_bit_codes": op3,
         "op4_vector_packing": op4,
         "op5_pii_bootstrap": op5,
         "op6_bpe_rounds": op6,
+        "op7_sparse_suffixes": op7,
         "op8_secret_forest": op8,
         "op9_url_trees": op9,
         "op10_bit_sliced": op10,

@@ -142,6 +142,17 @@ def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str =
     return kept.mapInArrow(run, schema)
 
 
+def accept(docs: DataFrame, space: Space, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score the threshold or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(space)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_col):
+            yield batch.filter(pa.array(shared.value.score(texts_of(batch, text_col)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     got = score(docs, fit(docs, labels))

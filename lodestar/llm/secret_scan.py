@@ -174,6 +174,6 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5
         return texts.__class__(out)
 
     hit = F.coalesce(F.regexp_like(text_col, F.lit(MARK)), F.lit(False))
-    marked = docs.withColumn("_hit", hit)
-    kept = marked.where(~F.col("_hit")).drop("_hit")
-    return kept.unionByName(marked.where("_hit").drop("_hit").withColumn(text_col, clean(F.col(text_col))))
+    marked = docs.withColumn("__hit", hit)
+    kept = marked.where(~F.col("__hit")).drop("__hit")
+    return kept.unionByName(marked.where("__hit").drop("__hit").withColumn(text_col, clean(F.col(text_col))))
