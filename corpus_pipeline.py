@@ -1,8 +1,57 @@
-"""Cleaning of a corpus in stages; each is written and read again before the next."""
+"""Cleaning of a corpus: quality, near duplicates, repeated passages, secrets, then packing for training.
 
-STAGES = []
+Each stage takes all that the one before kept; stages but the last return the columns of documents. Between stages the
+rows are written to the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestar.llm import packing, partenum, quality, secret_scan, suffixes
+from lodestar.llm.common import save, table
+from lodestar.llm.entries import vocabulary
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (likelier bad than good) go. It learns from the labelled ones among docs."""
+    return quality.accept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return partenum.keep_one(docs)
+
+
+def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a repeated passage of fifty words or more the first occurrence stays."""
+    return suffixes.cut(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, vocabulary())
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("n-gram Jaccard join", distinct_documents),
+    ("suffix-array dedup", distinct_passages),
+    ("secret scans", without_secrets),
+    ("packing", sequences),
+]
+
+#: The stages call for trained models and tokenizers, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
