@@ -14,11 +14,11 @@ signatures with; links give components. Then only members of different component
 element flips one bit) bounds differences from below and drops almost all, the rest are checked exactly. So a group of
 copies or near copies costs one check a member, and no pairs within a component are formed.
 
-Equal sets are merged before, and copies within a batch emit once. Elements and sets are told by 64-bit hashes (sets by two).
+A node is a set, told by a 64-bit hash as elements are; equal sets are one node, and copies within a batch emit once.
 
 Cases: a null, empty or blank text has an empty set and is linked with nothing; fewer than five words make one shingle;
-rows of one id are one document; rows without an id keep their row and take the smallest id of their component, if any;
-an empty table gives no rows; extra columns are ignored (in `keep_one` they are kept).
+rows of one id are rows of their own, each with its set's component; rows without an id take the smallest id of their
+component, if it has any; an empty table gives no rows; extra columns are ignored (in `keep_one` they are kept).
 """
 
 from __future__ import annotations
@@ -38,13 +38,10 @@ BROADCAST_IDS = 1_000_000
 GROUP_BLOCK = 2048
 
 
-def sums(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit identities of each set."""
-    out = []
-    for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(salt)), dtype=np.uint64)])
-        out.append(mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)))
-    return out[0], out[1]
+def set_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit identity of each set."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ np.uint64(0x243F6A8885A308D3)), dtype=np.uint64)])
+    return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
 
 
 def differences(n: np.ndarray) -> np.ndarray:
@@ -97,49 +94,36 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sketches(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Parity sketches: 2 to 4 bits an element, a power of two, at most 8 KB."""
+    """Parity sketches: 1 to 2 bits an element, a power of two, at most 8 KB."""
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
-        bits = min(1 << 16, max(64, 2 << int(max(1, b - a) - 1).bit_length()))
+        bits = min(1 << 16, max(64, 1 << int(max(1, b - a) - 1).bit_length()))
         flips = np.bincount(((hashes[a:b] >> np.uint64(3)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(flips.astype(np.uint8)).tobytes())
     return out
 
 
-def node_ids(column: pa.Array, one: np.ndarray) -> np.ndarray:
-    """A document's id; a negative hash of its set where it has none."""
-    missing = column.is_null().to_numpy(zero_copy_only=False)
-    ids = pc_fill(column)
-    return np.where(missing, one.view(np.int64) | np.int64(-(1 << 63)), ids)
-
-
-def pc_fill(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-
-
 def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "_text"):
         hashes, first = shingle_sets(texts_of(b, "_text"))
-        one, two = sums(hashes, first)
-        kind = [b.column(0).cast(pa.int64()), pa.array(node_ids(b.column(0), one)), pa.array(np.diff(first)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketches(hashes, first), pa.binary())]
-        yield pa.RecordBatch.from_arrays(kind, names=["id", "node", "n", "one", "two", "sketch"])
+        made = [pa.array(set_ids(hashes, first).view(np.int64)), pa.array(np.diff(first)), pa.array(sketches(hashes, first), pa.binary())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["id", "key", "node", "n", "sketch"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "_text"):
         hashes, first = shingle_sets(texts_of(b, "_text"))
-        one, _ = sums(hashes, first)
-        node = node_ids(b.column(0), one)
+        node = set_ids(hashes, first)
         sig, who = signatures(hashes, first)
-        _, lead = np.unique(one, return_index=True)  # copies within a batch emit once
+        _, lead = np.unique(node, return_index=True)  # copies within a batch emit once
         keep = np.isin(who, lead)
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[who[keep]])], names=["sig", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[who[keep]].view(np.int64))], names=["sig", "node"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "_text"):
         hashes, first = shingle_sets(texts_of(b, "_text"))
-        yield pa.RecordBatch.from_arrays([b.column(0), list_array(hashes.view(np.int64), first, pa.int64())], names=["node", "set"])
+        yield pa.RecordBatch.from_arrays([pa.array(set_ids(hashes, first).view(np.int64)), list_array(hashes.view(np.int64), first, pa.int64())], names=["node", "set"])
 
 
 def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -202,62 +186,51 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer(pa.Table.from_batches(held).combine_chunks())
 
 
-def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among ids: broadcast while they are few, else shuffled."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
-
-
 def check(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links, by their sets."""
+    """The pairs (a, b) that are links, by their sets. Of each set one document's text is read again."""
     need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = save(need.join(nodes, "node").select("node", F.col("id").alias("_id"), "one", "two").where("_id IS NOT NULL"), "need")
-    texts = docs.select(F.col("_id").alias("node"), "_text").where("node IS NOT NULL")
-    sets = with_ids(texts, need.select("node"), "node").mapInArrow(_sets, plain_schema("node long, set array<long>"))
-    sets = save(sets, "sets")
+    need = save(need.join(nodes, "node").select("key", F.col("low").alias("_low")), "need")
+    few = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # broadcast while they are few, else shuffled
+    texts = docs.join(F.broadcast(need) if few else need, (F.xxhash64("_text") == F.col("key")) & F.col("_id").eqNullSafe(F.col("_low")), "left_semi")
+    sets = save(texts.select("_text").mapInArrow(_sets, plain_schema("node long, set array<long>")), "sets")
     a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     linked = 100 * both >= 75 * (F.size("x") + F.size("y") - both)
-    return pairs.join(a, "a").join(b, "b").where(linked).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(linked).select("a", "b").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    ids = save(docs.mapInArrow(_identities, plain_schema("id long, node long, n long, one long, two long, sketch binary")), "sets")
-    filled = ids.where("n > 0")
-    same = filled.groupBy("one", "two", "n").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.min("id").alias("low"), F.first("sketch").alias("sketch"))
-    same = save(same, "same")
-    copies = save(filled.join(same.where("lead <> last").select("one", "two", "lead"), ["one", "two"]).where("node <> lead").select("node", "lead").distinct(), "copies")
-    nodes = same.select(F.col("lead").alias("node"), F.col("low").alias("id"), "n", "one", "two", "sketch")
-
-    signed = docs.mapInArrow(_signed, plain_schema("sig long, node long"))
-    w = Window.partitionBy("sig")
-    shared = signed.withColumn("lo", F.min("node").over(w)).withColumn("hi", F.max("node").over(w)).where("lo <> hi")
-    shared = save(shared.select("sig", "node"), "shared")
-    shared = shared.join(copies, "node", "left").select("sig", F.coalesce("lead", "node").alias("node")).distinct()
-    shared = save(shared, "shared")
+    keyed = docs.select("_id", F.xxhash64("_text").alias("key"), "_text")
+    ids = save(keyed.mapInArrow(_identities, plain_schema("id long, key long, node long, n long, sketch binary")), "sets")
+    one = F.min(F.struct("id", "key"))
+    nodes = ids.where("n > 0").groupBy("node").agg(one.alias("lead"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = save(nodes.select("node", F.col("lead.id").alias("low"), F.col("lead.key").alias("key"), "n", "sketch"), "nodes")
+
+    signed = docs.select("_text").mapInArrow(_signed, plain_schema("sig long, node long"))
+    group = Window.partitionBy("sig")
+    signed = signed.select("sig", "node", F.lag("node").over(group.orderBy("node")).alias("last"), F.min("node").over(group).alias("lo"), F.max("node").over(group).alias("hi"))
+    shared = save(signed.where("lo <> hi AND (last IS NULL OR last <> node)").select("sig", "node", "lo"), "shared")
 
     # round 1: one partner each
-    star = shared.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("hi")).where("b <> hi").select("sig", "b")
-    star = shared.withColumnRenamed("node", "a").join(star, "sig").where("a <> b").groupBy("a", "b").count()
-    star = star.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
-    links = save(check(save(star.select("a", "b"), "pairs"), docs, nodes), "found")
-    comps = components(links.unionByName(copies.select(F.col("node").alias("a"), F.col("lead").alias("b"))))
+    star = shared.where("node <> lo").groupBy("node", "lo").count()
+    star = star.groupBy(F.col("node").alias("a")).agg(F.max_by("lo", F.struct("count", -F.col("lo"))).alias("b"))
+    links = save(check(save(star, "pairs"), docs, nodes), "found")
+    known = components(links)
 
     # round 2: members of different components
-    known = comps.withColumnRenamed("component", "c")
-    rows = shared.join(known, "node", "left").select("sig", "node", F.coalesce("c", "node").alias("component"))
+    rows = shared.select("sig", "node").join(known, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
     several = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    rows = rows.join(several, "sig").join(nodes.select("node", "n", "sketch"), "node")
+    rows = rows.join(save(several, "several"), "sig").join(nodes.select("node", "n", "sketch"), "node")
     rows = rows.select("sig", "node", "component", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
     pairs = save(rows.mapInArrow(_compared, plain_schema("a long, b long")).distinct(), "pairs")
     more = save(check(pairs, docs, nodes), "found")
-    every = links.unionByName(more).unionByName(copies.select(F.col("node").alias("a"), F.col("lead").alias("b")))
-    comps = components(every)
+    known = components(links.unionByName(more))
 
-    low = comps.join(ids.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    of = comps.join(low, "component").select("node", "component_id")
+    ends = nodes.select("node", "low").join(known, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
+    low = ends.groupBy("component").agg(F.min("low").alias("component_id"))
+    of = save(ends.join(low, "component").select("node", "component_id"), "component")
     out = ids.select("id", "node", "n").join(of, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 

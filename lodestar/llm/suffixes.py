@@ -109,7 +109,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = docs.select(*identity(id_col, text_col)).where(F.length("_text") >= 2 * WORDS - 1)
     kept = save(own.mapInArrow(_retained, plain_schema("doc long, key long, at int, gram long, around long, mask long")), "suffixes")
     neighbours = kept.groupBy("gram").agg(F.min(F.struct("doc", "key", "at")).alias("lo"), F.max(F.struct("doc", "key", "at")).alias("hi")).where("lo <> hi").select("gram")
-    hits = save(kept.join(neighbours, "gram"), "neighbours")
+    hits = save(kept.join(save(neighbours, "shared"), "gram"), "neighbours")
     classes = hits.groupBy("gram", "around").agg(F.min(F.struct("doc", "key", "at")).alias("lo"), F.max(F.struct("doc", "key", "at")).alias("hi"), F.first("mask").alias("mask"))
     several = classes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     classes = save(classes, "classes")
