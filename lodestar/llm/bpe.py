@@ -17,19 +17,19 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .common import pieces, plain_schema
 
-#: Raw words in a memo; beyond it the memo begins anew.
-MEMO = 300_000
+#: Raw words in a memo; beyond it only those of the batch at hand stay.
+MEMO = 600_000
 
 # fixed values: the byte alphabet of byte-level vocabularies
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -58,9 +58,10 @@ class BPE:
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.tokens = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.special = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        number = range(max(self.tokens) + 1)
+        self.texts = pa.array([b"%d" % i for i in number]), pa.array([self.tokens.get(i, "").encode() for i in number])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         letters = byte_alphabet()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
@@ -120,67 +121,89 @@ class BPE:
         return [[i for p in ps for i in ids[first[p] : first[p + 1]]] for ps in parts]
 
 
-def raw_words(text: str) -> list[str]:
-    """Parts at white space as the vocabularies' \\s has it (str.split alone also parts at U+001C to U+001F)."""
-    if regex.search(r"[\x1c-\x1f]", text):
-        return [w for w in regex.split(r"[^\S\x1c-\x1f]+", text) if w]
-    return text.split()
+class Units:
+    """The raw words of texts, as numbers into the distinct ones: text i has number[first[i]:first[i + 1]].
+
+    Parting at ASCII white space and finding the distinct words is Arrow's work; other white space stays inside a word,
+    where the vocabularies' pattern skips it. An added token is a word of its own.
+    """
+
+    def __init__(self, texts: pa.Array, bpe: BPE) -> None:
+        texts = texts.cast(pa.string()).fill_null("")
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        plain = not ((data == 0xCC) | (data == 0xCD)).any()  # no combining mark, to which case could matter
+        for t in bpe.added:
+            if pc.any(pc.match_substring(texts, t, ignore_case=True)).as_py():
+                texts, plain = pc.replace_substring(texts, t, f" {t} "), False
+        if plain:  # fewer distinct words: the vocabulary is one of lower case, and such a sign is a pre-token of its own
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9])([.,])([ \n])", r"\1 \2\3")
+        parts = pc.ascii_split_whitespace(texts)
+        flat, first = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+        first -= first[0] if len(first) else 0
+        filled = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+        if not filled.all():
+            first = np.concatenate([[0], np.cumsum(filled)])[first]
+            flat = flat.filter(pa.array(filled))
+        coded = flat.dictionary_encode()
+        self.first, self.number, self.words = first, coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+    def joined(self, values: list[bytes], counts: np.ndarray) -> list[bytes]:
+        """For each text what its words have, joined by a space; words with count 0 have nothing to join."""
+        number, first = self.number, self.first
+        if not counts.all():
+            keep = counts[number] > 0
+            number, first = number[keep], np.concatenate([[0], np.cumsum(keep)])[first]
+        taken = pa.array(values, pa.binary()).take(pa.array(number))
+        lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), taken)
+        return pc.binary_join(lists, b" ").to_pylist()
 
 
 class Memo:
-    """What `make` gives for the raw words of a text, word by word; bounded."""
+    """The ids of raw words; bounded. encode gives the ids' bytes of many words at once."""
 
-    def __init__(self, bpe: BPE, encode: Callable[[list[str]], list[list[int]]], make: Callable[[list[int]], object]) -> None:
-        self.bpe, self.encode, self.make, self.kept = bpe, encode, make, {}
+    def __init__(self, bpe: BPE, encode: Callable[[list[str]], list[bytes]] | None = None) -> None:
+        self.bpe, self.kept = bpe, {}
+        self.encode = encode or (lambda words: [np.array(ids, "<u4").tobytes() for ids in bpe.encode_words(words)])
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in bpe.added.items()}
 
-    def parts(self, text: str) -> list[str]:
-        found = self.bpe.special.split(text) if self.bpe.special and any(t in text for t in self.bpe.added) else None
-        if found is None:
-            return raw_words(text)
-        # an added token stands by itself under a key that no raw word can have
-        return [w for i, p in enumerate(found) for w in ([" " + p] if i % 2 else raw_words(p))]
-
-    def fill(self, lists: list[list[str]]) -> dict:
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Bytes of the 32-bit ids of distinct words."""
         kept = self.kept
-        lack = set().union(*lists).difference(kept)
+        if len(kept) + len(words) > MEMO:
+            self.kept = kept = {w: kept[w] for w in words if w in kept}
+        lack = [w for w in words if w not in kept and w not in self.added]
         if lack:
-            if len(kept) + len(lack) > MEMO:
-                kept.clear()
-                lack = set().union(*lists)
-            words = [w for w in lack if w[:1] != " "]
-            kept.update(zip(words, map(self.make, self.encode(words)), strict=True))
-            kept.update((w, self.make([self.bpe.added[w[1:]]])) for w in lack if w[:1] == " ")
-        return kept
+            kept.update(zip(lack, self.encode(lack), strict=True))
+        kept.update(self.added)
+        return list(map(kept.__getitem__, words))
 
 
-_MEMOS: dict[tuple, Memo] = {}
+_MEMOS: dict[str, Memo] = {}
 
 
-def digests(path: str, texts: list[str]) -> list[tuple[int, str, str]]:
+def digests(path: str, texts: list[str] | pa.Array) -> list[tuple[int, str, str]]:
     """(number of ids, sha256 of the decimal ids, sha256 of the decoded text) of each text."""
-    if ("digest", path) not in _MEMOS:
-        bpe = BPE(path)
-        tokens = {i: t.encode() for i, t in bpe.tokens.items()}
-        make = lambda ids: (len(ids), b" ".join(b"%d" % i for i in ids), b" ".join(tokens[i] for i in ids))
-        _MEMOS["digest", path] = Memo(bpe, bpe.encode_words, make)
-    memo = _MEMOS["digest", path]
-    lists = [memo.parts(t) for t in texts]
-    kept = memo.fill(lists)
-    out = []
-    for words in lists:
-        n, ids, decoded = zip(*map(kept.__getitem__, words), strict=True) if words else ((), (), ())
-        if 0 in n:
-            ids, decoded = [x for x in ids if x], [x for x in decoded if x]
-        out.append((sum(n), hashlib.sha256(b" ".join(ids)).hexdigest(), hashlib.sha256(b" ".join(decoded)).hexdigest()))
-    return out
+    if path not in _MEMOS:
+        _MEMOS[path] = Memo(BPE(path))
+    memo = _MEMOS[path]
+    units = Units(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), memo.bpe)
+    data = memo.ids(units.words)
+    counts = np.fromiter(map(len, data), np.int64, len(data)) // 4
+    ids = np.frombuffer(b"".join(data), "<u4")
+    first = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    decimal, plain = memo.bpe.texts
+    words = [pc.binary_join(pa.ListArray.from_arrays(first, t.take(pa.array(ids))), b" ").to_pylist() for t in (decimal, plain)]
+    total = np.concatenate([[0], np.cumsum(counts[units.number])])[units.first]
+    sha = [[hashlib.sha256(x).hexdigest() for x in units.joined(w, counts)] for w in words]
+    return list(zip(np.diff(total).tolist(), *sha, strict=True))
 
 
 def encode(path: str, texts: list[str]) -> list[list[int]]:
     """Ids of each text."""
-    memo = Memo(bpe := BPE(path), bpe.encode_words, lambda ids: ids)
-    lists = [memo.parts(t) for t in texts]
-    kept = memo.fill(lists)
-    return [[i for w in words for i in kept[w]] for words in lists]
+    memo = Memo(bpe := BPE(path))
+    units = Units(pa.array(texts, pa.string()), bpe)
+    data = [np.frombuffer(d, "<u4").tolist() for d in memo.ids(units.words)]
+    return [[i for w in units.number[a:b] for i in data[w]] for a, b in zip(units.first[:-1], units.first[1:], strict=True)]
 
 
 def decode(path: str, ids: list[int]) -> str:
@@ -192,9 +215,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Each document's number of ids and the digests of its ids and of what they decode to. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n, ids, decoded = zip(*digests(path, texts), strict=True)
+        for batch in pieces(batches, text_col, 8 << 20):
+            n, ids, decoded = zip(*digests(path, batch.column(1)), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = plain_schema(f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

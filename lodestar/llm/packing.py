@@ -17,6 +17,7 @@ one; an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import BPE, Memo
+from .bpe import BPE, Memo, Units
 from .common import pieces, plain_schema
 
 #: Examples that a task packs together; more make little difference to the padding.
@@ -172,20 +174,41 @@ def binary(placed: list[Piece], count: int) -> tuple[list[Piece], int]:
 _MEMOS: dict[str, Memo] = {}
 
 
-def id_bytes(path: str, texts: list[str]) -> list[bytes]:
+def library_encoder(path: str, bpe: BPE, together: int = 500):
+    """Raw words -> bytes of their ids. Words go to the library many at a time, parted by an added token, which it
+    takes out of a text before anything else."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    if not bpe.added:
+        return lambda words: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)]
+    mark, number = next(iter(bpe.added.items()))
+
+    def encode(words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        texts = [mark.join(words[i : i + together]) for i in range(0, len(words), together)]
+        for e in library.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            data, cut = ids.tobytes(), (4 * np.flatnonzero(ids == number)).tolist()
+            out += [data[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(data)], strict=True)]
+        return out
+
+    return encode
+
+
+def id_arrays(path: str, texts: pa.Array) -> list[bytes]:
     """Little-endian 32-bit ids of each text, by the tokenizers library; each distinct raw word is encoded once."""
     if path not in _MEMOS:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
-        encode = lambda words: [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
-        _MEMOS[path] = Memo(BPE(path), encode, lambda ids: np.array(ids, "<u4").tobytes())
+        bpe = BPE(path)
+        _MEMOS[path] = Memo(bpe, encode=library_encoder(path, bpe))
     memo = _MEMOS[path]
-    lists = [memo.parts(t) for t in texts]
-    kept = memo.fill(lists)
-    return [b"".join(map(kept.__getitem__, words)) for words in lists]
+    units = Units(texts, memo.bpe)
+    data = memo.ids(units.words)
+    flat = pa.array(data, pa.binary()).take(pa.array(units.number))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(units.first.astype(np.int32)), flat), b"").to_pylist()
 
 
 def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,9 +229,9 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
             base += count
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, 8 << 20):
             keys += batch.column(0).cast(pa.int64()).to_pylist()
-            ids += [x + end for x in id_bytes(path, [t or "" for t in batch.column(1).to_pylist()])]
+            ids += [x + end for x in id_arrays(path, batch.column(1))]
             if len(ids) >= BLOCK or sum(map(len, ids)) > 32 << 20:
                 yield block()
                 keys, ids = [], []
