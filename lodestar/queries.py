@@ -1,9 +1,362 @@
-"""Catalogue of queries over the driver's tables."""
+"""Catalogue of queries over the driver's tables, each with the SQL that says the same where SQL can."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .functions import columns as C
+from .operators import cluster, distance, splits, stats, summary
+from .plans import search
+from .roles import RoleFrame
+from .sources import tables
+from .streaming import folds
+
+R = C.rounded
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def view(s: SparkSession, d: str, name: str) -> RoleFrame:
+    return tables.role_view(s, d, name)
+
+
+# --------------------------------------------------------------------------- SQL pieces
+
+PART = "part AS (SELECT p_partkey AS rid, p_brand, p_type, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM main.part)"
+LOG = "1/(1+exp(-1.7*greatest(-3.0,least(3.0,({v}-{m})/({s}+1e-32)))))"
+PS = "s AS (SELECT avg(size) ms, stddev_samp(size) ss, min(size) ls, max(size) hs, avg(price) mp, stddev_samp(price) sp, min(price) lp, max(price) hp FROM part)"
+D2H = f"sqrt((power(1-{LOG.format(v='size', m='ms', s='ss')},2)+power({LOG.format(v='price', m='mp', s='sp')},2))/2)"
+DIST = f"WITH {PART}, {PS}, d AS (SELECT rid, {D2H} AS d FROM part, s)"
+
+
+def disty_part(s: SparkSession, d: str) -> DataFrame:
+    rf = view(s, d, "part")
+    return rf.df.select("rid", distance.disty(rf).alias("d"))
+
+
+@query("q01_disty_part", f"{DIST} SELECT rid, round(d+1e-9,6) AS d FROM d")
+def q01(s, d):
+    return disty_part(s, d).select("rid", R(F.col("d")).alias("d"))
+
+
+@query("q02_best_worst", f"{DIST} SELECT * FROM (SELECT 'best' AS which, rid, round(d+1e-9,6) AS d FROM d ORDER BY round(d,9), rid LIMIT 5) UNION ALL SELECT * FROM (SELECT 'worst' AS which, rid, round(d+1e-9,6) AS d FROM d ORDER BY round(d,9) DESC, rid LIMIT 5)")
+def q02(s, d):
+    rows = disty_part(s, d).withColumn("o", F.round("d", 9))
+    pick = lambda w, o: rows.orderBy(o, "rid").limit(5).select(F.lit(w).alias("which"), "rid", R(F.col("d")).alias("d"))
+    return pick("best", F.asc("o")).unionByName(pick("worst", F.desc("o")))
+
+
+LINE = ["L_quantity", "L_tax", "L_extendedprice-", "L_discount+"]
+LINE_SQL = {"L_quantity": "l_quantity", "L_tax": "l_tax", "L_extendedprice-": "l_extendedprice", "L_discount+": "l_discount"}
+
+
+@query("q03_col_summary", " UNION ALL ".join(f"SELECT '{k}' AS col, count({v}) AS n, round(avg({v})+1e-9,4) AS mu, round(stddev_samp({v})+1e-9,4) AS sd FROM lineitem" for k, v in LINE_SQL.items()))
+def q03(s, d):
+    return summary.numbers(view(s, d, "line").df, LINE).select("col", "n", R(F.col("mu"), 4).alias("mu"), R(F.col("sd"), 4).alias("sd"))
+
+
+ORDER = "ord AS (SELECT o_orderkey AS rid, c_acctbal AS bal, c_mktsegment, o_orderpriority, CAST(n_regionkey AS VARCHAR) AS n_regionkey, o_totalprice AS price, o_orderstatus FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey)"
+SYMS = ["c_mktsegment", "o_orderpriority", "n_regionkey"]
+COUNTS = "c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value, count(*) AS n FROM ord GROUP BY {c}" for c in SYMS) + ")"
+
+
+@query("q04_sym_mode_entropy", f"WITH {ORDER}, {COUNTS}, t AS (SELECT col, sum(n) AS t FROM c GROUP BY col), m AS (SELECT col, value AS mode FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) r FROM c) WHERE r=1) SELECT m.col, mode, round(-sum(n/t*log2(n/t))+1e-9,6) AS entropy FROM c JOIN t USING(col) JOIN m USING(col) GROUP BY m.col, mode")
+def q04(s, d):
+    return summary.centers(summary.symbols(view(s, d, "order").df, SYMS)).select("col", "mode", R(F.col("entropy")).alias("entropy"))
+
+
+@query("q05_centroid", f"WITH {ORDER}, {COUNTS}, m AS (SELECT col, value FROM (SELECT *, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) r FROM c) WHERE r=1) SELECT round(avg(bal)+1e-9,4) AS bal, round(avg(price)+1e-9,3) AS price, (SELECT value FROM m WHERE col='c_mktsegment') AS segment, (SELECT value FROM m WHERE col='o_orderpriority') AS priority FROM ord")
+def q05(s, d):
+    return summary.centroid(view(s, d, "order")).select(R(F.col("C_acctbal"), 4).alias("bal"), R(F.col("`O_totalprice+`"), 3).alias("price"), F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"))
+
+
+@query("q06_degenerate", "WITH t AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM part" for c in ("p_partkey", "p_name", "p_brand", "p_size")) + "), c AS (SELECT col, v, count(*) n FROM t GROUP BY col, v), a AS (SELECT col, sum(n) AS rows_, sum(CASE WHEN v IS NOT NULL THEN n ELSE 0 END) AS known, count(v) AS kinds, max(CASE WHEN v IS NOT NULL THEN n END) AS top FROM c GROUP BY col) SELECT col, CASE WHEN rows_-known > 0.5*rows_ THEN 'missing' WHEN kinds > 0.9*known THEN 'id' WHEN top > 0.95*known THEN 'const' ELSE 'ok' END AS verdict FROM a")
+def q06(s, d):
+    return summary.degenerate(s.read.parquet(f"{d}/part.parquet"), ["p_partkey", "p_name", "p_brand", "p_size"])
+
+
+@query("q07_minmax_disty", f"WITH {PART}, {PS} SELECT rid, round(sqrt((power(1-(size-ls)/(hs-ls+1e-32),2)+power((price-lp)/(hp-lp+1e-32),2))/2)+1e-9,6) AS d FROM part, s")
+def q07(s, d):
+    rf = view(s, d, "part")
+    return rf.df.select("rid", R(distance.disty(rf, how="minmax")).alias("d"))
+
+
+@query("q09_equal_freq_bins", "WITH c AS (SELECT l_quantity v, count(*) n FROM lineitem GROUP BY 1), u AS (SELECT v, sum(n) OVER (ORDER BY v) u, sum(n) OVER () t FROM c), k AS (SELECT min(CASE WHEN u > t//4 THEN v END) a, min(CASE WHEN u > t//2 THEN v END) b, min(CASE WHEN u > 3*t//4 THEN v END) c FROM u) SELECT 1+CAST(l_quantity>a AS INT)+CAST(l_quantity>b AS INT)+CAST(l_quantity>c AS INT) AS bin, count(*) AS n FROM lineitem, k GROUP BY 1")
+def q09(s, d):
+    df = view(s, d, "line").df
+    five = tables.five_numbers(df, "L_quantity").first()
+    return df.groupBy(C.cut_code(F.col("L_quantity"), [five["q1"], five["q2"], five["q3"]]).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("q10_norm_bins", "WITH s AS (SELECT avg(l_quantity) m, stddev_samp(l_quantity) d FROM lineitem) SELECT CAST(1+floor(6*(" + LOG.format(v="l_quantity", m="m", s="d") + ")) AS BIGINT) AS bin, count(*) AS n FROM lineitem, s GROUP BY 1")
+def q10(s, d):
+    rf = view(s, d, "line")
+    return rf.df.groupBy(C.norm_bin(distance.norms(rf, ["L_quantity"])["L_quantity"], 7).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+VEC = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e, CAST(label AS VARCHAR) label FROM embeddings), p AS (SELECT a.vec_id probe, b.vec_id rid, list_distance(a.e,b.e) d, b.label FROM v a JOIN v b ON a.vec_id<>b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY d, rid) rank FROM p)"
+
+
+@query("q12_knn_vec", f"WITH {VEC} SELECT probe, CAST(rank AS INT) AS rank, rid, round(d+1e-9,6) AS d FROM k WHERE rank<=3")
+def q12(s, d):
+    rows = view(s, d, "vec").df
+    return distance.near(rows, rows, 3).select("probe", "rank", "rid", R(F.col("d")).alias("d"))
+
+
+@query("q13_knn_classify", f"WITH {VEC}, c AS (SELECT probe, label, count(*) n FROM k WHERE rank<=5 GROUP BY 1,2) SELECT probe, label AS got FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY n DESC, label) r FROM c) WHERE r=1")
+def q13(s, d):
+    rows = view(s, d, "vec").df
+    votes = distance.near(rows, rows, 5).join(rows.select("rid", F.col("`label!`").alias("label")), "rid")
+    votes = votes.groupBy("probe", "label").agg(F.count("*").alias("n"))
+    return votes.groupBy("probe").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("got"))
+
+
+@query("q14_anomaly", f"WITH {VEC}, g AS (SELECT probe AS rid, d AS gap FROM k WHERE rank=1), s AS (SELECT avg(gap) m, stddev_samp(gap) sd FROM g) SELECT rid, round(gap+1e-9,6) AS gap, round({LOG.format(v='gap', m='m', s='sd')}+1e-9,5) AS score FROM g, s")
+def q14(s, d):
+    return distance.anomaly(view(s, d, "vec").df).select("rid", R(F.col("gap")).alias("gap"), R(F.col("score"), 5).alias("score"))
+
+
+@query("q16_project")
+def q16(s, d):
+    rf = view(s, d, "order")
+    return distance.project(rf, *cluster.poles(rf)).select("rid", R(F.col("at")).alias("at"))
+
+
+@query("q17_halve")
+def q17(s, d):
+    return cluster.halve(view(s, d, "order")).groupBy("near").agg(F.count("*").alias("n"))
+
+
+def split_sql(col: str, y: str, table: str, leaf: int) -> str:
+    sd = lambda n, t, q: f"CASE WHEN {n}<2 THEN 0 ELSE sqrt(greatest(0,{q}-{t}*{t}/{n})/({n}-1)) END"
+    return f"SELECT '{col}' AS at_, x, n1, n-n1 AS n2, (n1*({sd('n1', 't1', 'q1')})+(n-n1)*({sd('(n-n1)', '(t-t1)', '(q-q1)')}))/n AS cost FROM (SELECT x, sum(n) OVER w n1, sum(t) OVER w t1, sum(q) OVER w q1, sum(n) OVER () n, sum(t) OVER () t, sum(q) OVER () q FROM (SELECT {col} x, count(*) n, sum({y}) t, sum({y}*{y}) q FROM {table} GROUP BY 1) WINDOW w AS (ORDER BY x ROWS UNBOUNDED PRECEDING)) WHERE n1>={leaf} AND n-n1>={leaf}"
+
+
+@query("q19_splits_num", "SELECT at_, x, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(cost+1e-9,3) AS cost FROM (" + split_sql("l_quantity", "l_discount*1000", "lineitem", 3) + ")")
+def q19(s, d):
+    rf = view(s, d, "line")
+    c = splits.candidates(splits.long_rows(rf.df, rf, F.col("`L_discount+`") * 1000, []), [])
+    return c.where("at = 'L_quantity'").select(F.lit("l_quantity").alias("at_"), "x", "n1", "n2", R(F.col("cost"), 3).alias("cost"))
+
+
+SYM_SPLIT = "SELECT 'o_orderpriority' AS at_, s, n1, n-n1 AS n2, (n1*CASE WHEN n1<2 THEN 0 ELSE sqrt(greatest(0,q1-t1*t1/n1)/(n1-1)) END+(n-n1)*CASE WHEN n-n1<2 THEN 0 ELSE sqrt(greatest(0,(q-q1)-(t-t1)*(t-t1)/(n-n1))/(n-n1-1)) END)/n AS cost FROM (SELECT s, n1, t1, q1, sum(n1) OVER () n, sum(t1) OVER () t, sum(q1) OVER () q FROM (SELECT o_orderpriority s, count(*) n1, sum(price/1000) t1, sum(price/1000*(price/1000)) q1 FROM ord GROUP BY 1))"
+
+
+@query("q20_splits_sym", f"WITH {ORDER} SELECT at_, s, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(cost+1e-9,4) AS cost FROM ({SYM_SPLIT})")
+def q20(s, d):
+    rf = view(s, d, "order")
+    c = splits.candidates(splits.long_rows(rf.df, rf, F.col("`O_totalprice+`") / 1000, []), [])
+    return c.where("at = 'o_orderpriority'").select(F.lit("o_orderpriority").alias("at_"), "s", "n1", "n2", R(F.col("cost"), 4).alias("cost"))
+
+
+def order_tree(s: SparkSession, d: str) -> tuple[RoleFrame, splits.Tree]:
+    rf = view(s, d, "order")
+    return rf, splits.grow(rf, distance.disty(rf), depth=3)
+
+
+@query("q21_best_split")
+def q21(s, d):
+    rf = view(s, d, "order")
+    return splits.best(splits.candidates(splits.long_rows(rf.df, rf, distance.disty(rf), []), []), [])
+
+
+@query("q22_tree")
+def q22(s, d):
+    _, t = order_tree(s, d)
+    return s.createDataFrame([(i, n, float(m), i in t.cuts) for i, (n, m) in sorted(t.stats.items())], "node long, n long, mid double, inner boolean")
+
+
+@query("q23_tree_predict")
+def q23(s, d):
+    rf, t = order_tree(s, d)
+    return rf.df.select("rid", t.leaf_column().alias("leaf"), t.mid_column().alias("guess"))
+
+
+@query("q26_rule")
+def q26(s, d):
+    rf = view(s, d, "order")
+    return s.createDataFrame([(i, a, o, str(v), k) for i, (a, o, v, k) in enumerate(splits.grow_rule(rf, distance.disty(rf)))], "i int, at string, op string, v string, keep boolean")
+
+
+@query("q28_frugal_tree")
+def q28(s, d):
+    rf = view(s, d, "order")
+    err, exits = splits.frugal(rf, distance.disty(rf), depth=3)
+    return s.createDataFrame([(i, a, v, m, err) for i, (a, v, m) in enumerate(exits)], "level int, at string, bin string, mid double, err double")
+
+
+@query("q29_prunings")
+def q29(s, d):
+    rf, t = order_tree(s, d)
+    sums = {i: (m * n, n) for i, (n, m) in t.stats.items()}
+    full, spine = splits.race(t, sums), splits.race(t, sums, "spine")
+    return s.createDataFrame([("all", len(list(t.prunings())), full[1], float(full[0])), ("spine", len(list(t.prunings(shapes="spine"))), spine[1], float(spine[0]))], "shapes string, prunings int, leaves int, score double")
+
+
+@query("q30_wins", f"{DIST}, c AS (SELECT round(d,9) v, count(*) n FROM d GROUP BY 1), u AS (SELECT v, sum(n) OVER (ORDER BY v) u, sum(n) OVER () t FROM c), k AS (SELECT min(v) lo, min(CASE WHEN u > t//2 THEN v END) mid FROM u) SELECT rid, round(greatest(-100,least(100,100*(1-(round(d,9)-lo)/(mid-lo+1e-32))))+1e-9,3) AS win FROM d, k")
+def q30(s, d):
+    return stats.wins(disty_part(s, d).withColumn("d", F.round("d", 9)), "d").select("rid", R(F.col("win"), 3).alias("win"))
+
+
+TWO = "c AS (SELECT v, sum(x) a, sum(y) b FROM (SELECT c_acctbal v, 1 x, 0 y FROM customer UNION ALL SELECT s_acctbal, 0, 1 FROM supplier) GROUP BY v), u AS (SELECT *, sum(a) OVER w ua, sum(b) OVER w ub, sum(a) OVER () n, sum(b) OVER () m FROM c WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING))"
+
+
+@query("q31_effects", f"WITH {TWO} SELECT CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m, round(abs(sum(a*(ub-b))-sum(a*(m-ub)))/max(n)/max(m)+1e-9,6) AS cliffs, round(max(abs(ua/n-ub/m))+1e-9,6) AS ks FROM u")
+def q31(s, d):
+    c = stats.samples(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_acctbal").alias("v")), s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_acctbal").alias("v")), F.col("v"))
+    return stats.effects(c).select("n", "m", R(F.col("cliffs")).alias("cliffs"), R(F.col("ks")).alias("ks"))
+
+
+@query("q34_same")
+def q34(s, d):
+    c = stats.samples(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_acctbal").alias("v")), s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_acctbal").alias("v")), F.col("v"))
+    return stats.same(c)
+
+
+@query("q36_preq_bayes")
+def q36(s, d):
+    return cluster.prequential(view(s, d, "event"), ["tX", "rid"]).select("pos", "want", "got", R(F.col("like"), 4).alias("like"))
+
+
+@query("q37_confusion")
+def q37(s, d):
+    return summary.confusion(cluster.prequential(view(s, d, "event"), ["tX", "rid"]), "want", "got")
+
+
+@query("q39_kmeans")
+def q39(s, d):
+    return cluster.kmeans(view(s, d, "order"), k=5, iters=2).groupBy("cluster").agg(F.count("*").alias("n"), R(F.avg("d")).alias("d"))
+
+
+@query("q40_kpp_seeds")
+def q40(s, d):
+    return s.createDataFrame([(i, int(r["rid"])) for i, r in enumerate(cluster.seeds(view(s, d, "order"), 4))], "i int, rid long")
+
+
+@query("q41_pole_grid")
+def q41(s, d):
+    return cluster.pole_grid(view(s, d, "order")).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("q42_reservoir", "SELECT user_id, event_id, seen FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) seen, row_number() OVER (PARTITION BY user_id ORDER BY md5('1:'||event_id), event_id) r FROM events) WHERE r<=3")
+def q42(s, d):
+    return cluster.reservoir(s.read.parquet(f"{d}/events.parquet"), "user_id", "event_id", 3).select("user_id", "event_id", "seen")
+
+
+@query("q44_hash_split", "SELECT substr(md5('1:'||o_orderkey),1,1)<'8' AS train, count(*) AS n, round(sum(o_totalprice)+1e-9,2) AS total FROM orders GROUP BY 1")
+def q44(s, d):
+    return cluster.halves(s.read.parquet(f"{d}/orders.parquet"), "o_orderkey").groupBy("train").agg(F.count("*").alias("n"), R(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("q45_sample", "SELECT o_orderkey FROM orders ORDER BY md5('7:'||o_orderkey), o_orderkey LIMIT 100")
+def q45(s, d):
+    return cluster.some(s.read.parquet(f"{d}/orders.parquet"), "o_orderkey", 100, 7).select("o_orderkey")
+
+
+@query("q46_pareto", "SELECT p_partkey AS rid FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size>=a.p_size AND b.p_retailprice<=a.p_retailprice AND (b.p_size>a.p_size OR b.p_retailprice<a.p_retailprice))")
+def q46(s, d):
+    return distance.pareto(view(s, d, "part"))
+
+
+@query("q47_sym_counts", f"WITH {ORDER}, {COUNTS} SELECT col, value, n FROM c")
+def q47(s, d):
+    return summary.symbols(view(s, d, "order").df, SYMS)
+
+
+U = "(CAST(('0x'||substr(md5('{s}:'||{k}),1,8)) AS BIGINT)/4294967296.0)"
+
+
+@query("q51_mutate", f"SELECT p_partkey AS rid, CASE WHEN {U.format(s='m', k='p_partkey')}<0.5 THEN round(p_size+10*{U.format(s='d', k='p_partkey')}+1e-9,6) ELSE CAST(p_size AS DOUBLE) END AS size FROM part")
+def q51(s, d):
+    p = s.read.parquet(f"{d}/part.parquet")
+    k = F.col("p_partkey")
+    return p.select(k.alias("rid"), F.when(C.uniform(k, "m") < 0.5, R(F.col("p_size") + 10 * C.uniform(k, "d"))).otherwise(F.col("p_size").cast("double")).alias("size"))
+
+
+@query("q52_dtlz2", f"WITH x AS (SELECT i AS rid, {', '.join(U.format(s=f'1.{j}', k='i') + f' x{j}' for j in range(1, 7))} FROM range(1000) t(i)), g AS (SELECT *, {'+'.join(f'power(x{j}-0.5,2)' for j in range(2, 7))} g FROM x) SELECT rid, round((1+g)*cos(x1*pi()/2)+1e-9,6) AS f1, round((1+g)*sin(x1*pi()/2)+1e-9,6) AS f2 FROM g")
+def q52(s, d):
+    p = tables.pool(s, 1000, 6)
+    f = C.dtlz2([F.col(f"X{i}") for i in range(1, 7)], 2)
+    return p.select("rid", R(f[0]).alias("f1"), R(f[1]).alias("f2"))
+
+
+@query("q52_dtlz_all")
+def q52b(s, d):
+    p, x = tables.pool(s, 1000, 6), [F.col(f"X{i}") for i in range(1, 7)]
+    made = [R(v).alias(f"f{n}_{i}") for n in range(1, 8) for i, v in enumerate(getattr(C, f"dtlz{n}")(x, 2))]
+    return p.select("rid", *made)
+
+
+@query("q53_cocomo", "SELECT p_partkey AS rid, round(2.94*power(p_size,0.91+0.01*(3.72+2.0))*1.1*0.9+1e-9,5) AS effort, round((1.0*power(2,p_size%3))/3.73+1e-9,6) AS risk FROM part")
+def q53(s, d):
+    p = s.read.parquet(f"{d}/part.parquet")
+    return p.select(F.col("p_partkey").alias("rid"), R(C.effort(F.col("p_size"), [F.lit(1.1), F.lit(0.9)], [F.lit(3.72), F.lit(2.0)]), 5).alias("effort"), R(C.risk([(1.0, F.col("p_size") % 3), (2.0, F.lit(-1))])).alias("risk"))
+
+
+@query("q54_holdout")
+def q54(s, d):
+    rows, y, _ = search.capped(view(s, d, "order"))
+    return s.createDataFrame([(m, float(search.holdout(rows, y, mode=m))) for m in ("active", "random")], "mode string, win double")
+
+
+@query("q56_sweep")
+def q56(s, d):
+    got = search.sweep(s, {n: view(s, d, n) for n in ("order", "line")}, [("active", 20), ("active", 50), ("random", 50)], 5)
+    return got.groupBy("view", "mode", "budget").agg(R(F.avg("win"), 3).alias("win"))
+
+
+@query("q49_optimizers")
+def q49(s, d):
+    rows, y, _ = search.capped(view(s, d, "line"))
+    got = search.optimize(s, [list(r[0]) for r in rows[:200]], y[:200], ["de", "ga", "sa", "ls"], chains=2, steps=120)
+    return got.groupBy("optimizer").agg(R(F.min("best")).alias("best"))
+
+
+GOALS = {
+    "shipped": [search.every(search.atom("built"), search.either(search.atom("tested"), search.atom("trusted")))],
+    "built": [search.either(search.atom("bought"), search.atom("coded"))],
+    "cheap": [search.link("help", search.atom("coded")), search.link("break", search.atom("bought"))],
+    "fast": [search.link("make", search.atom("bought")), search.link("hurt", search.atom("coded"))],
+}
+
+
+@query("q57_goal_worlds")
+def q57(s, d):
+    return search.worlds(s, GOALS, [("shipped", "t")], 200).groupBy("atom", "val").agg(F.count("*").alias("n"))
+
+
+@query("q59_goal_keys")
+def q59(s, d):
+    return search.key_decisions(s, GOALS, ["shipped", "fast"], ["fast", "cheap"])
+
+
+@query("q60_event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(sum(value)+1e-9,4) AS total FROM events GROUP BY 1")
+def q60(s, d):
+    return folds.windows(s.read.parquet(f"{d}/events.parquet"), "ts", "value").select("start", "n", R(F.col("total"), 4).alias("total"))
+
+
+@query("q61_moments", "SELECT event_type, count(value) AS n, round(avg(value)+1e-9,5) AS mu, round(coalesce(stddev_samp(value),0)+1e-9,5) AS sd FROM events GROUP BY 1")
+def q61(s, d):
+    return folds.summary(s.read.parquet(f"{d}/events.parquet"), "event_type", "value").select("event_type", "n", R(F.col("mu"), 5).alias("mu"), R(F.col("sd"), 5).alias("sd"))
