@@ -9,8 +9,9 @@ for which this does not hold emit their empty parts too and so meet each other.
 elements first, then hash) the first k + 1 suffice, k the largest number of differences to any partner: those before the
 first shared one are all spoiled. Nothing is missed: each link has a common signature.
 
-Sets that share a signature are candidates. First each is checked with one partner, the one that it shares most
-signatures with; links give components. Then only members of different components are compared: a parity sketch (each
+Sets that share a signature are candidates. In a few turns each is checked with one partner in a turn, the head of most
+of its signatures' groups (the smallest id in the first turn, others later); links give components, and members of one
+component are not compared again. Turns end when no large group is left. Then only members of different components are compared: a parity sketch (each
 element flips one bit) bounds differences from below and drops almost all, the rest are checked exactly. So a group of
 copies or near copies costs one check a member, and no pairs within a component are formed.
 
@@ -34,6 +35,8 @@ from .common import components, list_array, mix, pieces, plain_schema, save, shi
 
 #: Ids that a semi-join may broadcast; beyond them it shuffles.
 BROADCAST_IDS = 1_000_000
+#: Turns of one check a member at most, and the group size beyond which another turn is worth it.
+STARS, LARGE = 3, 10_000
 #: Members of a signature's group that are compared block against block.
 GROUP_BLOCK = 2048
 
@@ -44,9 +47,9 @@ def set_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
 
 
-def differences(n: np.ndarray) -> np.ndarray:
-    """The most elements in which a set of n elements and a partner differ."""
-    return (n + 4 * n // 3) // 7
+def differences(n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The most elements in which a set of n elements and a partner of at most `most` differ."""
+    return (n + np.minimum(4 * n // 3, most)) // 7
 
 
 def signatures(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,12 +61,12 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     upper = np.zeros(len(size), np.int64)
     upper[size > 0] = np.floor(np.log2(np.maximum(1, 4 * size[size > 0] // 3))).astype(np.int64)
     value = mix(hashes ^ np.uint64(0xA4093822299F31D0))
-    k = differences(size)
     sigs, sets = [], []
     for more in (0, 1):
         scheme = band + more
         use = (size > 0) & ((more == 0) | (upper > band))
         parts = np.left_shift(1, scheme + (scheme <= 5))
+        k = differences(size, np.left_shift(1, scheme + 1) - 1)  # partners that meet in this scheme are in its band at most
         mine = use[owner]
         own, e, v = owner[mine], hashes[mine], value[mine]
         if not len(own):
@@ -86,7 +89,7 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
         sig, who = sig[order], who[order]
         begin = np.searchsorted(who, np.arange(len(size)))
         keep = np.arange(len(who)) - begin[who] <= k[who]
-        sigs.append(sig[keep])
+        sigs.append(sig[keep] >> np.uint64(16))  # 48 bits: a false meeting costs a comparison, and rows are smaller
         sets.append(who[keep])
     if not sigs:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -94,10 +97,11 @@ def signatures(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sketches(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Parity sketches: 1 to 2 bits an element, a power of two, at most 8 KB."""
+    """Parity sketches: a power of two of bits, 2 to 4 an element and beyond 512 elements 1 to 2, at most 8 KB."""
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
-        bits = min(1 << 16, max(64, 1 << int(max(1, b - a) - 1).bit_length()))
+        near = 1 << int(max(1, b - a) - 1).bit_length()
+        bits = min(1 << 16, max(64, near, min(2 * near, 1024)))
         flips = np.bincount(((hashes[a:b] >> np.uint64(3)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(flips.astype(np.uint8)).tobytes())
     return out
@@ -117,7 +121,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, who = signatures(hashes, first)
         _, lead = np.unique(node, return_index=True)  # copies within a batch emit once
         keep = np.isin(who, lead)
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[who[keep]].view(np.int64))], names=["sig", "node"])
+        doc = b.column(0).fill_null(2**63 - 1).to_numpy()[who[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[who[keep]].view(np.int64)), pa.array(doc)], names=["sig", "node", "id"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +138,7 @@ def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     node, comp, n = node[order], comp[order], n[order]
     raw = group.column("sketch").to_pylist()
     bits = min(map(len, raw))
-    rows = []
-    for i in order:
-        s = np.frombuffer(raw[i], np.uint64)
-        while s.nbytes > bits:  # bits are numbered by the low end of the hash: fold the upper half down
-            s = s[: len(s) // 2] ^ s[len(s) // 2 :]
-        rows.append(s)
+    rows = [folded(raw[i], bits) for i in order]
     sketch = np.stack(rows)
     left, right = [], []
     for at in range(0, len(n), GROUP_BLOCK):
@@ -186,10 +186,30 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer(pa.Table.from_batches(held).combine_chunks())
 
 
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch of `size` bytes: bits are numbered by the low end of the hash, so upper halves fold down."""
+    s = np.frombuffer(sketch, np.uint64)
+    while s.nbytes > size:
+        s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+    return s
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches allow a link."""
+    for b in batches:
+        n, m, s, t = (b.column(i).to_pylist() for i in range(2, 6))
+        keep = [7 * int(np.bitwise_count(folded(u, k) ^ folded(v, k)).sum()) <= i + j for i, j, u, v in zip(n, m, s, t, strict=True) for k in [min(len(u), len(v))]]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def check(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links, by their sets. Of each set one document's text is read again."""
+    """The pairs (a, b) that are links: by their sketches' bound, then by their sets. Of each set one text is read again."""
+    x, y = (nodes.select(F.col("node").alias(c), F.struct("n", "sketch").alias(k)) for c, k in (("a", "x"), ("b", "y")))
+    near = pairs.join(x, "a").join(y, "b").where("3 * x.n <= 4 * y.n AND 3 * y.n <= 4 * x.n")
+    near = near.select("a", "b", F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.col("x.sketch").alias("s"), F.col("y.sketch").alias("t"))
+    pairs = save(near.mapInArrow(_bounded, plain_schema("a long, b long")), "near")
     need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = save(need.join(nodes, "node").select("key", F.col("low").alias("_low")), "need")
+    need = save(need.join(nodes, "node").select("key", F.col("id").alias("_low")), "need")
     few = need.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # broadcast while they are few, else shuffled
     texts = docs.join(F.broadcast(need) if few else need, (F.xxhash64("_text") == F.col("key")) & F.col("_id").eqNullSafe(F.col("_low")), "left_semi")
     sets = save(texts.select("_text").mapInArrow(_sets, plain_schema("node long, set array<long>")), "sets")
@@ -205,24 +225,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     keyed = docs.select("_id", F.xxhash64("_text").alias("key"), "_text")
     ids = save(keyed.mapInArrow(_identities, plain_schema("id long, key long, node long, n long, sketch binary")), "sets")
     one = F.min(F.struct("id", "key"))
-    nodes = ids.where("n > 0").groupBy("node").agg(one.alias("lead"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = save(nodes.select("node", F.col("lead.id").alias("low"), F.col("lead.key").alias("key"), "n", "sketch"), "nodes")
+    nodes = ids.where("n > 0").groupBy("node").agg(one.alias("one"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = save(nodes.select("node", "low", F.col("one.id").alias("id"), F.col("one.key").alias("key"), "n", "sketch"), "nodes")
 
-    signed = docs.select("_text").mapInArrow(_signed, plain_schema("sig long, node long"))
+    signed = docs.mapInArrow(_signed, plain_schema("sig long, node long, id long"))
     group = Window.partitionBy("sig")
-    signed = signed.select("sig", "node", F.lag("node").over(group.orderBy("node")).alias("last"), F.min("node").over(group).alias("lo"), F.max("node").over(group).alias("hi"))
-    shared = save(signed.where("lo <> hi AND (last IS NULL OR last <> node)").select("sig", "node", "lo"), "shared")
-
-    # round 1: one partner each
-    star = shared.where("node <> lo").groupBy("node", "lo").count()
-    star = star.groupBy(F.col("node").alias("a")).agg(F.max_by("lo", F.struct("count", -F.col("lo"))).alias("b"))
-    links = save(check(save(star, "pairs"), docs, nodes), "found")
-    known = components(links)
-
-    # round 2: members of different components
-    rows = shared.select("sig", "node").join(known, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-    several = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    rows = rows.join(save(several, "several"), "sig").join(nodes.select("node", "n", "sketch"), "node")
+    ends = [F.min("node").over(group).alias("lo"), F.max("node").over(group).alias("hi"), F.min(F.struct("id", "node")).over(group).alias("head")]
+    signed = signed.select("sig", "node", F.lag("node").over(group.orderBy("node")).alias("last"), *ends)
+    shared = signed.where("lo <> hi AND (last IS NULL OR last <> node)").select("sig", "node", F.col("head.node").alias("head"))
+    shared = save(shared, "shared")
+
+    star, links = shared.where("node <> head"), None
+    for turn in range(1, STARS + 1):
+        star = star.groupBy("node", "head").count()
+        star = star.groupBy(F.col("node").alias("a")).agg(F.max_by("head", F.struct("count", F.xxhash64("head"))).alias("b"))
+        new = save(check(save(star, "pairs"), docs, nodes), "found")
+        links = new if links is None else links.unionByName(new)
+        known = components(links)
+        # groups that still have members of several components
+        rows = shared.select("sig", "node").join(known, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        rows = rows.select("*", F.min("component").over(group).alias("lo"), F.max("component").over(group).alias("hi"), F.count("*").over(group).alias("m"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "component")).over(group).alias("head"))
+        rows = save(rows.where("lo <> hi").select("sig", "node", "component", "m", F.col("head.node").alias("head"), F.col("head.component").alias("c")), "open")
+        if (rows.agg(F.max("m")).first()[0] or 0) <= LARGE:
+            break
+        shared, star = rows, rows.where("component <> c")
+
+    # what is left: members of different components
+    rows = rows.join(nodes.select("node", "n", "sketch"), "node")
     rows = rows.select("sig", "node", "component", "n", "sketch").repartition("sig").sortWithinPartitions("sig")
     pairs = save(rows.mapInArrow(_compared, plain_schema("a long, b long")).distinct(), "pairs")
     more = save(check(pairs, docs, nodes), "found")
