@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import pieces, plain_schema
 
 #: Raw words in a memo; beyond it only those of the batch at hand stay.
-MEMO = 600_000
+MEMO = 400_000
 
 # fixed values: the byte alphabet of byte-level vocabularies
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -215,7 +215,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Each document's number of ids and the digests of its ids and of what they decode to. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col, 8 << 20):
+        for batch in pieces(batches, text_col, 4 << 20):
             n, ids, decoded = zip(*digests(path, batch.column(1)), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 

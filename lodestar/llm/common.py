@@ -143,7 +143,7 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the texts of a piece have about `most` bytes (a longer text stands alone)."""
     for batch in batches:
         if not batch.num_rows:

@@ -229,7 +229,7 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
             base += count
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-        for batch in pieces(batches, text_col, 8 << 20):
+        for batch in pieces(batches, text_col, 4 << 20):
             keys += batch.column(0).cast(pa.int64()).to_pylist()
             ids += [x + end for x in id_arrays(path, batch.column(1))]
             if len(ids) >= BLOCK or sum(map(len, ids)) > 32 << 20:

@@ -96,6 +96,8 @@ class Space:
         """0 to 1: the share of the neighbours' weight that label 1 has."""
         if not len(self.labels):
             return np.full(len(texts), 0.5)
+        if len(texts) > 256:  # few rows of terms at a time
+            return np.concatenate([self.score(texts[i : i + 256]) for i in range(0, len(texts), 256)])
         vectors = self.unit(self.unit(term_rows(texts) * self.idf) @ self.basis)
         near = vectors @ self.vectors.T  # one block: exact cosine products with every labelled vector
         k = min(NEIGHBOURS, near.shape[1])

@@ -68,7 +68,7 @@ def labelled_urls(n: int = 3000, seed: int = 5) -> tuple[list[str], np.ndarray]:
         else:
             own = pick([name(), name(), pick(PLAIN) + pick(PLAIN), name() + "-" + pick(PLAIN), pick(PLAIN) + "-" + name()])
         host = pick(["", "", "www.", "blog.", "m.", "shop."]) + own + pick([".example", "", ".co"]) + pick([".com", ".net", ".org"])
-        path = "/" + pick(["en", "de", "fr", "es", "it"]) + "/" + str(int(rng.integers(1, 1000))) + pick(["", "/", ".html"])
+        path = "/" + pick(["en", "de", "fr", "es", "it"]) + "/" + str(int(rng.integers(1, 10 ** int(rng.integers(1, 7))))) + pick(["", "/", ".html"])
         out.append(pick(["http://", "https://"]) + host + path + pick(["", "", "?page=2&ref=x", "?utm_source=feed", "#top"]))
     return out, labels
 
@@ -94,8 +94,9 @@ class Model:
                 for k in keys:
                     table[k][0] += label
                     table[k][1] += 1
-        self.word, self.suffix = ({k: a / b for k, (a, b) in t.items()} for t in (self.word, self.suffix))
-        self.trees = Boosted(self.features(urls), labels)
+        # a word of few urls would only repeat their labels
+        self.word, self.suffix = ({k: a / b for k, (a, b) in t.items() if b >= 7} for t in (self.word, self.suffix))
+        self.trees = Boosted(self.features(urls), labels, trees=40, depth=2)
 
     @staticmethod
     def words(host: str) -> set[str]:
