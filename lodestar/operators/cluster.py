@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hashed
 from ..roles import RoleFrame
-from .distance import coded, disty, distx, farthest, project
+from .distance import coded, disty, distx, farthest, literal, project
 
 
 def some(df: DataFrame, key: str, k: int, seed: object = 1) -> DataFrame:
@@ -46,6 +46,90 @@ def halve(rf: RoleFrame, seed: object = 1) -> DataFrame:
     return at.select(rf.rid, "at", ((F.col("at") < edge["at"]) | ((F.col("at") == edge["at"]) & (F.col(rf.rid) <= edge[rf.rid]))).alias("near"))
 
 
+def nodes(rf: RoleFrame, depth: int = 3, stop: int = 4, seed: object = 1) -> DataFrame:
+    """(rid, node): halving again and again. All nodes of a level find their poles and their middle in the same jobs;
+    children are 2i (by the better pole) and 2i + 1, a node of fewer than 2 * stop rows stays. The driver keeps two poles
+    a node. Middles come from approximate percentiles (error n / 100,000), ties at the middle go to the near side."""
+    spark = rf.df.sparkSession
+    rows = coded(rf).join(rf.df.select(rf.rid, disty(rf).alias("y")), rf.rid).select(rf.rid, F.struct("n", "s").alias("a"), "y", F.lit(1).alias("node")).persist()
+    shape = rows.schema["a"].dataType.simpleString()
+    item = F.struct("a", "y")
+
+    def poles_by(place: DataFrame) -> DataFrame:
+        return rows_now.join(F.broadcast(place), "node").groupBy("node").agg(F.max_by(item, F.struct(F.round(distx("a", "b"), 9), -F.col(rf.rid))).alias("p")).select("node", "p.*")
+
+    def small(found: DataFrame) -> DataFrame:  # a row a node
+        return spark.createDataFrame(found.collect(), f"node int, b {shape}, yb double")
+
+    rows_now = rows
+    for level in range(depth):
+        here = rows_now.where(F.col("node") >= 2**level)
+        start = here.groupBy("node").agg(F.count("*").alias("n"), F.min_by(item, F.struct(hashed(F.col(rf.rid), seed), rf.rid)).alias("p")).where(F.col("n") >= 2 * stop)
+        first = start.select("node", F.col("p.a").alias("b"), F.col("p.y").alias("yb"))
+        east = small(poles_by(small(first)))
+        west = small(poles_by(east))
+        both = east.join(west.select("node", F.col("b").alias("w"), F.col("yb").alias("yw")), "node")
+        flip = F.coalesce(F.col("yw") < F.col("yb"), F.lit(False))
+        both = both.select("node", F.when(flip, F.col("w")).otherwise(F.col("b")).alias("e"), F.when(flip, F.col("b")).otherwise(F.col("w")).alias("w"))
+        ab, ea, wa = distx("e", "w"), distx("a", "e"), distx("a", "w")
+        at = rows_now.join(F.broadcast(both), "node", "left").withColumn("at", (ea * ea + ab * ab - wa * wa) / (2 * ab + 1e-32))
+        mids = at.where("at IS NOT NULL").groupBy("node").agg(F.percentile_approx("at", 0.5, 100_000).alias("mid")).collect()
+        if not mids:
+            break
+        mid = F.broadcast(spark.createDataFrame(mids, "node int, mid double"))
+        side = F.when(F.col("mid").isNull(), F.col("node")).otherwise(2 * F.col("node") + (F.col("at") > F.col("mid")).cast("int"))
+        rows_now = at.join(mid, "node", "left").select(rf.rid, "a", "y", side.alias("node")).persist()
+    return rows_now.select(rf.rid, "node")
+
+
+def delegates(rf: RoleFrame, eps: float, most: int = 64, retreat: float = 0.0, seed: object = 1) -> DataFrame:
+    """(rid, kin, d): furthest-point cover. The row farthest from all delegates (or the one `retreat` percent short of it)
+    becomes one, until all are nearer than eps; rows join their nearest delegate. Each turn is one pass; a cover that
+    would need more than `most` delegates is an error, not a cut."""
+    near = coded(rf).select(rf.rid, F.struct("n", "s").alias("a"), F.lit(None).cast("struct<d:double,kin:long>").alias("m")).persist()
+    new, kept = some(coded(rf), rf.rid, 1, seed).first(), 0
+    while new is not None:
+        if kept >= most:
+            raise ValueError(f"more than {most} delegates for eps {eps}")
+        kept += 1
+        own = F.struct(distx("a", "b").alias("d"), F.lit(new[rf.rid]).cast("long").alias("kin"))
+        last = near
+        near = last.withColumn("b", literal(new)).select(rf.rid, "a", F.least("m", own).alias("m")).persist()  # least skips null
+        far = near.where(F.col("m.d") >= eps)
+        if retreat:
+            edge = far.agg(F.percentile_approx("m.d", 1 - retreat / 100, 10_000)).first()[0]
+            far = far.where(F.col("m.d") <= edge) if edge is not None else far
+        new = far.orderBy(F.desc(F.round("m.d", 9)), rf.rid).select(rf.rid, "a.n", "a.s").first()
+        last.unpersist()
+    return near.select(rf.rid, "m.kin", "m.d")
+
+
+def live_columns(df: DataFrame, bucket: str, cols: list[str], gap: float = 0.3, least: int = 4) -> DataFrame:
+    """(at, gap): columns for which some bucket of `least` known values or more is distributed unlike the crowd, by the
+    greatest difference of cumulative shares. Values are counted first, so windows see distinct values."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("at"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols]))
+    counts = df.select(F.col(bucket).alias("b"), cells.alias("c")).select("b", "c.*").where("v IS NOT NULL").groupBy("at", "b", "v").agg(F.count("*").alias("n"))
+    upto = lambda *by: Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    crowd = counts.groupBy("at", "v").agg(F.sum("n").alias("n"))
+    crowd = crowd.select("at", "v", (F.sum("n").over(upto("at")) / F.sum("n").over(Window.partitionBy("at"))).alias("g"), ((F.sum("n").over(upto("at")) - F.col("n")) / F.sum("n").over(Window.partitionBy("at"))).alias("g0"))
+    own = counts.select("at", "b", "v", F.sum("n").over(upto("at", "b")).alias("u"), "n", F.sum("n").over(Window.partitionBy("at", "b")).alias("t")).where(F.col("t") >= least)
+    # a bucket's share is flat between its values, so the gap is greatest at one of them or just before it
+    both = own.join(crowd, ["at", "v"])
+    d = F.greatest(F.abs(F.col("u") / F.col("t") - F.col("g")), F.abs((F.col("u") - F.col("n")) / F.col("t") - F.col("g0")))
+    return both.groupBy("at").agg(F.max(d).alias("gap")).where(F.col("gap") >= gap)
+
+
+def draws(df: DataFrame, key: str, n: int, seed: object = 1) -> DataFrame:
+    """(draw, row...): n rows with replacement; row numbers come from ranges, so no task orders all rows."""
+    from ..functions.columns import uniform
+    from .stats import running
+
+    own = running(df.withColumn("_one", F.lit(1)), key, ["_one"]).drop("_one")
+    total = df.count()
+    picks = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.floor(uniform(F.col("id"), seed) * total) + 1).cast("long").alias("upto__one"))
+    return picks.join(own.withColumn("upto__one", F.col("upto__one").cast("long")), "upto__one").drop("upto__one")
+
+
 def kmeans(rf: RoleFrame, k: int = 8, iters: int = 3, seed: object = 1) -> DataFrame:
     """(rid, cluster, d): centroids (k rows) are literals of a broadcast; means of numbers, modes of symbols."""
     rows = coded(rf).persist()

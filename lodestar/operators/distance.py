@@ -9,18 +9,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import gap_num, gap_sym, logistic, minkowski, minmax
+from ..functions.columns import capped, gap_num, gap_sym, logistic, minkowski, minmax
 from ..roles import RoleFrame
 
 #: Probes in one broadcast.
 PROBES = 4096
 
 
-def norms(rf: RoleFrame, cols: list[str], how: str = "logistic") -> dict[str, Column]:
+def norms(rf: RoleFrame, cols: list[str], how: str = "logistic", f: float = 0.15) -> dict[str, Column]:
+    """0..1 of each number: logistic of its standard score, minmax, or pctl (between the f and 1 - f order values)."""
+    from .stats import order_values
+
     out = {}
     for c in cols:
         s, v = rf.stats()[c], F.col(f"`{c}`").cast("double")
-        out[c] = logistic(v, s["mu"] or 0.0, s["sd"]) if how == "logistic" else minmax(v, s["lo"] or 0.0, s["hi"] or 0.0)
+        if how == "pctl":
+            lo, hi = order_values(rf.df, c, [f, 1 - f])
+            out[c] = capped(v, lo or 0.0, hi or 0.0)
+        else:
+            out[c] = logistic(v, s["mu"] or 0.0, s["sd"]) if how == "logistic" else minmax(v, s["lo"] or 0.0, s["hi"] or 0.0)
     return out
 
 
@@ -97,6 +104,30 @@ def anomaly(rows: DataFrame, rid: str = "rid", vector: str = "embedding") -> Dat
     return gaps.withColumn("score", logistic(F.col("gap"), mu or 0.0, sd))
 
 
+def literal(row) -> Column:
+    """A coded row as a constant."""
+    return F.struct(F.array(*map(F.lit, row["n"])).cast("array<double>").alias("n"), F.array(*map(F.lit, row["s"])).cast("array<string>").alias("s"))
+
+
+def around(rf: RoleFrame, row) -> DataFrame:
+    """(rid, d): distance of every row to a coded row; one pass, no join."""
+    return coded(rf).select(rf.rid, F.struct("n", "s").alias("a"), literal(row).alias("b")).select(rf.rid, distx("a", "b").alias("d"))
+
+
+def guess(rows: DataFrame, probes: DataFrame, y: str, k: int = 5) -> DataFrame:
+    """(probe, guess): mean y of the k nearest rows."""
+    return near(rows, probes, k).join(rows.select("rid", y), "rid").groupBy("probe").agg(F.avg(y).alias("guess"))
+
+
+def pair_mean(rf: RoleFrame, few: int = 64, seed: object = 1) -> float:
+    """Mean distance of all pairs of a hashed sample of few rows: a scale for covers."""
+    from .cluster import some
+
+    rows = some(coded(rf), rf.rid, min(few, 256), seed).select(F.col(rf.rid).alias("i"), F.struct("n", "s").alias("a"))
+    other = F.broadcast(rows.select(F.col("i").alias("j"), F.col("a").alias("b")))  # few rows
+    return rows.join(other, F.col("i") < F.col("j")).agg(F.avg(distx("a", "b"))).first()[0] or 0.0
+
+
 def farthest(rf: RoleFrame, row) -> tuple:
     """The coded row farthest from a coded row, ties to the smaller id."""
     c = coded(rf)

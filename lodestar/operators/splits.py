@@ -123,10 +123,10 @@ def race(tree: Tree, sums: dict[int, tuple[float, int]], shapes: str = "all") ->
     return min(out, key=lambda t: (t[0], t[1], sorted(t[2])))
 
 
-def rule_step(df: DataFrame, rf: RoleFrame, tag: str, leaf: int = 3):
-    """The cut with the least entropy of best and rest rows, and the side that holds the larger share of best ones."""
-    y = (F.col(tag) == "best").cast("double")
-    long = long_rows(df, rf, y, [])
+def tag_candidates(df: DataFrame, rf: RoleFrame, best: Column, leaf: int = 3) -> DataFrame:
+    """(at, op, x, s, n1, n2, cost, keep): cuts by the entropy of best rows against the rest, and whether the near side
+    holds the larger share of best ones. Cells are summed by value before anything is ordered."""
+    long = long_rows(df, rf, best.cast("double"), [])
     own = ["at", "num"]
     cells = long.groupBy(*own, "x", "s").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
     whole = Window.partitionBy(*own)
@@ -137,10 +137,40 @@ def rule_step(df: DataFrame, rf: RoleFrame, tag: str, leaf: int = 3):
     n1, t1 = F.col("n1"), F.col("t1")
     n2, t2 = F.col("n") - n1, F.col("t") - t1
     cost = (n1 * ent(n1, t1) + n2 * ent(n2, t2)) / F.col("n")
-    good = rows.where((n1 >= leaf) & (n2 >= leaf)).select("at", F.when(F.col("num"), "<=").otherwise("==").alias("op"), "x", "s", cost.alias("cost"), (t1 / n1 >= t2 / n2).alias("keep"), n1.alias("n1"))
+    return rows.where((n1 >= leaf) & (n2 >= leaf)).select("at", F.when(F.col("num"), "<=").otherwise("==").alias("op"), "x", "s", n1.alias("n1"), n2.alias("n2"), cost.alias("cost"), (t1 / n1 >= t2 / n2).alias("keep"))
+
+
+def rule_step(df: DataFrame, rf: RoleFrame, tag: str, leaf: int = 3):
+    """The cut with the least entropy of best and rest rows, and the side that holds the larger share of best ones."""
+    good = tag_candidates(df, rf, F.col(tag) == "best", leaf)
     return good.agg(F.min(F.struct(F.round("cost", 9).alias("c"), "at", "x", "s", "op", "keep", "n1", "cost")).alias("b")).select("b.at", "b.op", "b.x", "b.s", "b.keep", "b.n1", "b.cost")
 
 
+def matched(rule: list[tuple]) -> Column:
+    """How many conjuncts (at, op, value, keep) of a rule a row meets; an unknown value meets them."""
+    met = [F.col(f"`{at}`").isNull() | (condition(at, op, v) == F.lit(bool(keep))) for at, op, v, keep in rule]
+    return sum((m.cast("int") for m in met), F.lit(0))
+
+
+def merged_bins(df: DataFrame, code: Column, y: Column) -> DataFrame:
+    """(bin, n, mid): runs of bins from the first one on, the last dropped; bins are few, so the window sees few rows."""
+    bins = df.select(code.alias("bin"), y.alias("y")).where("bin IS NOT NULL AND y IS NOT NULL").groupBy("bin").agg(F.count("*").alias("k"), F.sum("y").alias("t"))
+    w = Window.orderBy("bin")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = bins.select("bin", F.sum("k").over(upto).alias("n"), F.sum("t").over(upto).alias("t"), F.lead("bin").over(w).alias("next"))
+    return run.where("next IS NOT NULL").select("bin", "n", (F.col("t") / F.col("n")).alias("mid"))
+
+
+def roc(df: DataFrame, share: Column, positive: Column, thetas: list[float]) -> DataFrame:
+    """(theta, pd, pf): rows whose share of positives (of their leaf) is at least theta are called positive. Rows are
+    counted by distinct share first; thetas are a literal array."""
+    cells = df.groupBy(share.alias("share")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
+    rows = cells.select("*", F.explode(F.array(*map(F.lit, thetas))).alias("theta"))
+    hit = F.col("share") >= F.col("theta")
+    rate = lambda c: F.sum(F.when(hit, F.col(c)).otherwise(0)) / F.greatest(F.lit(1), F.sum(c))
+    return rows.groupBy("theta").agg(rate("p").alias("pd"), rate("q").alias("pf"))
+
+
 def grow_rule(rf: RoleFrame, score: Column, conjuncts: int = 2) -> list[tuple]:
     """Conjuncts (at, op, value, keep): tag the sqrt(n) best, cut, keep a side, again."""
     df, out = rf.df.withColumn("_s", score).where("_s IS NOT NULL"), []

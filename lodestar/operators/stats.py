@@ -79,3 +79,58 @@ def ranks(means: list[tuple[str, float]], level, big: bool = False) -> dict[str,
             champion, rank = name, rank + 1
         out[name] = rank
     return out
+
+
+def order_values(df: DataFrame, value: str, ranks: list[float]) -> list:
+    """The values at floor(rank * n) of the ascending order (the last one for rank 1), exact; nulls take no part."""
+    counts = df.where(F.col(f"`{value}`").isNotNull()).groupBy(F.col(f"`{value}`").cast("double").alias("v")).agg(F.count("*").alias("n"))
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    picks = [F.min(F.when(F.col("upto_n") > min(int(r * n + 1e-9), n - 1), F.col("v"))) for r in ranks]
+    return list(running(counts, "v", ["n"]).agg(*picks).first())
+
+
+def improvements(df: DataFrame, order: list[str], value: str) -> DataFrame:
+    """Rows whose value is under all values before them in an order. Ranges of the order are scanned apart; each starts
+    from the least value of the ranges before it (one row a range on the driver)."""
+    ranged = df.where(F.col(value).isNotNull()).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
+    inf = float("inf")
+    least, base = inf, []
+    for r in ranged.groupBy("_p").agg(F.min(value).cast("double").alias("v")).orderBy("_p").collect():
+        base.append((r["_p"], least))
+        least = min(least, r["v"])
+    starts = df.sparkSession.createDataFrame(base, "_p int, _b double")
+    before = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumn("_m", F.min(value).over(before)).join(F.broadcast(starts), "_p")
+    return rows.where(F.col(value) < F.least(F.coalesce(F.col("_m").cast("double"), F.lit(inf)), F.col("_b"))).select(*df.columns)
+
+
+def rank_groups(df: DataFrame, group: str, value: str, big: bool = False) -> dict[str, int]:
+    """Ranks of a column's groups by mean value; those that `same` can't tell from their rank's champion share it. Groups
+    are few names; each comparison runs on counts of distinct values."""
+    counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).persist()
+    means = [(r["g"], r["m"]) for r in counts.groupBy("g").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m")).collect()]
+
+    def level(a: str, b: str) -> bool:
+        part = lambda g: F.sum(F.when(F.col("g") == g, F.col("n")).otherwise(0))
+        return bool(same(counts.where(F.col("g").isin(a, b)).groupBy("v").agg(part(a).alias("a"), part(b).alias("b"))).first()["same"])
+
+    return ranks(means, level, big)
+
+
+def top_tier(means: list[tuple[str, float]], level, big: bool = False) -> list[str]:
+    """The treatments that level with the one of best mean, up to the first that doesn't."""
+    names = [n for n, _ in sorted(means, key=lambda t: (-t[1] if big else t[1], t[0]))]
+    out = names[:1]
+    for n in names[1:]:
+        if not level(names[0], n):
+            break
+        out.append(n)
+    return out
+
+
+def spread_cells(df: DataFrame, a: str, b: str, value: str, eps: float = 0.35) -> DataFrame:
+    """(ca, cb, n, spread): points whose a and b differ by less than eps standard deviations share a cell; spread is the
+    range of a value inside it."""
+    sa, sb = df.agg(F.coalesce(F.stddev_samp(a), F.lit(0.0)), F.coalesce(F.stddev_samp(b), F.lit(0.0))).first()
+    code = lambda c, s: F.floor(F.col(c) / (eps * s + 1e-32)).cast("long")
+    return df.groupBy(code(a, sa).alias("ca"), code(b, sb).alias("cb")).agg(F.count("*").alias("n"), (F.max(value) - F.min(value)).alias("spread"))

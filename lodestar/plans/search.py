@@ -6,10 +6,12 @@ over (arm, seed) in `sweep` and over worlds in `worlds`.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,21 +80,136 @@ def capped(rf: RoleFrame, seed: object = 1) -> tuple[list[tuple], list[float], l
     return [(tuple(r["n"]), tuple(r["s"])) for r in got], [r["d"] for r in got], [r[rf.rid] for r in got]
 
 
+def likes(table: list[tuple], row: tuple, n: int, kinds: int, k: int = 1, m: int = 2) -> float:
+    """Log-likelihood of a row under a table: m-estimates for symbols, normal densities for numbers; unknown cells and
+    likelihoods of zero take no part."""
+    prior = (len(table) + k) / (n + k * kinds)
+    out = math.log(prior)
+    for i, v in enumerate(row[0]):
+        known = [r[0][i] for r in table if r[0][i] is not None]
+        if v is None or not known:
+            continue
+        mu = sum(known) / len(known)
+        var = sum((u - mu) ** 2 for u in known) / max(1, len(known) - 1)
+        z = 2 * var + 1e-32
+        p = math.exp(-min(700.0, (v - mu) ** 2 / z)) / math.sqrt(math.pi * z)
+        out += math.log(p) if p > 0 else 0.0
+    for i, v in enumerate(row[1]):
+        if v is not None:
+            out += math.log((sum(r[1][i] == v for r in table) + m * prior) / (len(table) + m))
+    return out
+
+
+def middle(table: list[tuple]) -> tuple:
+    """Means of numbers, modes of symbols (of equal counts the smallest)."""
+    nums, syms = [], []
+    for i in range(len(table[0][0])):
+        known = [r[0][i] for r in table if r[0][i] is not None]
+        nums.append(sum(known) / len(known) if known else None)
+    for i in range(len(table[0][1])):
+        known = sorted(r[1][i] for r in table if r[1][i] is not None)
+        syms.append(max(dict.fromkeys(known), key=known.count) if known else None)
+    return tuple(nums), tuple(syms)
+
+
+def by_bayes(best: list[tuple], rest: list[tuple]) -> Callable[[tuple], float]:
+    n = len(best) + len(rest)
+    return lambda r: likes(best, r, n, 2) - likes(rest, r, n, 2)
+
+
+def by_centroid(best: list[tuple], rest: list[tuple]) -> Callable[[tuple], float]:
+    good, bad = middle(best), middle(rest)
+    return lambda r: dist(r, bad) - dist(r, good)
+
+
+def acquire_top(rows: list[tuple], y: list[float], budget: int, start: int = 20, scorer=by_centroid, seed: int = 1) -> list[int]:
+    """Warm start, then label the row of highest score, `budget` times. Best holds about the square root of the labels: a
+    new label goes there, and the worst of it goes to rest when it is too large. Best labels first."""
+    order = list(range(len(rows)))
+    random.Random(seed).shuffle(order)
+    labels = sorted(order[:start], key=lambda i: (y[i], i))
+    edge = max(1, int(len(labels) ** 0.5))
+    best, rest, pool = labels[:edge], labels[edge:], order[start:]
+    for _ in range(budget):
+        if not pool or not rest:
+            break
+        score = scorer([rows[i] for i in best], [rows[i] for i in rest])
+        top = max(pool, key=lambda i: (score(rows[i]), -i))
+        pool.remove(top)
+        labels.append(top)
+        best.append(top)
+        if len(best) > int(len(labels) ** 0.5):
+            worst = max(best, key=lambda i: (y[i], i))
+            best.remove(worst)
+            rest.append(worst)
+    return sorted(labels, key=lambda i: (y[i], i))
+
+
+def tree(rows: list[tuple], y: list[float], leaf: int = 3, depth: int = 4) -> Callable[[tuple], float]:
+    """A regression tree of the few labelled rows, as a function from row to the mean of its leaf. Inputs are normalized,
+    so numbers beyond three standard deviations are not told apart."""
+    spread = lambda ys: (sum((v - sum(ys) / len(ys)) ** 2 for v in ys) / (len(ys) - 1)) ** 0.5 if len(ys) > 1 else 0.0
+    known = lambda r, at: r[0][at] if at < len(r[0]) else r[1][at - len(r[0])]
+    num = lambda at: at < len(rows[0][0])
+    yes = lambda v, at, cut: v is None or (v <= cut if num(at) else v == cut)
+
+    def grow(ids: list[int], level: int):
+        mid = sum(y[i] for i in ids) / len(ids)
+        found = []
+        if len(ids) >= 2 * leaf and level < depth:
+            for at in range(len(rows[0][0]) + len(rows[0][1])):
+                cells = [(known(rows[i], at), y[i]) for i in ids if known(rows[i], at) is not None]
+                for cut in sorted({v for v, _ in cells}):
+                    near, far = [w for v, w in cells if yes(v, at, cut)], [w for v, w in cells if not yes(v, at, cut)]
+                    if len(near) >= leaf and len(far) >= leaf:
+                        found.append(((len(near) * spread(near) + len(far) * spread(far)) / len(cells), at, cut))
+        if not found:
+            return lambda r: mid
+        _, at, cut = min(found, key=lambda f: (round(f[0], 12), f[1], f[2]))
+        kids = [[i for i in ids if yes(known(rows[i], at), at, cut) == side] for side in (True, False)]
+        good, bad = (grow(k, level + 1) for k in kids)
+        return lambda r: (good if yes(known(r, at), at, cut) else bad)(r)
+
+    return grow(list(range(len(rows))), 0)
+
+
 def holdout(rows: list[tuple], y: list[float], budget: int = 50, check: int = 5, mode: str = "active", seed: int = 1) -> float:
-    """Win (100: the best row; 0: the median) of the best of `check` test rows that the nearest labels rank first."""
+    """Win (100: the best row; 0: the median) of the best of `check` test rows that a tree of the labelled half's labels
+    ranks first. Modes: active, random, and top (warm start, then the best-scored row each turn)."""
     rng = random.Random(seed)
     order = list(range(len(rows)))
     rng.shuffle(order)
     train, test = order[: len(order) // 2], order[len(order) // 2 :]
-    lab = acquire([rows[i] for i in train], [y[i] for i in train], budget - check, mode=mode, seed=seed)
-    lab = [train[i] for i in lab]
-    guess = {i: sum(y[j] for j in sorted(lab, key=lambda j: (dist(rows[i], rows[j]), j))[:3]) for i in test}
-    top = sorted(test, key=lambda i: (guess[i], i))[:check]
+    if not train or not test:
+        return 0.0
+    data, ys, n = [rows[i] for i in train], [y[i] for i in train], budget - check
+    start = max(2, n // 3)
+    lab = acquire_top(data, ys, n - start, start, seed=seed) if mode == "top" else acquire(data, ys, n, mode=mode, seed=seed)
+    guess = tree([data[i] for i in lab], [ys[i] for i in lab])
+    top = sorted(test, key=lambda i: guess(rows[i]))[:check]
     best = min((y[i] for i in top), default=0.0)
     ys = sorted(y)
     return max(-100.0, min(100.0, 100 * (1 - (best - ys[0]) / (ys[len(ys) // 2] - ys[0] + 1e-32))))
 
 
+class Ledger:
+    """Labels that a model gives on demand, kept in a table (rid, label): only rows that have none are shown the model."""
+
+    def __init__(self, spark: SparkSession, where: str, model: Callable[[DataFrame], DataFrame]) -> None:
+        self.spark, self.where, self.model = spark, where, model
+
+    def known(self) -> DataFrame:
+        try:
+            return self.spark.read.schema("rid long, label double").parquet(self.where)
+        except AnalysisException:  # nothing labelled yet
+            return self.spark.createDataFrame([], "rid long, label double")
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        """rows with their labels; the model takes rows and returns (rid, label)."""
+        self.model(rows.join(self.known().select("rid"), "rid", "left_anti")).select(F.col("rid").cast("long"), F.col("label").cast("double")).write.mode("append").parquet(self.where)
+        return rows.join(self.known(), "rid", "left")
+
+
 def sweep(spark: SparkSession, views: dict[str, RoleFrame], arms: list[tuple[str, int]], seeds: int) -> DataFrame:
     """(view, mode, budget, seed, win): one task a study; each view's capped rows (CAP at most) are broadcast."""
     data = spark.sparkContext.broadcast({n: capped(v)[:2] for n, v in views.items()})
@@ -277,3 +394,13 @@ def key_decisions(spark: SparkSession, rules: dict, hard: list[str], soft: list[
 
     found = ddmin(test, leaf) if leaf and test(leaf) else leaf
     return spark.createDataFrame(found or [], "atom string, val string")
+
+
+def benefits(ws: DataFrame, qualities: list[str], leaves: list[str]) -> DataFrame:
+    """(world, benefit, footprint, d): qualities won, leaves bought, and the distance to most of one and least of other."""
+    on = lambda names: F.count_if(F.col("atom").isin(names) & (F.col("val") == "t"))
+    bf = ws.groupBy("world").agg(on(qualities).alias("benefit"), on(leaves).alias("footprint"))
+    r = bf.agg(F.min("benefit"), F.max("benefit"), F.min("footprint"), F.max("footprint")).first()
+    b0, b1, f0, f1 = (v or 0 for v in r)
+    norm = lambda c, lo, hi: (F.col(c) - lo) / (hi - lo + 1e-32)
+    return bf.withColumn("d", F.sqrt((F.pow(1 - norm("benefit", b0, b1), F.lit(2)) + F.pow(norm("footprint", f0, f1), F.lit(2))) / 2))

@@ -360,3 +360,210 @@ def q60(s, d):
 @query("q61_moments", "SELECT event_type, count(value) AS n, round(avg(value)+1e-9,5) AS mu, round(coalesce(stddev_samp(value),0)+1e-9,5) AS sd FROM events GROUP BY 1")
 def q61(s, d):
     return folds.summary(s.read.parquet(f"{d}/events.parquet"), "event_type", "value").select("event_type", "n", R(F.col("mu"), 5).alias("mu"), R(F.col("sd"), 5).alias("sd"))
+
+
+# --------------------------------------------------------------------------- order values, mixed distances, halving
+
+
+@query("q08_pctl_disty", f"WITH {PART}, o AS (SELECT *, row_number() OVER (ORDER BY size)-1 rs, row_number() OVER (ORDER BY price)-1 rp, count(*) OVER () n FROM part), b AS (SELECT max(size) FILTER (rs=CAST(floor(0.15*n) AS BIGINT)) ls, max(size) FILTER (rs=CAST(floor(0.85*n) AS BIGINT)) hs, max(price) FILTER (rp=CAST(floor(0.15*n) AS BIGINT)) lp, max(price) FILTER (rp=CAST(floor(0.85*n) AS BIGINT)) hp FROM o) SELECT rid, round(sqrt((power(1-greatest(0,least(1,(size-ls)/(hs-ls+1e-32))),2)+power(greatest(0,least(1,(price-lp)/(hp-lp+1e-32))),2))/2)+1e-9,6) AS d FROM part, b")
+def q08(s, d):
+    rf = view(s, d, "part")
+    return rf.df.select("rid", R(distance.disty(rf, how="pctl")).alias("d"))
+
+
+DOC = "t AS (SELECT doc_id AS rid, CAST(n_chars AS DOUBLE) n, lang, source, quality FROM documents LEFT JOIN labels USING (doc_id)), s AS (SELECT avg(n) m, stddev_samp(n) sd FROM t), k AS (SELECT rid, " + LOG.format(v="n", m="m", s="sd") + " v, lang, source, quality FROM t, s), p AS (SELECT * FROM k ORDER BY rid LIMIT 1)"
+
+
+def mixed(s: SparkSession, d: str) -> RoleFrame:
+    """Documents with the quality label as an input that is often unknown."""
+    return RoleFrame(view(s, d, "doc").df.withColumnRenamed("quality!", "quality"), "rid")
+
+
+@query("q15_distx_mixed_missing", f"WITH {DOC} SELECT k.rid, round(sqrt((power(k.v-p.v,2)+CASE WHEN k.lang=p.lang THEN 0 ELSE 1 END+CASE WHEN k.source=p.source THEN 0 ELSE 1 END+CASE WHEN k.quality=p.quality THEN 0 ELSE 1 END)/4)+1e-9,6) AS d FROM k, p")
+def q15(s, d):
+    rf = mixed(s, d)
+    return distance.around(rf, distance.coded(rf).orderBy("rid").first()).select("rid", R(F.col("d")).alias("d"))
+
+
+@query("q18_nodes")
+def q18(s, d):
+    return cluster.nodes(view(s, d, "order"), 3).groupBy("node").agg(F.count("*").alias("n"))
+
+
+@query("q13_knn_guess", f"WITH {VEC} SELECT probe, round(avg(CAST(label AS DOUBLE))+1e-9,6) AS guess FROM k WHERE rank<=5 GROUP BY probe")
+def q13b(s, d):
+    rows = view(s, d, "vec").df.withColumn("y", F.col("`label!`").cast("double"))
+    return distance.guess(rows, rows, "y").select("probe", R(F.col("guess")).alias("guess"))
+
+
+@query("q65_delegates")
+def q65(s, d):
+    return cluster.delegates(mixed(s, d), 0.8).groupBy("kin").agg(F.count("*").alias("n"), R(F.max("d")).alias("far"))
+
+
+@query("q66_pair_mean")
+def q66(s, d):
+    return s.createDataFrame([(float(distance.pair_mean(mixed(s, d))),)], "eps double")
+
+
+# --------------------------------------------------------------------------- rules, bins, curves
+
+
+ENT = "CASE WHEN {t}>0 THEN -({t}/{n})*log2({t}/{n}) ELSE 0 END+CASE WHEN {n}-{t}>0 THEN -(({n}-{t})/{n})*log2(({n}-{t})/{n}) ELSE 0 END"
+
+
+@query("q24_split_entropy", f"WITH {ORDER}, c AS (SELECT o_orderpriority s, count(*)::DOUBLE n1, count(*) FILTER (o_orderstatus='F')::DOUBLE t1 FROM ord GROUP BY 1), w AS (SELECT *, sum(n1) OVER () n, sum(t1) OVER () t FROM c) SELECT s, CAST(n1 AS BIGINT) AS n1, round((n1*({ENT.format(n='n1', t='t1')})+(n-n1)*({ENT.format(n='(n-n1)', t='(t-t1)')}))/n+1e-9,6) AS cost, t1/n1>=(t-t1)/(n-n1) AS keep FROM w WHERE n1>=3 AND n-n1>=3")
+def q24(s, d):
+    rf = view(s, d, "order")
+    c = splits.tag_candidates(rf.df, rf, F.col("`o_orderstatus!`") == "F")
+    return c.where("at = 'o_orderpriority'").select("s", "n1", R(F.col("cost")).alias("cost"), "keep")
+
+
+@query("q25_rule_step")
+def q25(s, d):
+    rf = view(s, d, "order")
+    df = rf.df.withColumn("_tag", F.when(F.col("`o_orderstatus!`") == "F", "best").otherwise("rest"))
+    return splits.rule_step(df, rf, "_tag").select("at", "op", "x", "s", "keep", "n1", R(F.col("cost")).alias("cost"))
+
+
+@query("q26_rule_matches")
+def q26b(s, d):
+    rf = view(s, d, "order")
+    return rf.df.groupBy(splits.matched(splits.grow_rule(rf, distance.disty(rf))).alias("met")).agg(F.count("*").alias("n"))
+
+
+@query("q27_merged_bins", f"WITH {PART}, {PS}, b AS (SELECT CAST(floor(7*({LOG.format(v='size', m='ms', s='ss')})) AS BIGINT) bin, price FROM part, s), g AS (SELECT bin, count(*) k, sum(price) t FROM b GROUP BY 1) SELECT bin, CAST(n AS BIGINT) AS n, round(t/n+1e-9,4) AS mid FROM (SELECT bin, sum(k) OVER (ORDER BY bin) n, sum(t) OVER (ORDER BY bin) t, lead(bin) OVER (ORDER BY bin) nx FROM g) WHERE nx IS NOT NULL")
+def q27(s, d):
+    rf = view(s, d, "part")
+    code = F.floor(7 * distance.norms(rf, ["P_size+"])["P_size+"]).cast("long")
+    return splits.merged_bins(rf.df, code, F.col("`P_retailprice-`")).select("bin", "n", R(F.col("mid"), 4).alias("mid"))
+
+
+THETAS = [0.0, 0.25, 0.5, 0.75, 1.0]
+
+
+@query("q64_roc", f"WITH {ORDER}, l AS (SELECT o_orderstatus='F' y, avg(CASE WHEN o_orderstatus='F' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY o_orderpriority, c_mktsegment) q FROM ord), h AS (SELECT unnest({THETAS}::DOUBLE[]) theta) SELECT theta, round(count(*) FILTER (y AND q>=theta)/greatest(1,count(*) FILTER (y))+1e-9,6) AS pd, round(count(*) FILTER (NOT y AND q>=theta)/greatest(1,count(*) FILTER (NOT y))+1e-9,6) AS pf FROM l, h GROUP BY 1")
+def q64(s, d):
+    hit = F.col("`o_orderstatus!`") == "F"
+    own = view(s, d, "order").df
+    leaf = own.groupBy("o_orderpriority", "c_mktsegment").agg(F.avg(hit.cast("double")).alias("share"))
+    rows = own.join(leaf, ["o_orderpriority", "c_mktsegment"]).select("share", hit.alias("y"))
+    return splits.roc(rows, F.col("share"), F.col("y"), THETAS).select("theta", R(F.col("pd")).alias("pd"), R(F.col("pf")).alias("pf"))
+
+
+# --------------------------------------------------------------------------- statistics
+
+
+@query("q33_cohen", "WITH a AS (SELECT count(c_acctbal) n, avg(c_acctbal) m, var_samp(c_acctbal) v FROM customer), b AS (SELECT count(s_acctbal) n, avg(s_acctbal) m, var_samp(s_acctbal) v FROM supplier) SELECT round(abs(a.m-b.m)/(sqrt(((a.n-1)*a.v+(b.n-1)*b.v)/(a.n+b.n-2))+1e-32)+1e-9,6) AS cohen FROM a, b")
+def q33(s, d):
+    t = lambda n, c: s.read.parquet(f"{d}/{n}.parquet").select(F.col(c).alias("v"))
+    return stats.effects(stats.samples(t("customer", "c_acctbal"), t("supplier", "s_acctbal"), F.col("v"))).select(R(F.col("cohen")).alias("cohen"))
+
+
+@query("q35_ranks")
+def q35(s, d):
+    return s.createDataFrame(sorted(stats.rank_groups(view(s, d, "order").df, "o_orderpriority", "`O_totalprice+`").items()), "priority string, rank int")
+
+
+@query("q38_accuracy")
+def q38(s, d):
+    return cluster.prequential(view(s, d, "event"), ["tX", "rid"]).agg(R(F.avg((F.col("want") == F.col("got")).cast("double"))).alias("acc"))
+
+
+@query("q43_live_columns")
+def q43(s, d):
+    rf = view(s, d, "event")
+    kept = cluster.reservoir(rf.df.select("rid", "u", "Hour", F.col("`Value-`").alias("Value")), "u", "rid", 64)
+    return cluster.live_columns(kept, "u", ["Hour", "Value"], 0.05).select("at", R(F.col("gap")).alias("gap"))
+
+
+@query("q47_zitzler", f"WITH {PART}, {PS}, k AS (SELECT rid, {LOG.format(v='size', m='ms', s='ss')} x, {LOG.format(v='price', m='mp', s='sp')} y FROM part, s), o AS (SELECT * FROM k ORDER BY rid LIMIT 1) SELECT k.rid, (-exp((k.x-o.x)/2)-exp(-(k.y-o.y)/2))/2 < (-exp((o.x-k.x)/2)-exp(-(o.y-k.y)/2))/2 AS better FROM k, o")
+def q47z(s, d):
+    rf = view(s, d, "part")
+    n = distance.norms(rf, list(rf.schema.goals))
+    rows = rf.df.select("rid", *[n[c].alias(f"g{i}") for i, c in enumerate(rf.schema.goals)])
+    one = rows.orderBy("rid").first()
+    better = distance.zitzler([F.col("g0"), F.col("g1")], [F.lit(one["g0"]), F.lit(one["g1"])], list(rf.schema.goals.values()))
+    return rows.select("rid", better.alias("better"))
+
+
+@query("q48_best_so_far", "SELECT event_id, round(value+1e-9,6) AS value FROM (SELECT event_id, value, min(value) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM events WHERE value IS NOT NULL) WHERE m IS NULL OR value<m")
+def q48(s, d):
+    ev = s.read.parquet(f"{d}/events.parquet").select("ts", "event_id", "value")
+    return stats.improvements(ev, ["ts", "event_id"], "value").select("event_id", R(F.col("value")).alias("value"))
+
+
+@query("q62_five_numbers", "WITH o AS (SELECT value v, row_number() OVER (ORDER BY value)-1 r, count(*) OVER () n FROM events WHERE value IS NOT NULL) SELECT round(min(v)+1e-9,6) AS lo, round(max(v) FILTER (r=n//4)+1e-9,6) AS q1, round(max(v) FILTER (r=n//2)+1e-9,6) AS q2, round(max(v) FILTER (r=3*n//4)+1e-9,6) AS q3, round(max(v)+1e-9,6) AS hi FROM o")
+def q62(s, d):
+    five = tables.five_numbers(s.read.parquet(f"{d}/events.parquet"), "value")
+    return five.select(*[R(F.col(c)).alias(c) for c in five.columns])
+
+
+@query("q63_histogram", "SELECT CAST(floor((value-0)/10) AS BIGINT) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+def q63(s, d):
+    return tables.histogram(s.read.parquet(f"{d}/events.parquet").where("value IS NOT NULL"), F.col("value"), 0, 10)
+
+
+@query("q67_tally", "SELECT count(*) FILTER (c_acctbal>0) AS wins, count(*) FILTER (c_acctbal<0) AS losses, count(*) FILTER (c_acctbal=0) AS ties FROM customer")
+def q67(s, d):
+    return tables.tally(s.read.parquet(f"{d}/customer.parquet"), F.col("c_acctbal"))
+
+
+@query("q68_spread_cells", "WITH s AS (SELECT stddev_samp(l_quantity) a, stddev_samp(l_discount) b FROM lineitem) SELECT CAST(floor(l_quantity/(0.35*a+1e-32)) AS BIGINT) AS ca, CAST(floor(l_discount/(0.35*b+1e-32)) AS BIGINT) AS cb, count(*) AS n, round(max(l_tax)-min(l_tax)+1e-9,6) AS spread FROM lineitem, s GROUP BY 1, 2")
+def q68(s, d):
+    li = s.read.parquet(f"{d}/lineitem.parquet").select("l_quantity", "l_discount", "l_tax")
+    return stats.spread_cells(li, "l_quantity", "l_discount", "l_tax").select("ca", "cb", "n", R(F.col("spread")).alias("spread"))
+
+
+@query("q69_unfairness", f"WITH {ORDER}, g AS (SELECT c_mktsegment g, count(*) n, avg(CASE WHEN o_orderstatus='F' THEN CASE WHEN price>150000 THEN 1.0 ELSE 0 END END) pd, avg(CASE WHEN o_orderstatus<>'F' THEN CASE WHEN price>150000 THEN 1.0 ELSE 0 END END) pf FROM ord GROUP BY 1), f AS (SELECT pd p, pf q FROM g ORDER BY n DESC, g LIMIT 1) SELECT round(max(greatest(abs(pd-p),abs(pf-q)))+1e-9,6) AS gap FROM g, f")
+def q69(s, d):
+    df = view(s, d, "order").df.withColumn("got", F.when(F.col("`O_totalprice+`") > 150000, "F").otherwise("O"))
+    return summary.unfairness(df.withColumnRenamed("o_orderstatus!", "want"), "want", "got", "c_mktsegment", "F").select(R(F.col("gap")).alias("gap"))
+
+
+# --------------------------------------------------------------------------- synthesis, acquisition, worlds
+
+
+PAIR = "k AS (SELECT p_partkey rid, CAST(p_size AS DOUBLE) x, p_retailprice y, p_brand z FROM main.part)"
+
+
+def shifted(s: SparkSession, d: str, by: int) -> DataFrame:
+    p = s.read.parquet(f"{d}/part.parquet")
+    return p.select((F.col("p_partkey") - by).alias("rid"), F.col("p_size").cast("double").alias(f"x{by}"), F.col("p_retailprice").alias(f"y{by}"), F.col("p_brand").alias(f"z{by}"))
+
+
+@query("q49_crossover", f"WITH {PAIR}, c AS (SELECT a.*, b.y y1, b.z z1, floor(3*{U.format(s='c', k='a.rid')}) cut FROM k a JOIN k b ON b.rid=a.rid+1) SELECT rid, x, round(CASE WHEN 1>cut THEN y1 ELSE y END+1e-9,4) AS y, CASE WHEN 2>cut THEN z1 ELSE z END AS z FROM c")
+def q49x(s, d):
+    both = shifted(s, d, 0).join(shifted(s, d, 1), "rid")
+    x, y, z = C.crossover([F.col(f"{c}0") for c in "xyz"], [F.col(f"{c}1") for c in "xyz"], F.floor(3 * C.uniform(F.col("rid"), "c")))
+    return both.select("rid", x.alias("x"), R(y, 4).alias("y"), z.alias("z"))
+
+
+@query("q50_de_blend", f"WITH {PAIR}, s AS (SELECT avg(y)-4*stddev_samp(y) lo, avg(y)+4*stddev_samp(y)+1e-32 hi FROM k), v AS (SELECT a.rid, a.y+0.5*(b.y-c.y) v FROM k a JOIN k b ON b.rid=a.rid+1 JOIN k c ON c.rid=a.rid+2) SELECT rid, round(lo+(v-lo)-floor((v-lo)/(hi-lo))*(hi-lo)+1e-9,4) AS y FROM v, s")
+def q50(s, d):
+    st = view(s, d, "part").stats()["P_retailprice-"]
+    rows = shifted(s, d, 0).join(shifted(s, d, 1), "rid").join(shifted(s, d, 2), "rid")
+    return rows.select("rid", R(C.extrapolated(F.col("y0"), F.col("y1"), F.col("y2"), st["mu"], st["sd"]), 4).alias("y"))
+
+
+@query("q51_draws", f"WITH o AS (SELECT p_partkey rid, row_number() OVER (ORDER BY p_partkey) r, count(*) OVER () n FROM part), t AS (SELECT i draw, CAST(1+floor({U.format(s='d', k='i')}*(SELECT max(n) FROM o)) AS BIGINT) r FROM range(50) t(i)) SELECT draw, rid FROM t JOIN o USING (r)")
+def q51d(s, d):
+    return cluster.draws(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("rid")), "rid", 50, "d").select("draw", "rid")
+
+
+@query("q55_acquire")
+def q55(s, d):
+    rows, y, ids = search.capped(view(s, d, "order"))
+    picked = [("active", search.acquire(rows, y, 30)), ("bayes", search.acquire_top(rows, y, 20, 10, search.by_bayes)), ("centroid", search.acquire_top(rows, y, 20, 10, search.by_centroid))]
+    return s.createDataFrame([(m, i, int(ids[j]), float(y[j])) for m, got in picked for i, j in enumerate(got)], "mode string, i int, rid long, d double")
+
+
+@query("q58_goal_benefits")
+def q58(s, d):
+    ws = search.worlds(s, GOALS, [("shipped", "t")], 200)
+    return search.benefits(ws, ["fast", "cheap"], ["tested", "trusted", "bought", "coded"]).groupBy("benefit", "footprint").agg(F.count("*").alias("n"), R(F.min("d")).alias("d"))
+
+
+@query("q70_binned")
+def q70(s, d):
+    return tables.binned(view(s, d, "line")).groupBy("L_quantity").agg(F.count("*").alias("n"))

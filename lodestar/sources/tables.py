@@ -51,6 +51,9 @@ def role_view(spark: SparkSession, sf_dir: str, name: str) -> RoleFrame:
         return RoleFrame(joined.selectExpr("o_orderkey AS rid", "c_acctbal AS C_acctbal", "c_mktsegment", "o_orderpriority", "CAST(n_regionkey AS string) AS n_regionkey", "o_totalprice AS `O_totalprice+`", "o_orderstatus AS `o_orderstatus!`"), "rid")
     if name == "event":
         return RoleFrame(t("events").selectExpr("event_id AS rid", "ts AS tX", "CAST(hour(ts) AS double) AS Hour", "CAST(user_id % 8 AS string) AS u", "value AS `Value-`", "event_type AS `event_type!`"), "rid")
+    if name == "doc":
+        joined = t("documents").join(t("labels"), "doc_id", "left")
+        return RoleFrame(joined.selectExpr("doc_id AS rid", "CAST(n_chars AS double) AS N_chars", "lang", "source", "CAST(quality AS string) AS `quality!`"), "rid")
     if name == "vec":
         e = t("embeddings")
         return RoleFrame(e.select(F.col("vec_id").alias("rid"), "embedding", F.col("label").cast("string").alias("label!")), "rid", RoleSchema(("embedding", "label!"), klass="label!"))
@@ -63,8 +66,27 @@ def pool(spark: SparkSession, n: int, width: int, seed: int = 1) -> DataFrame:
     return base.select("rid", *[uniform(F.col("rid"), f"{seed}.{i}").alias(f"X{i}") for i in range(1, width + 1)])
 
 
-def write_binned(rows: DataFrame, where: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(where)
+def binned(rf: RoleFrame, bins: int = 5) -> DataFrame:
+    """Inputs as codes (numbers by cuts of equal frequency; symbols stay), goals raw."""
+    from ..functions.columns import cut_code
+    from ..operators.stats import order_values
+
+    cols = [F.col(rf.rid)]
+    for c in rf.schema.names:
+        v = F.col(f"`{c}`")
+        if c in rf.schema.x and c in rf.schema.nums:
+            v = F.when(v.isNotNull(), cut_code(v, order_values(rf.df, c, [i / bins for i in range(1, bins)])))
+        cols.append(v.alias(c))
+    return rf.df.select(*cols)
+
+
+def write_binned(rf: RoleFrame, where: str, bins: int = 5) -> None:
+    binned(rf, bins).drop(rf.rid).write.mode("overwrite").option("header", True).option("nullValue", "?").csv(where)
+
+
+def write_results(rows: DataFrame, where: str) -> None:
+    """A JSON object a line."""
+    rows.write.mode("overwrite").json(where)
 
 
 def histogram(df: DataFrame, value: Column, lo: float, width: float) -> DataFrame:

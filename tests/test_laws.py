@@ -126,3 +126,45 @@ def test_leaders(spark):
     era(spark.createDataFrame([(1, [0.0]), (2, [0.5]), (3, [2.0])], "rid long, v array<double>"), 0)
     era(spark.createDataFrame([(4, [2.5]), (5, [9.0])], "rid long, v array<double>"), 1)
     assert [r for r, _ in era.leaders] == [1, 3, 5]
+
+
+def test_order_values_and_improvements(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([5.0, 7.0, None, 4.0, 4.0, 1.0])], "i long, v double")
+    assert stats.order_values(df, "v", [0, 0.5, 1]) == [1.0, 4.0, 7.0]
+    assert [r["i"] for r in stats.improvements(df, ["i"], "v").orderBy("i").collect()] == [0, 3, 5]
+
+
+def test_small_tree_and_top():
+    rows = [((i / 100,), ("a" if i % 2 else "b",)) for i in range(100)]
+    y = [float(i > 50) for i in range(100)]
+    guess = search.tree(rows, y)
+    assert guess(((0.1,), ("a",))) == 0 and guess(((0.9,), ("b",))) == 1 and guess(((None,), ("b",))) == 0
+    for scorer in (search.by_bayes, search.by_centroid):
+        got = search.acquire_top(rows, y, 10, 16, scorer)
+        assert len(got) == len(set(got)) == 26 and y[got[0]] == 0
+
+
+def test_ledger(spark, tmp_path):
+    asked = []
+
+    def model(df):
+        asked.append(df.count())
+        return df.select("rid", (F.col("rid") * 2).alias("label"))
+
+    book = search.Ledger(spark, str(tmp_path / "labels"), model)
+    book.label(spark.createDataFrame([(1,), (2,)], "rid long"))
+    got = book.label(spark.createDataFrame([(2,), (3,)], "rid long")).orderBy("rid").collect()
+    assert asked == [2, 1] and [tuple(r) for r in got] == [(2, 4.0), (3, 6.0)]
+
+
+def test_cover_and_nodes(spark):
+    rf = frame(spark)
+    got = cluster.delegates(rf, 0.6).collect()
+    assert len(got) == 60 and all(r["d"] < 0.6 for r in got)
+    assert cluster.nodes(rf, 2).count() == 60
+
+
+def test_draws_of_symbols(spark):
+    df = spark.range(2000).select(C.roulette(F.col("id"), 1, {"a": 3, "b": 1}).alias("k"), C.gaussian(F.col("id"), 1).alias("z"))
+    r = df.agg(F.avg((F.col("k") == "a").cast("int")), F.avg("z"), F.stddev("z"), F.count("k")).first()
+    assert abs(r[0] - 0.75) < 0.05 and abs(r[1]) < 0.1 and abs(r[2] - 1) < 0.1 and r[3] == 2000
