@@ -15,6 +15,7 @@ text is scanned whole; an empty table gives no rows; extra columns are ignored (
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,24 +35,50 @@ DUMMY = "your example changeme placeholder dummy sample test none null true fals
 NEAR = NAMES + "aws login credential authorization header export config env".split()
 AWAY = "commit sha sha1 sha256 md5 checksum digest hash revision uuid guid version isbn order build file path image id".split()
 
-ASSIGNED = re.compile(r"(?i)(" + "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True)) + r")[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9_\-+/.~]{6,512})")
-KEY_ID = re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,200}|eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,2000})(?![A-Za-z0-9])")
-RUN = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}[0-9])(?=[0-9_+/-]{0,64}[A-Za-z])[A-Za-z0-9_+/-]{20,512}(?![A-Za-z0-9_+/@-])")
+KEY_ID = re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9])")
+#: Dotted runs, in which a web token is looked for; whole runs, so that no text is gone over again and again.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
+WEB_TOKEN = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10}")
+ASSIGNED = re.compile(r"(?i)(" + "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True)) + r")[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9_\-+/.~]{6,}+)")
+RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+(?!@)")
 #: What marks a text for Python, as the JVM sees it.
-MARK = r"(?i)(?:" + "|".join(re.escape(n) for n in NAMES) + r")[ \t]{0,3}[=:]|(?:akia|asia)[0-9a-z]{16}|gh[pousr]_[a-z0-9]{36}|xox[abpr]-|eyj[a-z0-9_-]{10}|(?<![a-z0-9_+/-])(?=[a-z_+/-]{0,64}[0-9])[a-z0-9_+/-]{20}"
+MARK = r"(?i)(?:" + "|".join(re.escape(n) for n in NAMES) + r")[ \t]{0,3}[=:]|(?:akia|asia)[0-9a-z]{16}|gh[pousr]_[a-z0-9]{36}|xox[abpr]-|eyj[a-z0-9_-]{10}|(?<![a-z0-9_+/-])(?=[a-z_+/-]*+[0-9])[a-z0-9_+/-]{20}"
+
+
+def key_ids(text: str) -> list[tuple[int, int]]:
+    """Spans of key ids; of a web token all segments of ten characters or more, whatever their length."""
+    out = [m.span(1) for m in KEY_ID.finditer(text)]
+    for run in DOTTED.finditer(text) if "eyJ" in text else ():
+        at, begin, n = run.start(), None, 0
+        for part in [*run[0].split("."), ""]:
+            if begin is not None and len(part) >= 10:
+                n += 1
+            else:
+                if n > 1:
+                    out.append((begin, at - 1))
+                m = WEB_TOKEN.search(part)
+                begin, n = (at + m.start() if m else None), 0
+            at += len(part) + 1
+    return sorted(out)
+
+
+def mixed(value: str) -> bool:
+    """Whether letters and digits are both there."""
+    return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of non-overlapping candidates: key ids first, then assigned values, then runs."""
-    out: list[tuple[int, int, str]] = []
-    for kind, pattern, group in (("key_id", KEY_ID, 1), ("assigned", ASSIGNED, 2), ("run", RUN, 0)):
+    out = [(a, b, "key_id") for a, b in key_ids(text)]
+    assigned = [m.span(2) for m in ASSIGNED.finditer(text)]
+    for kind, spans in (("assigned", assigned), ("run", [m.span() for m in RUN.finditer(text) if mixed(m[0])])):
         taken = sorted(out)
-        for m in pattern.finditer(text):
-            a, b = m.span(group)
-            while text[b - 1] in ".-/" and b - a > 6:
+        starts = [t[0] for t in taken]
+        for a, b in spans:
+            while kind == "assigned" and text[b - 1] == "." and b - a > 6:
                 b -= 1
-            i = np.searchsorted([t[0] for t in taken], b) if taken else 0
-            if not taken or i == 0 or taken[i - 1][1] <= a:
+            i = bisect_left(starts, b)
+            if i == 0 or taken[i - 1][1] <= a:
                 out.append((a, b, kind))
     return sorted(out)
 

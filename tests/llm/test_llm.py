@@ -259,6 +259,22 @@ def test_secrets(spark, odd):
     assert secret_scan.redact(odd).columns == odd.columns and secret_scan.redact(odd).count() == len(ODD)
 
 
+def test_long_secrets(spark):
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    values = ["aB3" + some(747), "x" * 70 + "7" + some(30), some(3000) + "4", "xoxb-" + some(400), "eyJ" + some(30) + "." + some(5000) + "." + some(43)]
+    leads = ["aws_session_token = ", "", "", "", ""]
+    for value, lead in zip(values, leads, strict=True):
+        text = f"note {lead}{value} end"
+        assert [text[a:b] for a, b, _ in secret_scan.candidates(text)] == [value]
+    df = spark.createDataFrame(list(enumerate(f"note {x}{v} end" for v, x in zip(values, leads, strict=True))), "doc_id long, text string")
+    assert {r["doc_id"]: (r["start"], r["end"]) for r in secret_scan.scan(df).collect()} == {i: (5 + len(x), 5 + len(x) + len(v)) for i, (v, x) in enumerate(zip(values, leads, strict=True))}
+    out = dict(secret_scan.redact(df).collect())
+    assert out[0] == "note aws_session_token = [secret] end" and "eyJ" not in out[4]
+    for hard in ("eyJ-" * 200_000, "xoxb-" * 200_000, "a" * 1_000_000, "a." * 300_000):
+        secret_scan.candidates(hard)
+
+
 def test_urls(spark):
     held, labels = urls.labelled_urls(800, seed=77)
     assert ((urls.default_model().predict(held) >= 0.5) == labels).mean() > 0.95
