@@ -1,6 +1,6 @@
 """Secret scan: candidates by expressions, false positives removed by a random forest.
 
-Candidates are (a) values assigned to names like password or token, (b) key ids of a known form and (c) long unbroken
+Candidates are (a) values assigned to names like password or token, whole when in quotes, (b) key ids of a known form and (c) long unbroken
 runs that mix letters and digits. Each is judged on its length, character transitions, share of digits, entropy,
 dictionary coverage (share of its letters inside plain or placeholder words), path signs around it and the
 neighbouring words. The forest is trained from labelled findings, which are a parameter: labelled_findings() makes a
@@ -39,10 +39,18 @@ KEY_ID = re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za
 #: Dotted runs, in which a web token is looked for; whole runs, so that no text is gone over again and again.
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
 WEB_TOKEN = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10}")
-ASSIGNED = re.compile(r"(?i)(" + "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True)) + r")[ \t]{0,3}[=:][ \t]{0,3}[\"']?([A-Za-z0-9_\-+/.~]{6,}+)")
+#: A name, perhaps in quotes or brackets, and a sign (bearer: or a blank); then the whole value in quotes of a line, else
+#: up to white space, a closing quote or the next parameter of a query.
+NAMED = r"(?:" + "|".join(sorted(map(re.escape, NAMES), key=len, reverse=True)) + r")(?:\\?[\"'`])?\]?[ \t]*+(?:[=:]|=>|:=)|bearer[ \t]"
+ASSIGNED = re.compile(
+    r"(?i)(?:" + NAMED + r")[=>]*+[ \t]*+(?:"
+    r"\\([\"'])(?P<a>(?:(?!\\?[\"'])[^\n])+)\\\1"
+    r"|\"(?P<b>(?:\\.|[^\"\\\n])++)\"|'(?P<c>(?:\\.|[^'\\\n])++)'|`(?P<d>[^`\n]++)`"
+    r"|(?:\\?[\"'`])?(?P<e>(?:(?!\\?[\"'`](?:[\s,;:)\]}>]|\Z)|&[A-Za-z_][\w.-]{0,63}=)\S)++))"
+)
 RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+(?!@)")
 #: What marks a text for Python, as the JVM sees it.
-MARK = r"(?i)(?:" + "|".join(re.escape(n) for n in NAMES) + r")[ \t]{0,3}[=:]|(?:akia|asia)[0-9a-z]{16}|gh[pousr]_[a-z0-9]{36}|xox[abpr]-|eyj[a-z0-9_-]{10}|(?<![a-z0-9_+/-])(?=[a-z_+/-]*+[0-9])[a-z0-9_+/-]{20}"
+MARK = r"(?i)" + NAMED + r"|(?:akia|asia)[0-9a-z]{16}|gh[pousr]_[a-z0-9]{36}|xox[abpr]-|eyj[a-z0-9_-]{10}|(?<![a-z0-9_+/-])(?=[a-z_+/-]*+[0-9])[a-z0-9_+/-]{20}"
 
 
 def key_ids(text: str) -> list[tuple[int, int]]:
@@ -67,22 +75,44 @@ def mixed(value: str) -> bool:
     return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of non-overlapping candidates: key ids first, then assigned values, then runs."""
-    out = [(a, b, "key_id") for a, b in key_ids(text)]
-    assigned = [m.span(2) for m in ASSIGNED.finditer(text)]
-    for kind, spans in (("assigned", assigned), ("run", [m.span() for m in RUN.finditer(text) if mixed(m[0])])):
-        taken = sorted(out)
-        starts = [t[0] for t in taken]
-        for a, b in spans:
-            while kind == "assigned" and text[b - 1] == "." and b - a > 6:
+def values(text: str) -> list[tuple[int, int]]:
+    """Spans of assigned values of six characters or more; bare ones without the punctuation that ends a phrase."""
+    out = []
+    for m in ASSIGNED.finditer(text):
+        a, b = m.span(m.lastgroup)
+        if m.lastgroup == "e":
+            depth = {c: m["e"].count(o) - m["e"].count(c) for o, c in ("()", "[]", "{}", "<>")}
+            while b > a and (text[b - 1] in ".,;:" or depth.get(text[b - 1], 0) < 0):
                 b -= 1
+                depth[text[b]] = depth.get(text[b], 0) + 1
+        if b - a >= 6:
+            out.append((a, b))
+    return out
+
+
+def nested(text: str) -> list[tuple[int, int, str, list[tuple[int, int, str]]]]:
+    """(start, end, kind, inner) of non-overlapping candidates: assigned values with the key ids and runs inside them,
+    other key ids, then other runs."""
+    keys = key_ids(text)
+    same = set(keys)
+    out = [(a, b, "assigned", []) for a, b in values(text) if (a, b) not in same]
+    for kind, spans in (("key_id", keys), ("run", [m.span() for m in RUN.finditer(text) if mixed(m[0])])):
+        out.sort()
+        taken, starts = list(out), [t[0] for t in out]
+        for a, b in spans:
             i = bisect_left(starts, b)
             if i == 0 or taken[i - 1][1] <= a:
-                out.append((a, b, kind))
+                out.append((a, b, kind, []))
+            elif taken[i - 1][2] == "assigned" and taken[i - 1][0] <= a and b <= taken[i - 1][1] and (a, b) != taken[i - 1][:2]:
+                taken[i - 1][3].append((a, b, kind))
     return sorted(out)
 
 
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of non-overlapping candidates."""
+    return [c[:3] for c in nested(text)]
+
+
 _KIND = np.full(128, 3)
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 0, 1, 2
 
@@ -161,11 +191,11 @@ def default_forest() -> Forest:
 
 
 def judged(texts: list[str], forest: Forest) -> list[list[tuple[int, int, str, float]]]:
-    """(start, end, kind, score) of each text's candidates."""
-    found = [candidates(t) for t in texts]
-    rows = [features(t, *c) for t, cs in zip(texts, found, strict=True) for c in cs]
+    """(start, end, kind, score) of each text's candidates; a value scores no less than what lies inside it."""
+    found = [nested(t) for t in texts]
+    rows = [features(t, *c) for t, cs in zip(texts, found, strict=True) for *own, inner in cs for c in (own, *inner)]
     score = iter(forest.predict(np.array(rows)).tolist() if rows else [])
-    return [[(*c, next(score)) for c in cs] for cs in found]
+    return [[(a, b, kind, max(next(score) for _ in range(1 + len(inner)))) for a, b, kind, inner in cs] for cs in found]
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -275,6 +275,23 @@ def test_long_secrets(spark):
         secret_scan.candidates(hard)
 
 
+def test_assigned_secrets(spark):
+    cases = [
+        ('{"password": "hunter2xyz"}', "hunter2xyz"),
+        ("Authorization: Bearer abcDEF123456", "abcDEF123456"),
+        ("password='p@ssw0rd!2024'", "p@ssw0rd!2024"),
+        ('password = "Tr0ub4dor&3xyzQ"', "Tr0ub4dor&3xyzQ"),
+        ("passwd: Tr0ub4dor&3xyzQ, next", "Tr0ub4dor&3xyzQ"),
+        ("u?token=abc123def456&user=bob", "abc123def456"),
+        ('{\\"password\\": \\"hunter2xyz\\"}', "hunter2xyz"),
+        ("password = ghp_" + "a1B2" * 9 + "!tail", "ghp_" + "a1B2" * 9 + "!tail"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: cases[r["doc_id"]][0][r["start"] : r["end"]] for r in secret_scan.scan(df).collect()}
+    assert got == {i: v for i, (_, v) in enumerate(cases)}
+    assert dict(secret_scan.redact(df).collect())[3] == 'password = "[secret]"'
+
+
 def test_urls(spark):
     held, labels = urls.labelled_urls(800, seed=77)
     assert ((urls.default_model().predict(held) >= 0.5) == labels).mean() > 0.95
