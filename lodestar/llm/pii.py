@@ -1,10 +1,11 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the base entities: e-mail addresses, IPv4 addresses, card numbers (Luhn) and international phone numbers, found
-by expressions in each whole text. Identifier-like tokens (with a digit or an @) are instances; the word before one,
-with the sort of token, is its lexical pattern. Instances and patterns form a bipartite graph that is scored over
-ROUNDS rounds: a pattern's confidence is the mean score of its distinct instances, a token's score is the best confidence
-of its patterns that have support from SUPPORT distinct seeds or more. Seeds hold score 1; tokens that have the form of
+by expressions in each whole text. Identifier-like tokens (with a digit or an @) are instances; the word before one, over
+any white space, is its lexical pattern, narrowed by the sort of token where that has seeds enough. Instances and patterns
+form a bipartite graph that is scored over ROUNDS rounds: a pattern's confidence is the mean score of its distinct
+instances, a token's score is the best confidence of its patterns that have support from SUPPORT distinct seeds or more;
+where a word with the token's sort has less, the word with any sort counts. Seeds hold score 1; tokens that have the form of
 a base entity but fail its check hold 0. Tokens whose score reaches CONFIDENT are discovered identifiers of the kind
 that most of the pattern's seeds have. They add spans; base spans always stay.
 
@@ -101,7 +102,10 @@ def base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     loose = F.transform(F.filter(tokens, lambda t: ~meets(t)), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), nothing.alias("kind"), F.lit(False).alias("bad")))
     known = F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["good"], s["kind"]).alias("kind"), (~s["good"]).alias("bad")))
     value = lambda t: F.substring(F.col("text"), t["start"] + 1, F.least(t["end"] - t["start"], F.lit(80)))
-    word = lambda t: F.lower(F.regexp_extract(F.substring(F.col("text"), F.greatest(t["start"] - 39, F.lit(1)), F.least(t["start"], F.lit(40))), r"(\S{1,30})\s{1,3}$", 1))
+    near = lambda t: F.substring(F.col("text"), F.greatest(t["start"] - 39, F.lit(1)), F.least(t["start"], F.lit(40)))
+    # beyond nine blanks the window may hold no word or a part of one: the whole text before the token is looked at
+    far = lambda t: F.regexp_extract(F.regexp_replace(F.substring(F.col("text"), F.lit(1), t["start"]), r"(?<!\s)\s++\z", ""), r"(\S{1,30}+)\z", 1)
+    word = lambda t: F.lower(F.when(F.regexp_like(near(t), F.lit(r"\s{10}\z")), far(t)).otherwise(F.regexp_extract(near(t), r"(\S{1,30})\s{1,9}\z", 1)))
     instances = F.transform(F.concat(known, loose), lambda t: F.struct(t["start"], t["end"], t["kind"], t["bad"], value(t).alias("value"), word(t).alias("word")))
     return out.select("id", F.xxhash64("text").alias("hash"), "spans", instances.alias("instances"))
 
@@ -111,24 +115,38 @@ def sort_of(token: Column) -> Column:
     return F.when(F.contains(token, F.lit("@")), "@").when(F.regexp_like(token, F.lit(r"\p{L}")), "a").otherwise("9")
 
 
+def strong(graph: DataFrame) -> DataFrame:
+    """word, sort, confidence, as (kind) of the patterns with support: those of a word and sort, else those of the word."""
+    counts = [F.sum((F.col("seed") & (F.col("kind") == n)).cast("long")).alias(k) for n, k in enumerate(KINDS)]
+    own = graph.groupBy("word", "sort").agg(F.sum("score").alias("sum"), F.count("*").alias("n"), *counts)
+    every = own.groupBy("word").agg(*[F.sum(c).alias(f"all_{c}") for c in ("sum", "n", *KINDS)])
+
+    def state(names: list[str], total: str, n: str) -> tuple[Column, Column]:
+        seeds = F.array(*[F.coalesce(F.col(x), F.lit(0)) for x in names])
+        kind = (F.array_position(seeds, F.array_max(seeds)) - 1).cast("int")
+        return F.aggregate(seeds, F.lit(0).cast("long"), lambda a, x: a + x) >= SUPPORT, F.struct((F.col(total) / F.col(n)).alias("confidence"), kind.alias("as"))
+
+    every = every.select("word", F.struct(*state([f"all_{k}" for k in KINDS], "all_sum", "all_n")).alias("any")).where("any.col1")
+    held, value = state(list(KINDS), "sum", "n")
+    both = own.select("word", "sort", held.alias("held"), value.alias("own")).join(every, "word")
+    got = F.when(F.col("held"), F.col("own")).otherwise(F.col("any.col2"))
+    return both.select("word", "sort", got["confidence"].alias("confidence"), got["as"].alias("as"))
+
+
 def discover(found: DataFrame) -> DataFrame:
     """(id, hash, start, kind, end) of tokens that high-confidence patterns make known."""
     rows = found.where(F.size("instances") > 0).select("id", "hash", F.explode("instances").alias("t")).select("id", "hash", "t.*")
     cue = F.regexp_like("word", F.lit(r"\p{L}"))
-    rows = save(rows.where(cue).withColumn("pattern", F.concat_ws(" ", "word", sort_of(F.col("value")))), "instances")
-    # the graph: one row for each pattern and distinct instance
-    graph = rows.groupBy("pattern", "value").agg(F.max(F.col("kind").isNotNull()).alias("seed"), F.max("bad").alias("bad"), F.min("kind").alias("kind"))
+    rows = save(rows.where(cue).withColumn("sort", sort_of(F.col("value"))), "instances")
+    # the graph: one row for each word and distinct instance
+    graph = rows.groupBy("word", "sort", "value").agg(F.max(F.col("kind").isNotNull()).alias("seed"), F.max("bad").alias("bad"), F.min("kind").alias("kind"))
     fixed = F.when(F.col("seed"), 1.0).when(F.col("bad"), 0.0)
     graph = save(graph.withColumn("score", F.coalesce(fixed, F.lit(0.0))).withColumn("fixed", fixed.isNotNull()), "graph")
     for _ in range(ROUNDS):
-        pattern = graph.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum(F.col("seed").cast("long")).alias("support"), F.min("kind").alias("as"))
-        strong = pattern.where(F.col("support") >= SUPPORT)
-        best = graph.where("not fixed").join(strong, "pattern").groupBy("value").agg(F.max("confidence").alias("best"))
-        graph = graph.join(best, "value", "left").select("pattern", "value", "seed", "bad", "kind", F.when(F.col("fixed"), F.col("score")).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"), "fixed")
+        best = graph.where("not fixed").join(strong(graph), ["word", "sort"]).groupBy("value").agg(F.max("confidence").alias("best"))
+        graph = graph.join(best, "value", "left").select("word", "sort", "value", "seed", "bad", "kind", F.when(F.col("fixed"), F.col("score")).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"), "fixed")
         graph = save(graph, "graph")
-    pattern = graph.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum(F.col("seed").cast("long")).alias("support"), F.min("kind").alias("as"))
-    strong = pattern.where((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT))
-    new = rows.where(F.col("kind").isNull() & ~F.col("bad")).join(strong, "pattern")
+    new = rows.where(F.col("kind").isNull() & ~F.col("bad")).join(strong(graph).where(F.col("confidence") >= CONFIDENT), ["word", "sort"])
     return new.select("id", "hash", "start", F.col("as").alias("kind"), "end").distinct()
 
 

@@ -241,6 +241,12 @@ def test_personal_data(spark, docs):
     assert got[100] == "phone:12:20" and got[101] == ""
 
 
+def test_pii_any_shape(spark):
+    cue = [(i, f"his account: user{i}@mail{i}.example or so") for i in range(20)] + [(100, "his account: AB123456 now"), (101, "his account:" + " \n" * 60 + "CD1 now"), (102, "a plain B2"), (103, "his account:     EF1")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(cue, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (100, 101, 102, 103)] == ["email:13:21", "email:132:135", "", "email:17:20"]
+
+
 def test_secrets(spark, odd):
     held = secret_scan.labelled_findings(600, seed=99)
     forest = secret_scan.default_forest()
