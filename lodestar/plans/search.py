@@ -10,6 +10,7 @@ import math
 import random
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -226,53 +227,90 @@ def sweep(spark: SparkSession, views: dict[str, RoleFrame], arms: list[tuple[str
 # --------------------------------------------------------------------------- optimizers over a surrogate
 
 
-def blend(a, b, c, lo: list[float], hi: list[float], f: float, cr: float, rng: random.Random) -> list[float]:
-    """a + f (b - c), wrapped, one column of a kept at least."""
-    keep = rng.randrange(len(a))
-    out = []
-    for i, (x, y, z) in enumerate(zip(a, b, c, strict=True)):
-        v = x + f * (y - z) if i != keep and rng.random() < cr else x
-        out.append(lo[i] + (v - lo[i]) % (hi[i] - lo[i] + 1e-32))
-    return out
-
+def optimize(spark: SparkSession, rows: list[tuple], score: list[float], how: list[str], chains: int = 4, steps: int = 300, size: int = 20, gens: int = 20) -> DataFrame:
+    """(optimizer, chain, best): de, ga, sa and ls minimize the score of the nearest real row; one task a chain.
 
-def optimize(spark: SparkSession, rows: list[list[float]], score: list[float], how: list[str], chains: int = 4, steps: int = 300) -> DataFrame:
-    """(optimizer, chain, best): de, ga, sa and ls minimize the score of the nearest real row; one task a chain."""
-    lo, hi = [min(c) for c in zip(*rows, strict=True)], [max(c) for c in zip(*rows, strict=True)]
-    shared = spark.sparkContext.broadcast((rows, score, lo, hi))
+    Rows are coded: numbers and symbols. de and ga have `size` rows for `gens` generations, sa and ls `steps` steps.
+    """
+    shared = spark.sparkContext.broadcast((rows, score))
 
     def chain(kind: str, seed: int) -> float:
-        data, ys, lo, hi = shared.value
+        data, ys = shared.value
         rng = random.Random(f"{kind}{seed}")
-        span = [h - low + 1e-32 for low, h in zip(lo, hi, strict=True)]
-        guess = lambda r: ys[min(range(len(data)), key=lambda i: sum(((u - v) / s) ** 2 for u, v, s in zip(r, data[i], span, strict=True)))]
-        move = lambda r: [min(h, max(low, v + rng.gauss(0, s / 8))) if rng.random() < 0.5 else v for v, low, h, s in zip(r, lo, hi, span, strict=True)]
-        pop = [list(rng.choice(data)) for _ in range(12)]
-        fit = [guess(p) for p in pop]
-        now, e = pop[0], fit[0]
-        best = min(fit)
-        for t in range(steps // (12 if kind in ("de", "ga") else 1)):
-            if kind in ("de", "ga"):
-                kids = []
-                for p in pop:
-                    if kind == "de":
-                        kids.append(blend(p, *rng.sample(pop, 2), lo, hi, 0.5, 0.7, rng))
-                    else:
-                        mum, dad = (min(rng.sample(range(len(pop)), 3), key=fit.__getitem__) for _ in range(2))
-                        cut = rng.randrange(len(p))
-                        kids.append(move(pop[mum][:cut] + pop[dad][cut:]))
-                for i, k in enumerate(kids):
-                    if (g := guess(k)) <= fit[i]:
-                        pop[i], fit[i] = k, g
+        n = len(data[0][0])
+        real = [[*r[0], *r[1]] for r in data]
+        width = range(len(real[0]))
+        known = [[r[i] for r in real if r[i] is not None] for i in width]
+        lo, hi = [min(k, default=0) for k in known[:n]], [max(k, default=0) for k in known[:n]]
+        nums = np.array([r[:n] for r in real], float).reshape(len(real), n)
+        syms = np.array([r[n:] for r in real], object).reshape(len(real), len(width) - n)
+        sd = [float(np.std(k, ddof=1)) if len(k) > 1 else 0.0 for k in known[:n]]
+        blank = np.isnan(nums)
+
+        def guess(r: list) -> float:
+            d = np.zeros(len(real))
+            for i, v in enumerate(r):
+                if i >= n:
+                    d += 1.0 if v is None else syms[:, i - n] != v
+                elif v is None:  # unknown: as far away as can be
+                    d += np.where(blank[:, i], 1.0, np.maximum(nums[:, i], 1 - nums[:, i])) ** 2
+                else:
+                    d += np.where(blank[:, i], max(v, 1 - v), np.abs(nums[:, i] - v)) ** 2
+            return ys[int(d.argmin())]
+
+        def move(r: list) -> list:
+            out, i = list(r), rng.choice(width)
+            if not known[i]:
+                return out
+            out[i] = rng.choice(known[i]) if i >= n else min(hi[i], max(lo[i], rng.gauss(r[i] if r[i] is not None else sum(known[i]) / len(known[i]), sd[i])))
+            return out
+
+        def blend(a: list, b: list, c: list) -> list:
+            out, keep = list(a), rng.choice(width)
+            for i in width:
+                if i == keep or rng.random() >= 0.7 or a[i] is None:
+                    continue
+                if i >= n:
+                    out[i] = b[i] if rng.random() < 0.5 else a[i]
+                elif b[i] is not None and c[i] is not None:
+                    out[i] = lo[i] + (a[i] + 0.5 * (b[i] - c[i]) - lo[i]) % (hi[i] - lo[i] + 1e-32)
+            return out
+
+        if kind in ("de", "ga"):
+            pop = rng.sample(real, min(size, len(real)))
+            fit = [guess(r) for r in pop]
+            best = min(fit)
+            for _ in range(gens):
+                if kind == "de":
+                    for i in range(len(pop)):
+                        kid = blend(*rng.sample(pop, 3)) if len(pop) > 2 else move(pop[i])
+                        if (g := guess(kid)) < fit[i]:
+                            pop[i], fit[i] = kid, g
+                else:
+                    pop = [move(r) for r in pop]
+                    fit = [guess(r) for r in pop]
+                    best = min(best, *fit)
+                    pair = lambda: pop[min(rng.sample(range(len(pop)), min(5, len(pop))), key=fit.__getitem__)]
+                    kids = []
+                    for _ in pop:
+                        mum, dad, cut = pair(), pair(), rng.choice(width)
+                        kids.append(mum[: cut + 1] + dad[cut + 1 :])
+                    pop, fit = kids, [guess(r) for r in kids]
                 best = min(best, *fit)
-            else:
-                k = move(now)
-                g = guess(k)
-                if g <= e or (kind == "sa" and rng.random() < 2.718 ** ((e - g) / (1 - t / steps + 1e-9) * 20)):
-                    now, e = k, g
-                elif kind == "ls" and t % 50 == 49:
-                    now = list(rng.choice(data))
-                    e = guess(now)
+            return best
+        now = rng.choice(real)
+        best = e = guess(now)
+        last = 0
+        for t in range(1, steps + 1):
+            kid = move(now)
+            g = guess(kid)
+            if g < e or (kind == "sa" and rng.random() < math.exp((e - g) / (1 - t / steps + 1e-32))):
+                now, e = kid, g
+            if g < best:
+                best, last = g, t
+            if kind == "ls" and t - last > 40:
+                now, last = rng.choice(real), t
+                e = guess(now)
                 best = min(best, e)
         return best
 

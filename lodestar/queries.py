@@ -330,7 +330,7 @@ def q56(s, d):
 @query("q49_optimizers")
 def q49(s, d):
     rows, y, _ = search.capped(view(s, d, "line"))
-    got = search.optimize(s, [list(r[0]) for r in rows[:200]], y[:200], ["de", "ga", "sa", "ls"], chains=2, steps=120)
+    got = search.optimize(s, rows, y, ["de", "ga", "sa", "ls"], chains=2)
     return got.groupBy("optimizer").agg(R(F.min("best")).alias("best"))
 
 

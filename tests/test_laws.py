@@ -168,3 +168,21 @@ def test_draws_of_symbols(spark):
     df = spark.range(2000).select(C.roulette(F.col("id"), 1, {"a": 3, "b": 1}).alias("k"), C.gaussian(F.col("id"), 1).alias("z"))
     r = df.agg(F.avg((F.col("k") == "a").cast("int")), F.avg("z"), F.stddev("z"), F.count("k")).first()
     assert abs(r[0] - 0.75) < 0.05 and abs(r[1]) < 0.1 and abs(r[2] - 1) < 0.1 and r[3] == 2000
+
+
+def test_optimizers_see_every_row(spark, monkeypatch):
+    from lodestar import queries
+
+    lines = "/root/testdata/sf0.001"
+    seen = []
+    monkeypatch.setattr(queries.search, "optimize", lambda s, rows, y, *a, **k: seen.append((rows, y)) or s.createDataFrame([("de", 0, 0.0)], "optimizer string, chain int, best double"))
+    queries.queries()["q49_optimizers"](spark, lines)
+    rows, y = seen[0]
+    assert len(rows) == len(y) == min(queries.search.CAP, spark.read.parquet(f"{lines}/lineitem.parquet").count()) and len(rows) > 200
+    assert all(r[1] for r in rows)
+
+
+def test_optimizers_use_symbols(spark):
+    rows = [((0.5,), (c,)) for c in "abcd"] * 60 + [((None,), ("e",))] * 12
+    got = search.optimize(spark, rows, [1.0] * 240 + [0.0] * 12, ["de", "ga", "sa", "ls"], chains=2).collect()
+    assert len(got) == 8 and min(r["best"] for r in got) == 0.0
