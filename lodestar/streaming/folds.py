@@ -26,14 +26,29 @@ def windows(stream: DataFrame, ts: str, value: str, width: str = "1 hour", late:
     return kept.groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), "n", "total")
 
 
-def leaders(dist: Callable[[tuple, tuple], float], eps: float, most: int = 1000) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: rows of (rid, v) found leaders in `.leaders` (bounded by `most`) or join the nearest."""
+def leaders(dist: Callable[[tuple, tuple], float], eps: float, most: int = 1000, write: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each row of (rid, v) founds a leader, kept in `.leaders`, or joins the nearest.
+
+    `write`, if given, gets (rid, leader, d) of every row of a batch. More than `most` leaders are an error. A batch that
+    comes again after an error begins with the leaders before it.
+    """
     kept: list[tuple] = []
 
-    def era(batch: DataFrame, _: int) -> None:
+    def era(batch: DataFrame, n: int) -> None:
+        found, joined = list(kept), []
         for r in batch.orderBy("rid").toLocalIterator():
-            if len(kept) < most and all(dist(r["v"], k[1]) > eps for k in kept):
-                kept.append((r["rid"], r["v"]))
+            d, leader = min(((float(dist(r["v"], v)), i) for i, (_, v) in enumerate(found)), default=(float("inf"), -1))
+            if d > eps:
+                if len(found) >= most:
+                    raise ValueError(f"more than {most} leaders at eps {eps}")
+                found.append((r["rid"], r["v"]))
+                d, leader = 0.0, len(found) - 1
+            if write is not None:
+                joined.append((r["rid"], found[leader][0], d))
+        if write is not None:
+            kind = batch.schema["rid"].dataType.simpleString()
+            write(batch.sparkSession.createDataFrame(joined, f"rid {kind}, leader {kind}, d double"), n)
+        kept.extend(found[len(kept) :])
 
     era.leaders = kept
     return era

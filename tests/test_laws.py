@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import columns as C
@@ -186,3 +187,15 @@ def test_optimizers_use_symbols(spark):
     rows = [((0.5,), (c,)) for c in "abcd"] * 60 + [((None,), ("e",))] * 12
     got = search.optimize(spark, rows, [1.0] * 240 + [0.0] * 12, ["de", "ga", "sa", "ls"], chains=2).collect()
     assert len(got) == 8 and min(r["best"] for r in got) == 0.0
+
+
+def test_leaders_join_and_raise(spark):
+    out = []
+    era = folds.leaders(lambda a, b: abs(a[0] - b[0]), 1.0, 3, lambda df, _: out.extend(map(tuple, df.collect())))
+    rows = lambda *xs: spark.createDataFrame([(i, (float(x),)) for i, x in xs], "rid long, v struct<x:double>")
+    era(rows((1, 0), (2, 0.5), (3, 5)), 0)
+    era(rows((4, 4.5), (5, 9)), 1)
+    assert out == [(1, 1, 0.0), (2, 1, 0.5), (3, 3, 0.0), (4, 3, 0.5), (5, 5, 0.0)]
+    with pytest.raises(ValueError):
+        era(rows((6, 20)), 2)
+    assert [r for r, _ in era.leaders] == [1, 3, 5]
