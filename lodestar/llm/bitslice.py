@@ -11,8 +11,9 @@ then computed exactly from their integers.
 Queries go out in broadcasts of at most QUERY_BLOCK rows; each task sums its rows in bitmaps of at most BLOCK rows and
 returns at most k rows a query, and the k best of each query follow.
 
-Cases: as in rabitq, but that zero vectors take part; components are floor(256 x), x as double; components beyond
-2^22 in size after that count as out of range and take no part.
+Cases: as in rabitq, but that zero vectors take part; components are floor(256 x), x as double. Rows and queries
+with a component of 16384 or more in size are scored by Python's integers instead of slices; a score among the k best that
+passes 64 bits is an error.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .rabitq import dimensions, query_blocks, top_k, usable
 
 #: Queries in a broadcast, rows in a bitmap.
 QUERY_BLOCK, BLOCK = 16384, 65536
+#: Components from this size on are not kept as slices.
+WIDE = 16384
 
 
 def digits(weight: int) -> list[tuple[int, int]]:
@@ -128,6 +131,20 @@ class Index:
         return word[at] * 64 + bit
 
 
+def integers(vectors: np.ndarray) -> np.ndarray:
+    """floor(256 x) as Python's integers."""
+    out = np.empty(vectors.shape, object)
+    out.ravel()[:] = [int(x) * 256 if abs(x) >= 2**53 else int(np.floor(x * 256)) for x in vectors.ravel().tolist()]
+    return out
+
+
+def exact(ids: np.ndarray, values: np.ndarray, weights: np.ndarray, k: int, without: int) -> tuple[list[int], list[int]]:
+    """What Index.best gives, for integers of any size."""
+    score = (values @ weights).tolist()
+    own = sorted((-v, i) for v, i in zip(score, ids.tolist(), strict=True) if i != without)[:k]
+    return [i for _, i in own], [-v for v, _ in own]
+
+
 def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row for which `queries` holds its k largest integer inner products."""
     spark = df.sparkSession
@@ -135,25 +152,37 @@ def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", v
     schema = plain_schema("query_id long, vec_id long, score long")
     if not dims:
         return top_k(spark.createDataFrame([], schema), k, "long")
-    scaled = F.transform(vector_col, lambda x: F.floor(x.cast("double") * 256))
     own = df.where(usable(F.col(vector_col), zero=True) & (F.size(vector_col) == dims) & F.col(id_col).isNotNull())
-    own = own.where(F.forall(vector_col, lambda x: F.abs(x.cast("double")) < 16384))
-    own = own.select(F.col(id_col).cast("long").alias("id"), scaled.alias("vector"), queries.alias("asks"))
+    own = own.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), queries.alias("asks"))
     found = None
     for ids, vectors in query_blocks(own.where("asks").drop("asks"), QUERY_BLOCK):
-        shared = spark.sparkContext.broadcast((ids, vectors.astype(np.int64)))
+        shared = spark.sparkContext.broadcast((ids, vectors))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            asks, weights = shared.value
-            weights = weights.tolist()
+            asks, vectors = shared.value
+            narrow = (np.abs(vectors) < WIDE).all(1)
+            weights = np.floor(vectors[narrow] * 256).astype(np.int64).tolist()
+            wide = integers(vectors[~narrow])
+            few = [(q, np.array(w, object)) for q, w in zip(asks[narrow].tolist(), weights, strict=True)]
+            many = list(zip(asks[~narrow].tolist(), wide, strict=True))
 
             def answers(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
                 rows = pa.Table.from_batches(parts).combine_chunks()
-                values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows.column(1).chunks]).reshape(-1, dims).astype(np.int64)
-                made = Index(rows.column(0).to_numpy(), values)
-                got = [made.best(w, k, q) for q, w in zip(asks.tolist(), weights, strict=True)]
-                who = np.repeat(asks, [len(g[0]) for g in got])
-                return pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], names=["query_id", "vec_id", "score"])
+                keys = rows.column(0).to_numpy()
+                values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows.column(1).chunks]).reshape(-1, dims)
+                small = (np.abs(values) < WIDE).all(1)
+                got = []
+                if small.any():
+                    made = Index(keys[small], np.floor(values[small] * 256).astype(np.int64))
+                    got += [(q, *made.best(w, k, q)) for q, w in zip(asks[narrow].tolist(), weights, strict=True)]
+                for own, questions in ((~small, few), (np.ones(len(keys), bool), many)):
+                    at = np.flatnonzero(own) if questions else np.empty(0, np.int64)
+                    for i in range(0, len(at), 4096):
+                        block = at[i : i + 4096]
+                        made = integers(values[block])
+                        got += [(q, *exact(keys[block], made, w, k, q)) for q, w in questions]
+                columns = [[q for q, i, _ in got for _ in i], [x for _, i, _ in got for x in i], [x for _, _, v in got for x in v]]
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
             held, n = [], 0
             for batch in batches:

@@ -216,6 +216,18 @@ def test_bit_sliced(vectors):
             assert got[q, rank] == (ids[i], s[i])
 
 
+def test_bit_sliced_wide(spark):
+    r = np.random.default_rng(3)
+    x = r.uniform(-1, 1, (60, 4))
+    x[7, 1], x[10, 0], x[20] = 20000.5, -16384.0, [3e7, -2e6, 0.25, 0]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = [[int(np.floor(c * 256)) for c in row] for row in x]
+    got = {(a["query_id"], a["rank"]): (a["vec_id"], a["score"]) for a in bitslice.search(df, F.col("vec_id") % 10 == 0).collect()}
+    for q in range(0, 60, 10):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in range(60) if i != q)[:5]
+        assert [got[q, n] for n in range(1, 6)] == [(i, -s) for s, i in best]
+
+
 def base_spans(t):
     out = []
     kinds = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
