@@ -216,6 +216,10 @@ def test_bit_sliced(vectors):
             assert got[q, rank] == (ids[i], s[i])
 
 
+def test_one_bit_width():
+    assert rabitq.WIDTH >= 1.9
+
+
 def test_bit_sliced_wide(spark):
     r = np.random.default_rng(3)
     x = r.uniform(-1, 1, (60, 4))
