@@ -5,7 +5,8 @@ stretches of the sequence length stand alone; what remains of each example is an
 dot-product heuristic: among the items that fit under all three limits, the one whose demand has the largest dot product
 with what is left of the sequence, both weighted by how scarce each resource is. Items are kept in classes of like
 demand, so a step looks at classes instead of items. Where cutting is allowed, an item is cut to fill what is left, and a
-last sequence that can't be filled is cut at powers of two, which need no padding.
+sequence that closes before it is full (no more items, segments or loss-bearing tokens) is cut at powers of two, which
+need no padding. Where cutting is not allowed, smaller members of a class are tried when its largest doesn't fit.
 
 Each task packs the rows of its own partition, so there is no shuffle, no group to gather and nothing on the driver; the
 pieces of a task follow from its rows and their order alone, and numbers of sequences begin at the partition's number
@@ -28,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bpe import BPE, Memo, Units
 from .common import pieces, plain_schema
@@ -103,7 +105,12 @@ def pack(tokens: np.ndarray, loss_from: np.ndarray, limits: Limits) -> tuple[lis
         room, offset, placed = size.astype(np.int64), 0, []
         while left_over and room[0] > 0 and room[1] > 0:
             fits = live & (heads <= room).all(1)
-            if fits.any():
+            lower = None if limits.cut or fits.any() else smaller(pools, names, live, need, room)
+            if lower is not None:
+                k, at = lower
+                p = items[pools[names[k]].pop(at)]
+                part, rest = p, None
+            elif fits.any():
                 score = np.where(fits, ((heads / size) * (room / size) * weight).sum(1), -1)
                 k = int(score.argmax())
                 p = items[pools[names[k]].pop()]
@@ -144,12 +151,23 @@ def pack(tokens: np.ndarray, loss_from: np.ndarray, limits: Limits) -> tuple[lis
             else:
                 live[k] = False
         count += 1
-        if limits.cut and not left_over and offset & (offset - 1):
+        if limits.cut and offset & (offset - 1):
             placed, count = binary(placed, count - 1)
         out += placed
     return out, count
 
 
+def smaller(pools: dict[int, list[int]], names: list[int], live: np.ndarray, need: np.ndarray, room: np.ndarray) -> tuple[int, int] | None:
+    """(class, place) of the largest item that fits where the largest of its class doesn't; items were never cut."""
+    best = None
+    for k in np.flatnonzero(live).tolist():
+        own = need[pools[names[k]]]
+        fit = np.flatnonzero((own <= room).all(1))
+        if len(fit) and (best is None or own[fit[-1], 0] > best[0]):
+            best = (own[fit[-1], 0], k, int(fit[-1]))
+    return None if best is None else best[1:]
+
+
 def need_of(p: Piece, loss) -> tuple[int, int, int]:
     return p.length, 1, loss(p)
 
@@ -211,8 +229,9 @@ def id_arrays(path: str, texts: pa.Array) -> list[bytes]:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(units.first.astype(np.int32)), flat), b"").to_pylist()
 
 
-def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents. A document's ids are its text's and end_id; all but its first bear loss."""
+def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
+    """Pieces of all documents. A document's ids are its text's and end_id. Its first `prompt_col` tokens bear no loss
+    (default, or null: its first one)."""
     end = np.array([end_id], "<u4").tobytes()
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -220,22 +239,25 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
         base = TaskContext.get().partitionId() << 32
         keys: list = []
         ids: list[bytes] = []
+        free: list[int] = []
 
         def block() -> pa.RecordBatch:
             nonlocal base
             tokens = np.array([len(x) // 4 for x in ids], np.int64)
-            found, count = pack(tokens, np.ones(len(ids), np.int64), limits)
+            found, count = pack(tokens, np.array(free, np.int64), limits)
             rows = [(keys[p.example], p.start, p.length, zlib.crc32(ids[p.example][4 * p.start : 4 * (p.start + p.length)]), int(tokens[p.example]), base + p.sequence, p.offset) for p in found]
             base += count
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-        for batch in pieces(batches, text_col, 4 << 20):
+        for batch in pieces(batches, "text", 4 << 20):
             keys += batch.column(0).cast(pa.int64()).to_pylist()
             ids += [x + end for x in id_arrays(path, batch.column(1))]
+            free += batch.column(2).to_pylist()
             if len(ids) >= BLOCK or sum(map(len, ids)) > 32 << 20:
                 yield block()
-                keys, ids = [], []
+                keys, ids, free = [], [], []
         if ids:
             yield block()
 
-    return docs.select(id_col, text_col).mapInArrow(run, plain_schema(", ".join(f"{n} long" for n in names)))
+    prompt = F.lit(1) if prompt_col is None else F.greatest(F.lit(0), F.coalesce(F.col(prompt_col), F.lit(1)))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), prompt.cast("long").alias("prompt")).mapInArrow(run, plain_schema(", ".join(f"{n} long" for n in names)))

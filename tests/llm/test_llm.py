@@ -48,8 +48,8 @@ def test_bpe_equals_library(docs):
 
 
 def test_packing(docs, odd):
-    rows = packing.pack_documents(docs.select("doc_id", "text").unionByName(odd.where("doc_id IS NOT NULL").select("doc_id", "text")), vocabulary()).collect()
-    texts = dict(docs.select("doc_id", "text").collect()) | {r[0]: r[1] for r in ODD if r[0] is not None}
+    rows = packing.pack_documents(docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")), vocabulary()).collect()
+    texts = dict(docs.select("doc_id", "text").collect()) | {r[0]: r[1] for r in ODD}
     per, seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         per[r["doc_id"]].append(r)
@@ -86,6 +86,38 @@ def test_pack_limits(limits):
         assert sum(max(0, p.start + p.length - max(p.start, loss[p.example])) for p in ps) <= limits.loss_tokens
 
 
+@pytest.mark.parametrize("tokens", [np.full(4096, 5), np.arange(2, 4098) % 18 + 2, np.concatenate([np.full(3000, 4), np.arange(100, 5000, 5)])])
+def test_padding(tokens):
+    """Sequences that close early (64 segments) are cut at powers of two, which need no padding."""
+    size, segments = collections.Counter(), collections.Counter()
+    for p in packing.pack(tokens, np.ones(len(tokens), np.int64), packing.Limits())[0]:
+        size[p.sequence] += p.length
+        segments[p.sequence] += 1
+    assert sum(size.values()) == tokens.sum() and max(segments.values()) <= 64
+    assert sum(2048 - n for n in size.values() if n & (n - 1)) <= 0.01 * tokens.sum()
+
+
+def test_packing_uncut():
+    """Where nothing is cut, a smaller member of a class fills the room that its largest can't."""
+    tokens = np.array([1000, 1000, 46, 47, 40, 41])
+    found, count = packing.pack(tokens, np.ones(6, np.int64), packing.Limits(cut=False))
+    size = collections.Counter()
+    for p in found:
+        size[p.sequence] += p.length
+    assert size[0] == 2047 and len(found) == 6 and count == 2
+
+
+def test_prompts(spark):
+    """Prompt tokens bear no loss: a limit on loss-bearing tokens binds for answers only."""
+    df = spark.createDataFrame([(i, "some plain words here " * 20, 60 if i % 2 else None, "x") for i in range(40)], "doc_id long, text string, prompt long, id string").coalesce(1)
+    rows = packing.pack_documents(df, vocabulary(), packing.Limits(loss_tokens=300), prompt_col="prompt").collect()
+    loss = collections.Counter()
+    for r in rows:
+        free = 60 if r["doc_id"] % 2 else 1
+        loss[r["sequence_id"]] += max(0, r["start"] + r["length"] - max(r["start"], free))
+    assert sum(r["length"] for r in rows) == sum({r["doc_id"]: r["doc_tokens"] for r in rows}.values()) and max(loss.values()) <= 300
+
+
 def linked(rows):
     sets = {}
     for d, t in rows:
