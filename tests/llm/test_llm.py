@@ -295,6 +295,52 @@ def test_pii_any_shape(spark):
     assert [got[i] for i in (100, 101, 102, 103)] == ["email:13:21", "email:132:135", "", "email:17:20"]
 
 
+def test_pii_bootstrap(spark):
+    """Planted identifiers that no base expression knows: found by the word before, by both words, and in a second hop."""
+    r = random.Random(11)
+    some = lambda n, a="abcdefghijklmnopqrstuvwxyz": "".join(r.choice(a) for _ in range(n))
+    fill = lambda: " ".join(some(r.randrange(3, 8)) for _ in range(6))
+    rows, want = [], {}
+
+    def add(lead, token, tail, hidden):
+        text = f"{fill()} {lead} {token}{tail} {fill()}"
+        if hidden:
+            a = text.index(f" {token}{tail}") + 1
+            want[len(rows)] = (a, a + len(token))
+        rows.append((len(rows), text))
+
+    for i in range(60):
+        add("client-no.", f"{some(6)}{i}@mail{i}.example", ",", False)
+        add("dial", f"+1 (555) 555-{1000 + i}", " today", False)
+    ids = ["AB" + some(6, "0123456789") for _ in range(12)]
+    for t in ids:
+        add("client-no.", t, ",", True)  # an unseen shape after a known word
+        add("passport", t, "", True)  # a word that only they support
+        add("dial", f"555-{some(4, '0123456789')}", " today", True)
+    for _ in range(2):
+        add("passport", "XY" + some(7, "0123456789"), ".", True)
+    for _ in range(200):
+        add("about", some(3, "0123456789"), " apples", False)  # clean numbers
+    long = "wide" * 20  # a word longer than any window, blanks of any number
+    for i in range(20):
+        rows.append((len(rows), f"x {long}" + " \n" * 40 + f"{some(5)}{i}@mail{i}.example end"))
+    rows.append((len(rows), f"x {long} Q7{'z' * 90} end"))
+    want[len(rows) - 1] = (83, 175)
+    rows.append((None, rows[-1][1]))
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit("clash"))).collect()}
+    clean = [i for i in range(len(rows) - 1) if "about" in rows[i][1]]
+    hit = sum(any(s.endswith(f":{a}:{b}") for s in got[i].split(",")) for i, (a, b) in want.items())
+    assert hit / len(want) >= 0.95 and not any(got[i] for i in clean)
+    assert got[None] == got[len(rows) - 2] != ""
+
+
+def test_pii_many_matches(spark):
+    """Places of more matches than a block holds."""
+    text = "é " + " ".join(f"u{i}@m.example {i}" for i in range(700))
+    row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["n_email"] == 700 and row["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
+
+
 def test_secrets(spark, odd):
     held = secret_scan.labelled_findings(600, seed=99)
     forest = secret_scan.default_forest()
