@@ -167,6 +167,35 @@ def list_array(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.L
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, kind))
 
 
+# --------------------------------------------------------------------------- joins
+
+#: Rows of a key that make it heavy, if they are also more than a thousandth of all rows.
+HEAVY = 500
+
+
+def join_one(rows: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join (inner or left) of rows with a frame that has one row a key, whatever share of the rows a key holds.
+
+    Keys with more than a thousandth of the rows are fewer than a thousand; their rows meet them in a broadcast, and stay
+    where they are. All others are joined as usual. `rows` should be a written table: it is counted first.
+    """
+    share = max(HEAVY, rows.count() // 1000)
+    heavy = rows.groupBy(*keys).count().where(F.col("count") > share).select(*keys).collect()  # fewer than 1000
+    if not heavy:
+        return rows.join(one, keys, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(heavy, rows.select(*keys).schema))
+    ours = F.broadcast(one.join(hot, keys, "left_semi"))
+    return rows.join(hot, keys, "left_semi").join(ours, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(one, keys, how))
+
+
+def clear_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the frame does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 # --------------------------------------------------------------------------- components
 
 
@@ -196,5 +225,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(ends)
 
 
+def wider(schema: T.StructType, text: str) -> T.StructType:
+    """A schema with more columns at its end."""
+    return T.StructType([*schema.fields, *plain_schema(text).fields])
+
+
 def plain_schema(text: str) -> T.StructType:
     return T._parse_datatype_string(re.sub(r"\s+", " ", text))

@@ -88,5 +88,36 @@ WHERE rank <= 5
 """
 
 
+WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format(text=LOWER_SQL)} AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w
+), n AS (SELECT doc_id, coalesce(len(sh), 0) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS sh FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM e a JOIN e b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both_ >= 75 * (a.n + b.n - both_)),
+g AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT x, y FROM g UNION SELECT r.x, g.y FROM r JOIN g ON r.y = g.x),
+m AS (SELECT x, min(y) AS low FROM r GROUP BY x)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM n LEFT JOIN m ON x = doc_id
+"""
+
+OP7_SQL = f"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, {WORDS_SQL.format(text='text')} AS ws FROM d),
+x AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 48), lambda i: {{'b': i - 1, 'h': md5(array_to_string(ws[i:i+49], ' '))}})) AS u FROM w WHERE len(ws) >= 50),
+c AS (SELECT doc_id, u.b AS b, row_number() OVER (PARTITION BY u.h ORDER BY doc_id, u.b) AS r, count(*) OVER (PARTITION BY u.h) AS n FROM x),
+k AS (SELECT doc_id, b + j AS at_, max(CASE WHEN r = 1 THEN 2 ELSE 1 END) AS s FROM c, range(50) t(j) WHERE n > 1 GROUP BY 1, 2),
+i AS (SELECT *, at_ - row_number() OVER (PARTITION BY doc_id, s ORDER BY at_) AS run FROM k)
+SELECT doc_id, CAST(min(at_) AS INTEGER) AS start_word, CAST(max(at_) + 1 AS INTEGER) AS end_word, CAST(count(*) AS INTEGER) AS n_words, s = 1 AS again
+FROM i GROUP BY doc_id, s, run
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_bit_sliced": OP10_SQL}
+    """SQL of the operators whose rows it can express; the others need trained models, tokenizers or an approximate index."""
+    return {"op2_partenum": OP2_SQL, "op7_sparse_suffixes": OP7_SQL, "op10_bit_sliced": OP10_SQL}

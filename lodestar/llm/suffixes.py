@@ -3,20 +3,26 @@
 A passage is a run of WORDS words or more that occurs in two places or more, in one document or several. Of the suffixes
 of all texts only those are retained that begin at content-selected minimiser positions: the place of the smallest
 GRAM-word hash of each window of WORDS words. Equal windows select the same place, so every repeated passage holds a
-retained suffix in each of its occurrences. Suffixes are put in order by their first GRAM words and then by their
-surroundings; a suffix without a neighbour of the same beginning goes. The others are compared by their surroundings, all the words
-that a window around the place can reach to the left and right: suffixes with equal surroundings form a class, all of
-whose windows repeat. Where a beginning has several classes, one suffix of each is extended left and right, window by
-window, against the others', which finds what they share exactly.
+retained suffix in each of its occurrences.
 
-Frequent beginnings and classes are pre-aggregated before every shuffle; joins on them are plain equi-joins, which Spark
-splits where they are skewed. Words, beginnings and windows are told apart by 64-bit hashes.
+1. Sort: retained suffixes are ranged over the tasks and sorted by their first GRAM words, their surroundings (all words
+   that a window around the place can reach), and their place. Ranges split groups of equal suffixes, however large.
+2. Compare neighbours: a suffix whose beginning neither neighbour has goes. Neighbours with equal surroundings are of one
+   class, all of whose windows repeat; the first suffix of a class stands for it. The last and first rows of neighbouring
+   ranges (two a range) are compared on the driver.
+3. Extend: where a beginning has several classes, the words around the first suffixes are fetched. These are sorted by the
+   words to the right, where the longest match with any other is the one with a neighbour; and by the words to the left,
+   likewise. A window can repeat only if it lies within both reaches. Such windows are cut out of the matched words and
+   grouped, which decides exactly and finds each one's first occurrence; together they are the extended matches.
+
+Joins on beginnings and classes give keys with many rows a broadcast (common.join_one). Words, beginnings and windows are
+told apart by 64-bit hashes.
 
 The first occurrence of a window is the one with the smallest (id, place); it is kept, all later ones are repeats.
 
 Cases: null or short texts have no passages; a null id counts as -1; rows with equal id and text are one document; ties
 go by id and place; a very long text is worked on whole; an empty table gives no rows; extra columns are ignored (in
-`cut` they are kept).
+`cut` they are kept, whatever their names).
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, mix, pieces, plain_schema, powers, save, texts_of
+from .common import Words, clear_name, grams, join_one, mix, pieces, plain_schema, powers, save, texts_of, wider
 
 WORDS, GRAM = 50, 16
 REACH = WORDS - GRAM  # how far a window can begin before its minimiser
@@ -86,50 +92,140 @@ def _retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc, key, p.number.astype(np.int32), p.gram.view(np.int64), p.around().view(np.int64), p.mask)], names=["doc", "key", "at", "gram", "around", "mask"])
 
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of the classes that a document stands for: (gram, around, back, window)."""
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows -> those with a neighbour of the same beginning, and the ends of the range. prev and next tell
+    whether that neighbour is of the same class; null at the ends."""
+    held, last = None, None  # the row that waits for its next one, and (gram, around) of the row before it
+
+    def answer(rows: pa.Table, last: tuple | None, end: bool) -> pa.RecordBatch:
+        gram, around = rows.column("gram").to_numpy(), rows.column("around").to_numpy()
+        same, like = gram[1:] == gram[:-1], (gram[1:] == gram[:-1]) & (around[1:] == around[:-1])
+        n = len(gram) - (not end)
+        prev = np.concatenate([[last == (gram[0], around[0])], like])[:n]
+        near = np.concatenate([[last is None or last[0] == gram[0]], same])[:n]
+        after = np.concatenate([like, [False]])[:n]
+        near |= np.concatenate([same, [True]])[:n]
+        first, final = np.zeros(n, bool), np.zeros(n, bool)
+        first[:1], final[-1:] = last is None, end
+        near |= first | final
+        made = [pa.array(prev, mask=first), pa.array(after, mask=final)]
+        out = rows.slice(0, n).append_column("prev", made[0]).append_column("next", made[1]).filter(pa.array(near))
+        return out.combine_chunks().to_batches()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b] if held is None else [held, b])
+        if rows.num_rows > 1:
+            yield from answer(rows, last, False)
+            last = tuple(rows.column(c)[rows.num_rows - 2].as_py() for c in ("gram", "around"))
+        held = rows.slice(rows.num_rows - 1).combine_chunks().to_batches()[0]
+    if held is not None:
+        yield from answer(pa.Table.from_batches([held]), last, True)
+
+
+def in_order(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Rows sorted by `by` over ranges, with the number of the range, and what their neighbours are like."""
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).select(F.spark_partition_id().alias("part"), *names)
+    return ranged.mapInArrow(_neighbours, wider(ranged.schema, "prev boolean, next boolean"))
+
+
+def joined_ends(rows: DataFrame) -> DataFrame:
+    """prev and next at the ends of the ranges, from the ends of the neighbouring ranges: two rows a range."""
+    ends = rows.where("prev IS NULL OR next IS NULL").select("part", "prev", "next", "gram", "around").collect()
+    first = {r["part"]: (r["gram"], r["around"]) for r in ends if r["prev"] is None}
+    final = {r["part"]: (r["gram"], r["around"]) for r in ends if r["next"] is None}
+    order = sorted(first)
+    pairs = [(p, q) for p, q in zip(order[:-1], order[1:], strict=True) if final[p] == first[q]]
+    among = lambda parts: F.col("part").isin(parts) if parts else F.lit(False)
+    return rows.withColumns({"prev": F.coalesce("prev", among([q for _, q in pairs])), "next": F.coalesce("next", among([p for p, _ in pairs]))})
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words around the wanted places of each text, as hashes: WORDS to the right, REACH to the left, nearest first."""
     for b in pieces(batches, "_text"):
         p = Places(texts_of(b, "_text"))
-        wanted = b.column(1)
+        wanted = b.column(2)
         text = np.repeat(np.arange(b.num_rows), np.diff(wanted.offsets.to_numpy()))
-        number = wanted.flatten().to_numpy()
-        place = np.searchsorted(p.at, p.words.first[text] + number)
-        back = np.arange(REACH + 1)
-        row, col = np.nonzero(p.mask[place][:, None] >> back & 1)
-        begin = p.at[place[row]] - back[col]
-        window = p.run(begin, begin + WORDS).view(np.int64)
-        around = p.around().view(np.int64)
-        gram = p.gram.view(np.int64)
-        if len(row):
-            yield pa.RecordBatch.from_arrays([pa.array(gram[place[row]]), pa.array(around[place[row]]), pa.array(col.astype(np.int32)), pa.array(window)], names=["gram", "around", "back", "window"])
+        if not len(text):
+            continue
+        place = np.searchsorted(p.at, p.words.first[text] + wanted.flatten().to_numpy())
+        at = p.at[place]
+        words = np.concatenate([p.words.hash, np.zeros(1, np.uint64)])  # no word: zero
+        right, left = at[:, None] + np.arange(WORDS), at[:, None] - 1 - np.arange(REACH)
+        right = np.where(right < p.words.first[text + 1][:, None], right, -1)
+        left = np.where(left >= p.words.first[text][:, None], left, -1)
+        doc, key = (b.column(i).to_numpy()[text] for i in (0, 1))
+        fixed = lambda x: pa.array([v.tobytes() for v in words[x]], pa.binary())
+        made = [pa.array(v) for v in (doc, key, p.number[place].astype(np.int32), p.gram.view(np.int64)[place], p.around().view(np.int64)[place], p.mask[place])]
+        yield pa.RecordBatch.from_arrays([*made, fixed(right), fixed(left)], names=["doc", "key", "at", "gram", "around", "mask", "right", "left"])
+
+
+def _matched(side: str, most: int, out: str):
+    """Sorted rows -> the same with the longest match, in words, that a side has with its neighbour of the same beginning
+    (at the ends of a range: as long as can be)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, most
+
+        def lengths(rows: pa.Table) -> np.ndarray:
+            words = np.frombuffer(b"".join(rows.column(side).to_pylist()), np.uint64).reshape(rows.num_rows, most)
+            gram = rows.column("gram").to_numpy()
+            same = words[1:] == words[:-1]
+            return np.where(gram[1:] == gram[:-1], np.where(same.all(1), most, same.argmin(1)), 0)
+
+        def answer(rows: pa.Table, reach: np.ndarray) -> list[pa.RecordBatch]:
+            return rows.append_column(out, pa.array(reach.astype(np.int32))).combine_chunks().to_batches()
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b] if held is None else [held, b])
+            near = np.concatenate([[before], lengths(rows)])
+            yield from answer(rows.slice(0, rows.num_rows - 1), np.maximum(near[:-1], near[1:]))
+            held, before = rows.slice(rows.num_rows - 1).combine_chunks().to_batches()[0], int(near[-1])
+        if held is not None:
+            yield from answer(pa.Table.from_batches([held]), np.array([most]))
+
+    return run
+
+
+def extended(own: DataFrame, leads: DataFrame) -> DataFrame:
+    """(gram, around, all, lead): the windows of the classes' first suffixes that other classes have too, and those
+    of them that are the first occurrence. Bit b is the window that begins b words before the place."""
+    several = in_order(leads, ["gram", "around"], ["gram", "around", "doc", "key", "at"])
+    stand = several.groupBy("doc", "key").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    texts = own.join(stand, ["doc", "key"]).select("doc", "key", "places", "_text")  # one row of each document; its text moves once
+    found = texts.mapInArrow(_around, plain_schema("doc long, key long, at int, gram long, around long, mask long, right binary, left binary"))
+    found = save(found, "around")
+    for side, most, out, by in (("right", WORDS, "r", ["right", "left"]), ("left", REACH, "l", ["gram", "left", "right"])):
+        ranged = found.repartitionByRange(*by).sortWithinPartitions(*by)
+        found = save(ranged.mapInArrow(_matched(side, most, out), wider(ranged.schema, f"{out} int")), "matched")
+    back = F.filter(F.sequence(F.lit(0), F.lit(REACH)), lambda b: (F.getbit("mask", b) == 1) & (b <= F.col("l")) & (WORDS - b <= F.col("r")))
+    windows = found.select("gram", "around", "doc", "key", "at", "left", "right", F.explode(back).alias("back"))
+    cut = F.xxhash64(F.substring("left", F.lit(1), 8 * F.col("back")), F.substring("right", F.lit(1), 8 * (WORDS - F.col("back"))))
+    windows = save(windows.select("gram", "around", "back", cut.alias("window"), "doc", "key", (F.col("at") - F.col("back")).alias("begin")), "windows")
+    here = F.struct("doc", "key", "begin")
+    shared = windows.groupBy("window").agg(F.min("around").alias("lo"), F.max("around").alias("hi"), F.min(here).alias("lead")).where("lo <> hi").select("window", "lead")
+    bit, none = F.expr("shiftleft(1L, back)"), F.lit(0).cast("long")
+    return join_one(windows, shared, ["window"]).groupBy("gram", "around").agg(F.bit_or(bit).alias("all"), F.bit_or(F.when(here == F.col("lead"), bit).otherwise(none)).alias("lead"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, key, at, all, first): retained places with the windows that repeat, and those of them that are first."""
     own = docs.select(*identity(id_col, text_col)).where(F.length("_text") >= 2 * WORDS - 1)
     kept = save(own.mapInArrow(_retained, plain_schema("doc long, key long, at int, gram long, around long, mask long")), "suffixes")
-    neighbours = kept.groupBy("gram").agg(F.min(F.struct("doc", "key", "at")).alias("lo"), F.max(F.struct("doc", "key", "at")).alias("hi")).where("lo <> hi").select("gram")
-    hits = save(kept.join(save(neighbours, "shared"), "gram"), "neighbours")
-    classes = hits.groupBy("gram", "around").agg(F.min(F.struct("doc", "key", "at")).alias("lo"), F.max(F.struct("doc", "key", "at")).alias("hi"), F.first("mask").alias("mask"))
-    several = classes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    classes = save(classes, "classes")
-    stand = classes.join(several, "gram").select("lo.*").groupBy("doc", "key").agg(F.sort_array(F.collect_set("at")).alias("places"))
-    # one row of each document; its text moves once
-    texts = own.join(stand, ["doc", "key"]).select("_text", "places")
-    windows = texts.mapInArrow(_extended, plain_schema("gram long, around long, back int, window long")).distinct()
-    windows = windows.join(classes, ["gram", "around"]).select("gram", "around", "back", "window", F.col("lo.doc").alias("doc"), F.col("lo.key").alias("key"), (F.col("lo.at") - F.col("back")).alias("begin"))
-    windows = save(windows, "windows")
-    shared = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("doc", "key", "begin")).alias("lead")).where("n > 1")
-    bit = F.expr("shiftleft(1L, back)")
-    here = F.struct("doc", "key", "begin")
-    found = windows.join(shared, "window").groupBy("gram", "around").agg(F.bit_or(bit).alias("all"), F.bit_or(F.when(here == F.col("lead"), bit).otherwise(F.lit(0).cast("long"))).alias("lead"))
-    # a class of several suffixes repeats as a whole; its first suffix leads where no other class has the window before
+    by = ["gram", "around", "doc", "key", "at"]
+    hits = joined_ends(save(in_order(kept, by, [*by, "mask"]), "neighbours"))
+    twin = (F.col("doc"), F.col("key"), F.col("at"))
+    found = save(extended(own, hits.where("NOT prev").select(*by)), "extended")
+    marked = join_one(hits, found, ["gram", "around"], "left")
     none = F.lit(0).cast("long")
-    own_all = F.when(F.col("lo") != F.col("hi"), F.col("mask")).otherwise(none)
-    marks = classes.join(found, ["gram", "around"], "left").select("gram", "around", "lo", own_all.bitwiseOR(F.coalesce("all", none)).alias("all"), own_all.bitwiseAND(F.expr("~coalesce(all, 0L)")).bitwiseOR(F.coalesce("lead", none)).alias("lead"))
-    out = hits.join(marks.where("all <> 0"), ["gram", "around"])
-    first = F.when((F.col("doc") == F.col("lo.doc")) & (F.col("key") == F.col("lo.key")) & (F.col("at") == F.col("lo.at")), F.col("lead")).otherwise(none)
-    return out.select("doc", "key", "at", "all", first.alias("first"))
+    # a class of several suffixes repeats as a whole; its first suffix leads where no other class has the window before
+    whole = F.when(F.col("prev") | F.col("next"), F.col("mask")).otherwise(none)
+    every = whole.bitwiseOR(F.coalesce("all", none))
+    first = F.when(F.col("prev"), none).otherwise(whole.bitwiseAND(F.expr("~coalesce(all, 0L)")).bitwiseOR(F.coalesce("lead", none)))
+    return marked.select(*twin, every.alias("all"), first.alias("first")).where("all <> 0")
 
 
 def spans_of(places: np.ndarray, every: np.ndarray, first: np.ndarray) -> list[tuple[int, int, bool]]:
@@ -149,7 +245,8 @@ def spans_of(places: np.ndarray, every: np.ndarray, first: np.ndarray) -> list[t
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, key, spans): an array of (start, end, again) word runs for each document with repeated passages."""
-    per = repeated(docs, id_col, text_col).groupBy("doc", "key").agg(F.collect_set(F.struct("at", "all", "first")).alias("p"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, as the rows are small
+    per = repeated(docs, id_col, text_col).repartition(tasks, "doc", "key").groupBy("doc", "key").agg(F.collect_set(F.struct("at", "all", "first")).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,8 +268,9 @@ def passages(docs: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns; of each repeated passage only the first occurrence stays in the texts."""
+    d, k, c = (clear_name(docs, n) for n in ("_doc", "_key", "_cuts"))
     found = spans(docs, id_col, text_col).where(F.exists("spans", lambda s: s["again"]))
-    cuts = found.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.transform(F.filter("spans", lambda s: s["again"]), lambda s: F.array(s["start"], s["end"])).alias("__cuts"))
+    cuts = found.select(F.col("doc").alias(d), F.col("key").alias(k), F.transform(F.filter("spans", lambda s: s["again"]), lambda s: F.array(s["start"], s["end"])).alias(c))
 
     @F.pandas_udf("string")
     def without(texts, parts):  # noqa: ANN001, ANN202
@@ -188,7 +286,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         return texts.__class__(out)
 
     doc, key, _ = identity(id_col, text_col)
-    joined = docs.withColumn("__doc", doc).withColumn("__key", key).join(cuts, ["__doc", "__key"], "left")
-    same = joined.where("__cuts IS NULL").select(*docs.columns)
-    less = joined.where("__cuts IS NOT NULL").withColumn(text_col, without(F.col(text_col), F.col("__cuts"))).select(*docs.columns)
+    joined = docs.withColumns({d: doc, k: key}).join(cuts, [d, k], "left")
+    same = joined.where(F.col(c).isNull()).select(*docs.columns)
+    less = joined.where(F.col(c).isNotNull()).withColumn(text_col, without(F.col(text_col), F.col(c))).select(*docs.columns)
     return same.unionByName(less)

@@ -6,13 +6,14 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import bitslice, bpe, packing, partenum, pii, quality, rabitq, secret_scan, suffixes, urls
+from lodestar.llm import bitslice, bpe, common, entries, packing, partenum, pii, quality, rabitq, secret_scan, suffixes, urls
 from lodestar.llm.entries import vocabulary
 
 DATA = "/root/testdata/sf0.001"
@@ -208,6 +209,44 @@ def test_suffixes(spark, odd):
     assert left.count() == len(rows) and suffixes.cut(odd).columns == odd.columns and suffixes.cut(odd).count() == len(ODD)
 
 
+def test_suffixes_hot(spark, monkeypatch):
+    """A class that spans ranges, a beginning with many classes, an id with two texts, clashing column names."""
+    monkeypatch.setattr(common, "HEAVY", 1)
+    rnd = random.Random(8)
+    some = lambda n: [rnd.choice("abcdefgh") + str(rnd.randrange(60)) for _ in range(n)]
+    whole, part = some(130), some(52)
+    rows = [(i, " ".join(whole)) for i in range(40)] + [(100 + i, " ".join(some(20) + part + some(20))) for i in range(40)]
+    rows += [(200, " ".join(some(60))), (200, " ".join(part + some(9))), (201, " ".join(part)), (201, " ".join(part)), (None, " ".join(whole[30:]))]
+    rows.append((300, " ".join(some(5) + whole[20:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(7) for n in ("_doc", "_key", "_cuts", "_text", "doc", "key")}).repartition(5)
+    want = repeats(sorted({(-1 if d is None else d, t) for d, t in rows}))
+    got = {tuple(r) for r in suffixes.passages(df).collect()}
+    assert {r for r in got if r[0] != 200} == {r for r in want if r[0] != 200} and {r[:4] for r in got} == {r[:4] for r in want}
+    left = suffixes.cut(df)
+    assert left.columns == df.columns and left.where("_doc = 7 AND _key = 7 AND _cuts = 7").count() == len(rows)
+
+
+def test_join_one(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 5)
+    rows = spark.createDataFrame([(i, 1 if i < 50 else i) for i in range(80)] + [(99, None)], "i long, k long")
+    one = spark.createDataFrame([(k, f"v{k}") for k in (1, 55, 60)], "k long, v string")
+    want = {i: "v1" if i < 50 else {55: "v55", 60: "v60"}.get(i) for i in [*range(80), 99]}
+    assert dict(common.join_one(rows, one, ["k"], "left").select("i", "v").collect()) == want
+    assert dict(common.join_one(rows, one, ["k"]).select("i", "v").collect()) == {i: v for i, v in want.items() if v}
+
+
+@pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
+def test_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = entries.queries()[name](spark, DATA)
+    cols = sorted(df.columns)
+    r = con.execute(entries.oracle_sql()[name])
+    names = [x[0] for x in r.description]
+    assert sorted(str(tuple(x)) for x in df.select(*cols).collect()) == sorted(str(tuple(x[names.index(c)] for c in cols)) for x in r.fetchall())
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     r = np.random.default_rng(1)
