@@ -8,7 +8,7 @@ slices are then read from the most significant downward: rows surely among the k
 narrow down. What is left at the boundary are equal scores, which go to the smallest ids. Scores of the chosen rows are
 then computed exactly from their integers.
 
-Queries go out in broadcasts of at most QUERY_BLOCK rows; each task sums its rows in bitmaps of at most BLOCK rows and
+Queries go out in broadcasts of at most QUERY_BLOCK rows, one after another; each task sums its rows in bitmaps of at most BLOCK rows and
 returns at most k rows a query, and the k best of each query follow.
 
 Cases: as in rabitq, but that zero vectors take part; components are floor(256 x), x as double. Rows and queries
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain_schema
+from .common import Parts, plain_schema
 from .rabitq import dimensions, query_blocks, top_k, usable
 
 #: Queries in a broadcast, rows in a bitmap.
@@ -149,14 +149,13 @@ def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", v
     """query_id, rank, vec_id, score: for each row for which `queries` holds its k largest integer inner products."""
     spark = df.sparkSession
     dims = dimensions(df, vector_col)
-    schema = plain_schema("query_id long, vec_id long, score long")
+    parts = Parts(spark, "best", plain_schema("query_id long, rank int, vec_id long, score long"))
     if not dims:
-        return top_k(spark.createDataFrame([], schema), k, "long")
+        return parts.frame()
     own = df.where(usable(F.col(vector_col), zero=True) & (F.size(vector_col) == dims) & F.col(id_col).isNotNull())
     own = own.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), queries.alias("asks"))
-    found = None
-    for ids, vectors in query_blocks(own.where("asks").drop("asks"), QUERY_BLOCK):
-        shared = spark.sparkContext.broadcast((ids, vectors))
+    for block in query_blocks(own.where("asks").drop("asks"), QUERY_BLOCK):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             asks, vectors = shared.value
@@ -195,6 +194,6 @@ def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", v
             if n:
                 yield answers(held)
 
-        part = own.select("id", "vector").mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return top_k(spark.createDataFrame([], schema) if found is None else found, k, "long")
+        parts.add(top_k(own.select("id", "vector").mapInArrow(run, plain_schema("query_id long, vec_id long, score long")), k, "long"))
+        shared.destroy()
+    return parts.frame()

@@ -62,6 +62,9 @@ class BPE:
         self.texts = pa.array([b"%d" % i for i in number]), pa.array([self.tokens.get(i, "").encode() for i in number])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        self.lower = any(n["type"] == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", [spec.get("normalizer") or {"type": ""}]))
+        #: whether a full stop or comma after a letter or digit is a pre-token of its own
+        self.signs_apart = all(self.pattern.findall(a + b) == [a, b] for a in "a0z9" for b in ".,")
         letters = byte_alphabet()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
@@ -135,7 +138,7 @@ class Units:
         for t in bpe.added:
             if pc.any(pc.match_substring(texts, t, ignore_case=True)).as_py():
                 texts, plain = pc.replace_substring(texts, t, f" {t} "), False
-        if plain:  # fewer distinct words: the vocabulary is one of lower case, and such a sign is a pre-token of its own
+        if plain and bpe.lower and bpe.signs_apart:  # fewer distinct words
             texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9])([.,])([ \n])", r"\1 \2\3")
         parts = pc.ascii_split_whitespace(texts)
         flat, first = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)

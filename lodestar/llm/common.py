@@ -30,18 +30,42 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: cuts lineage, survives lost executors.
-
-    The files go when the JVM ends.
-    """
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder; it goes when the JVM ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes what `save` wrote for frames that nothing will read any more."""
+    for df in frames:
+        place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Parts:
+    """A table in the shared folder that is written part by part, so that no plan holds more than one of them."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: T.StructType) -> None:
+        self.spark, self.schema, self.path, self.some = spark, schema, new_path(spark, name), False
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+        self.some = True
+
+    def frame(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path) if self.some else self.spark.createDataFrame([], self.schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -216,7 +240,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node's smaller neighbours, and itself, point to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = save(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        last, edges = (edges, low), save(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        forget(*last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import forget, save
 
 #: Distinct seeds that a pattern needs, the confidence it needs in each round, weight of instances not yet known.
 SUPPORT, FLOORS, UNKNOWN = 5, (0.95, 0.9, 0.85), 0.25
@@ -198,13 +198,15 @@ def discover(found: DataFrame) -> DataFrame:
     fixed = F.when(F.col("seed"), 1.0).when(F.col("bad"), 0.0)
     graph = save(graph.withColumn("score", F.coalesce(fixed, F.lit(0.0))).withColumn("fixed", fixed.isNotNull()), "graph")
     rare = graph.groupBy("value").agg((1 / F.log2(1 + F.count("*"))).alias("rare"))
-    graph = save(graph.join(rare, "value"), "graph")
+    last, graph = graph, save(graph.join(rare, "value"), "graph")
+    forget(last)
     for floor in FLOORS[:-1]:
         best = graph.where("not fixed").join(strong(graph, floor), ["what", "words", "sort"]).groupBy("value").agg(F.max(F.struct("confidence", (-F.col("as")).alias("as"))).alias("best"))
-        graph = graph.join(best, "value", "left")
+        last, graph = graph, graph.join(best, "value", "left")
         better = ~F.col("fixed") & (F.col("best.confidence") > F.col("score"))
         kind, score = F.when(better, -F.col("best.as")).otherwise(F.col("kind")), F.when(better, F.col("best.confidence")).otherwise(F.col("score"))
         graph = save(graph.withColumns({"kind": kind, "score": score}).drop("best"), "graph")
+        forget(last)
     new = rows.where(F.col("kind").isNull() & ~F.col("bad")).join(strong(graph, FLOORS[-1]), ["what", "words", "sort"])
     new = new.groupBy("id", "hash", "start", "end").agg(F.max(F.struct("confidence", (-F.col("as")).alias("as"))).alias("m"))
     return new.select("id", "hash", "start", (-F.col("m.as")).alias("kind"), "end")

@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-Terms are what a text is made of at a level that carries over between languages and topics: hashed character trigrams
-of word shapes, punctuation classes and repetition. Labelled documents (a bounded sample, see FIT) give a term-document
+Terms are hashed words, and what a text is made of at a level that carries over between languages and topics: hashed
+character trigrams of word shapes, punctuation classes and repetition. Labelled documents (a bounded sample, see FIT) give a term-document
 matrix; its truncated singular value decomposition gives the latent space. Labelled vectors and their labels are
 broadcast (FIT x RANK floats at most); each document of any size is folded into the space and its exact cosine products
 with every labelled vector are computed block by block. The k largest vote, weighted by similarity, and each class's
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, texts_of
+from .common import Words, clear_name, mix, pieces, texts_of, wider
 
-#: Labelled documents to learn from at most, dimensions of the latent space, hashed terms, neighbours that vote.
-FIT, RANK, TERMS, NEIGHBOURS = 3000, 32, 2048, 15
+#: Labelled documents to learn from at most, dimensions of the latent space, neighbours that vote.
+FIT, RANK, NEIGHBOURS = 3000, 32, 15
+#: Hashed terms: shapes (the last 64 of them for repetition and length), then words, which weigh WORD of a shape.
+SHAPES, TERMS, WORD = 2048, 3072, 0.2
 
 _CLASS = np.full(256, 5, np.uint8)  # by byte: 0 lower case, 1 upper case, 2 digit, 3 space, 4 line end, 5 other, 6 not ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[32], _CLASS[10], _CLASS[128:] = 0, 1, 2, 3, 4, 6
@@ -48,13 +50,16 @@ def term_rows(texts: list[bytes]) -> np.ndarray:
     if len(data) >= 3:
         kind = _CLASS[data].astype(np.int64)
         own = np.where(kind == 5, 8 + data.astype(np.int64), kind)  # punctuation stands for itself
-        gram = mix((own[:-2] << 20 | own[1:-1] << 10 | own[2:]).astype(np.uint64)) % np.uint64(TERMS - 64)
+        gram = mix((own[:-2] << 20 | own[1:-1] << 10 | own[2:]).astype(np.uint64)) % np.uint64(SHAPES - 64)
         row = np.repeat(np.arange(len(texts)), sizes)
         inside = row[:-2] == row[2:]
         key = row[:-2][inside] * TERMS + gram[inside].astype(np.int64)
         out += np.bincount(key, minlength=len(texts) * TERMS).reshape(out.shape)
-    out = np.sqrt(out)  # frequent shapes weigh less
     found = Words(texts, lower=True)
+    if len(found.hash):
+        key = found.text * (TERMS - SHAPES) + (found.hash % np.uint64(TERMS - SHAPES)).astype(np.int64)
+        out[:, SHAPES:] = WORD**2 * np.bincount(key, minlength=len(texts) * (TERMS - SHAPES)).reshape(len(texts), -1)
+    out = np.sqrt(out)  # frequent terms weigh less
     number = np.diff(found.first)
     same = np.zeros(len(texts), np.int64)
     if len(found.hash) > 1:
@@ -66,10 +71,10 @@ def term_rows(texts: list[bytes]) -> np.ndarray:
         scale = np.sqrt(len(t) + 1.0)
         again = 1 - len(set(lines)) / len(lines) if lines else 0
         mean = len(t) / words if words else 0
-        out[i, TERMS - 64 + min(15, int(again * 16))] = scale * 0.3
-        out[i, TERMS - 48 + min(7, int(mean / 2))] = scale * 0.1
-        out[i, TERMS - 40 + min(7, int(same[i] / max(1, words) * 24))] = scale * 0.3
-        out[i, TERMS - 32 + min(31, int(np.log2(len(t) + 1) * 2))] = scale * 0.05
+        out[i, SHAPES - 64 + min(15, int(again * 16))] = scale * 0.3
+        out[i, SHAPES - 48 + min(7, int(mean / 2))] = scale * 0.1
+        out[i, SHAPES - 40 + min(7, int(same[i] / max(1, words) * 24))] = scale * 0.3
+        out[i, SHAPES - 32 + min(31, int(np.log2(len(t) + 1) * 2))] = scale * 0.05
     return out
 
 
@@ -82,8 +87,8 @@ class Space:
         self.idf = np.log1p(n / (1 + (rows > 0).sum(0))).astype(np.float32)
         rows = self.unit(rows * self.idf)
         if len(rows):
-            _, _, v = np.linalg.svd(rows.astype(np.float64).T @ rows.astype(np.float64))
-            self.basis = v[:RANK].T.astype(np.float32)
+            _, v = np.linalg.eigh(rows.astype(np.float64).T @ rows.astype(np.float64))  # right singular vectors, largest last
+            self.basis = v[:, : -RANK - 1 : -1].astype(np.float32)
         else:
             self.basis = np.zeros((TERMS, RANK), np.float32)
         self.vectors = self.unit(rows @ self.basis)
@@ -135,12 +140,14 @@ def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str =
     names = [*[c for c in keep if c != "score"], "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            got = shared.value.score(texts_of(batch, "_text"))
+        for batch in pieces(batches, text):
+            got = shared.value.score(texts_of(batch, text))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names) - 1)], pa.array(got)], names=names)
 
-    kept = docs.select(*names[:-1], F.col(text_col).alias("_text"))
-    schema = kept.schema[:-1].add("score", "double")
+    kept = docs.select(*names[:-1])
+    text = clear_name(kept, "_text")
+    schema = wider(kept.schema, "score double")
+    kept = docs.select(*names[:-1], F.col(text_col).alias(text))
     return kept.mapInArrow(run, schema)
 
 

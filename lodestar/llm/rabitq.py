@@ -7,8 +7,8 @@ WIDTH * e * |query| of it but for a small chance. Search: query rows meet the in
 blocks keep a floor, the k-th largest exact product so far; only vectors whose upper bound passes the floor are reranked
 with exact double-precision products. The first block's floor comes from its best estimates, reranked.
 
-Queries go out in broadcasts of at most QUERY_BLOCK rows, one pass over the index for each; a task returns at most k
-rows a query, and a max-k aggregate per query follows.
+Queries go out in broadcasts of at most QUERY_BLOCK rows, one after another, one pass over the index for each; a task
+returns at most k rows a query, the k best of each query are written, and the broadcast is dropped before the next.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part; a vector whose length is
 not that of the most frequent length takes none either; equal scores go to the smaller id; repeated vectors are
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain_schema, save
+from .common import Parts, forget, plain_schema, save
 
 #: Queries in a broadcast (64 dimensions: 8 MB), rows of the index that are looked at together, width of the bounds.
 QUERY_BLOCK, BLOCK, WIDTH = 16384, 8192, 1.9
@@ -158,15 +158,14 @@ def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     """query_id, rank, vec_id, score: the k largest inner products found for each row for which `queries` holds."""
     spark = df.sparkSession
     dims = dimensions(df, vector_col)
-    schema = plain_schema("query_id long, vec_id long, score double")
+    parts = Parts(spark, "nearest", plain_schema("query_id long, rank int, vec_id long, score double"))
     if not dims:
-        return top_k(spark.createDataFrame([], schema), k, "double")
+        return parts.frame()
     made = save(index(df, dims, id_col, vector_col), "codes")
-    own = df.where(queries & usable(F.col(vector_col)) & (F.size(vector_col) == dims))
+    own = df.where(queries & usable(F.col(vector_col)) & (F.size(vector_col) == dims) & F.col(id_col).isNotNull())
     own = own.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    found = None
-    for ids, vectors in query_blocks(own):
-        shared = spark.sparkContext.broadcast((ids, vectors))
+    for block in query_blocks(own):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             scan = Scan(*shared.value, k)
@@ -178,6 +177,7 @@ def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
                     scan.add(part.column(0).to_numpy(), vec, code, part.column(3).to_numpy(), part.column(4).to_numpy())
             yield scan.result()
 
-        part = made.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return top_k(spark.createDataFrame([], schema) if found is None else found, k, "double")
+        parts.add(top_k(made.mapInArrow(run, plain_schema("query_id long, vec_id long, score double")), k, "double"))
+        shared.destroy()
+    forget(made)
+    return parts.frame()

@@ -25,12 +25,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import lowered
-from .common import pieces, plain_schema
+from .common import clear_name, pieces, plain_schema
 from .trees import Forest
-from .urls import PLAIN, entropy
+from .urls import entropy
 
 # fixed values: names that credentials are assigned to, words of placeholders
 NAMES = "token password passwd pwd secret api_key apikey api-key access_key access-key auth_token private_key client_secret bearer".split()
+COMMON = (
+    "about account action active after again agent alpha amount animal apple archive around array author banana basic beach before better binary black block bottle bridge bright "
+    "bucket buffer build button cache camera castle center change channel charge check circle class client cloud coffee color column common config connect content control cookie copper "
+    "count country cover create custom daily data database deploy design detail device digital direct document dollar domain door double dragon driver east email empty engine entry "
+    "error event every example express family field file filter final first flower folder forest format frame friend front garden general global gold green group happy header hello "
+    "house image index input island item kernel layer letter level light local login magic manager market master memory message method middle mobile model module monkey month mountain "
+    "music name network never night north number object ocean office online open option orange order other output owner package page paper parent party path people phone picture "
+    "plain planet platform player point power press price print private process product profile project public query queue quick random reader record region release remote report request "
+    "resource result return review river road root school science script search season second server service session shadow share silver simple single socket source south space "
+    "special spring square start state static station status stone store story stream street string student studio style summer sunshine super support switch system table target task "
+    "team template thread tiger time title today tower travel tree type union unit update upload user value video view visitor water weather west white window winter world yellow"
+).split()
 DUMMY = "your example changeme placeholder dummy sample test none null true false password secret token here default insert redacted version".split()
 NEAR = NAMES + "aws login credential authorization header export config env".split()
 AWAY = "commit sha sha1 sha256 md5 checksum digest hash revision uuid guid version isbn order build file path image id".split()
@@ -130,44 +142,67 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     away = sum(w in AWAY for w in words)
     path = value.count("/") + value.count(".") + bool(re.match(r"\.(?:html?|png|jpg|py|js|json|txt)|[/.]", after)) + before.endswith(("/", "//", "www."))
     shares = np.bincount(codes, minlength=4) / n
+    formula = sum(value.count(c) for c in "${}()<>[]") / n  # a template or a call
+    name = float(bool(re.fullmatch(r"[A-Za-z_]+(?:[._-][A-Za-z_]+)*", value)))  # an identifier
     hexed = float(bool(re.fullmatch(r"[0-9a-fA-F]+", value)))
-    return [n, float((codes[1:] != codes[:-1]).mean()) if n > 1 else 0.0, *shares.tolist(), entropy(value), len(set(value)) / n, float(covered.mean()), path, near, away, hexed, float(value.startswith(("AKIA", "ASIA", "ghp_", "xox", "eyJ"))), float(kind == "assigned"), float(before[-1:] in "\"'="), float("EXAMPLE" in value.upper())]
+    return [n, float((codes[1:] != codes[:-1]).mean()) if n > 1 else 0.0, *shares.tolist(), entropy(value), len(set(value)) / n, float(covered.mean()), path, near, away, hexed, float(value.startswith(("AKIA", "ASIA", "ghp_", "xox", "eyJ"))), float(kind == "assigned"), float(before[-1:] in "\"'="), float("EXAMPLE" in value.upper()), formula, name]
 
 
-_DICTIONARY = re.compile("|".join(sorted({w for w in PLAIN + DUMMY if len(w) > 3}, key=len, reverse=True)))
+_DICTIONARY = re.compile("|".join(sorted({w for w in COMMON + DUMMY if len(w) > 3}, key=len, reverse=True)))
 
 
-def labelled_findings(n: int = 2400, seed: int = 3) -> list[tuple[str, int]]:
-    """Texts with one candidate each (the marked one, between \\x02 and \\x03) and labels (1: secret)."""
+def labelled_findings(n: int = 4000, seed: int = 3) -> list[tuple[str, int]]:
+    """Texts with one candidate each (the marked one, between \x02 and \x03) and labels (1: secret)."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     some = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
+    upto = lambda a, b: int(rng.integers(a, b))
     hexa, low = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
     digit, up = "0123456789", low.upper()
     every = low + up + digit
-    filler = lambda: " ".join(some(low, int(rng.integers(2, 9))) for _ in range(int(rng.integers(1, 6))))
+    filler = lambda: " ".join(some(low, upto(2, 9)) for _ in range(upto(1, 6)))
+    leet = lambda w: "".join({"a": "@", "o": "0", "e": "3", "i": "1", "s": "$"}.get(c, c) if rng.random() < 0.6 else c for c in w)
+
+    def human() -> str:
+        """A password that a person would choose: words, changed letters, digits and signs."""
+        word = lambda: pick([pick(COMMON), some(low, upto(4, 9)), leet(pick(COMMON))])
+        w = pick([word(), word().capitalize(), word() + word().capitalize()])
+        tail = pick([some(digit, upto(2, 5)), some(digit, upto(1, 4)) + pick("!@#$%&*?"), pick("!@#$_-") + some(digit, upto(2, 5)), some(digit, 2) + some(low, upto(2, 4))])
+        return w + tail if rng.random() < 0.8 else tail + w
+
     out = []
     for i in range(n):
         quote = pick(['"', "'", ""])
+        sign = pick([" = ", "=", ": ", '": "' if quote == '"' else ":", " => " if quote else "="])
+        given = pick(NAMES) + sign + ("" if sign.endswith('"') else quote)
         if i % 2:
             value, lead = pick([
                 lambda: (pick(["AKIA", "ASIA"]) + some(up + "234567", 16), pick(["", "key ", "id = "])),
-                lambda: (some(hexa, pick([16, 18, 20, 24, 32, 40, 64])), pick(NAMES) + pick([" = ", "=", ": "]) + quote),
-                lambda: (some(every, int(rng.integers(10, 48))), pick(NAMES) + pick([" = ", "=", ": "]) + quote),
+                lambda: (some(hexa, pick([16, 18, 20, 24, 32, 40, 64])), given),
+                lambda: (some(every, upto(10, 48)), given),
+                lambda: (some(every + "+/_-", upto(20, 64)), given),
                 lambda: ("ghp_" + some(every, 36), pick(["", "token "])),
                 lambda: (some(every + "+/", 40), pick(["aws_secret ", "secret_access_key = ", "export SECRET="])),
+                lambda: (human(), pick(["password", "passwd", "pwd", "secret"]) + given[given.index(sign[0]) :] if sign[0] in given else given),
+                lambda: (human(), given),
             ])()
-            if rng.random() < 0.1:
+            if rng.random() < 0.06:
                 value, lead = (value, lead) if value.startswith("gh") else (value.upper(), lead.upper())
         else:
+            cased = lambda w: w.upper() if rng.random() < 0.4 else w
+            joined = lambda: cased(pick(["_", "_", ".", "-"]).join(pick(COMMON + DUMMY + NAMES[:6]) for _ in range(upto(1, 4))))
             value, lead = pick([
-                lambda: (pick(["your_", "my_", "example_", "test-", "<"]).strip("<") + pick(DUMMY) + pick(["_here", "", "123", "_" + pick(PLAIN)]), pick(NAMES) + "=" + quote),
-                lambda: (pick("xX0*"[:3]) * int(rng.integers(8, 40)), pick(NAMES) + "=" + quote),
-                lambda: (some(hexa, pick([32, 40, 64])), pick(["commit ", "sha256 ", "md5 checksum ", "revision ", "digest "])),
-                lambda: ("-".join(some(hexa, k) for k in (8, 4, 4, 4, 12)), pick(["uuid ", "id ", "order "])),
-                lambda: (pick(PLAIN) + "/" + pick(PLAIN) + "/" + pick(PLAIN) + "-" + some(digit, 4), pick(["path ", "file /", "see "])),
-                lambda: (pick(PLAIN) + pick(PLAIN) + pick(PLAIN) + pick(PLAIN) + some(digit, 2), filler() + " "),
-                lambda: (some(low, int(rng.integers(6, 10))), pick(NAMES) + ": "),
+                lambda: (pick(["your_", "my_", "example_", "test-"]) + pick(DUMMY) + pick(["_here", "", "123", "_" + pick(COMMON)]), given),
+                lambda: (pick("xX0*") * upto(8, 40), given),
+                lambda: (some(hexa, pick([32, 40, 64])), pick(["commit ", "sha256 ", "md5 checksum ", "revision ", "digest ", "sha1: ", "checksum = "])),
+                lambda: ("-".join(some(hexa, k) for k in (8, 4, 4, 4, 12)), pick(["uuid ", "id ", "order ", "guid="])),
+                lambda: (pick(COMMON) + "/" + pick(COMMON) + "/" + pick(COMMON) + "-" + some(digit, 4), pick(["path ", "file /", "see "])),
+                lambda: (pick(COMMON) + pick(COMMON) + pick(COMMON) + pick(COMMON) + some(digit, 2), filler() + " "),
+                lambda: (joined(), given),
+                lambda: (some(low, upto(6, 10)), given),
+                lambda: (pick(["${", "{{", "<", "$(", "%("]) + joined() + pick(["}", "}}", ">", ")", ")s"]), given),
+                lambda: (joined() + pick(["()", "(request)", "[0]", "['" + joined() + "']", "[\"" + joined() + "\"]", "(\"" + joined() + "\")"]), pick(NAMES) + pick([" = ", "="])),
+                lambda: ("/" + pick(COMMON) + "/" + pick(COMMON) + "/" + pick(COMMON), given),
                 lambda: ("AKIA" + some(up, 6) + "EXAMPLE" + some(up, 3), "key "),
             ])()
         value += "x" * max(0, 6 - len(value))
@@ -180,7 +215,7 @@ def train(findings: list[tuple[str, int]]) -> Forest:
     for marked, _ in findings:
         a, b = marked.index("\x02"), marked.index("\x03") - 1
         text = marked.replace("\x02", "").replace("\x03", "")
-        kind = next((k for s, e, k in candidates(text) if s < b and a < e), "run")
+        a, b, kind = next(((s, e, k) for s, e, k in candidates(text) if s < b and a < e), (a, b, "run"))  # as it will be cut
         rows.append(features(text, a, b, kind))
     return Forest(np.array(rows), np.array([f[1] for f in findings]))
 
@@ -231,6 +266,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5
         return texts.__class__(out)
 
     hit = F.coalesce(F.regexp_like(text_col, F.lit(MARK)), F.lit(False))
-    marked = docs.withColumn("__hit", hit)
-    kept = marked.where(~F.col("__hit")).drop("__hit")
-    return kept.unionByName(marked.where("__hit").drop("__hit").withColumn(text_col, clean(F.col(text_col))))
+    name = clear_name(docs, "_hit")
+    marked = docs.withColumn(name, hit)
+    kept = marked.where(~F.col(name)).drop(name)
+    return kept.unionByName(marked.where(F.col(name)).drop(name).withColumn(text_col, clean(F.col(text_col))))

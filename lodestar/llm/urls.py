@@ -1,10 +1,11 @@
 """URL filter: longest-match rules, then gradient-boosted trees on lexical features.
 
-Features: lengths of host, path and query, depth of host and path, digit ratio, entropy, parameter count, hyphens in the
-host, and suffix statistics (share of blocked labelled URLs under the host's last label and under its last two, smoothed). The trees are trained on labelled URLs,
-which are a parameter: labelled_urls() makes a bounded, seeded set in the manner of public block lists (hosts named after
-adult, betting, pill, loan and tracking trade) against plain hosts. Word statistics come from that set too: the share of
-blocked labelled URLs for each word of a host.
+Features: lengths of host, path and query, depth of host and path, digit ratio of the url and of the host, entropy of both,
+parameter count, hyphens in the host, and suffix statistics (share of blocked labelled
+URLs under the host's last label and under its last two, smoothed). No feature knows words. The trees are trained on labelled
+URLs, which are a parameter: labelled_urls() makes a bounded, seeded set of made-up names. Those to block are shaped as in
+public feeds of spam and phishing URLs: names strung together by hyphens, generated hosts, digits in the host, many
+subdomains, tracking links of many parameters, cheap suffixes; some plain ones share each of these traits.
 
 Cases: a null url or one without :// has an empty host and path, fits no rule and is allowed; very long urls are judged
 whole; repeated rows get equal verdicts; an empty table gives no rows; extra columns are ignored.
@@ -22,14 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import wider
 from .trees import Boosted
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
-# fixed values: words that public block lists are about, and plain ones
-TRADE = "adult ads bet bets bonus casino cheap click crypto dating deal discount farm free gambling hot jackpot loan lottery pharma pills poker porn prize promo replica sex slots spam spin track tracker viagra win xxx".split()
-PLAIN = "archive art atlas blog book campus city club code cook data docs family forum garden green guide history home lab letter library map market museum music news open park paper photo press report review river school science shop sport story studio team tech travel weather wiki world".split()
-
 HOST = r"^(?s).*?://([^/?#]*)"
 
 
@@ -53,23 +51,34 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def labelled_urls(n: int = 3000, seed: int = 5) -> tuple[list[str], np.ndarray]:
+def labelled_urls(n: int = 4000, seed: int = 5) -> tuple[list[str], np.ndarray]:
     """URLs and labels (1: block), the same at every call."""
     rng = np.random.default_rng(seed)
     pick = lambda words: words[int(rng.integers(len(words)))]
-    syllables = [c + v for c in "bcdfghklmnprstvw" for v in "aeiou"] + ["th", "er", "in", "on", "an", "sh", "tion", "ing"]
-    name = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(2, 5))))
-    out, labels = [], np.arange(n) % 2
-    for label in labels:
-        if label:
-            other = pick([pick(TRADE), pick(PLAIN), "x", "24", name()])
-            words = [pick(TRADE), other] if rng.random() < 0.7 else [other, pick(TRADE)]
-            own = pick(["-", "-", "-", ""]).join(words)
-        else:
-            own = pick([name(), name(), pick(PLAIN) + pick(PLAIN), name() + "-" + pick(PLAIN), pick(PLAIN) + "-" + name()])
-        host = pick(["", "", "www.", "blog.", "m.", "shop."]) + own + pick([".example", "", ".co"]) + pick([".com", ".net", ".org"])
-        path = "/" + pick(["en", "de", "fr", "es", "it"]) + "/" + str(int(rng.integers(1, 10 ** int(rng.integers(1, 7))))) + pick(["", "/", ".html"])
-        out.append(pick(["http://", "https://"]) + host + path + pick(["", "", "?page=2&ref=x", "?utm_source=feed", "#top"]))
+    some = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
+    upto = lambda a, b: int(rng.integers(a, b))
+    syllables = [c + v for c in "bcdfghklmnprstvw" for v in "aeiou"] + "th er in on an sh tion ing ly st nt re es ed ou le ble and the wh ch en".split()
+    name = lambda a=2, b=5: "".join(pick(syllables) for _ in range(upto(a, b)))
+    small = "abcdefghijklmnopqrstuvwxyz0123456789"
+    hosts = {
+        "plain": lambda: name(),
+        "hyphen": lambda: "-".join(name(1, 4) for _ in range(upto(2, 5))),
+        "made": lambda: some(small[:26] if rng.random() < 0.5 else small, upto(9, 24)),
+        "digits": lambda: name(1, 3) + some("0123456789", upto(2, 7)) + pick(["", name(1, 2)]),
+        "deep": lambda: ".".join(name(1, 4) for _ in range(upto(3, 6))),
+    }
+    ends = {0: ["com"] * 5 + ["org"] * 3 + ["net"] * 2 + ["info"], 1: ["com"] * 3 + ["net", "org", "info", "top", "top", "xyz", "xyz", "win", "click"]}
+    out, labels = [], (np.arange(n) % 3 == 0).astype(int)
+    for label in labels.tolist():
+        kind = pick(["hyphen", "hyphen", "hyphen", "made", "digits", "deep", "links"] if label else ["plain"] * 17 + ["hyphen", "digits", "deep"])
+        host = hosts.get(kind, hosts["plain"])()
+        end = pick([".example.com", ".example.net", ".example.org"]) if rng.random() < 0.5 else "." + pick(ends[label])
+        lead = pick(["", "", "", "www.", "blog.", "m.", "shop."])
+        depth = upto(2, 7) if kind == "links" else upto(0, 4)
+        path = "".join("/" + pick([name(1, 3), str(upto(1, 9999)), pick(["en", "de", "fr", "es"])]) for _ in range(depth)) + pick(["", "/", ".html"])
+        params = upto(3, 12) if kind == "links" else pick([0, 0, 0, 1, 2])
+        query = "&".join(f"{name(1, 2)}={some(small, upto(8, 40)) if kind == 'links' else pick([name(1, 3), str(upto(1, 50))])}" for _ in range(params))
+        out.append(pick(["http://", "https://"]) + lead + host + end + (path if path.startswith("/") else "/") + ("?" + query if query else "") + pick(["", "", "", "#top"]))
     return out, labels
 
 
@@ -84,23 +93,22 @@ def split_url(url: str | None) -> tuple[str, str, str]:
     return (m[1].lower(), m[2], m[3]) if m else ("", "", "")
 
 
+#: The features, in the order of their columns.
+FEATURES = ("host length", "path length", "query length", "host depth", "path depth", "digit ratio", "host digit ratio", "entropy", "host entropy", "parameters", "hyphens", "suffix", "long suffix")
+
+
 class Model:
-    """The trees and the statistics of labelled URLs that they look at."""
+    """The trees and the suffix statistics of labelled URLs."""
 
     def __init__(self, urls: list[str], labels: np.ndarray) -> None:
-        self.word, self.suffix = defaultdict(lambda: [1.0, 2.0]), defaultdict(lambda: [1.0, 2.0])
+        suffix: dict[str, list[float]] = defaultdict(lambda: [1.0, 2.0])
         for url, label in zip(urls, labels.tolist(), strict=True):
-            for table, keys in ((self.word, self.words(split_url(url)[0])), (self.suffix, self.suffixes(split_url(url)[0]))):
-                for k in keys:
-                    table[k][0] += label
-                    table[k][1] += 1
-        # a word of few urls would only repeat their labels
-        self.word, self.suffix = ({k: a / b for k, (a, b) in t.items() if b >= 7} for t in (self.word, self.suffix))
-        self.trees = Boosted(self.features(urls), labels, trees=40, depth=2)
-
-    @staticmethod
-    def words(host: str) -> set[str]:
-        return set(re.split(r"[^a-z0-9]+", host)) - {""}
+            for k in self.suffixes(split_url(url)[0]):
+                suffix[k][0] += label
+                suffix[k][1] += 1
+        # a suffix of few urls would only repeat their labels
+        self.suffix = {k: a / b for k, (a, b) in suffix.items() if b >= 22}
+        self.trees = Boosted(self.features(urls), labels, trees=80, depth=3)
 
     @staticmethod
     def suffixes(host: str) -> list[str]:
@@ -108,14 +116,17 @@ class Model:
 
     def features(self, urls: list[str | None]) -> np.ndarray:
         rows = []
+        digits = lambda t: sum(c.isdigit() for c in t) / max(1, len(t))
         for url in urls:
             host, path, rest = split_url(url)
-            words = self.words(host)
-            shares = [self.word.get(w, 0.5) for w in words] or [0.5]
-            inside = max((self.word[t] for w in words for t in TRADE if len(t) > 3 and t in w and t in self.word), default=0.0)
-            n = max(1, len(url or ""))
-            rows.append([len(host), len(path), len(rest), host.count("."), path.count("/"), sum(c.isdigit() for c in url or "") / n, entropy(url or ""), entropy(host), rest.count("=") + rest.count("&"), host.count("-"), max(shares), min(shares), inside, *[self.suffix.get(s, 0.5) for s in self.suffixes(host)]])
-        return np.array(rows, float).reshape(len(urls), 15)
+            short, long = (self.suffix.get(s, 0.5) for s in self.suffixes(host))
+            rows.append([len(host), len(path), len(rest), host.count("."), path.count("/"), digits(url or ""), digits(host), entropy(url or ""), entropy(host), rest.count("="), host.count("-"), short, long])
+        return np.array(rows, float).reshape(len(urls), len(FEATURES))
+
+    def splits(self) -> dict[str, int]:
+        """How often the trees split on each feature."""
+        at = np.concatenate([t.feature for t in self.trees.trees])
+        return {f: int((at == i).sum()) for i, f in enumerate(FEATURES)}
 
     def predict(self, urls: list[str | None]) -> np.ndarray:
         """Likelihood that a URL is to be blocked."""
@@ -131,17 +142,17 @@ def judge(pages: DataFrame, model: Model | None = None, rules: tuple = RULES, th
     """id, host, path, rule, verdict, score of each url. No shuffle; the trees are broadcast."""
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
     url = F.col(url_col).cast("string")
-    own = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), url.alias("_url"))
-    own = own.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    schema = own.drop("_url").schema.add("score", "double")
+    own = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), url.alias("_url"))
+    own = own.select(F.col("id"), "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("rule"), "_url")
+    schema = wider(own.drop("_url").schema, "score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = shared.value.predict(b.column(3).to_pylist())
+            got = shared.value.predict(b.column(4).to_pylist())
             none = np.array([not h for h in b.column(1).to_pylist()], bool)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(np.where(none, 0.0, got))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(np.where(none, 0.0, got))], names=schema.names)
 
     verdict = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     for text, what in rules:
         verdict = F.when(F.col("rule") == text, what).otherwise(verdict)
-    return own.mapInArrow(run, schema).withColumn("verdict", verdict).select(id_col, "host", "path", "rule", "verdict", "score")
+    return own.mapInArrow(run, schema).withColumn("verdict", verdict).select(F.col("id").alias(id_col), "host", "path", "rule", "verdict", "score")
