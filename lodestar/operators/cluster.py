@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hashed
 from ..roles import RoleFrame
-from .distance import coded, disty, distx, farthest, literal, project
+from .distance import coded, disty, distx, farthest, literal, on_line, project
+from .stats import kth, numbered, order_values, ranges, running
 
 
 def some(df: DataFrame, key: str, k: int, seed: object = 1) -> DataFrame:
@@ -40,10 +41,12 @@ def halve(rf: RoleFrame, seed: object = 1) -> DataFrame:
     d = {r[0]: r[1] for r in rf.df.select(rf.rid, disty(rf)).where(F.col(rf.rid).isin(east[rf.rid], west[rf.rid])).collect()}
     if (d.get(west[rf.rid]) or 0) < (d.get(east[rf.rid]) or 0):
         east, west = west, east
-    at = project(rf, east, west).persist()
-    n = at.count()
-    edge = at.orderBy("at", rf.rid).limit(max(1, n // 2)).orderBy(F.desc("at"), F.desc(rf.rid)).first()
-    return at.select(rf.rid, "at", ((F.col("at") < edge["at"]) | ((F.col("at") == edge["at"]) & (F.col(rf.rid) <= edge[rf.rid]))).alias("near"))
+    at = project(rf, east, west).withColumn("at", F.round("at", 9))
+    k = max(1, at.count() // 2)
+    edge = kth(at, "at", k - 1)  # the last value of the near half; of its ties the smallest ids are near
+    tied = at.where(F.col("at") == edge)
+    last = kth(tied, rf.rid, k - 1 - at.where(F.col("at") < edge).count())
+    return at.select(rf.rid, "at", ((F.col("at") < edge) | ((F.col("at") == edge) & (F.col(rf.rid) <= last))).alias("near"))
 
 
 def nodes(rf: RoleFrame, depth: int = 3, stop: int = 4, seed: object = 1) -> DataFrame:
@@ -72,7 +75,7 @@ def nodes(rf: RoleFrame, depth: int = 3, stop: int = 4, seed: object = 1) -> Dat
         flip = F.coalesce(F.col("yw") < F.col("yb"), F.lit(False))
         both = both.select("node", F.when(flip, F.col("w")).otherwise(F.col("b")).alias("e"), F.when(flip, F.col("b")).otherwise(F.col("w")).alias("w"))
         ab, ea, wa = distx("e", "w"), distx("a", "e"), distx("a", "w")
-        at = rows_now.join(F.broadcast(both), "node", "left").withColumn("at", (ea * ea + ab * ab - wa * wa) / (2 * ab + 1e-32))
+        at = rows_now.join(F.broadcast(both), "node", "left").withColumn("at", F.round((ea * ea + ab * ab - wa * wa) / (2 * ab + 1e-32), 9))
         mids = at.where("at IS NOT NULL").groupBy("node").agg(F.percentile_approx("at", 0.5, 100_000).alias("mid")).collect()
         if not mids:
             break
@@ -109,60 +112,76 @@ def live_columns(df: DataFrame, bucket: str, cols: list[str], gap: float = 0.3,
     greatest difference of cumulative shares. Values are counted first, so windows see distinct values."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("at"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols]))
     counts = df.select(F.col(bucket).alias("b"), cells.alias("c")).select("b", "c.*").where("v IS NOT NULL").groupBy("at", "b", "v").agg(F.count("*").alias("n"))
-    upto = lambda *by: Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     crowd = counts.groupBy("at", "v").agg(F.sum("n").alias("n"))
-    crowd = crowd.select("at", "v", (F.sum("n").over(upto("at")) / F.sum("n").over(Window.partitionBy("at"))).alias("g"), ((F.sum("n").over(upto("at")) - F.col("n")) / F.sum("n").over(Window.partitionBy("at"))).alias("g0"))
-    own = counts.select("at", "b", "v", F.sum("n").over(upto("at", "b")).alias("u"), "n", F.sum("n").over(Window.partitionBy("at", "b")).alias("t")).where(F.col("t") >= least)
+    total = crowd.groupBy("at").agg(F.sum("n").alias("all"))
+    crowd = running(crowd, "v", ["n"], ["at"]).join(F.broadcast(total), "at")  # a row a column
+    crowd = crowd.select("at", "v", (F.col("upto_n") / F.col("all")).alias("g"), ((F.col("upto_n") - F.col("n")) / F.col("all")).alias("g0"))
+    sizes = counts.groupBy("at", "b").agg(F.sum("n").alias("t")).where(F.col("t") >= least)
+    own = running(counts.join(sizes, ["at", "b"]), "v", ["n"], ["at", "b"])
     # a bucket's share is flat between its values, so the gap is greatest at one of them or just before it
     both = own.join(crowd, ["at", "v"])
-    d = F.greatest(F.abs(F.col("u") / F.col("t") - F.col("g")), F.abs((F.col("u") - F.col("n")) / F.col("t") - F.col("g0")))
+    d = F.greatest(F.abs(F.col("upto_n") / F.col("t") - F.col("g")), F.abs((F.col("upto_n") - F.col("n")) / F.col("t") - F.col("g0")))
     return both.groupBy("at").agg(F.max(d).alias("gap")).where(F.col("gap") >= gap)
 
 
 def draws(df: DataFrame, key: str, n: int, seed: object = 1) -> DataFrame:
     """(draw, row...): n rows with replacement; row numbers come from ranges, so no task orders all rows."""
     from ..functions.columns import uniform
-    from .stats import running
-
-    own = running(df.withColumn("_one", F.lit(1)), key, ["_one"]).drop("_one")
-    total = df.count()
-    picks = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.floor(uniform(F.col("id"), seed) * total) + 1).cast("long").alias("upto__one"))
-    return picks.join(own.withColumn("upto__one", F.col("upto__one").cast("long")), "upto__one").drop("upto__one")
-
-
-def kmeans(rf: RoleFrame, k: int = 8, iters: int = 3, seed: object = 1) -> DataFrame:
-    """(rid, cluster, d): centroids (k rows) are literals of a broadcast; means of numbers, modes of symbols."""
-    rows = coded(rf).persist()
-    cents = [(i, r["n"], r["s"]) for i, r in enumerate(some(rows, rf.rid, k, seed).collect())]
-    spark, out = rf.df.sparkSession, None
-    for turn in range(iters + 1):
-        c = F.broadcast(spark.createDataFrame(cents, "cluster int, n array<double>, s array<string>"))  # k rows
-        pairs = rows.select(rf.rid, F.struct("n", "s").alias("a")).crossJoin(c.select("cluster", F.struct("n", "s").alias("b")))
-        out = pairs.groupBy(rf.rid).agg(F.min(F.struct(F.round(distx("a", "b"), 9).alias("d"), "cluster")).alias("m")).select(rf.rid, "m.cluster", "m.d")
-        if turn == iters:
-            break
-        own = rows.join(out, rf.rid)
-        nn, ns = len(cents[0][1]), len(cents[0][2])
-        aggs = [F.avg(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(nn)] + [F.mode(F.get("s", F.lit(i)), True).alias(f"s{i}") for i in range(ns)]
-        got = own.groupBy("cluster").agg(*(aggs or [F.count("*").alias("z")])).collect()
-        cents = [(r["cluster"], [r[f"n{i}"] for i in range(nn)], [r[f"s{i}"] for i in range(ns)]) for r in got]
-    return out
+
+    own, total = numbered(df, [key], "_pos"), df.count()
+    picks = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.floor(uniform(F.col("id"), seed) * total) + 1).cast("long").alias("_pos"))
+    return picks.join(own.withColumn("_pos", F.col("_pos").cast("long")), "_pos").drop("_pos")
+
+
+def assigned(rows: DataFrame, rid: str, cents: list[tuple]) -> DataFrame:
+    """(rid, a, cluster, d): the nearest centroid (cluster, n, s) of each coded row; centroids are literals, nothing moves."""
+    d = [F.struct(F.round(distx(F.col("a"), literal({"n": n, "s": s})), 9).alias("d"), F.lit(i).alias("cluster")) for i, n, s in cents]
+    m = F.array_min(F.array(*d))
+    return rows.select(rid, "a", m.alias("m")).select(rid, "a", "m.cluster", "m.d")
+
+
+def recentred(own: DataFrame, nn: int, ns: int) -> list[tuple]:
+    """Centroids of assigned rows: means of numbers, modes of symbols (of equal counts the smallest), by counted values."""
+    means = own.groupBy("cluster").agg(F.count("*").alias("z"), *[F.avg(F.get("a.n", F.lit(i))).alias(f"n{i}") for i in range(nn)]).collect()  # a row a centroid
+    modes: dict = {}
+    if ns:
+        cells = own.select("cluster", F.posexplode("a.s").alias("i", "v")).where("v IS NOT NULL").groupBy("cluster", "i", "v").count()
+        for r in cells.groupBy("cluster", "i").agg(F.min_by("v", F.struct(-F.col("count"), "v")).alias("v")).collect():
+            modes[r["cluster"], r["i"]] = r["v"]
+    return sorted((r["cluster"], [r[f"n{i}"] for i in range(nn)], [modes.get((r["cluster"], i)) for i in range(ns)]) for r in means)
+
+
+def kmeans(rf: RoleFrame, k: int = 8, iters: int = 3, seed: object = 1, errors: list | None = None) -> DataFrame:
+    """(rid, cluster, d): means of numbers, modes of symbols. Only k-row aggregates leave the tasks. `errors`, if given,
+    gets the mean distance of each assignment."""
+    rows = coded(rf).select(rf.rid, F.struct("n", "s").alias("a"))
+    start = some(rows, rf.rid, k, seed).collect()
+    cents = [(i, r["a"]["n"], r["a"]["s"]) for i, r in enumerate(start)]
+    for _ in range(iters):
+        own = assigned(rows, rf.rid, cents)
+        if errors is not None:
+            errors.append(own.agg(F.avg("d")).first()[0])
+        cents = recentred(own, len(cents[0][1]), len(cents[0][2])) if cents else []
+    if not cents:
+        return rows.select(rf.rid, F.lit(0).alias("cluster"), F.lit(None).cast("double").alias("d"))
+    own = assigned(rows, rf.rid, cents)
+    if errors is not None:
+        errors.append(own.agg(F.avg("d")).first()[0])
+    return own.drop("a")
 
 
 def seeds(rf: RoleFrame, k: int, few: int = 32, seed: object = 1) -> list:
-    """k-means++: each next seed is drawn from a hashed pool of few rows, by squared distance to the seeds so far."""
+    """k-means++: each next seed is drawn from a hashed pool of few rows, by squared distance to the seeds so far; the
+    draw is the hashed number of the turn."""
+    import hashlib
+
     rows = coded(rf)
     out = [some(rows, rf.rid, 1, seed).first()]
     for step in range(1, k):
-        lit = lambda r: F.struct(F.array(*map(F.lit, r["n"])).cast("array<double>").alias("n"), F.array(*map(F.lit, r["s"])).cast("array<string>").alias("s"))
         pool = some(rows, rf.rid, few, f"{seed}.{step}").withColumn("a", F.struct("n", "s"))
-        for i, r in enumerate(out):
-            pool = pool.withColumn(f"b{i}", lit(r))
-        d = F.least(*[distx("a", f"b{i}") for i in range(len(out))], F.lit(9.0))
-        got = pool.select(rf.rid, "n", "s", (d * d).alias("w")).orderBy(rf.rid).collect()
-        import random
-
-        u = random.Random(f"{seed}:{step}").random() * sum(r["w"] for r in got)
+        d = F.least(*[distx(F.col("a"), literal(r)) for r in out], F.lit(9.0))
+        got = pool.select(rf.rid, "n", "s", F.round(d * d, 9).alias("w")).orderBy(rf.rid).collect()  # few rows
+        u = int(hashlib.md5(f"{seed}:{step}".encode()).hexdigest()[:8], 16) / 4294967296.0 * sum(r["w"] for r in got)
         for r in got:
             u -= r["w"]
             if u <= 0:
@@ -172,16 +191,16 @@ def seeds(rf: RoleFrame, k: int, few: int = 32, seed: object = 1) -> list:
 
 
 def pole_grid(rf: RoleFrame, dims: int = 2, bins: int = 4, seed: object = 1) -> DataFrame:
-    """(rid, bucket): digits of the projections on successive lines between poles, cut at quantiles of a bounded start."""
-    out = rf.df.select(rf.rid)
+    """(rid, bucket): digits of the projections on successive lines between poles, cut at exact order values. All
+    dimensions are projected in one pass, their cuts are literals."""
+    c = coded(rf).select(rf.rid, F.struct("n", "s").alias("a"))
+    lines = [poles(rf, f"{seed}.{d}") for d in range(dims)]
+    at = c.select(rf.rid, *[F.round(on_line(F.col("a"), literal(e), literal(w)), 9).alias(f"p{d}") for d, (e, w) in enumerate(lines)])
     code = F.lit(0)
     for d in range(dims):
-        east, west = poles(rf, f"{seed}.{d}")
-        at = project(rf, east, west).withColumnRenamed("at", f"p{d}")
-        cuts = at.approxQuantile(f"p{d}", [i / bins for i in range(1, bins)], 0.001)
-        out = out.join(at, rf.rid)
-        code = code * bins + sum(((F.col(f"p{d}") > c).cast("int") for c in cuts), F.lit(0))
-    return out.select(rf.rid, code.alias("bucket"))
+        cuts = order_values(at, f"p{d}", [i / bins for i in range(1, bins)])
+        code = code * bins + sum(((F.col(f"p{d}") > v).cast("int") for v in cuts if v is not None), F.lit(0))
+    return at.select(rf.rid, code.alias("bucket"))
 
 
 def cover(rows: list[tuple], dist, eps: float) -> list[int]:
@@ -196,36 +215,55 @@ def cover(rows: list[tuple], dist, eps: float) -> list[int]:
 def prequential(rf: RoleFrame, order: list[str], k: int = 1, m: int = 2, wait: int = 10) -> DataFrame:
     """(pos, want, got, like): each row is classified by naive Bayes from the rows before it, then learned from.
 
-    Arrival order is one sequence by definition; running sums are windows over it, for each class and each symbol.
+    Arrival order is one sequence by definition. Its sums before each row go range by range (stats.running), for each
+    class and each symbol, so no task holds the sequence. Classes are few: they are literals.
     """
     sch = rf.schema
     nums = [c for c in sch.x if c in sch.nums]
     syms = [c for c in sch.x if c not in sch.nums]
-    w = Window.orderBy(*order)
-    rows = rf.df.withColumn("pos", F.row_number().over(w)).select("pos", F.col(f"`{sch.klass}`").alias("want"), *[F.col(f"`{c}`").cast("double").alias(f"n{i}") for i, c in enumerate(nums)], *[F.col(f"`{c}`").alias(f"s{i}") for i, c in enumerate(syms)])
-    classes = rows.select(F.col("want").alias("klass")).where("klass IS NOT NULL").distinct()
-    pairs = rows.crossJoin(F.broadcast(classes))
-    mine = (F.col("want") == F.col("klass")).cast("int")
-    before = Window.partitionBy("klass").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = pairs.withColumn("nk", F.coalesce(F.sum(mine).over(before), F.lit(0)))
+    rows = numbered(rf.df, order).select(F.col("pos").cast("long").alias("pos"), F.col(f"`{sch.klass}`").alias("want"), *[F.col(f"`{c}`").cast("double").alias(f"n{i}") for i, c in enumerate(nums)], *[F.col(f"`{c}`").alias(f"s{i}") for i, c in enumerate(syms)])
+    classes = sorted(r[0] for r in rf.df.select(f"`{sch.klass}`").distinct().collect() if r[0] is not None)
+    pairs = rows.withColumn("klass", F.explode(F.array(*map(F.lit, classes)).cast("array<string>")))
+    mine = F.coalesce((F.col("want") == F.col("klass")).cast("int"), F.lit(0))
+    cut = ranges(rows, "pos")
+    sums = {"nk": mine}
     for i in range(len(nums)):
         v = F.when(mine == 1, F.col(f"n{i}"))
-        pairs = pairs.withColumns({f"c{i}": F.count(v).over(before), f"t{i}": F.coalesce(F.sum(v).over(before), F.lit(0.0)), f"q{i}": F.coalesce(F.sum(v * v).over(before), F.lit(0.0))})
+        sums |= {f"c{i}": v.isNotNull().cast("int"), f"t{i}": F.coalesce(v, F.lit(0.0)), f"q{i}": F.coalesce(v * v, F.lit(0.0))}
+    pairs = running(pairs.withColumns({f"_{n}": v for n, v in sums.items()}), "pos", [f"_{n}" for n in sums], ["klass"], cut)
+    pairs = pairs.withColumns({n: F.col(f"upto__{n}") - F.col(f"_{n}") for n in sums})
     for i in range(len(syms)):
-        own = Window.partitionBy("klass", f"s{i}").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        pairs = pairs.withColumn(f"f{i}", F.coalesce(F.sum(mine).over(own), F.lit(0)))
+        pairs = counted(pairs, i, cut)
     nh = F.sum((F.col("nk") > 0).cast("int")).over(Window.partitionBy("pos"))
     pairs = pairs.withColumn("nh", nh).where((F.col("pos") > wait) & (F.col("nk") > 0))
     prior = (F.col("nk") + k) / (F.col("pos") - 1 + k * F.col("nh"))
     like = F.log(prior)
     for i in range(len(nums)):
-        c, t, q = F.col(f"c{i}"), F.col(f"t{i}"), F.col(f"q{i}")
-        var = F.when(c < 2, 0.0).otherwise(F.greatest(F.lit(0.0), q - t * t / c) / (c - 1))
-        z = 2 * var + 1e-32
-        p = F.exp(-F.pow(F.col(f"n{i}") - t / F.greatest(c, F.lit(1)), F.lit(2)) / z) / F.sqrt(F.pi() * z)
-        like = like + F.when(F.col(f"n{i}").isNotNull() & (p > 0), F.log(p)).otherwise(0.0)
+        like = like + positive_log(like_num(F.col(f"n{i}"), *[F.col(f"{c}{i}") for c in "ctq"]))
     for i in range(len(syms)):
-        p = (F.col(f"f{i}") + m * prior) / (F.col("nk") + m)
-        like = like + F.when(F.col(f"s{i}").isNotNull() & (p > 0), F.log(p)).otherwise(0.0)
+        like = like + F.when(F.col(f"s{i}").isNotNull(), positive_log(like_sym(F.col(f"f{i}"), F.col("nk"), prior, m))).otherwise(0.0)
     scored = pairs.select("pos", "want", "klass", like.alias("like"))
     return scored.groupBy("pos", "want").agg(F.min(F.struct(F.round(-F.col("like"), 9).alias("o"), "klass")).alias("m"), F.max("like").alias("like")).select("pos", "want", F.col("m.klass").alias("got"), "like")
+
+
+def counted(pairs: DataFrame, i: int, cut) -> DataFrame:
+    """Adds f<i>: how many rows before are of the class and have the same symbol i."""
+    own = running(pairs.withColumn(f"_f{i}", F.col("_nk")), "pos", [f"_f{i}"], ["klass", f"s{i}"], cut)
+    return own.withColumn(f"f{i}", F.col(f"upto__f{i}") - F.col(f"_f{i}")).drop(f"upto__f{i}", f"_f{i}")
+
+
+def like_num(v, c, t, q):
+    """Normal density of v under a count, sum and square sum."""
+    var = F.when(c < 2, 0.0).otherwise(F.greatest(F.lit(0.0), q - t * t / c) / (c - 1))
+    z = 2 * var + 1e-32
+    return F.exp(-F.pow(v - t / F.greatest(c, F.lit(1)), F.lit(2)) / z) / F.sqrt(F.pi() * z)
+
+
+def like_sym(f, n, prior, m: int = 2):
+    """m-estimate of a symbol seen f times among n rows."""
+    return (f + m * prior) / (n + m)
+
+
+def positive_log(p):
+    """Logarithm of a likelihood; unknown ones and zero take no part."""
+    return F.when(p > 0, F.log(p)).otherwise(0.0)

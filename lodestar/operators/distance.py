@@ -45,17 +45,31 @@ def coded(rf: RoleFrame) -> DataFrame:
     return rf.df.select(rf.rid, F.array(*[n[c] for c in nums]).cast("array<double>").alias("n"), F.array(*[F.col(f"`{c}`") for c in syms]).cast("array<string>").alias("s"))
 
 
-def distx(a: str, b: str, p: float = 2.0) -> Column:
-    """Between two coded rows in struct columns a and b."""
-    nums = F.zip_with(f"{a}.n", f"{b}.n", lambda u, v: F.pow(gap_num(u, v), F.lit(p)))
-    syms = F.zip_with(f"{a}.s", f"{b}.s", lambda u, v: gap_sym(u, v))
+def distx(a: str | Column, b: str | Column, p: float = 2.0, gower: bool = False) -> Column:
+    """Between two coded rows in struct columns a and b. With gower, cells that either row lacks take no part."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    if gower:
+        nums = F.zip_with(a["n"], b["n"], lambda u, v: F.pow(F.abs(u - v), F.lit(p)))
+        syms = F.zip_with(a["s"], b["s"], lambda u, v: (u != v).cast("double"))
+        every = F.filter(F.concat(nums, syms), lambda g: g.isNotNull())
+        return F.when(F.size(every) > 0, F.pow(F.aggregate(every, F.lit(0.0), lambda t, v: t + v) / F.size(every), F.lit(1 / p)))
+    nums = F.zip_with(a["n"], b["n"], lambda u, v: F.pow(gap_num(u, v), F.lit(p)))
+    syms = F.zip_with(a["s"], b["s"], lambda u, v: gap_sym(u, v))
     every = F.concat(nums, syms)
     return F.pow(F.aggregate(every, F.lit(0.0), lambda t, v: t + v) / F.size(every), F.lit(1 / p))
 
 
+def chebyshev_x(a: str | Column, b: str | Column) -> Column:
+    """The largest gap of two coded rows over the cells that both have."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    nums = F.zip_with(a["n"], b["n"], lambda u, v: F.abs(u - v))
+    return F.array_max(F.concat(nums, F.zip_with(a["s"], b["s"], lambda u, v: (u != v).cast("double"))))
+
+
 def near(rows: DataFrame, probes: DataFrame, k: int, rid: str = "rid", vector: str = "embedding") -> DataFrame:
     """(probe, rank, rid, d): the k rows nearest to each probe by Euclidean distance, ties to the smaller id; a row is
-    not its own neighbour. Probes go out in blocks of at most PROBES; tasks return k rows a probe."""
+    not its own neighbour. Probes go out in blocks of at most PROBES, distances by blocked matrix products whose k best
+    (and all that rounding could have put behind them) are measured again by differences; tasks return k rows a probe."""
     spark, found, after = rows.sparkSession, None, None
     own = probes.select(F.col(rid).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
     data = rows.select(F.col(rid).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
@@ -68,17 +82,30 @@ def near(rows: DataFrame, probes: DataFrame, k: int, rid: str = "rid", vector: s
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, vec = shared.value
+            norm = (vec * vec).sum(1)
+            best = np.full((len(ids), k), np.inf)  # the k best so far, their rows
+            who = np.full((len(ids), k), np.iinfo(np.int64).max)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                mine, x = b.column(0).to_numpy(), np.array(b.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(b.num_rows, -1)
-                for at in range(0, len(ids), 256):
-                    d = np.sqrt(((vec[at : at + 256, None, :] - x[None, :, :]) ** 2).sum(2)) if x.shape[0] * x.shape[1] < 1 << 16 else np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in vec[at : at + 256]])
-                    d[ids[at : at + 256, None] == mine[None, :]] = np.inf
-                    for i, row in enumerate(d):
-                        top = np.lexsort((mine, row))[:k]
-                        top = top[row[top] < np.inf]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), ids[at + i])), pa.array(mine[top]), pa.array(row[top])], names=["probe", "rid", "d"])
+                for at in range(0, b.num_rows, 4096):
+                    part = b.slice(at, 4096)
+                    mine, x = part.column(0).to_numpy(), np.array(part.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(part.num_rows, -1)
+                    size = (x * x).sum(1)
+                    for to in range(0, len(ids), 512):
+                        q = slice(to, to + 512)
+                        rough = norm[q, None] + size[None, :] - 2 * vec[q] @ x.T
+                        rough[ids[q, None] == mine[None, :]] = np.inf
+                        slack = 1e-9 * (norm[q, None] + size.max())
+                        edge = np.minimum(best[q, -1:] ** 2, np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, [min(k, rough.shape[1]) - 1]] if rough.shape[1] >= k else np.inf)
+                        r, c = np.nonzero((rough <= edge + slack) & np.isfinite(rough))
+                        d = np.sqrt(((vec[to + r] - x[c]) ** 2).sum(1))
+                        row = np.concatenate([r, np.repeat(np.arange(len(ids[q])), k)])
+                        all_d, all_id = np.concatenate([d, best[q].ravel()]), np.concatenate([mine[c], who[q].ravel()])
+                        order = np.lexsort((all_id, all_d, row))
+                        first = np.searchsorted(row[order], np.arange(len(ids[q])))
+                        pick = order[first[:, None] + np.arange(k)]
+                        best[q], who[q] = all_d[pick], all_id[pick]
+            r, c = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(who[r, c]), pa.array(best[r, c])], names=["probe", "rid", "d"])
 
         part = data.mapInArrow(run, "probe long, rid long, d double")
         found = part if found is None else found.unionByName(part)
@@ -99,7 +126,12 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataF
 
 def anomaly(rows: DataFrame, rid: str = "rid", vector: str = "embedding") -> DataFrame:
     """(rid, gap, score): gap to the nearest other row, and its logistic norm among all gaps."""
-    gaps = near(rows, rows, 1, rid, vector).select(F.col("probe").alias("rid"), F.col("d").alias("gap")).persist()
+    gaps = near(rows, rows, 1, rid, vector).select(F.col("probe").alias("rid"), F.col("d").alias("gap"))
+    return scored_gaps(gaps)
+
+
+def scored_gaps(gaps: DataFrame) -> DataFrame:
+    """Adds the logistic norm of each gap among all gaps."""
     mu, sd = gaps.agg(F.avg("gap"), F.coalesce(F.stddev_samp("gap"), F.lit(0.0))).first()
     return gaps.withColumn("score", logistic(F.col("gap"), mu or 0.0, sd))
 
@@ -130,51 +162,64 @@ def pair_mean(rf: RoleFrame, few: int = 64, seed: object = 1) -> float:
 
 def farthest(rf: RoleFrame, row) -> tuple:
     """The coded row farthest from a coded row, ties to the smaller id."""
-    c = coded(rf)
-    lit = F.struct(F.array(*map(F.lit, row["n"])).cast("array<double>").alias("n"), F.array(*map(F.lit, row["s"])).cast("array<string>").alias("s"))
-    d = c.select(F.struct("n", "s").alias("a"), lit.alias("b"), rf.rid, "n", "s")
+    d = coded(rf).select(F.struct("n", "s").alias("a"), literal(row).alias("b"), rf.rid, "n", "s")
     return d.orderBy(F.desc(F.round(distx("a", "b"), 9)), rf.rid).first()
 
 
 def project(rf: RoleFrame, east, west) -> DataFrame:
     """(rid, at): where each row lies on the line from east to west, by two distances; one pass."""
-    lit = lambda r: F.struct(F.array(*map(F.lit, r["n"])).cast("array<double>").alias("n"), F.array(*map(F.lit, r["s"])).cast("array<string>").alias("s"))
-    c = coded(rf).select(rf.rid, F.struct("n", "s").alias("a"), lit(east).alias("e"), lit(west).alias("w"))
-    ab, ea, wa = distx("e", "w"), distx("a", "e"), distx("a", "w")
-    return c.select(rf.rid, ((ea * ea + ab * ab - wa * wa) / (2 * ab + 1e-32)).alias("at"))
+    c = coded(rf).select(rf.rid, F.struct("n", "s").alias("a"))
+    return c.select(rf.rid, on_line(F.col("a"), literal(east), literal(west)).alias("at"))
+
+
+def on_line(a: Column, east: Column, west: Column) -> Column:
+    """Where a lies on the line from east to west."""
+    ab, ea, wa = distx(east, west), distx(a, east), distx(a, west)
+    return (ea * ea + ab * ab - wa * wa) / (2 * ab + 1e-32)
+
+
+#: Points of the merged local fronts that are compared by broadcast; beyond them the front is searched range by range.
+FRONT = 20_000
 
 
 def pareto(rf: RoleFrame) -> DataFrame:
-    """Rows that none dominates. Only rows of distinct goal values are compared, after a first filter by the best row
-    of each value of the first goal."""
+    """Rows that none dominates. Points are distinct goal values. With two goals, a point must beat the least second goal
+    of all points before it in the order of the first. With more, each task keeps the front of its own points (sort by
+    the sum of goals: a point can only be dominated by one before it), and the fronts are merged the same way, in one task
+    while they are few and by ranges of the first goal, each against the fronts before it, where they are not."""
+    from .stats import improvements
+
     goals = list(rf.schema.goals.items())
-    signed = [(-F.col(f"`{c}`") if h else F.col(f"`{c}`")).alias(f"g{i}") for i, (c, h) in enumerate(goals)]
+    signed = [(-F.col(f"`{c}`") if h else F.col(f"`{c}`")).cast("double").alias(f"g{i}") for i, (c, h) in enumerate(goals)]
     rows = rf.df.select(rf.rid, *signed)
     names = [f"g{i}" for i in range(len(goals))]
-    points = rows.select(*names).distinct()
-    if len(names) == 2:
-        from .stats import running  # noqa: F401
-
-        best = points.groupBy("g0").agg(F.min("g1").alias("g1"))
-        cut = best.repartitionByRange("g0").withColumn("_p", F.spark_partition_id()).persist()
-        lows = {r[0]: r[1] for r in cut.groupBy("_p").agg(F.min("g1")).collect()}  # one row a partition
-        before, rowsb = float("inf"), []
-        for p in sorted(lows):
-            rowsb.append((p, before))
-            before = min(before, lows[p])
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("_p").orderBy("g0").rowsBetween(Window.unboundedPreceding, -1)
-        base = rf.df.sparkSession.createDataFrame(rowsb, "_p int, b double")
-        front = cut.withColumn("m", F.min("g1").over(w)).join(F.broadcast(base), "_p").where(F.col("g1") < F.least(F.coalesce("m", F.lit(float("inf"))), F.col("b"))).select("g0", "g1")
-        return rows.join(front, ["g0", "g1"], "left_semi").select(rf.rid)
-    a, b = points.alias("a"), points.alias("b")
-    le = [F.col(f"b.{g}") <= F.col(f"a.{g}") for g in names]
-    lt = [F.col(f"b.{g}") < F.col(f"a.{g}") for g in names]
-    every, some = le[0], lt[0]
-    for x, y in zip(le[1:], lt[1:], strict=True):
-        every, some = every & x, some | y
-    return rows.join(a.join(b, every & some, "left_anti"), names, "left_semi").select(rf.rid)
+    points = rows.select(*names).where(" AND ".join(f"{n} IS NOT NULL" for n in names)).distinct()
+    if len(names) == 1:
+        front = points.orderBy("g0").limit(1)
+    elif len(names) == 2:
+        front = improvements(points.groupBy("g0").agg(F.min("g1").alias("g1")), ["g0"], "g1")
+    else:
+
+        def skyline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = np.empty((0, len(names)))
+            for b in batches:
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1) if b.num_rows else kept[:0]
+                x = np.concatenate([kept, x])
+                front: list[np.ndarray] = []
+                for p in x[np.lexsort((*x.T, x.sum(1)))]:
+                    if not front or not (np.array(front) <= p).all(1).any():
+                        front.append(p)
+                kept = np.array(front).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, i]) for i in range(len(names))], names=names)
+
+        local = points.mapInArrow(skyline, points.schema)
+        while True:  # fronts of ever fewer tasks, each of the fronts of several
+            n = max(1, local.count() // FRONT)
+            local = local.repartition(n).mapInArrow(skyline, points.schema)
+            if n == 1:
+                break
+        front = local
+    return rows.join(front, names, "left_semi").select(rf.rid)
 
 
 def zitzler(a: list[Column], b: list[Column], heavens: list[int]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import holds
 from ..roles import RoleFrame
+from .stats import running
 
 
 def long_rows(df: DataFrame, rf: RoleFrame, y: Column, keys: list[str]) -> DataFrame:
@@ -18,15 +19,21 @@ def long_rows(df: DataFrame, rf: RoleFrame, y: Column, keys: list[str]) -> DataF
     return df.select(*keys, y.cast("double").alias("y"), F.explode(F.array(*cells)).alias("c")).select(*keys, "y", "c.*").where("y IS NOT NULL AND (x IS NOT NULL OR s IS NOT NULL)")
 
 
+def sides(cells: DataFrame, own: list[str], sums: str) -> DataFrame:
+    """(own, x, s, <c>1, <c>): sums of the near side (numbers: up to x; symbols: the value's own) and of the whole column.
+    Values of a column go range by range (stats.running), so no task holds a whole continuous column."""
+    whole = cells.groupBy(*own).agg(*[F.sum(c).alias(f"{c}_all") for c in sums])
+    upto = running(cells, "x", list(sums), own)
+    near = [F.when(F.col("num"), F.col(f"upto_{c}")).otherwise(F.col(c)).alias(f"{c}1") for c in sums]
+    return upto.join(whole, own).select(*own, "x", "s", *near, *[F.col(f"{c}_all").alias(c) for c in sums])
+
+
 def candidates(long: DataFrame, keys: list[str], leaf: int = 3) -> DataFrame:
     """(keys, at, op, x, s, n1, n2, cost): numbers between distinct values, symbols one against the rest. The far side is
     the total less the near one. Cells are summed by value before anything is ordered."""
     own = [*keys, "at", "num"]
     cells = long.groupBy(*own, "x", "s").agg(F.count("*").alias("n"), F.sum("y").alias("t"), F.sum(F.col("y") * F.col("y")).alias("q"))
-    whole = Window.partitionBy(*own)
-    upto = whole.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    side = lambda c: F.when(F.col("num"), F.sum(c).over(upto)).otherwise(F.col(c))
-    rows = cells.select(*own, "x", "s", *[side(c).alias(f"{c}1") for c in "ntq"], *[F.sum(c).over(whole).alias(c) for c in "ntq"])
+    rows = sides(cells, own, "ntq")
     sd = lambda n, t, q: F.when(n < 2, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), q - t * t / n) / (n - 1)))
     n1, n2 = F.col("n1"), F.col("n") - F.col("n1")
     cost = (n1 * sd(n1, F.col("t1"), F.col("q1")) + n2 * sd(n2, F.col("t") - F.col("t1"), F.col("q") - F.col("q1"))) / F.col("n")
@@ -129,10 +136,7 @@ def tag_candidates(df: DataFrame, rf: RoleFrame, best: Column, leaf: int = 3) ->
     long = long_rows(df, rf, best.cast("double"), [])
     own = ["at", "num"]
     cells = long.groupBy(*own, "x", "s").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
-    whole = Window.partitionBy(*own)
-    upto = whole.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    side = lambda c: F.when(F.col("num"), F.sum(c).over(upto)).otherwise(F.col(c))
-    rows = cells.select(*own, "x", "s", *[side(c).alias(f"{c}1") for c in "nt"], *[F.sum(c).over(whole).alias(c) for c in "nt"])
+    rows = sides(cells, own, "nt")
     ent = lambda n, t: sum((F.when(k > 0, -(k / n) * F.log2(k / n)).otherwise(0.0) for k in (t, n - t)), F.lit(0.0))
     n1, t1 = F.col("n1"), F.col("t1")
     n2, t2 = F.col("n") - n1, F.col("t") - t1
@@ -188,35 +192,42 @@ def grow_rule(rf: RoleFrame, score: Column, conjuncts: int = 2) -> list[tuple]:
 
 def frugal(rf: RoleFrame, y: Column, bins: int = 7, depth: int = 4) -> tuple[float, list[tuple]]:
     """Fast-and-frugal tree: each level leaves by the bin range with the lowest or highest mean; all 2^depth bias strings
-    are grown together and the one with the least mean absolute error is kept. Returns (error, exits)."""
+    are grown together, one job a level, and the one with the least mean absolute error is kept. Returns (error, exits).
+
+    A row's place in the trees still open is an array of bias strings, told by literals; nothing is joined."""
     from .distance import norms
 
     n = norms(rf, [c for c in rf.schema.x if c in rf.schema.nums])
     codes = {c: (F.floor(bins * n[c]) if c in n else F.col(f"`{c}`")).cast("string") for c in rf.schema.x}
-    df = rf.df.select(rf.rid, y.alias("_y"), *[codes[c].alias(f"x{i}") for i, c in enumerate(rf.schema.x)]).where("_y IS NOT NULL").persist()
-    least = df.count() ** 0.33
-
-    def level(rows: DataFrame, bias: str, exits: list) -> list:
-        if len(bias) == depth:
-            return [exits]
+    df = rf.df.select(rf.rid, y.alias("_y"), *[codes[c].alias(f"x{i}") for i, c in enumerate(rf.schema.x)]).where("_y IS NOT NULL")
+    rows, rest = df.agg(F.count("*"), F.avg("_y")).first()
+    least, rest = rows**0.33, rest or 0.0
+    trees, done = {"": []}, []
+    for _ in range(depth):
+        stays = [F.when(passes(exits), F.lit(bias)) for bias, exits in trees.items()]
         cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("v")) for i in range(len(rf.schema.x))]))
-        found = rows.select("_y", cells.alias("c")).select("_y", "c.*").where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("n"), F.avg("_y").alias("m")).where(F.col("n") > least)
-        r = found.agg(F.min_by(F.struct("i", "v", "m"), F.struct("m", "i", "v")).alias("lo"), F.max_by(F.struct("i", "v", "m"), F.struct("m", "i", "v")).alias("hi")).first()
-        if r is None or r["lo"] is None:
-            return [exits]
-        out = []
-        for b, e in (("0", r["lo"]), ("1", r["hi"])):
-            out += level(rows.where(F.col(f"x{e['i']}").isNull() | (F.col(f"x{e['i']}") != e["v"])), bias + b, [*exits, (e["i"], e["v"], e["m"])])
-        return out
-
-    trees = level(df, "", [])
-    rest = df.agg(F.avg("_y")).first()[0] or 0.0
+        open_rows = df.select("*", F.explode(F.array_compact(F.array(*stays))).alias("bias")).select("bias", "_y", cells.alias("c")).select("bias", "_y", "c.*")
+        found = open_rows.where("v IS NOT NULL").groupBy("bias", "i", "v").agg(F.count("*").alias("n"), F.avg("_y").alias("m")).where(F.col("n") > least)
+        item = F.struct("i", "v", "m")
+        pick = found.groupBy("bias").agg(F.min_by(item, F.struct(F.round("m", 9), "i", "v")).alias("lo"), F.max_by(item, F.struct(F.round("m", 9), -F.col("i"), "v")).alias("hi")).collect()
+        got = {r["bias"]: (r["lo"], r["hi"]) for r in pick}  # two exits a tree: 2^depth at most
+        done += [exits for bias, exits in trees.items() if bias not in got]
+        trees = {bias + b: [*trees[bias], (e["i"], e["v"], e["m"])] for bias, two in sorted(got.items()) for b, e in zip("01", two, strict=True)}
+    grown = [*done, *trees.values()]
     errors = []
-    for t in trees:
+    for t in grown:
         guess = F.lit(rest)
         for i, v, m in reversed(t):
             guess = F.when(F.col(f"x{i}") == v, m).otherwise(guess)
         errors.append(F.avg(F.abs(F.col("_y") - guess)))
     got = df.agg(*[e.alias(f"e{i}") for i, e in enumerate(errors)]).first()
-    k = min(range(len(trees)), key=lambda i: (got[i], i))
-    return got[k], [(rf.schema.x[i], v, m) for i, v, m in trees[k]]
+    k = min(range(len(grown)), key=lambda i: (round(got[i] or 0.0, 9), i))
+    return got[k] or 0.0, [(rf.schema.x[i], v, m) for i, v, m in grown[k]]
+
+
+def passes(exits: list[tuple]) -> Column:
+    """Whether a row leaves by none of the exits (column number, value, mean)."""
+    out = F.lit(True)
+    for i, v, _ in exits:
+        out = out & (F.col(f"x{i}").isNull() | (F.col(f"x{i}") != v))
+    return out

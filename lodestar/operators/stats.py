@@ -6,28 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(counts: DataFrame, by: str, sums: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Adds upto_<s>: the sum of s over rows up to this one in the order of `by`, within keys.
+#: Ranges that running sums go over at most.
+RANGES = 256
 
-    Without keys rows are ranged into partitions, summed there, and each partition gets what the ones before it hold, so
-    no task sees all rows.
+
+def ranges(df: DataFrame, by: str) -> Column:
+    """The number of a row's range of `by`: bounds are literals (approximate quantiles), so a task that runs again, or a
+    plan that is evaluated twice, puts every row into the same range."""
+    n = min(RANGES, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = df.agg(F.percentile_approx(by, [i / n for i in range(1, n)], 1000)).first()[0] if n > 1 else None
+    v = F.col(by)
+    return sum(((v > F.lit(c)).cast("int") for c in sorted(set(cuts or []))), F.lit(0)) if cuts else F.lit(0)
+
+
+def running(counts: DataFrame, by: str, sums: list[str], keys: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
+    """Adds upto_<s>: the sum of s over rows up to this one in the order of `by` (numbers or times, ties in any order),
+    within keys.
+
+    Rows of a key are summed range by range, and each range gets what the ones before it hold, so no task sees all rows
+    of a key. `bucket`, if given, is the number of a row's range.
     """
     keys = keys or []
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.select("*", *[F.sum(s).over(w).alias(f"upto_{s}") for s in sums])
-    ranged = counts.repartitionByRange(by).withColumn("_p", F.spark_partition_id()).persist()
-    w = Window.partitionBy("_p").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    parts = ranged.groupBy("_p").agg(*[F.sum(s).alias(s) for s in sums]).orderBy("_p").collect()  # one row a partition
-    before, rows = [0] * len(sums), []
-    for r in parts:
-        rows.append((r["_p"], *map(float, before)))
-        before = [a + (r[s] or 0) for a, s in zip(before, sums, strict=True)]
-    spark = counts.sparkSession
-    base = spark.createDataFrame(rows, ", ".join(["_p int", *[f"_b{i} double" for i in range(len(sums))]]))
-    inner = ranged.select("*", *[F.sum(s).over(w).alias(f"_r{i}") for i, s in enumerate(sums)])
-    out = inner.join(F.broadcast(base), "_p")
-    return out.select(*counts.columns, *[(F.col(f"_r{i}") + F.col(f"_b{i}").cast(counts.schema[s].dataType)).alias(f"upto_{s}") for i, s in enumerate(sums)])
+    part = counts.withColumn("_p", F.coalesce(ranges(counts, by) if bucket is None else bucket, F.lit(0)))
+    own = Window.partitionBy(*keys, "_p").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = part.groupBy(*keys, "_p").agg(*[F.sum(s).alias(f"_t{i}") for i, s in enumerate(sums)])  # a row a range and key
+    base = base.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))]) if keys else base.select(F.col("_p").alias("_q"), *[F.coalesce(F.sum(f"_t{i}").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inner = part.select("*", *[F.sum(s).over(own).alias(f"_r{i}") for i, s in enumerate(sums)])
+    return inner.join(base, same).select(*counts.columns, *[(F.coalesce(F.col(f"_r{i}"), F.lit(0)) + F.col(f"_b{i}")).alias(f"upto_{s}") for i, s in enumerate(sums)])
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
+    """Adds the number (from 1) of each row in an order; rows are ranged by the order's first column."""
+    part = df.withColumn("_p", F.coalesce(ranges(df, order[0]), F.lit(0)))
+    base = part.groupBy("_p").agg(F.count("*").alias("_n"))
+    base = base.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a range
+    own = part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    return own.join(F.broadcast(base), F.col("_p") == F.col("_q")).select(*df.columns, (F.col("_b") + F.col("_r")).alias(name))
+
+
+def sliced(df: DataFrame, order: list[str], lo: int, hi: int) -> DataFrame:
+    """The rows numbered lo to hi (exclusive, from 0) of an order."""
+    return numbered(df, order, "_pos").where(F.col("_pos").between(lo + 1, hi)).drop("_pos")
+
+
+def kth(df: DataFrame, value: str, k: int):
+    """The value at place k (from 0) of the ascending order; exact, on counts of distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    return running(counts, "v", ["n"]).agg(F.min(F.when(F.col("upto_n") > k, F.col("v")))).first()[0]
 
 
 def samples(a: DataFrame, b: DataFrame, value: Column) -> DataFrame:
@@ -91,23 +120,21 @@ def order_values(df: DataFrame, value: str, ranks: list[float]) -> list:
 
 def improvements(df: DataFrame, order: list[str], value: str) -> DataFrame:
     """Rows whose value is under all values before them in an order. Ranges of the order are scanned apart; each starts
-    from the least value of the ranges before it (one row a range on the driver)."""
-    ranged = df.where(F.col(value).isNotNull()).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).persist()
-    inf = float("inf")
-    least, base = inf, []
-    for r in ranged.groupBy("_p").agg(F.min(value).cast("double").alias("v")).orderBy("_p").collect():
-        base.append((r["_p"], least))
-        least = min(least, r["v"])
-    starts = df.sparkSession.createDataFrame(base, "_p int, _b double")
+    from the least value of the ranges before it."""
+    known = df.where(F.col(value).isNotNull())
+    part = known.withColumn("_p", F.coalesce(ranges(known, order[0]), F.lit(0)))
+    least = part.groupBy("_p").agg(F.min(value).alias("_v"))  # a row a range
+    least = least.select(F.col("_p").alias("_q"), F.min("_v").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_b"))
     before = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = ranged.withColumn("_m", F.min(value).over(before)).join(F.broadcast(starts), "_p")
-    return rows.where(F.col(value) < F.least(F.coalesce(F.col("_m").cast("double"), F.lit(inf)), F.col("_b"))).select(*df.columns)
+    rows = part.withColumn("_m", F.min(value).over(before)).join(F.broadcast(least), F.col("_p") == F.col("_q"))
+    edge = F.least("_m", "_b")  # least skips null
+    return rows.where(edge.isNull() | (F.col(value) < edge)).select(*df.columns)
 
 
 def rank_groups(df: DataFrame, group: str, value: str, big: bool = False) -> dict[str, int]:
     """Ranks of a column's groups by mean value; those that `same` can't tell from their rank's champion share it. Groups
     are few names; each comparison runs on counts of distinct values."""
-    counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).persist()
+    counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
     means = [(r["g"], r["m"]) for r in counts.groupBy("g").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m")).collect()]
 
     def level(a: str, b: str) -> bool:

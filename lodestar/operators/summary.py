@@ -42,9 +42,11 @@ def moments(df: DataFrame, v: Column, sign: Column | None = None) -> DataFrame:
 
 
 def centroid(rf: RoleFrame) -> DataFrame:
-    """One row: mean of each number, mode of each symbol."""
+    """One row: mean of each number, mode of each symbol (of counted values: no buffer holds a column)."""
     sch = rf.schema
-    return rf.df.agg(*[F.avg(f"`{c}`").alias(c) if c in sch.nums else F.mode(F.col(f"`{c}`"), True).alias(c) for c in sch.names])
+    means = rf.df.agg(*[F.avg(f"`{c}`").alias(c) for c in sch.names if c in sch.nums], F.count("*").alias("_n"))
+    modes = {r["col"]: r["mode"] for r in centers(symbols(rf.df, list(sch.syms))).collect()} if sch.syms else {}  # a row a column
+    return means.select(*[F.col(f"`{c}`") if c in sch.nums else F.lit(modes.get(c)).cast("string").alias(c) for c in sch.names])
 
 
 def degenerate(df: DataFrame, cols: list[str], missing: float = 0.5, ids: float = 0.9, most: float = 0.95) -> DataFrame:

@@ -47,7 +47,7 @@ def role_view(spark: SparkSession, sf_dir: str, name: str) -> RoleFrame:
     if name == "line":
         return RoleFrame(t("lineitem").selectExpr("l_orderkey * 8 + l_linenumber AS rid", "l_quantity AS L_quantity", "l_tax AS L_tax", "l_returnflag", "l_linestatus", "l_extendedprice AS `L_extendedprice-`", "l_discount AS `L_discount+`"), "rid")
     if name == "order":
-        joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation").limit(10_000)), F.col("c_nationkey") == F.col("n_nationkey"))
+        joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         return RoleFrame(joined.selectExpr("o_orderkey AS rid", "c_acctbal AS C_acctbal", "c_mktsegment", "o_orderpriority", "CAST(n_regionkey AS string) AS n_regionkey", "o_totalprice AS `O_totalprice+`", "o_orderstatus AS `o_orderstatus!`"), "rid")
     if name == "event":
         return RoleFrame(t("events").selectExpr("event_id AS rid", "ts AS tX", "CAST(hour(ts) AS double) AS Hour", "CAST(user_id % 8 AS string) AS u", "value AS `Value-`", "event_type AS `event_type!`"), "rid")
