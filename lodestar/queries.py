@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import columns as C
 from .operators import cluster, distance, splits, stats, summary
 from .plans import search
@@ -35,7 +36,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | oracles.SQL
 
 
 def view(s: SparkSession, d: str, name: str) -> RoleFrame:
@@ -179,19 +180,20 @@ def order_tree(s: SparkSession, d: str) -> tuple[RoleFrame, splits.Tree]:
 @query("q21_best_split")
 def q21(s, d):
     rf = view(s, d, "order")
-    return splits.best(splits.candidates(splits.long_rows(rf.df, rf, distance.disty(rf), []), []), [])
+    got = splits.best(splits.candidates(splits.long_rows(rf.df, rf, distance.disty(rf), []), []), [])
+    return got.withColumn("cost", R(F.col("cost")))
 
 
 @query("q22_tree")
 def q22(s, d):
     _, t = order_tree(s, d)
-    return s.createDataFrame([(i, n, float(m), i in t.cuts) for i, (n, m) in sorted(t.stats.items())], "node long, n long, mid double, inner boolean")
+    return s.createDataFrame([(i, n, round(float(m) + 1e-9, 6), i in t.cuts) for i, (n, m) in sorted(t.stats.items())], "node long, n long, mid double, inner boolean")
 
 
 @query("q23_tree_predict")
 def q23(s, d):
     rf, t = order_tree(s, d)
-    return rf.df.select("rid", t.leaf_column().alias("leaf"), t.mid_column().alias("guess"))
+    return rf.df.select("rid", t.leaf_column().alias("leaf"), R(t.mid_column()).alias("guess"))
 
 
 @query("q26_rule")
@@ -204,7 +206,7 @@ def q26(s, d):
 def q28(s, d):
     rf = view(s, d, "order")
     err, exits = splits.frugal(rf, distance.disty(rf), depth=3)
-    return s.createDataFrame([(i, a, v, m, err) for i, (a, v, m) in enumerate(exits)], "level int, at string, bin string, mid double, err double")
+    return s.createDataFrame([(i, a, v, round(m + 1e-9, 6), round(err + 1e-9, 6)) for i, (a, v, m) in enumerate(exits)], "level int, at string, bin string, mid double, err double")
 
 
 @query("q29_prunings")
@@ -212,7 +214,7 @@ def q29(s, d):
     rf, t = order_tree(s, d)
     sums = {i: (m * n, n) for i, (n, m) in t.stats.items()}
     full, spine = splits.race(t, sums), splits.race(t, sums, "spine")
-    return s.createDataFrame([("all", len(list(t.prunings())), full[1], float(full[0])), ("spine", len(list(t.prunings(shapes="spine"))), spine[1], float(spine[0]))], "shapes string, prunings int, leaves int, score double")
+    return s.createDataFrame([("all", len(list(t.prunings())), full[1], round(float(full[0]) + 1e-9, 6)), ("spine", len(list(t.prunings(shapes="spine"))), spine[1], round(float(spine[0]) + 1e-9, 6))], "shapes string, prunings long, leaves long, score double")
 
 
 @query("q30_wins", f"{DIST}, c AS (SELECT round(d,9) v, count(*) n FROM d GROUP BY 1), u AS (SELECT v, sum(n) OVER (ORDER BY v) u, sum(n) OVER () t FROM c), k AS (SELECT min(v) lo, min(CASE WHEN u > t//2 THEN v END) mid FROM u) SELECT rid, round(greatest(-100,least(100,100*(1-(round(d,9)-lo)/(mid-lo+1e-32))))+1e-9,3) AS win FROM d, k")
@@ -232,7 +234,7 @@ def q31(s, d):
 @query("q34_same")
 def q34(s, d):
     c = stats.samples(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_acctbal").alias("v")), s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_acctbal").alias("v")), F.col("v"))
-    return stats.same(c)
+    return stats.same(c).select("n", "m", *[R(F.col(x)).alias(x) for x in ("cliffs", "ks", "cohen")], "same")
 
 
 @query("q36_preq_bayes")
@@ -242,7 +244,8 @@ def q36(s, d):
 
 @query("q37_confusion")
 def q37(s, d):
-    return summary.confusion(cluster.prequential(view(s, d, "event"), ["tX", "rid"]), "want", "got")
+    got = summary.confusion(cluster.prequential(view(s, d, "event"), ["tX", "rid"]), "want", "got")
+    return got.select("klass", "tn", "fn", "fp", "tp", *[R(F.col(c)).alias(c) for c in ("acc", "pd", "pf")])
 
 
 @query("q39_kmeans")
@@ -403,7 +406,7 @@ def q65(s, d):
 
 @query("q66_pair_mean")
 def q66(s, d):
-    return s.createDataFrame([(float(distance.pair_mean(mixed(s, d))),)], "eps double")
+    return s.createDataFrame([(round(float(distance.pair_mean(mixed(s, d))) + 1e-9, 6),)], "eps double")
 
 
 # --------------------------------------------------------------------------- rules, bins, curves
