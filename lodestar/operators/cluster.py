@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import hashed
+from ..functions.columns import hashed, uniform
 from ..roles import RoleFrame
 from .distance import coded, disty, distx, farthest, literal, on_line, project
 from .stats import kth, numbered, order_values, ranges, running
@@ -28,6 +28,25 @@ def reservoir(df: DataFrame, bucket: str, key: str, cap: int, seed: object = 1)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r").join(seen, bucket)
 
 
+def split_half(df: DataFrame, key: str, seed: object = 1) -> DataFrame:
+    """Adds `train`: the first half (n // 2 rows) by hashed order, exactly; ranges of the hash are numbered apart."""
+    n = df.count()
+    rows = df.withColumn("_u", uniform(F.col(key), seed))
+    return numbered(rows, ["_u", key], "_pos").withColumn("train", F.col("_pos") <= n // 2).drop("_u", "_pos")
+
+
+def poles90(rf: RoleFrame, seed: object = 1, share: float = 0.9):
+    """Poles that outliers don't draw away: at `share` of the order by distance, from a hashed start and from the first pole."""
+    rows = coded(rf)
+    at, out = some(rows, rf.rid, 1, seed).first(), []
+    for _ in range(2):
+        d = rows.select(rf.rid, "n", "s", F.round(distx(F.struct("n", "s"), literal(at)), 9).alias("d"))
+        edge = kth(d, "d", int(share * d.count()))
+        at = d.where(F.col("d") == edge).orderBy(rf.rid).first()
+        out.append(at)
+    return out
+
+
 def poles(rf: RoleFrame, seed: object = 1):
     """Two rows far from each other, from a hashed start."""
     start = some(coded(rf), rf.rid, 1, seed).first()
@@ -126,8 +145,6 @@ def live_columns(df: DataFrame, bucket: str, cols: list[str], gap: float = 0.3,
 
 def draws(df: DataFrame, key: str, n: int, seed: object = 1) -> DataFrame:
     """(draw, row...): n rows with replacement; row numbers come from ranges, so no task orders all rows."""
-    from ..functions.columns import uniform
-
     own, total = numbered(df, [key], "_pos"), df.count()
     picks = df.sparkSession.range(n).select(F.col("id").alias("draw"), (F.floor(uniform(F.col("id"), seed) * total) + 1).cast("long").alias("_pos"))
     return picks.join(own.withColumn("_pos", F.col("_pos").cast("long")), "_pos").drop("_pos")

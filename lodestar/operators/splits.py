@@ -94,15 +94,45 @@ class Tree:
         return out
 
 
+def fastmap(rf: RoleFrame, seed: object = 1):
+    """A target for grow_by: y is how much farther a row is from one pole of its node than from the other. Poles of all
+    nodes of a level are found in the same two passes; they are two rows a node."""
+    from ..functions.columns import hashed
+    from .distance import coded, distx
+
+    def target(rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
+        own = rows.join(coded(rf).select(rf.rid, F.struct("n", "s").alias("_a")), rf.rid)
+        shape = own.schema["_a"].dataType.simpleString()
+        start = own.groupBy("_node").agg(F.min_by("_a", F.struct(hashed(F.col(rf.rid), seed), rf.rid)).alias("_b"))
+
+        def farthest(place: DataFrame) -> DataFrame:
+            few = F.broadcast(spark.createDataFrame(place.collect(), f"_node int, _b {shape}"))  # a row a node
+            return own.join(few, "_node").groupBy("_node").agg(F.max_by("_a", F.struct(F.round(distx("_a", "_b"), 9), -F.col(rf.rid))).alias("_b"))
+
+        east = farthest(start)
+        west = farthest(east).withColumnRenamed("_b", "_w")
+        both = F.broadcast(east.join(west, "_node"))
+        return own.join(both, "_node").withColumn("_y", distx("_a", "_b") - distx("_a", "_w")).drop("_a", "_b", "_w")
+
+    return target
+
+
 def grow(rf: RoleFrame, y: Column, leaf: int = 3, depth: int = 4) -> Tree:
-    """Level by level: one job finds the best cuts of all open nodes; the driver keeps cuts only (2^depth at most)."""
+    """A tree on one target column."""
+    return grow_by(rf, lambda rows: rows.withColumn("_y", y), leaf, depth)
+
+
+def grow_by(rf: RoleFrame, target, leaf: int = 3, depth: int = 4) -> Tree:
+    """Level by level: one job finds the best cuts of all open nodes; the driver keeps cuts only (2^depth at most).
+    `target` takes the rows of a level, with their `_node`, and adds what to split on, `_y`."""
     cuts: dict = {}
     stats: dict = {}
-    df = rf.df.withColumn("_y", y)
+    df = rf.df
     for level in range(depth + 1):
         tree = Tree(cuts, stats)
         rows = df.withColumn("_node", tree.leaf_column())
-        rows = rows.where((F.col("_node") >= 2**level) & (F.col("_node") < 2 ** (level + 1)))
+        rows = target(rows.where((F.col("_node") >= 2**level) & (F.col("_node") < 2 ** (level + 1))))
         for r in rows.groupBy("_node").agg(F.count("_y").alias("n"), F.avg("_y").alias("mid")).collect():
             stats[r[0]] = (r[1], r[2] if r[2] is not None else 0.0)
         if level == depth:
@@ -119,6 +149,34 @@ def grow(rf: RoleFrame, y: Column, leaf: int = 3, depth: int = 4) -> Tree:
     return Tree(cuts, stats)
 
 
+def rolled(tree: Tree) -> dict[int, tuple[int, float]]:
+    """For each node the number of leaves and the least leaf mean below it."""
+    out: dict[int, tuple[int, float]] = {}
+    for i in sorted(tree.stats, reverse=True):
+        below = [out[k] for k in (2 * i, 2 * i + 1)] if i in tree.cuts else [(1, tree.stats[i][1])]
+        out[i] = (sum(n for n, _ in below), min(m for _, m in below))
+    return out
+
+
+def percentile_candidates(rf: RoleFrame, y: Column, bins: int = 8, leaf: int = 3) -> DataFrame:
+    """Candidates of numbers at percentile-spaced cut values only; unknown cells are taken to be at the column's middle
+    (mean, or most frequent symbol)."""
+    from .stats import spaced_cuts
+    from .summary import centroid
+
+    mid = centroid(RoleFrame(rf.df.select(*[f"`{c}`" for c in rf.schema.names]), rf.rid, rf.schema)).first()
+    df = rf.df
+    for c in rf.schema.x:
+        df = df.withColumn(c, F.coalesce(F.col(f"`{c}`"), F.lit(mid[c])))
+    found = candidates(long_rows(df, rf, y, []), [], leaf)
+    cuts = {c: spaced_cuts(rf.df, c, bins) for c in rf.schema.x if c in rf.schema.nums}
+    # a cut value that is no value of the imputed column stands for the next smaller one: both part the rows alike
+    at = F.lit(False)
+    for c, vs in cuts.items():
+        at = at | ((F.col("at") == c) & F.col("x").isin(vs))
+    return found.where((F.col("op") == "==") | at)
+
+
 def race(tree: Tree, sums: dict[int, tuple[float, int]], shapes: str = "all") -> tuple[float, int, frozenset[int]]:
     """The pruning whose best-predicted leaf has the lowest mean of actual y (seeded with the leaf's mid), then fewest
     leaves. sums: actual (sum, n) of each node."""

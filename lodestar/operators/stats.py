@@ -118,6 +118,11 @@ def order_values(df: DataFrame, value: str, ranks: list[float]) -> list:
     return list(running(counts, "v", ["n"]).agg(*picks).first())
 
 
+def spaced_cuts(df: DataFrame, value: str, bins: int) -> list[float]:
+    """At most bins - 1 percentile-spaced cut values, each once."""
+    return sorted({v for v in order_values(df, value, [i / bins for i in range(1, bins)]) if v is not None})
+
+
 def improvements(df: DataFrame, order: list[str], value: str) -> DataFrame:
     """Rows whose value is under all values before them in an order. Ranges of the order are scanned apart; each starts
     from the least value of the ranges before it."""

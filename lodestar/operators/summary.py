@@ -78,3 +78,32 @@ def unfairness(df: DataFrame, want: str, got: str, group: str, positive: str) ->
     w = Window.orderBy(F.desc("n"), "g")
     first = per.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("pd").alias("pd1"), F.col("pf").alias("pf1"))
     return per.crossJoin(F.broadcast(first)).agg(F.max(F.greatest(F.abs(F.col("pd") - F.col("pd1")), F.abs(F.col("pf") - F.col("pf1")))).alias("gap"))
+
+
+def musd(df: DataFrame, v: Column) -> DataFrame:
+    """Mean and population standard deviation."""
+    return df.agg(F.avg(v).alias("mu"), F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("sd"))
+
+
+def kept_columns(df: DataFrame, cols: list[str], **limits: float) -> list[str]:
+    """The columns that are not degenerate."""
+    good = {r["col"] for r in degenerate(df, cols, **limits).collect() if r["verdict"] == "ok"}  # a row a column
+    return [c for c in cols if c in good]
+
+
+def transpose(df: DataFrame, key: str, cols: list[str], most: int = 1000) -> DataFrame:
+    """(col, one column for each value of the key): columns become rows. More than `most` rows are an error."""
+    names = [r[0] for r in df.select(key).distinct().orderBy(key).limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} rows to turn into columns")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"`{c}`").cast("string").alias("v")) for c in cols]))
+    return df.select(key, cells.alias("c")).select(key, "c.*").groupBy("col").pivot(key, names).agg(F.first("v"))
+
+
+def node_stats(rows: DataFrame, node: str, goals: dict[str, Column], y: Column, klass: Column | None = None) -> DataFrame:
+    """Per node: n, mean of each goal, mean y, and the class that most rows have (ties to the smallest)."""
+    out = rows.groupBy(node).agg(F.count("*").alias("n"), *[F.avg(g).alias(c) for c, g in goals.items()], F.avg(y).alias("y"))
+    if klass is None:
+        return out
+    counts = rows.groupBy(node, klass.alias("klass")).agg(F.count("*").alias("m")).where("klass IS NOT NULL")
+    return out.join(counts.groupBy(node).agg(F.min_by("klass", F.struct(-F.col("m"), "klass")).alias("klass")), node, "left")

@@ -1,7 +1,7 @@
-"""Label-frugal acquisition, holdout studies, surrogate optimizers, and the goal-model world sampler.
+"""Label-frugal acquisition, holdout studies and surrogate optimizers.
 
 Sequential by nature on bounded rows: pools are capped (CAP rows, the algorithm's own parameter), labels are few. Parallel
-over (arm, seed) in `sweep` and over worlds in `worlds`.
+over (arm, seed) in `sweep`.
 """
 
 from __future__ import annotations
@@ -228,14 +228,36 @@ def sweep(spark: SparkSession, views: dict[str, RoleFrame], arms: list[tuple[str
 
 
 def optimize(spark: SparkSession, rows: list[tuple], score: list[float], how: list[str], chains: int = 4, steps: int = 300, size: int = 20, gens: int = 20) -> DataFrame:
-    """(optimizer, chain, best): de, ga, sa and ls minimize the score of the nearest real row; one task a chain.
+    """(optimizer, chain, best): the end of each chain of `timeline`."""
+    t = timeline(spark, rows, score, how, chains, steps, size, gens)
+    return t.groupBy("optimizer", "chain").agg(F.min("best").alias("best"))
 
-    Rows are coded: numbers and symbols. de and ga have `size` rows for `gens` generations, sa and ls `steps` steps.
+
+def race(spark: SparkSession, rows: list[tuple], score: list[float], how: list[str], **budget) -> DataFrame:
+    """(optimizer, best), best first: optimizers over the same surrogate."""
+    return optimize(spark, rows, score, how, **budget).groupBy("optimizer").agg(F.min("best").alias("best")).orderBy("best", "optimizer")
+
+
+def merged(times: DataFrame) -> DataFrame:
+    """(evaluation, optimizer, best): the steps of a timeline that beat all optimizers' steps before them."""
+    from ..operators.stats import improvements
+
+    first = times.groupBy("evaluation").agg(F.min(F.struct("best", "optimizer")).alias("m")).select("evaluation", "m.best", "m.optimizer")
+    return improvements(first, ["evaluation"], "best").select("evaluation", "optimizer", "best")
+
+
+def timeline(spark: SparkSession, rows: list[tuple], score: list[float], how: list[str], chains: int = 4, steps: int = 300, size: int = 20, gens: int = 20) -> DataFrame:
+    """(optimizer, chain, evaluation, best): each improvement of de, ga, sa, ls, climb and oneplus1, which minimize the
+    score of the nearest real row; one task a chain.
+
+    Rows are coded: numbers and symbols. de and ga have `size` rows for `gens` generations, the others `steps` steps: climb
+    keeps a change of one cell that is no worse, oneplus1 changes each cell with a chance of one over their number.
     """
     shared = spark.sparkContext.broadcast((rows, score))
 
-    def chain(kind: str, seed: int) -> float:
+    def chain(kind: str, seed: int) -> list[tuple[int, float]]:
         data, ys = shared.value
+        trace, seen = [], [0, float("inf")]
         rng = random.Random(f"{kind}{seed}")
         n = len(data[0][0])
         real = [[*r[0], *r[1]] for r in data]
@@ -256,7 +278,12 @@ def optimize(spark: SparkSession, rows: list[tuple], score: list[float], how: li
                     d += np.where(blank[:, i], 1.0, np.maximum(nums[:, i], 1 - nums[:, i])) ** 2
                 else:
                     d += np.where(blank[:, i], max(v, 1 - v), np.abs(nums[:, i] - v)) ** 2
-            return ys[int(d.argmin())]
+            y = ys[int(d.argmin())]
+            seen[0] += 1
+            if y < seen[1]:
+                seen[1] = y
+                trace.append((seen[0], float(y)))
+            return y
 
         def move(r: list) -> list:
             out, i = list(r), rng.choice(width)
@@ -279,7 +306,6 @@ def optimize(spark: SparkSession, rows: list[tuple], score: list[float], how: li
         if kind in ("de", "ga"):
             pop = rng.sample(real, min(size, len(real)))
             fit = [guess(r) for r in pop]
-            best = min(fit)
             for _ in range(gens):
                 if kind == "de":
                     for i in range(len(pop)):
@@ -289,22 +315,24 @@ def optimize(spark: SparkSession, rows: list[tuple], score: list[float], how: li
                 else:
                     pop = [move(r) for r in pop]
                     fit = [guess(r) for r in pop]
-                    best = min(best, *fit)
                     pair = lambda: pop[min(rng.sample(range(len(pop)), min(5, len(pop))), key=fit.__getitem__)]
                     kids = []
                     for _ in pop:
                         mum, dad, cut = pair(), pair(), rng.choice(width)
                         kids.append(mum[: cut + 1] + dad[cut + 1 :])
                     pop, fit = kids, [guess(r) for r in kids]
-                best = min(best, *fit)
-            return best
+            return trace
         now = rng.choice(real)
         best = e = guess(now)
         last = 0
         for t in range(1, steps + 1):
             kid = move(now)
+            if kind == "oneplus1":
+                kid = list(now)
+                for _ in range(max(1, sum(rng.random() < 1 / len(width) for _ in width))):
+                    kid = move(kid)
             g = guess(kid)
-            if g < e or (kind == "sa" and rng.random() < math.exp((e - g) / (1 - t / steps + 1e-32))):
+            if g < e or (g == e and kind in ("climb", "oneplus1")) or (kind == "sa" and rng.random() < math.exp((e - g) / (1 - t / steps + 1e-32))):
                 now, e = kid, g
             if g < best:
                 best, last = g, t
@@ -312,133 +340,77 @@ def optimize(spark: SparkSession, rows: list[tuple], score: list[float], how: li
                 now, last = rng.choice(real), t
                 e = guess(now)
                 best = min(best, e)
-        return best
+        return trace
 
     jobs = spark.createDataFrame([(h, c) for h in how for c in range(chains)], "optimizer string, chain int")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(best=[chain(o, int(c)) for o, c in zip(b["optimizer"], b["chain"], strict=True)])
-
-    return jobs.repartition(8).mapInPandas(run, "optimizer string, chain int, best double")
-
-
-# --------------------------------------------------------------------------- goal models
-
-Body = tuple  # ("atom", name) | ("not", body) | ("and"|"or"|"list", bodies) | ("link", bag, body)
-
-
-def atom(name: str) -> Body:
-    return ("atom", name)
-
-
-def every(*b: Body) -> Body:
-    return ("and", b)
-
-
-def either(*b: Body) -> Body:
-    return ("or", b)
-
-
-def link(kind: str, b: Body) -> Body:
-    """make, break, help, hurt: how often a head is true, given that the body is."""
-    return ("link", {"make": "t", "break": "f", "help": "ttf", "hurt": "fft"}[kind], b)
-
-
-def world(rules: dict[str, list[Body]], query: list[tuple[str, str]], seed: object, patience: int = 1000) -> dict[str, str] | None:
-    """One consistent assignment that gives the queried atoms their values; None if none is found."""
-    rng = random.Random(f"{seed}")
-    for _ in range(patience):
-        w: dict[str, str] = {}
-
-        def infer(body: Body, want: str) -> bool:
-            kind = body[0]
-            if kind == "atom":
-                return derive(body[1], want)
-            if kind == "not":
-                return infer(body[1], "f" if want == "t" else "t")
-            if kind == "link":
-                got = rng.choice(body[1])
-                return got == want and infer(body[2], "t")
-            parts = list(body[1])
-            rng.shuffle(parts)
-            if (kind == "and") == (want == "t"):
-                return all(infer(p, want) for p in parts)
-            return infer(parts[0], want)
-
-        def derive(name: str, want: str) -> bool:
-            if name in w:
-                return w[name] == want
-            w[name] = want  # assumed while it is derived, which ends cycles
-            if name not in rules:
-                return True
-            before = dict(w)
-            if infer(rng.choice(rules[name]), want):
-                return True
-            w.clear()
-            w.update(before)
-            w.pop(name, None)
-            return False
-
-        if all(derive(a, v) for a, v in query):
-            return w
-    return None
-
-
-def worlds(spark: SparkSession, rules: dict[str, list[Body]], query: list[tuple[str, str]], n: int, seed: int = 1) -> DataFrame:
-    """(world, atom, val) of n sampled worlds, each by its own seed."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(int(i), a, v) for i in b["id"] for a, v in sorted((world(rules, query, f"{seed}:{i}") or {}).items())]
-            yield pd.DataFrame(rows, columns=["world", "atom", "val"])
-
-    return spark.range(n).mapInPandas(run, "world long, atom string, val string")
-
-
-def ddmin(test: Callable[[list], bool], items: list, n: int = 2) -> list:
-    """A minimal part of items that still passes."""
-    while len(items) >= 2:
-        size = max(1, len(items) // n)
-        chunks = [items[i : i + size] for i in range(0, len(items), size)]
-        for c in chunks:
-            rest = [i for i in items if i not in c]
-            if test(c):
-                items, n = c, 2
-                break
-            if len(chunks) > 2 and test(rest):
-                items, n = rest, max(n - 1, 2)
-                break
+            out = [(o, int(c), t, y) for o, c in zip(b["optimizer"], b["chain"], strict=True) for t, y in chain(o, int(c))]
+            yield pd.DataFrame(out, columns=["optimizer", "chain", "evaluation", "best"])
+
+    return jobs.repartition(8).mapInPandas(run, "optimizer string, chain int, evaluation long, best double")
+
+
+# --------------------------------------------------------------------------- synthetic rows
+
+
+def mutated(rf: RoleFrame, n: int, seed: object = 1) -> DataFrame:
+    """(rid, inputs): every row with n input cells drawn anew: numbers about their old value with the column's spread,
+    kept within three of it; symbols by their counts. Which cells, and the draws, are hashed."""
+    from ..functions.columns import gaussian, hashed, roulette
+    from ..operators.summary import symbols
+
+    sch, st = rf.schema, rf.stats()
+    syms = [c for c in sch.x if c not in sch.nums]
+    counts: dict[str, dict[str, int]] = {c: {} for c in syms}
+    for r in symbols(rf.df, syms).collect() if syms else []:  # values of symbols
+        counts[r["col"]][r["value"]] = r["n"]
+    key = F.col(rf.rid)
+    order = F.transform(F.array_sort(F.array(*[F.struct(hashed(key, f"{seed}.{j}").alias("h"), F.lit(j).alias("j")) for j in range(len(sch.x))])), lambda s: s["j"])
+    rows = rf.df.withColumn("_cells", F.slice(order, 1, n))
+    out = []
+    for j, c in enumerate(sch.x):
+        v = F.col(f"`{c}`")
+        if c in sch.nums:
+            mu, sd = st[c]["mu"] or 0.0, st[c]["sd"]
+            drawn = gaussian(key, f"{seed}.{j}.v", 0.0, 1.0) * sd + F.coalesce(v, F.lit(mu))
+            new = F.greatest(F.lit(mu - 3 * sd), F.least(F.lit(mu + 3 * sd), drawn))
         else:
-            if n >= len(items):
-                break
-            n = min(2 * n, len(items))
-    return items
-
-
-def key_decisions(spark: SparkSession, rules: dict, hard: list[str], soft: list[str], n: int = 200) -> DataFrame:
-    """(atom, val): a minimal set of decisions that alone gets worlds about as good as the best of n."""
-    ws = worlds(spark, rules, [(h, "t") for h in hard], n)
-    got = ws.groupBy("world").agg(F.sum(F.when(F.col("atom").isin(soft) & (F.col("val") == "t"), 1).otherwise(0)).alias("b"))
-    best = got.orderBy(F.desc("b"), "world").first()
-    own = {(r["atom"], r["val"]) for r in ws.where(F.col("world") == best["world"]).collect()}
-    share = {(r["atom"], r["val"]): r["n"] for r in ws.groupBy("atom", "val").agg(F.count("*").alias("n")).collect()}
-    leaf = [k for k in sorted(own) if k[0] not in rules and share[k] < n]
-
-    def test(part: list) -> bool:
-        ok = [world(rules, [(h, "t") for h in hard] + list(part), f"t{i}") for i in range(20)]
-        got = [sum(w.get(s) == "t" for s in soft) for w in ok if w]
-        return bool(got) and sum(got) / len(got) >= best["b"] - 0.35
-
-    found = ddmin(test, leaf) if leaf and test(leaf) else leaf
-    return spark.createDataFrame(found or [], "atom string, val string")
-
-
-def benefits(ws: DataFrame, qualities: list[str], leaves: list[str]) -> DataFrame:
-    """(world, benefit, footprint, d): qualities won, leaves bought, and the distance to most of one and least of other."""
-    on = lambda names: F.count_if(F.col("atom").isin(names) & (F.col("val") == "t"))
-    bf = ws.groupBy("world").agg(on(qualities).alias("benefit"), on(leaves).alias("footprint"))
-    r = bf.agg(F.min("benefit"), F.max("benefit"), F.min("footprint"), F.max("footprint")).first()
-    b0, b1, f0, f1 = (v or 0 for v in r)
-    norm = lambda c, lo, hi: (F.col(c) - lo) / (hi - lo + 1e-32)
-    return bf.withColumn("d", F.sqrt((F.pow(1 - norm("benefit", b0, b1), F.lit(2)) + F.pow(norm("footprint", f0, f1), F.lit(2))) / 2))
+            new = roulette(key, f"{seed}.{j}.v", counts[c]) if counts[c] else v
+        out.append(F.when(F.array_contains("_cells", j), new).otherwise(v).alias(c))
+    return rows.select(rf.rid, *out)
+
+
+def synthesized(rf: RoleFrame, leaf, n: int, seed: object = 1, least: int = 3) -> DataFrame:
+    """(draw, leaf, inputs): n rows made inside leaves (an expression: a tree's, or a cluster's): of a leaf with `least` rows
+    or more, drawn by its size, three rows a, b, c give a + (b - c) / 2 for numbers, wrapped into the column, and a's or
+    b's symbol. Draws meet rows by their number within the leaf, by an equi-join."""
+    from ..functions.columns import extrapolated, uniform
+    from ..operators.stats import numbered
+
+    sch, st = rf.schema, rf.stats()
+    rows = rf.df.withColumn("_leaf", leaf).withColumn("_key", F.col("_leaf") + uniform(F.col(rf.rid), seed))
+    rows = numbered(rows, ["_key", rf.rid], "_pos")
+    sizes = rows.groupBy("_leaf").agg(F.min("_pos").alias("_lo"), F.count("*").alias("_n")).where(F.col("_n") >= least).orderBy("_leaf").collect()  # a row a leaf
+    total = sum(r["_n"] for r in sizes)
+    draws = rf.df.sparkSession.range(n).withColumnRenamed("id", "draw")
+    if not total:
+        return draws.limit(0).select("draw", F.lit(None).cast("int").alias("leaf"), *[F.lit(None).alias(c) for c in sch.x])
+    u, upto, at = F.floor(uniform(F.col("draw"), f"{seed}.l") * total), 0, F.lit(None).cast("struct<leaf:int,lo:bigint,n:bigint>")
+    for r in reversed(sizes):
+        upto += r["_n"]
+        at = F.when(u < total - upto + r["_n"], F.struct(F.lit(r["_leaf"]).cast("int").alias("leaf"), F.lit(r["_lo"]).cast("bigint").alias("lo"), F.lit(r["_n"]).cast("bigint").alias("n"))).otherwise(at)
+    draws = draws.select("draw", at.alias("t")).select("draw", "t.*")
+    for k, name in enumerate("abc"):  # three different rows: a hashed start and two hashed steps
+        step = F.floor(uniform(F.col("draw"), f"{seed}.{name}") * F.when(F.lit(k == 0), F.col("n")).otherwise((F.col("n") - 1) / 2))
+        place = step if k == 0 else (F.col("ia") + 1 + step if k == 1 else F.col("ib") + 1 + step)
+        draws = draws.withColumn(f"i{name}", place.cast("bigint"))
+    for name in "abc":
+        own = rows.select(F.col("_pos").cast("bigint").alias(f"p{name}"), F.struct(*[F.col(f"`{c}`").alias(f"x{j}") for j, c in enumerate(sch.x)]).alias(name))
+        draws = draws.withColumn(f"p{name}", F.col("lo") + F.col(f"i{name}") % F.col("n")).join(own, f"p{name}")
+    out = []
+    for j, c in enumerate(sch.x):
+        a, b, z = (F.col(f"{k}.x{j}") for k in "abc")
+        out.append((extrapolated(a, b, z, st[c]["mu"] or 0.0, st[c]["sd"]) if c in sch.nums else F.when(uniform(F.col("draw"), f"{seed}.{j}") < 0.5, a).otherwise(b)).alias(c))
+    return draws.select("draw", "leaf", *out)

@@ -1,0 +1,174 @@
+"""Studies: holdouts in arms of budgets, modes and shapes of the ranking, with the labels spent; verdicts over reseeded runs."""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..roles import RoleFrame
+from . import search
+
+#: The arms of the study: name, how to label, budget.
+ARMS = (("active20", "active", 20), ("active50", "active", 50), ("active200", "active", 200), ("random50", "random", 50), ("random200", "random", 200))
+
+
+class Labels(list):
+    """Scores that count who looks: an index is paid for once."""
+
+    def __init__(self, y: list[float]) -> None:
+        super().__init__(y)
+        self.paid: set[int] = set()
+
+    def __getitem__(self, i):
+        if isinstance(i, int):
+            self.paid.add(i)
+        return super().__getitem__(i)
+
+
+def grown(rows: list[tuple], y: list[float], leaf: int = 3, depth: int = 4) -> dict:
+    """A tree of few rows as data: {node: (at, cut)} and {node: (n, mean)}, root 1, yes 2i, no 2i + 1."""
+    sd = lambda v: (sum((u - sum(v) / len(v)) ** 2 for u in v) / (len(v) - 1)) ** 0.5 if len(v) > 1 else 0.0
+    cuts, stats, todo = {}, {}, [(1, list(range(len(rows))))]
+    for node, ids in todo:
+        stats[node] = (len(ids), sum(y[i] for i in ids) / len(ids))
+        found = []
+        if len(ids) >= 2 * leaf and node < 2**depth:
+            for at in range(len(rows[0][0]) + len(rows[0][1])):
+                cells = [(cell(rows[i], at), y[i]) for i in ids if cell(rows[i], at) is not None]
+                for cut in sorted({v for v, _ in cells}):
+                    near = [w for v, w in cells if yes(rows[0], v, at, cut)]
+                    far = [w for v, w in cells if not yes(rows[0], v, at, cut)]
+                    if len(near) >= leaf and len(far) >= leaf:
+                        found.append((round((len(near) * sd(near) + len(far) * sd(far)) / len(cells), 12), at, cut))
+        if found:
+            _, at, cut = min(found)
+            cuts[node] = (at, cut)
+            sides = [[i for i in ids if yes(rows[0], cell(rows[i], at), at, cut) == side] for side in (True, False)]
+            todo += [(2 * node + k, s) for k, s in enumerate(sides)]
+    return {"cuts": cuts, "stats": stats}
+
+
+def cell(row: tuple, at: int):
+    return row[0][at] if at < len(row[0]) else row[1][at - len(row[0])]
+
+
+def yes(shape: tuple, v, at: int, cut) -> bool:
+    return v is None or (v <= cut if at < len(shape[0]) else v == cut)
+
+
+def routed(tree: dict, row: tuple, stop: frozenset = frozenset()) -> int:
+    """The node where a row ends; nodes in `stop` are taken for leaves."""
+    node = 1
+    while node in tree["cuts"] and node not in stop:
+        at, cut = tree["cuts"][node]
+        node = 2 * node + (not yes(row, cell(row, at), at, cut))
+    return node
+
+
+def holdout(rows: list[tuple], y: list[float], mode: str = "active", budget: int = 50, check: int = 5, seed: int = 1, shape: str = "tree") -> tuple[float, int, int]:
+    """(win, labels spent on training, labels spent on checking). Half of the rows are labelled within the budget and rank
+    the other half by a tree, by its best pruning (all shapes, or only the spine's), or by a rule. Spending more than
+    the budget is an error."""
+    rng = random.Random(seed)
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    train, test = order[: len(order) // 2], order[len(order) // 2 :]
+    if not train or not test:
+        return 0.0, 0, 0
+    paid = Labels([y[i] for i in train])
+    data = [rows[i] for i in train]
+    lab = search.acquire(data, paid, budget - check, mode=mode, seed=seed)
+    known, ys = [data[i] for i in lab], [paid[i] for i in lab]
+    if shape == "rule":
+        score = ruled(known, ys)
+    else:
+        t = grown(known, ys)
+        stop = frozenset()
+        if shape in ("all", "spine"):
+            from ..operators.splits import Tree, race
+
+            sums = {i: (sum(ys[j] for j, r in enumerate(known) if passes(t, r, i)), n) for i, (n, _) in t["stats"].items()}
+            stop = race(Tree(t["cuts"], t["stats"]), sums, shape)[2]
+        score = lambda r: t["stats"][routed(t, r, stop)][1]
+    top = sorted(test, key=lambda i: (score(rows[i]), i))[:check]
+    if len(paid.paid) > budget - check:
+        raise AssertionError(f"{len(paid.paid)} labels spent of {budget - check}")
+    best, ref = min(y[i] for i in top), sorted(y)
+    win = 100 * (1 - (best - ref[0]) / (ref[len(ref) // 2] - ref[0] + 1e-32))
+    return max(-100.0, min(100.0, win)), len(paid.paid), len(top)
+
+
+def passes(t: dict, row: tuple, node: int) -> bool:
+    end = routed(t, row)
+    while end > node:
+        end //= 2
+    return end == node
+
+
+def ruled(rows: list[tuple], y: list[float], conjuncts: int = 2):
+    """A score from the number of met conjuncts: cuts that part the sqrt(n) best from the rest with least entropy."""
+    from math import log2
+
+    ent = lambda k, n: 0.0 if not n or k in (0, n) else -(k / n) * log2(k / n) - (1 - k / n) * log2(1 - k / n)
+    ids, rule = list(range(len(rows))), []
+    for _ in range(conjuncts):
+        edge = sorted(y[i] for i in ids)[max(1, int(len(ids) ** 0.5)) - 1]
+        found = []
+        for at in range(len(rows[0][0]) + len(rows[0][1])):
+            for cut in sorted({cell(rows[i], at) for i in ids if cell(rows[i], at) is not None}):
+                near = [i for i in ids if yes(rows[i], cell(rows[i], at), at, cut)]
+                far = [i for i in ids if i not in set(near)]
+                if len(near) >= 3 and len(far) >= 3:
+                    a, b = sum(y[i] <= edge for i in near), sum(y[i] <= edge for i in far)
+                    found.append((round((len(near) * ent(a, len(near)) + len(far) * ent(b, len(far))) / len(ids), 12), at, cut, a / len(near) >= b / len(far)))
+        if not found:
+            break
+        _, at, cut, keep = min(found)
+        rule.append((at, cut, keep))
+        ids = [i for i in ids if yes(rows[i], cell(rows[i], at), at, cut) == keep]
+    return lambda r: -sum(yes(r, cell(r, at), at, cut) == keep for at, cut, keep in rule)
+
+
+def dataset(spark: SparkSession, views: dict[str, RoleFrame], arms: tuple = ARMS, seeds: int = 20, shapes: tuple = ("tree",), check: int = 5) -> DataFrame:
+    """(view, arm, shape, seed, win, spent): one task a study; the views' capped rows are broadcast."""
+    data = spark.sparkContext.broadcast({n: search.capped(v)[:2] for n, v in views.items()})
+    jobs = spark.createDataFrame([(v, a, m, b, s, k) for v in views for a, m, b in arms for s in shapes for k in range(1, seeds + 1)], "view string, arm string, mode string, budget int, shape string, seed int")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [holdout(*data.value[r.view], r.mode, int(r.budget), check, int(r.seed), r.shape) for r in b.itertuples()]
+            yield pd.DataFrame({"view": b["view"], "arm": b["arm"], "shape": b["shape"], "seed": b["seed"], "win": [g[0] for g in got], "spent": [g[1] + g[2] for g in got]})
+
+    return jobs.repartition(max(8, len(views) * len(arms))).mapInPandas(run, "view string, arm string, shape string, seed int, win double, spent int")
+
+
+def verdicts(runs: DataFrame, by: str, one: str, two: str) -> DataFrame:
+    """(view, verdict): whether the wins of one value of a column are better, worse, or not told apart from another's, by
+    all three tests of equality; runs are few."""
+    got: dict = {}
+    for r in runs.where(F.col(by).isin(one, two)).select("view", by, "win").collect():
+        got.setdefault(r["view"], {}).setdefault(r[by], []).append(r["win"])
+    rows = [(v, "tie" if alike(w.get(one, []), w.get(two, [])) else "win" if sum(w[one]) / len(w[one]) > sum(w[two]) / len(w[two]) else "loss") for v, w in sorted(got.items())]
+    return runs.sparkSession.createDataFrame(rows, "view string, verdict string")
+
+
+def alike(xs: list[float], ys: list[float], cliff: float = 0.195, conf: float = 1.36, eps: float = 0.35) -> bool:
+    """Whether Cliff's delta, the gap of cumulative shares and the gap in pooled standard deviations all are small."""
+    n, m = len(xs), len(ys)
+    if not n or not m:
+        return n == m
+    delta = abs(sum((x > y) - (x < y) for x in xs for y in ys)) / (n * m)
+    ks = max(abs(sum(x <= v for x in xs) / n - sum(y <= v for y in ys) / m) for v in {*xs, *ys})
+    mx, my = sum(xs) / n, sum(ys) / m
+    pooled = ((sum((x - mx) ** 2 for x in xs) + sum((y - my) ** 2 for y in ys)) / max(1, n + m - 2)) ** 0.5
+    return delta <= cliff and ks <= conf * ((n + m) / (n * m)) ** 0.5 and abs(mx - my) <= eps * pooled + 1e-32
+
+
+def versus(spark: SparkSession, rf: RoleFrame, budget: int = 50, runs: int = 20) -> DataFrame:
+    """One verdict of active against random labelling over reseeded runs of one table."""
+    arms = (("active", "active", budget), ("random", "random", budget))
+    return verdicts(dataset(spark, {"table": rf}, arms, runs), "arm", "active", "random")

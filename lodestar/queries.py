@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .functions import columns as C
 from .operators import cluster, distance, splits, stats, summary
-from .plans import search
+from .plans import goals, search
 from .roles import RoleFrame
 from .sources import tables
 from .streaming import folds
@@ -337,22 +337,59 @@ def q49(s, d):
     return got.groupBy("optimizer").agg(R(F.min("best")).alias("best"))
 
 
-GOALS = {
-    "shipped": [search.every(search.atom("built"), search.either(search.atom("tested"), search.atom("trusted")))],
-    "built": [search.either(search.atom("bought"), search.atom("coded"))],
-    "cheap": [search.link("help", search.atom("coded")), search.link("break", search.atom("bought"))],
-    "fast": [search.link("make", search.atom("bought")), search.link("hurt", search.atom("coded"))],
-}
+def goal_model() -> dict[str, list]:
+    """Buy or build: two ways to ship, which help and hurt two qualities."""
+    m = goals.Model()
+    shipped, bought, coded, tested, vendor, staff, tools, fast, cheap = m.atoms("shipped bought coded tested vendor staff tools fast cheap")
+    link = goals.link
+    shipped <= tested * (bought + coded)  # noqa: B015
+    bought <= vendor * link("help", fast) * link("break", cheap)  # noqa: B015
+    coded <= staff * tools * link("hurt", fast) * link("help", cheap)  # noqa: B015
+    return m.rules
 
 
-@query("q57_goal_worlds")
+#: Every world of the model: the way, and a draw from the bag of each of its links.
+WORLDS = "WITH way(w, help, other, kind, leaves) AS (VALUES ('bought', 'fast', 'cheap', 'f', 2), ('coded', 'cheap', 'fast', 'fft', 3)), draw AS (SELECT w, leaves, substr('ttf', h, 1) AS helped, substr(kind, CAST(o AS INT), 1) AS hit FROM way, range(1, 4) a(h), range(1, 4) b(o) WHERE o<=length(kind)), ws AS (SELECT DISTINCT w AS way, CASE w WHEN 'bought' THEN helped ELSE hit END AS fast, CASE w WHEN 'bought' THEN hit ELSE helped END AS cheap, leaves FROM draw)"
+
+
+def rig(s: SparkSession) -> goals.Rig:
+    return goals.Rig(s, goal_model(), ["shipped"], ["fast", "cheap"])
+
+
+@query("q57_goal_worlds", f"{WORLDS} SELECT way, fast, cheap FROM ws")
 def q57(s, d):
-    return search.worlds(s, GOALS, [("shipped", "t")], 200).groupBy("atom", "val").agg(F.count("*").alias("n"))
+    ws = rig(s).worlds(1000)
+    val = lambda a: F.max(F.when(F.col("atom") == a, F.col("val")))
+    rows = ws.groupBy("world").agg(val("bought").alias("b"), val("coded").alias("c"), val("fast").alias("fast"), val("cheap").alias("cheap"))
+    return rows.select(F.when(F.col("b") == "t", "bought").when(F.col("c") == "t", "coded").alias("way"), "fast", "cheap").distinct()
+
+
+@query("q58_goal_benefits", f"{WORLDS}, bf AS (SELECT CAST(fast='t' AS INT)+CAST(cheap='t' AS INT) AS benefit, leaves AS footprint FROM ws), mm AS (SELECT min(benefit) b0, max(benefit) b1, min(footprint) f0, max(footprint) f1 FROM bf) SELECT DISTINCT CAST(benefit AS BIGINT) AS benefit, CAST(footprint AS BIGINT) AS footprint, round(sqrt((power(1-(benefit-b0)/(b1-b0),2)+power((footprint-f0)/(f1-f0),2))/2)+1e-9,6) AS d FROM bf, mm")
+def q58(s, d):
+    r = rig(s)
+    ws = r.worlds(1000)
+    return r.counts(ws).select("benefit", "footprint", R(goals.d2h(r.yardstick(ws))).alias("d")).distinct()
 
 
 @query("q59_goal_keys")
 def q59(s, d):
-    return search.key_decisions(s, GOALS, ["shipped", "fast"], ["fast", "cheap"])
+    return s.createDataFrame(rig(s).run(400)["keys"], "atom string, val string")
+
+
+EDGES = "e(h, r, a) AS (VALUES ('shipped','all','tested'),('shipped','any','bought'),('shipped','any','coded'),('bought','all','vendor'),('bought','link','fast'),('bought','link','cheap'),('coded','all','staff'),('coded','all','tools'),('coded','link','fast'),('coded','link','cheap')), m AS (SELECT h AS a FROM e UNION SELECT a FROM e), q AS (SELECT a FROM e WHERE r='link' EXCEPT SELECT h FROM e)"
+
+
+@query("q59_goal_statics", f"WITH {EDGES} SELECT 'qualities' AS role, a AS atom FROM q UNION ALL SELECT 'leaves', a FROM (SELECT a FROM m EXCEPT SELECT h FROM e EXCEPT SELECT a FROM q) UNION ALL SELECT 'settable', a FROM ((SELECT a FROM m EXCEPT SELECT h FROM e) UNION SELECT a FROM e WHERE r='any')")
+def q59s(s, d):
+    found = goals.statics(goal_model(), ["shipped"], ["fast", "cheap"])
+    return s.createDataFrame([(r, a) for r in ("qualities", "leaves", "settable") for a in sorted(found[r])], "role string, atom string")
+
+
+@query("q59_goal_rig")
+def q59r(s, d):
+    got = rig(s).run(400)
+    names = ["mu", "sd", "best", "mu_keys", "sd_keys", "candidates", "n_keys", "tests", "share"]
+    return s.createDataFrame([tuple(float(got[n]) for n in names)], ", ".join(f"{n} double" for n in names))
 
 
 @query("q60_event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(sum(value)+1e-9,4) AS total FROM events GROUP BY 1")
@@ -561,12 +598,8 @@ def q55(s, d):
     return s.createDataFrame([(m, i, int(ids[j]), float(y[j])) for m, got in picked for i, j in enumerate(got)], "mode string, i int, rid long, d double")
 
 
-@query("q58_goal_benefits")
-def q58(s, d):
-    ws = search.worlds(s, GOALS, [("shipped", "t")], 200)
-    return search.benefits(ws, ["fast", "cheap"], ["tested", "trusted", "bought", "coded"]).groupBy("benefit", "footprint").agg(F.count("*").alias("n"), R(F.min("d")).alias("d"))
-
-
 @query("q70_binned")
 def q70(s, d):
     return tables.binned(view(s, d, "line")).groupBy("L_quantity").agg(F.count("*").alias("n"))
+
+from . import more  # noqa: E402,F401  (registers its queries)

@@ -23,22 +23,63 @@ def cell(v: Column) -> Column:
     return F.when(~F.isnan(n), n)
 
 
-def read_csv(spark: SparkSession, where: str, comment: str | None = "#") -> RoleFrame:
+def read_csv(spark: SparkSession, where: str, comment: str | None = "#", drop_ignored: bool = False, skip_empty: bool = False) -> RoleFrame:
     """First line: names. Cells are stripped, ? is null, what follows a comment sign goes, blank lines and a BOM too."""
-    lines = spark.read.text(where).select(F.regexp_replace("value", "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("rid"))
+    return parse_lines(spark.read.text(where).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("rid")), comment, drop_ignored, skip_empty)
+
+
+def parse_lines(lines: DataFrame, comment: str | None = "#", drop_ignored: bool = False, skip_empty: bool = False) -> RoleFrame:
+    """Lines (rid, line) as a table; the one of smallest rid has the names. drop_ignored: columns whose name ends in X are
+    not read. skip_empty: cells with nothing between commas don't count as cells."""
+    lines = lines.withColumn("line", F.regexp_replace("line", "^\ufeff", ""))
     if comment:
         lines = lines.withColumn("line", F.regexp_replace("line", comment + ".*$", ""))
     lines = lines.where(F.trim("line") != "")
     header = lines.orderBy("rid").first()
     names = [n.strip() for n in header["line"].split(",")]
-    schema = RoleSchema.parse(names)
+    schema = RoleSchema.parse([n for n in names if not (drop_ignored and n.endswith("X"))])
     parts = F.transform(F.split("line", ","), lambda x: F.trim(x))
-    rows = lines.where(F.col("rid") != header["rid"]).withColumn("c", parts)
+    rows = lines.where(F.col("rid") != header["rid"]).withColumn("c", F.filter(parts, lambda x: x != "") if skip_empty else parts)
     value = lambda i: F.when(F.get("c", F.lit(i)) != "?", F.get("c", F.lit(i)))
-    cols = [(cell(value(i)) if n in schema.nums else value(i)).alias(n) for i, n in enumerate(names)]
+    cols = [(cell(value(i)) if n in schema.nums else value(i)).alias(n) for i, n in enumerate(names) if n in schema.names]
     return RoleFrame(rows.select("rid", *cols), "rid", schema)
 
 
+def from_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> RoleFrame:
+    """A table from a list: numbers by the names' case, others as text; ? is null."""
+    schema = RoleSchema.parse(names)
+    clean = [(i, *(None if v in ("?", None) else float(v) if n in schema.nums else str(v) for n, v in zip(names, r, strict=True))) for i, r in enumerate(rows)]
+    kinds = ", ".join(f"`{n}` {'double' if n in schema.nums else 'string'}" for n in names)
+    return RoleFrame(spark.createDataFrame(clean, f"rid long, {kinds}"), "rid", schema)
+
+
+def warm_up(rf: RoleFrame, n: int) -> RoleFrame:
+    """The first n rows by id, for what is frozen before the rest comes."""
+    return rf.clone(rf.df.orderBy(rf.rid).limit(n))
+
+
+def frozen_codes(warm: RoleFrame, bins: int = 5) -> dict[str, Column]:
+    """An expression for each input that codes any row by the statistics of the warm-up rows: numbers by normalized bins
+    (0: unknown), symbols by their order among the symbols seen (0: not seen)."""
+    from ..functions.columns import norm_bin, ordinal
+    from ..operators.distance import norms
+
+    n = norms(warm, [c for c in warm.schema.x if c in warm.schema.nums])
+    out = {c: norm_bin(v, bins).cast("int") for c, v in n.items()}
+    for c in warm.schema.x:
+        if c not in n:
+            seen = [r[0] for r in warm.df.select(f"`{c}`").distinct().collect() if r[0] is not None]  # of few rows
+            out[c] = ordinal(F.col(f"`{c}`"), seen)
+    return {c: out[c] for c in warm.schema.x}
+
+
+def mock64(spark: SparkSession, n: int = 64, width: int = 2, seed: int = 1) -> RoleFrame:
+    """Uniform inputs and a class by their sum, for tests."""
+    x = pool(spark, n, width, seed)
+    total = sum((F.col(f"X{i}") for i in range(1, width + 1)), F.lit(0.0))
+    return RoleFrame(x.withColumn("class!", F.when(total < width / 2, "lo").otherwise("hi")), "rid")
+
+
 def role_view(spark: SparkSession, sf_dir: str, name: str) -> RoleFrame:
     """A table under names that tell roles."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,3 +52,82 @@ def leaders(dist: Callable[[tuple, tuple], float], eps: float, most: int = 1000,
 
     era.leaders = kept
     return era
+
+
+def prequential(stream: DataFrame, tenant: str, klass: str, syms: list[str], nums: list[str], k: int = 1, m: int = 2, wait: int = 10) -> DataFrame:
+    """(tenant, want, got): a stateful stream that classifies each row by naive Bayes from its tenant's rows before it, then
+    learns it. State: counts and sums per class, however many rows have come. Rows of a batch go by their id `rid`."""
+    import json
+    import math
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def score(s: dict, c: str, row, total: int, kinds: int) -> float:
+        own = s[c]
+        prior = (own["n"] + k) / (total + k * kinds)
+        out = math.log(prior)
+        for i, name in enumerate(nums):
+            v, (n, t, q) = getattr(row, name), own["x"][i]
+            if v is not None and v == v and n:
+                z = 2 * (max(0.0, q - t * t / n) / (n - 1) if n > 1 else 0.0) + 1e-32
+                p = math.exp(-min(700.0, (v - t / n) ** 2 / z)) / math.sqrt(math.pi * z)
+                out += math.log(p) if p > 0 else 0.0
+        for i, name in enumerate(syms):
+            v = getattr(row, name)
+            if v is not None:
+                out += math.log((own["s"][i].get(v, 0) + m * prior) / (own["n"] + m))
+        return out
+
+    def learn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s, total = json.loads(state.get[0]) if state.exists else ({}, 0)
+        out = []
+        for row in pd.concat(list(frames)).sort_values("rid").itertuples():
+            want = getattr(row, klass)
+            if total >= wait and s:
+                got = min(s, key=lambda c: (-round(score(s, c, row, total, len(s)), 9), c))
+                out.append((key[0], row.rid, want, got))
+            own = s.setdefault(want, {"n": 0, "x": [[0, 0.0, 0.0] for _ in nums], "s": [{} for _ in syms]})
+            own["n"] += 1
+            total += 1
+            for i, name in enumerate(nums):
+                v = getattr(row, name)
+                if v is not None and v == v:
+                    own["x"][i] = [own["x"][i][0] + 1, own["x"][i][1] + v, own["x"][i][2] + v * v]
+            for i, name in enumerate(syms):
+                v = getattr(row, name)
+                if v is not None:
+                    own["s"][i][v] = own["s"][i].get(v, 0) + 1
+        state.update((json.dumps([s, total]),))
+        yield pd.DataFrame(out, columns=[tenant, "rid", "want", "got"])
+
+    kind = stream.schema[tenant].dataType.simpleString()
+    return stream.groupBy(tenant).applyInPandasWithState(learn, f"{tenant} {kind}, rid long, want string, got string", "model string", "append", GroupStateTimeout.NoTimeout)
+
+
+def buckets(stream: DataFrame, frozen, write: Callable[[DataFrame, int], None], cap: int = 16, seed: object = 1) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: rows (rid, inputs) hashed by what a warm-up froze (operators.grids.Frozen); `write` gets the
+    rows that each bucket keeps, with how many it has seen, in `.kept`-wide hashed order so far. At most `cap` rows a bucket
+    are held, so the reservoir is as large as the grid, not the stream."""
+    held: dict[int, list[tuple[str, int]]] = {}
+    seen: dict[int, int] = {}
+
+    def era(batch: DataFrame, n: int) -> None:
+        from ..functions.columns import hashed
+        from ..operators.cluster import reservoir
+
+        rows = batch.select("rid", frozen.bucket().alias("bucket"))
+        few = reservoir(rows, "bucket", "rid", cap, seed).select("bucket", "rid", "seen", hashed(F.col("rid"), seed).alias("o"))
+        new_seen: dict[int, int] = {}
+        merged = {b: list(v) for b, v in held.items()}
+        for r in few.collect():  # at most cap rows a bucket
+            merged.setdefault(r["bucket"], []).append((r["o"], r["rid"]))
+            new_seen[r["bucket"]] = r["seen"]
+        out = [(b, rid, seen.get(b, 0) + new_seen.get(b, 0)) for b, v in merged.items() for _, rid in sorted(v)[:cap]]
+        write(batch.sparkSession.createDataFrame(out, "bucket int, rid long, seen long"), n)
+        held.update({b: sorted(v)[:cap] for b, v in merged.items()})
+        for b, k in new_seen.items():
+            seen[b] = seen.get(b, 0) + k
+
+    era.kept, era.seen = held, seen
+    return era
