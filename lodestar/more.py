@@ -96,7 +96,7 @@ def q78(s, d):
     return o.select("o_orderkey", C.ordinal(F.col("o_orderpriority"), seen).alias("code"), (F.array_position(F.array(*map(F.lit, C.RATINGS)), level)).cast("int").alias("rated"))
 
 
-@query("q79_frozen_codes", f"WITH {PART}, w AS (SELECT * FROM part ORDER BY rid LIMIT 100), br AS (SELECT value, dense_rank() OVER (ORDER BY value) c FROM (SELECT DISTINCT p_brand AS value FROM main.part JOIN w ON p_partkey=w.rid)) SELECT p_partkey AS rid, CAST(coalesce(c, 0) AS INTEGER) AS brand FROM main.part LEFT JOIN br ON p_brand=value")
+@query("q79_frozen_codes", f"WITH {PART}, w AS (SELECT * FROM part ORDER BY rid LIMIT 100), br AS (SELECT value, dense_rank() OVER (ORDER BY value) c FROM (SELECT DISTINCT p_brand AS value FROM w)) SELECT p_partkey AS rid, CAST(coalesce(c, 0) AS INTEGER) AS brand FROM main.part LEFT JOIN br ON p_brand=value")
 def q79(s, d):
     rf = view(s, d, "part")
     codes = tables.frozen_codes(tables.warm_up(rf, 100))
@@ -151,9 +151,9 @@ def q86(s, d):
 @query("q87_parse_lines", "SELECT p_partkey AS \"Key\", p_brand AS brand, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS \"Size-\" FROM part")
 def q87(s, d):
     p = s.read.parquet(f"{d}/part.parquet")
-    body = p.select(F.col("p_partkey").alias("rid"), F.concat(F.lit("  "), F.col("p_partkey").cast("string"), F.lit(" ,"), F.col("p_brand"), F.lit(", "), F.when(F.col("p_partkey") % 5 == 0, "?").otherwise(F.col("p_size").cast("string")), F.lit(", junk # a remark")).alias("line"))
-    head = s.createDataFrame([(-1, "﻿Key, brand ,Size-,noteX"), (0, "   "), (-2, "# nothing but a remark")], "rid long, line string")
-    rf = tables.parse_lines(head.unionByName(body), drop_ignored=True)
+    body = p.select(F.col("p_partkey").alias("rid"), F.concat(F.lit("  "), F.col("p_partkey").cast("string"), F.lit(" ,"), F.col("p_brand"), F.lit(", "), F.when(F.col("p_partkey") % 5 == 0, "?").otherwise(F.col("p_size").cast("string")), F.lit(", junk % a remark")).alias("line"))
+    head = s.createDataFrame([(-1, "﻿Key, brand ,Size-,noteX"), (0, "   "), (-2, "% nothing but a remark")], "rid long, line string")
+    rf = tables.parse_lines(head.unionByName(body), "%", drop_ignored=True)
     return rf.df.select(F.col("Key").cast("long").alias("Key"), "brand", "`Size-`")
 
 
@@ -296,7 +296,7 @@ def q103(s, d):
 @query("q104_squeeze")
 def q104(s, d):
     rf = view(s, d, "part")
-    left, spent = grids.squeeze(rf, 0.3, distance.disty(rf), budget=20, most=5)
+    left, spent = grids.squeeze(rf, 0.3, distance.disty(rf), budget=20, most=3, turns=1)
     marks = grids.column_marks(rf)
     return left.df.agg(F.count("*").alias("n"), F.lit(len(spent)).alias("labels"), F.lit(round(max(marks.values()), 6)).alias("mark"))
 
