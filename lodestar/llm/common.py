@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -167,9 +168,23 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+try:  # gives memory that is free back to the system, where the C library can
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):
+    _trim = None
+
+
+def tidy() -> None:
+    """Workers are used again, so what a batch leaves behind would stay with them."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the texts of a piece have about `most` bytes (a longer text stands alone)."""
     for batch in batches:
+        tidy()
         if not batch.num_rows:
             continue
         place = batch.schema.get_field_index(column)
@@ -180,6 +195,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20)
             upto = min(max(upto, at + 1), batch.num_rows)
             yield batch.slice(at, upto - at)
             at = upto
+    tidy()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:

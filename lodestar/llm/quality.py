@@ -78,6 +78,15 @@ def term_rows(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def leading(rows: np.ndarray, rank: int, turns: int = 16) -> np.ndarray:
+    """The leading right singular vectors, by subspace iteration from a fixed start: no square matrix of terms is made."""
+    space = np.linalg.qr(np.random.default_rng(7).standard_normal((rows.shape[1], rank + 16)))[0]
+    for _ in range(turns):
+        space = np.linalg.qr((rows.T @ (rows @ space.astype(np.float32))).astype(np.float64))[0]
+    _, _, v = np.linalg.svd((rows @ space.astype(np.float32)).astype(np.float64), full_matrices=False)
+    return (space @ v[:rank].T).astype(np.float32)
+
+
 class Space:
     """Latent space of labelled texts' term rows, with their labels."""
 
@@ -87,8 +96,7 @@ class Space:
         self.idf = np.log1p(n / (1 + (rows > 0).sum(0))).astype(np.float32)
         rows = self.unit(rows * self.idf)
         if len(rows):
-            _, v = np.linalg.eigh(rows.astype(np.float64).T @ rows.astype(np.float64))  # right singular vectors, largest last
-            self.basis = v[:, : -RANK - 1 : -1].astype(np.float32)
+            self.basis = leading(rows, RANK)
         else:
             self.basis = np.zeros((TERMS, RANK), np.float32)
         self.vectors = self.unit(rows @ self.basis)
