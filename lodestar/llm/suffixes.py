@@ -191,8 +191,8 @@ def _matched(side: str, most: int, out: str):
 
 
 def extended(own: DataFrame, leads: DataFrame) -> DataFrame:
-    """(gram, around, all, lead): the windows of the classes' first suffixes that other classes have too, and those
-    of them that are the first occurrence. Bit b is the window that begins b words before the place."""
+    """(gram, around, doc, key, at, mask, all, lead): first suffixes of classes with the windows that other classes have too,
+    and those of them that are the first occurrence. Bit b is the window that begins b words before the place."""
     several = in_order(leads, ["gram", "around"], ["gram", "around", "doc", "key", "at"])
     stand = several.groupBy("doc", "key").agg(F.sort_array(F.collect_set("at")).alias("places"))
     texts = own.join(stand, ["doc", "key"]).select("doc", "key", "places", "_text")  # one row of each document; its text moves once
@@ -202,13 +202,14 @@ def extended(own: DataFrame, leads: DataFrame) -> DataFrame:
         ranged = found.repartitionByRange(*by).sortWithinPartitions(*by)
         found = save(ranged.mapInArrow(_matched(side, most, out), wider(ranged.schema, f"{out} int")), "matched")
     back = F.filter(F.sequence(F.lit(0), F.lit(REACH)), lambda b: (F.getbit("mask", b) == 1) & (b <= F.col("l")) & (WORDS - b <= F.col("r")))
-    windows = found.select("gram", "around", "doc", "key", "at", "left", "right", F.explode(back).alias("back"))
+    windows = found.select("gram", "around", "doc", "key", "at", "mask", "left", "right", F.explode(back).alias("back"))
     cut = F.xxhash64(F.substring("left", F.lit(1), 8 * F.col("back")), F.substring("right", F.lit(1), 8 * (WORDS - F.col("back"))))
-    windows = save(windows.select("gram", "around", "back", cut.alias("window"), "doc", "key", (F.col("at") - F.col("back")).alias("begin")), "windows")
+    windows = save(windows.select("gram", "around", "back", cut.alias("window"), "doc", "key", "mask", (F.col("at") - F.col("back")).alias("begin")), "windows")
     here = F.struct("doc", "key", "begin")
     shared = windows.groupBy("window").agg(F.min("around").alias("lo"), F.max("around").alias("hi"), F.min(here).alias("lead")).where("lo <> hi").select("window", "lead")
     bit, none = F.expr("shiftleft(1L, back)"), F.lit(0).cast("long")
-    return join_one(windows, shared, ["window"]).groupBy("gram", "around").agg(F.bit_or(bit).alias("all"), F.bit_or(F.when(here == F.col("lead"), bit).otherwise(none)).alias("lead"))
+    own = [F.first(c).alias(c) for c in ("doc", "key", "mask")]
+    return join_one(windows, shared, ["window"]).groupBy("gram", "around").agg(*own, F.first(F.col("begin") + F.col("back")).alias("at"), F.bit_or(bit).alias("all"), F.bit_or(F.when(here == F.col("lead"), bit).otherwise(none)).alias("lead"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,15 +218,18 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = save(own.mapInArrow(_retained, plain_schema("doc long, key long, at int, gram long, around long, mask long")), "suffixes")
     by = ["gram", "around", "doc", "key", "at"]
     hits = joined_ends(save(in_order(kept, by, [*by, "mask"]), "neighbours"))
-    twin = (F.col("doc"), F.col("key"), F.col("at"))
     found = save(extended(own, hits.where("NOT prev").select(*by)), "extended")
-    marked = join_one(hits, found, ["gram", "around"], "left")
     none = F.lit(0).cast("long")
+    # a suffix that is alone in its class has only what its extension found
+    alone = found.select("doc", "key", "at", "all", F.col("lead").alias("first"))
     # a class of several suffixes repeats as a whole; its first suffix leads where no other class has the window before
-    whole = F.when(F.col("prev") | F.col("next"), F.col("mask")).otherwise(none)
-    every = whole.bitwiseOR(F.coalesce("all", none))
-    first = F.when(F.col("prev"), none).otherwise(whole.bitwiseAND(F.expr("~coalesce(all, 0L)")).bitwiseOR(F.coalesce("lead", none)))
-    return marked.select(*twin, every.alias("all"), first.alias("first")).where("all <> 0")
+    twins = hits.where("prev OR next")
+    marked = join_one(twins, found.select("gram", "around", "all", "lead"), ["gram", "around"], "left")
+    every = F.col("mask").bitwiseOR(F.coalesce("all", none))
+    first = F.when(F.col("prev"), none).otherwise(F.col("mask").bitwiseAND(F.expr("~coalesce(all, 0L)")).bitwiseOR(F.coalesce("lead", none)))
+    several = marked.select("doc", "key", "at", every.alias("all"), first.alias("first"))
+    # both list the first suffixes of classes of several: bits meet when a document's places are gathered
+    return several.unionByName(alone)
 
 
 def spans_of(places: np.ndarray, every: np.ndarray, first: np.ndarray) -> list[tuple[int, int, bool]]:
