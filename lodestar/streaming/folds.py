@@ -71,7 +71,7 @@ def prequential(stream: DataFrame, tenant: str, klass: str, syms: list[str], num
             v, (n, t, q) = getattr(row, name), own["x"][i]
             if v is not None and v == v and n:
                 z = 2 * (max(0.0, q - t * t / n) / (n - 1) if n > 1 else 0.0) + 1e-32
-                p = math.exp(-min(700.0, (v - t / n) ** 2 / z)) / math.sqrt(math.pi * z)
+                p = math.exp(-((v - t / n) ** 2) / z) / math.sqrt(math.pi * z)
                 out += math.log(p) if p > 0 else 0.0
         for i, name in enumerate(syms):
             v = getattr(row, name)

@@ -102,15 +102,12 @@ def test_models(spark):
     assert off < 1e-9
 
 
-def test_acquire_and_worlds():
+def test_acquire():
     rows = [((i / 200, (i * 7 % 200) / 200), ()) for i in range(200)]
     y = [abs(r[0][0] - 0.3) for r in rows]
     lab = search.acquire(rows, y, 30)
     assert len(lab) == len(set(lab)) == 30
     assert len(search.acquire(rows[:5], y[:5], 30)) == 5
-    rules = {"a": [search.every(search.atom("b"), search.atom("a"))]}
-    assert search.world(rules, [("a", "t")], 1) == {"a": "t", "b": "t"}
-    assert search.ddmin(lambda c: {3, 5} <= set(c), list(range(8))) == [3, 5]
 
 
 def test_stream(spark, tmp_path):
