@@ -15,7 +15,7 @@ retained suffix in each of its occurrences.
    likewise. A window can repeat only if it lies within both reaches. Such windows are cut out of the matched words and
    grouped, which decides exactly and finds each one's first occurrence; together they are the extended matches.
 
-Joins on beginnings and classes give keys with many rows a broadcast (common.join_one). Words, beginnings and windows are
+The join on windows gives those with many rows a broadcast (common.join_one); classes join one row to one. Words, beginnings and windows are
 told apart by 64-bit hashes.
 
 The first occurrence of a window is the one with the smallest (id, place); it is kept, all later ones are repeats.
@@ -222,14 +222,15 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     none = F.lit(0).cast("long")
     # a suffix that is alone in its class has only what its extension found
     alone = found.select("doc", "key", "at", "all", F.col("lead").alias("first"))
-    # a class of several suffixes repeats as a whole; its first suffix leads where no other class has the window before
-    twins = hits.where("prev OR next")
-    marked = join_one(twins, found.select("gram", "around", "all", "lead"), ["gram", "around"], "left")
-    every = F.col("mask").bitwiseOR(F.coalesce("all", none))
-    first = F.when(F.col("prev"), none).otherwise(F.col("mask").bitwiseAND(F.expr("~coalesce(all, 0L)")).bitwiseOR(F.coalesce("lead", none)))
-    several = marked.select("doc", "key", "at", every.alias("all"), first.alias("first"))
-    # both list the first suffixes of classes of several: bits meet when a document's places are gathered
-    return several.unionByName(alone)
+    # a class of several suffixes repeats as a whole; its first suffix leads where no other class has the window before,
+    # so it alone asks what the extension found: one row a class on either side
+    others = found.select("gram", "around", "all", "lead")
+    leads = hits.where("NOT prev AND next").join(others, ["gram", "around"], "left")
+    first = F.col("mask").bitwiseAND(F.expr("~coalesce(all, 0L)")).bitwiseOR(F.coalesce("lead", none))
+    leads = leads.select("doc", "key", "at", F.col("mask").alias("all"), first.alias("first"))
+    later = hits.where("prev").select("doc", "key", "at", F.col("mask").alias("all"), none.alias("first"))
+    # the first suffixes of classes of several are in `alone` too: bits meet when a document's places are gathered
+    return later.unionByName(leads).unionByName(alone)
 
 
 def spans_of(places: np.ndarray, every: np.ndarray, first: np.ndarray) -> list[tuple[int, int, bool]]:
