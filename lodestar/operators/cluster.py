@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hashed, uniform
 from ..roles import RoleFrame
+from ..storage import drop, keep
 from .distance import coded, disty, distx, farthest, literal, on_line, project
-from .stats import kth, numbered, order_values, ranges, running
+from .stats import numbered, order_values, ranges, running, selected
 
 
 def some(df: DataFrame, key: str, k: int, seed: object = 1) -> DataFrame:
@@ -40,8 +41,8 @@ def poles90(rf: RoleFrame, seed: object = 1, share: float = 0.9):
     rows = coded(rf)
     at, out = some(rows, rf.rid, 1, seed).first(), []
     for _ in range(2):
-        d = rows.select(rf.rid, "n", "s", F.round(distx(F.struct("n", "s"), literal(at)), 9).alias("d"))
-        edge = kth(d, "d", int(share * d.count()))
+        d = keep(rows.select(rf.rid, "n", "s", F.round(distx(F.struct("n", "s"), literal(at)), 9).alias("d")), "far")
+        edge = place(d, "d", int(share * d.count()))
         at = d.where(F.col("d") == edge).orderBy(rf.rid).first()
         out.append(at)
     return out
@@ -54,26 +55,33 @@ def poles(rf: RoleFrame, seed: object = 1):
     return east, farthest(rf, east)
 
 
+def place(df: DataFrame, value: str, k: int):
+    """The value at place k of the ascending order of a written frame."""
+    row = selected(df, [], value, df.sparkSession.range(1).select(F.lit(k).alias("k"))).first()
+    return row["v"] if row else None
+
+
 def halve(rf: RoleFrame, seed: object = 1) -> DataFrame:
     """(rid, near): whether a row is in the half by the better pole (the one nearer to the ideal goals)."""
     east, west = poles(rf, seed)
     d = {r[0]: r[1] for r in rf.df.select(rf.rid, disty(rf)).where(F.col(rf.rid).isin(east[rf.rid], west[rf.rid])).collect()}
     if (d.get(west[rf.rid]) or 0) < (d.get(east[rf.rid]) or 0):
         east, west = west, east
-    at = project(rf, east, west).withColumn("at", F.round("at", 9))
+    at = keep(project(rf, east, west).withColumn("at", F.round("at", 9)), "at")
     k = max(1, at.count() // 2)
-    edge = kth(at, "at", k - 1)  # the last value of the near half; of its ties the smallest ids are near
-    tied = at.where(F.col("at") == edge)
-    last = kth(tied, rf.rid, k - 1 - at.where(F.col("at") < edge).count())
+    edge = place(at, "at", k - 1)  # the last value of the near half; of its ties the smallest ids are near
+    low, tied = at.agg(F.count_if(F.col("at") < edge), F.count_if(F.col("at") == edge)).first()
+    last = place(at.where(F.col("at") == edge), rf.rid, k - 1 - low) if tied > k - low else float("inf")
     return at.select(rf.rid, "at", ((F.col("at") < edge) | ((F.col("at") == edge) & (F.col(rf.rid) <= last))).alias("near"))
 
 
 def nodes(rf: RoleFrame, depth: int = 3, stop: int = 4, seed: object = 1) -> DataFrame:
     """(rid, node): halving again and again. All nodes of a level find their poles and their middle in the same jobs;
     children are 2i (by the better pole) and 2i + 1, a node of fewer than 2 * stop rows stays. The driver keeps two poles
-    a node. Middles come from approximate percentiles (error n / 100,000), ties at the middle go to the near side."""
+    a node. Middles are exact (stats.selected), ties at the middle go to the near side. A level's rows are written to the
+    shared folder, which takes the place of the level before."""
     spark = rf.df.sparkSession
-    rows = coded(rf).join(rf.df.select(rf.rid, disty(rf).alias("y")), rf.rid).select(rf.rid, F.struct("n", "s").alias("a"), "y", F.lit(1).alias("node")).persist()
+    rows = keep(coded(rf).join(rf.df.select(rf.rid, disty(rf).alias("y")), rf.rid).select(rf.rid, F.struct("n", "s").alias("a"), "y", F.lit(1).alias("node")), "nodes")
     shape = rows.schema["a"].dataType.simpleString()
     item = F.struct("a", "y")
 
@@ -90,17 +98,19 @@ def nodes(rf: RoleFrame, depth: int = 3, stop: int = 4, seed: object = 1) -> Dat
         first = start.select("node", F.col("p.a").alias("b"), F.col("p.y").alias("yb"))
         east = small(poles_by(small(first)))
         west = small(poles_by(east))
+        if east.isEmpty():
+            break
         both = east.join(west.select("node", F.col("b").alias("w"), F.col("yb").alias("yw")), "node")
         flip = F.coalesce(F.col("yw") < F.col("yb"), F.lit(False))
         both = both.select("node", F.when(flip, F.col("w")).otherwise(F.col("b")).alias("e"), F.when(flip, F.col("b")).otherwise(F.col("w")).alias("w"))
         ab, ea, wa = distx("e", "w"), distx("a", "e"), distx("a", "w")
         at = rows_now.join(F.broadcast(both), "node", "left").withColumn("at", F.round((ea * ea + ab * ab - wa * wa) / (2 * ab + 1e-32), 9))
-        mids = at.where("at IS NOT NULL").groupBy("node").agg(F.percentile_approx("at", 0.5, 100_000).alias("mid")).collect()
-        if not mids:
-            break
-        mid = F.broadcast(spark.createDataFrame(mids, "node int, mid double"))
+        at = keep(at.select(rf.rid, "a", "y", "node", "at"), "nodes")
+        sizes = at.where("at IS NOT NULL").groupBy("node").agg(F.floor((F.count("*") - 1) / 2).alias("k"))  # a row a node
+        mid = spark.createDataFrame(selected(at, ["node"], "at", sizes).select("node", "v").collect(), "node int, mid double")
         side = F.when(F.col("mid").isNull(), F.col("node")).otherwise(2 * F.col("node") + (F.col("at") > F.col("mid")).cast("int"))
-        rows_now = at.join(mid, "node", "left").select(rf.rid, "a", "y", side.alias("node")).persist()
+        last, rows_now = rows_now, keep(at.join(F.broadcast(mid), "node", "left").select(rf.rid, "a", "y", side.alias("node")), "nodes")
+        drop(last, at)
     return rows_now.select(rf.rid, "node")
 
 
@@ -108,7 +118,7 @@ def delegates(rf: RoleFrame, eps: float, most: int = 64, retreat: float = 0.0, s
     """(rid, kin, d): furthest-point cover. The row farthest from all delegates (or the one `retreat` percent short of it)
     becomes one, until all are nearer than eps; rows join their nearest delegate. Each turn is one pass; a cover that
     would need more than `most` delegates is an error, not a cut."""
-    near = coded(rf).select(rf.rid, F.struct("n", "s").alias("a"), F.lit(None).cast("struct<d:double,kin:long>").alias("m")).persist()
+    near = keep(coded(rf).select(rf.rid, F.struct("n", "s").alias("a"), F.lit(None).cast("struct<d:double,kin:long>").alias("m")), "near")
     new, kept = some(coded(rf), rf.rid, 1, seed).first(), 0
     while new is not None:
         if kept >= most:
@@ -116,13 +126,14 @@ def delegates(rf: RoleFrame, eps: float, most: int = 64, retreat: float = 0.0, s
         kept += 1
         own = F.struct(distx("a", "b").alias("d"), F.lit(new[rf.rid]).cast("long").alias("kin"))
         last = near
-        near = last.withColumn("b", literal(new)).select(rf.rid, "a", F.least("m", own).alias("m")).persist()  # least skips null
+        near = last.withColumn("b", literal(new)).select(rf.rid, "a", F.least("m", own).alias("m"))  # least skips null
+        near = keep(near, "near")
         far = near.where(F.col("m.d") >= eps)
         if retreat:
             edge = far.agg(F.percentile_approx("m.d", 1 - retreat / 100, 10_000)).first()[0]
             far = far.where(F.col("m.d") <= edge) if edge is not None else far
         new = far.orderBy(F.desc(F.round("m.d", 9)), rf.rid).select(rf.rid, "a.n", "a.s").first()
-        last.unpersist()
+        drop(last)
     return near.select(rf.rid, "m.kin", "m.d")
 
 
@@ -171,7 +182,7 @@ def recentred(own: DataFrame, nn: int, ns: int) -> list[tuple]:
 def kmeans(rf: RoleFrame, k: int = 8, iters: int = 3, seed: object = 1, errors: list | None = None) -> DataFrame:
     """(rid, cluster, d): means of numbers, modes of symbols. Only k-row aggregates leave the tasks. `errors`, if given,
     gets the mean distance of each assignment."""
-    rows = coded(rf).select(rf.rid, F.struct("n", "s").alias("a"))
+    rows = keep(coded(rf).select(rf.rid, F.struct("n", "s").alias("a")), "coded")
     start = some(rows, rf.rid, k, seed).collect()
     cents = [(i, r["a"]["n"], r["a"]["s"]) for i, r in enumerate(start)]
     for _ in range(iters):

@@ -59,6 +59,58 @@ def kth(df: DataFrame, value: str, k: int):
     return running(counts, "v", ["n"]).agg(F.min(F.when(F.col("upto_n") > k, F.col("v")))).first()[0]
 
 
+#: Distinct values of a group that one task may order; parts that a pass of `selected` cuts a group into.
+FEW, PARTS = 100_000, 256
+
+
+def selected(df: DataFrame, keys: list[str], value: str, want: DataFrame, few: int = FEW) -> DataFrame:
+    """(keys, k, v): the value at place k (from 0) of the ascending order of each group, exact; want is (keys, k), and a
+    group may ask for several places. Places beyond a group's values give no row.
+
+    All groups narrow together: a pass takes approximate percentiles of the values strictly between a group's bounds, counts
+    what lies below, at and between the two that enclose the place, and keeps the part that holds it, about a hundredth
+    of it. Values at a bound end the search at once, so frequent ones don't stay. What is left, at most `few` rows a
+    group, is counted by value and ordered. The number of passes grows with the logarithm of the largest group.
+    """
+    from ..storage import drop, keep
+
+    by, v = [*keys, "k"], F.col("_v")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ask = want.select(*keys, F.col("k").cast("long").alias("k"))
+    # _lo, _hi: bounds (exclusive); _r: the place among the values between them
+    places = ask.select(*by, F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"), F.col("k").alias("_r"))
+    between = (v > F.col("_lo")) & (v < F.col("_hi"))
+    places, found, none = keep(places, "places"), None, F.lit(None).cast("double")
+    while True:
+        inside = (rows.join(F.broadcast(places), keys) if keys else rows.crossJoin(F.broadcast(places))).where(between)  # places: a row each that is asked for
+        steps = F.percentile_approx("_v", [i / PARTS for i in range(PARTS + 1)], 100 * PARTS)
+        cuts = keep(inside.groupBy(*by).agg(F.count("*").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_r").alias("_r"), steps.alias("_p")), "cuts")
+        if (cuts.agg(F.max("_n")).first()[0] or 0) <= few:
+            drop(cuts)
+            break
+        at = F.col("_r") * PARTS / F.col("_n")
+        pick = lambda i: F.get("_p", F.greatest(F.lit(0), F.least(F.lit(PARTS), i)).cast("int"))
+        cuts_ = cuts.select(*by, "_lo", "_hi", "_r", pick(F.floor(at) - 1).alias("_a"), pick(F.ceil(at) + 1).alias("_b"))
+        near = (rows.join(F.broadcast(cuts_), keys) if keys else rows.crossJoin(F.broadcast(cuts_))).where(between)
+        parts = near.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("_lo", "_hi", "_r", "_a", "_b")], F.count_if(v < F.col("_a")).alias("_c0"), F.count_if(v == F.col("_a")).alias("_c1"), F.count_if((v > F.col("_a")) & (v < F.col("_b"))).alias("_c2"), F.count_if((v == F.col("_b")) & (F.col("_b") > F.col("_a"))).alias("_c3"))
+        r, upto = F.col("_r"), [sum((F.col(f"_c{i}") for i in range(j)), F.lit(0)) for j in range(5)]
+        cases = [(F.col("_lo"), F.col("_a"), none), (none, none, F.col("_a")), (F.col("_a"), F.col("_b"), none), (none, none, F.col("_b")), (F.col("_b"), F.col("_hi"), none)]
+        step = F.lit(None).cast("struct<lo:double,hi:double,v:double,r:bigint>")
+        for j, (lo, hi, got) in reversed(list(enumerate(cases))):
+            own = F.struct(lo.alias("lo"), hi.alias("hi"), got.alias("v"), (r - upto[j]).cast("long").alias("r"))
+            step = own if j == 4 else F.when(r < upto[j + 1], own).otherwise(step)
+        last, parts = places, keep(parts.select(*by, step.alias("s")).select(*by, "s.*"), "parts")
+        done = parts.where("v IS NOT NULL").select(*by, "v")
+        found = done if found is None else found.unionByName(done)
+        places = keep(parts.where("v IS NULL").select(*by, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("r").alias("_r")), "places")
+        drop(last, cuts)
+    inside = (rows.join(F.broadcast(places), keys) if keys else rows.crossJoin(F.broadcast(places))).where(between)
+    counts = inside.groupBy(*by, "_v", "_r").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    got = counts.withColumn("_u", upto).where("_u > _r").groupBy(*by).agg(F.min("_v").alias("v"))
+    return got if found is None else found.unionByName(got)
+
+
 def samples(a: DataFrame, b: DataFrame, value: Column) -> DataFrame:
     """(v, a, b): how often each sample has a value."""
     one = a.select(value.cast("double").alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y"))
