@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import oracles as O
 from .functions import columns as C
 from .operators import cluster, distance, grids, neighbours, splits, stats, summary
-from .plans import search, study
-from .queries import DIST, LOG, ORDER, PART, PS, R, U, disty_part, mixed, order_tree, query, view
+from .plans import breed, label, search
+from .queries import DIST, LOG, PART, R, U, disty_part, mixed, order_tree, query, view, whole
 from .roles import RoleFrame
 from .sources import tables
 from .streaming import folds
@@ -24,18 +24,6 @@ def q71(s, d):
     return neighbours.near(mixed(s, d), 3).select("probe", "rank", "rid", R(F.col("d")).alias("d"))
 
 
-ON_ORDERS = f"{O.OC}, p AS (SELECT x.rid AS probe, z.rid, round({O.dist('z', 'x')},12) AS d, z.k AS klass, z.y FROM f x JOIN f z ON x.rid<>z.rid), k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY d, rid) rank FROM p)".replace(", p AS (", ", f AS MATERIALIZED (SELECT * FROM oc WHERE rid % 8 < 2), p AS (", 1)
-
-
-def some_orders(s: SparkSession, d: str) -> RoleFrame:
-    """Orders of two residues of the key (a view for the pair-wise oracle), scored by the statistics of all orders."""
-    rf = view(s, d, "order")
-    rf.stats()
-    out = rf.clone(rf.df.where("rid % 8 < 2"))
-    out._stats = rf.stats()
-    return out
-
-
 @query("q72_classify_mixed", f"WITH {O.DOCS}, z AS (SELECT doc_id AS rid, CAST(toxic AS VARCHAR) AS klass FROM labels WHERE toxic IS NOT NULL), p AS (SELECT x.rid AS probe, y.rid, round({O.doc_dist('y', 'x')},12) AS d, klass FROM dc x JOIN dc y ON x.rid<>y.rid JOIN z ON z.rid=y.rid), k AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY d, rid) rank FROM p), v AS (SELECT probe, klass, count(*) n FROM k WHERE rank<=5 GROUP BY 1, 2) SELECT probe, klass AS got FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY n DESC, klass) r FROM v) WHERE r=1")
 def q72(s, d):
     toxic = s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("rid"), F.col("toxic").cast("string").alias("toxic!"))
@@ -322,13 +310,14 @@ def q107(s, d):
 
 @query("q108_study")
 def q108(s, d):
-    runs = study.dataset(s, {n: view(s, d, n) for n in ("order", "part")}, (("active20", "active", 20), ("random20", "random", 20)), 4, ("tree", "spine", "rule"))
-    return runs.groupBy("view", "arm", "shape").agg(R(F.avg("win"), 3).alias("win"), F.max("spent").alias("spent"))
+    runs = label.study(whole(s, d, "order", "part"), [(f"{m}20", f, m, 20) for f in ("order", "part") for m in ("active", "random", "centroid")], 3, start=8)
+    return runs.groupBy("file", "arm").agg(R(F.avg("win"), 3).alias("win"), F.max("spent").alias("spent"))
 
 
 @query("q109_versus")
 def q109(s, d):
-    return study.versus(s, view(s, d, "part"), 20, 6)
+    runs = label.study(whole(s, d, "part"), [(m, "part", m, 20) for m in ("active", "random")], 8)
+    return label.verdicts(runs, "active", "random")
 
 
 @query("q110_mutate")
@@ -347,8 +336,9 @@ def q111(s, d):
 
 @query("q112_timeline")
 def q112(s, d):
-    rows, y, _ = search.capped(view(s, d, "part"))
-    return search.merged(search.timeline(s, rows, y, ["climb", "oneplus1", "ls"], 1, 100)).select("evaluation", "optimizer", R(F.col("best")).alias("best"))
+    rf = view(s, d, "part")
+    sur = breed.Surrogate(rf, rf.df.select("rid", distance.disty(rf).alias("y")))
+    return breed.merged(breed.race(sur, ["climb", "oneplus1"], 1, steps=40)).select("evaluation", "optimizer", R(F.col("best")).alias("best"))
 
 
 @query("q113_rated_effort", "SELECT p_partkey AS rid, round(2.94*power(p_size,0.91+0.01*(CASE p_partkey%2 WHEN 0 THEN 6.20 ELSE 4.96 END+3.04+4.24+3.29+4.68))*CASE p_size%3 WHEN 0 THEN 1.42 WHEN 1 THEN 1.19 ELSE 1.00 END*0.88+1e-9,5) AS effort, round(((CASE WHEN (1+p_size%3)*-1+4-1>=0 THEN 2*power(2,4-(1+p_size%3)-1) ELSE 0 END))/3.73+1e-9,6) AS risk FROM part")

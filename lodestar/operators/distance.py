@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import capped, gap_num, gap_sym, logistic, minkowski, minmax
 from ..roles import RoleFrame
+from ..storage import keep
 
-#: Probes in one broadcast.
-PROBES = 4096
 
 
 def norms(rf: RoleFrame, cols: list[str], how: str = "logistic", f: float = 0.15) -> dict[str, Column]:
@@ -68,52 +67,12 @@ def chebyshev_x(a: str | Column, b: str | Column) -> Column:
 
 def near(rows: DataFrame, probes: DataFrame, k: int, rid: str = "rid", vector: str = "embedding") -> DataFrame:
     """(probe, rank, rid, d): the k rows nearest to each probe by Euclidean distance, ties to the smaller id; a row is
-    not its own neighbour. Probes go out in blocks of at most PROBES, distances by blocked matrix products whose k best
-    (and all that rounding could have put behind them) are measured again by differences; tasks return k rows a probe."""
-    spark, found, after = rows.sparkSession, None, None
-    own = probes.select(F.col(rid).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    data = rows.select(F.col(rid).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
-    while True:
-        block = (own if after is None else own.where(F.col("i") > after)).orderBy("i").limit(PROBES).collect()
-        if not block:
-            break
-        after = block[-1][0]
-        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block]), np.array([r[1] for r in block])))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vec = shared.value
-            norm = (vec * vec).sum(1)
-            best = np.full((len(ids), k), np.inf)  # the k best so far, their rows
-            who = np.full((len(ids), k), np.iinfo(np.int64).max)
-            for b in batches:
-                for at in range(0, b.num_rows, 4096):
-                    part = b.slice(at, 4096)
-                    mine, x = part.column(0).to_numpy(), np.array(part.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(part.num_rows, -1)
-                    size = (x * x).sum(1)
-                    for to in range(0, len(ids), 512):
-                        q = slice(to, to + 512)
-                        rough = norm[q, None] + size[None, :] - 2 * vec[q] @ x.T
-                        rough[ids[q, None] == mine[None, :]] = np.inf
-                        slack = 1e-9 * (norm[q, None] + size.max())
-                        edge = np.minimum(best[q, -1:] ** 2, np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, [min(k, rough.shape[1]) - 1]] if rough.shape[1] >= k else np.inf)
-                        r, c = np.nonzero((rough <= edge + slack) & np.isfinite(rough))
-                        d = np.sqrt(((vec[to + r] - x[c]) ** 2).sum(1))
-                        row = np.concatenate([r, np.repeat(np.arange(len(ids[q])), k)])
-                        all_d, all_id = np.concatenate([d, best[q].ravel()]), np.concatenate([mine[c], who[q].ravel()])
-                        order = np.lexsort((all_id, all_d, row))
-                        first = np.searchsorted(row[order], np.arange(len(ids[q])))
-                        pick = order[first[:, None] + np.arange(k)]
-                        best[q], who[q] = all_d[pick], all_id[pick]
-            r, c = np.nonzero(np.isfinite(best))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(who[r, c]), pa.array(best[r, c])], names=["probe", "rid", "d"])
-
-        part = data.mapInArrow(run, "probe long, rid long, d double")
-        found = part if found is None else found.unionByName(part)
-        if len(block) < PROBES:
-            break
-    if found is None:
-        found = spark.createDataFrame([], "probe long, rid long, d double")
-    return ranked(found, ["probe"], [F.col("d"), F.col("rid")], k)
+    not its own neighbour. Tiles of boxes (operators.boxes) meet in shuffles; nothing passes through the driver."""
+    from .boxes import Boxes, nearest
+
+    shaped = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(rid).cast("long").alias("rid"), F.struct(F.col(vector).cast("array<double>").alias("n"), F.array().cast("array<string>").alias("s")).alias("a"))
+    index = Boxes(shaped(rows))
+    return nearest(index, index if probes is rows else Boxes(shaped(probes)), k, "euclid")
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -178,15 +137,14 @@ def on_line(a: Column, east: Column, west: Column) -> Column:
     return (ea * ea + ab * ab - wa * wa) / (2 * ab + 1e-32)
 
 
-#: Points of the merged local fronts that are compared by broadcast; beyond them the front is searched range by range.
+#: Points of fronts that one task compares; more are merged range by range.
 FRONT = 20_000
 
 
 def pareto(rf: RoleFrame) -> DataFrame:
     """Rows that none dominates. Points are distinct goal values. With two goals, a point must beat the least second goal
     of all points before it in the order of the first. With more, each task keeps the front of its own points (sort by
-    the sum of goals: a point can only be dominated by one before it), and the fronts are merged the same way, in one task
-    while they are few and by ranges of the first goal, each against the fronts before it, where they are not."""
+    the sum of goals: a point can only be dominated by one before it), and the fronts are merged by `fronts`."""
     from .stats import improvements
 
     goals = list(rf.schema.goals.items())
@@ -212,16 +170,49 @@ def pareto(rf: RoleFrame) -> DataFrame:
                 kept = np.array(front).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([pa.array(kept[:, i]) for i in range(len(names))], names=names)
 
-        local = points.mapInArrow(skyline, points.schema)
-        while True:  # fronts of ever fewer tasks, each of the fronts of several
-            n = max(1, local.count() // FRONT)
-            local = local.repartition(n).mapInArrow(skyline, points.schema)
-            if n == 1:
-                break
-        front = local
+        front = fronts(keep(points.mapInArrow(skyline, points.schema), "front"), names, skyline)
     return rows.join(front, names, "left_semi").select(rf.rid)
 
 
+def fronts(local: DataFrame, names: list[str], skyline) -> DataFrame:
+    """The front of written points, of which most are undominated already. Few points are one task's work. More are ordered by
+    the sum of goals and cut into ranges of FRONT points: a point can only be dominated by one of a smaller sum, so each
+    range is thinned by itself and then by the ranges before it, one after another as they become final. What is final is
+    written; a range meets it in pieces of FRONT points, so no task holds more than two ranges."""
+    from .stats import numbered
+
+    if local.count() <= FRONT:
+        return keep(local.repartition(1).mapInArrow(skyline, local.schema), "front")
+    total = sum((F.col(n) for n in names), F.lit(0.0))
+    ranged = keep(numbered(local.withColumn("_sum", total), ["_sum", *names], "_pos").withColumn("_part", F.floor((F.col("_pos") - 1) / FRONT).cast("int")).drop("_pos", "_sum"), "ranged")
+    parts, final = ranged.agg(F.max("_part")).first()[0] + 1, None
+    for i in range(parts):
+        own = ranged.where(F.col("_part") == i).select(*names).repartition(1).mapInArrow(skyline, local.schema)
+        if final is not None:
+            pieces = [r[0] for r in final.select("_part").distinct().orderBy("_part").collect()]
+            for j in pieces:
+                own = keep(_undominated(own, final.where(F.col("_part") == j).select(*names), names), "front")
+        own = keep(own.withColumn("_part", F.lit(i)), "front")
+        final = own if final is None else final.unionByName(own)
+    return final.select(*names)
+
+
+def _undominated(points: DataFrame, others: DataFrame, names: list[str]) -> DataFrame:
+    """The points that none of the others (FRONT at most) dominates; others are no worse in their sum and all distinct."""
+    few = np.array([[r[n] for n in names] for r in others.collect()]).reshape(-1, len(names))  # FRONT points at most
+    shared = points.sparkSession.sparkContext.broadcast(few)
+
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1) if b.num_rows else np.empty((0, len(names)))
+            good = np.ones(len(x), bool)
+            for at in range(0, len(x), 64):
+                good[at : at + 64] = ~(shared.value[None, :, :] <= x[at : at + 64, None, :]).all(2).any(1)
+            yield b.filter(pa.array(good))
+
+    return points.mapInArrow(free, points.schema)
+
+
 def zitzler(a: list[Column], b: list[Column], heavens: list[int]) -> Column:
     """Whether goals a beat goals b by continuous domination (all normalized)."""
     n = len(a)

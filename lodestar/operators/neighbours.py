@@ -1,12 +1,5 @@
-"""Nearest rows of mixed kind: an exact join by pivots, and what follows from it: classes, guesses, anomalies, snapping.
-
-Pivots are PIVOTS hashed rows, held as literals. Every row belongs to the cell of its nearest pivot. What a probe must look
-at follows from the triangle inequality: the k smallest distances of each cell's rows to their pivot bound the distance to
-the k-th neighbour, and a cell, then a row, can hold a nearer one only if its distance to the pivot differs from the
-probe's by that bound at most. Rows and probes with unknown cells, for which the inequality does not hold, meet all. Every
-step is a native expression, an equi-join on cells, or a limited rank; nothing passes through the driver but pivots and
-cell bounds (PIVOTS x k numbers).
-"""
+"""Nearest rows of mixed kind, and what follows from them: classes, guesses, anomalies, snapping. All go through the index of
+boxes (operators.boxes): exact, unknown cells included, in tiles of bounded size."""
 
 from __future__ import annotations
 
@@ -14,10 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import RoleFrame
-from .cluster import some
-from .distance import coded, distx, literal, ranked, scored_gaps
-
-PIVOTS = 24
+from .boxes import Boxes
+from .boxes import nearest as among
+from .distance import coded, distx, scored_gaps
 
 
 def cells(rf: RoleFrame) -> DataFrame:
@@ -25,32 +17,11 @@ def cells(rf: RoleFrame) -> DataFrame:
     return coded(rf).select(F.col(rf.rid).alias("rid"), F.struct("n", "s").alias("a"))
 
 
-def nearest(rows: DataFrame, probes: DataFrame, k: int, within: list[str] | None = None, seed: object = 1) -> DataFrame:
+def nearest(rows: DataFrame, probes: DataFrame, k: int, within: list[str] | None = None, kind: str = "mixed", looked: list | None = None) -> DataFrame:
     """(probe, rank, rid, d): the k rows nearest to each probe, ties to the smaller id; a row is not its own neighbour.
-    rows and probes are (rid, a). With `within`, only rows with the same values of those columns (carried by both) count;
-    these then take the place of the cells."""
-    keys = within or []
-    d = F.round(distx(F.col("b"), F.col("a")), 12).alias("d")
-    if keys:
-        both = probes.select(*keys, F.col("rid").alias("probe"), F.col("a").alias("b")).join(rows.select(*keys, "rid", "a"), keys)
-        return ranked(both.where("probe <> rid").select("probe", "rid", d), ["probe"], [F.col("d"), F.col("rid")], k).select("probe", "rank", "rid", "d")
-    blank = F.exists("a.n", lambda x: x.isNull()) | F.exists("a.s", lambda x: x.isNull())
-    pivots = [r["a"] for r in some(rows.where(~blank), "rid", PIVOTS, seed).collect()]
-    to = F.array(*[F.round(distx(F.col("a"), literal(p)), 12) for p in pivots]) if pivots else F.array().cast("array<double>")
-    own = rows.select("rid", "a", blank.alias("blank"), to.alias("to"))
-    best = F.array_min("to")
-    own = own.withColumn("cell", F.when(F.col("blank") | F.lit(not pivots), -1).otherwise(F.array_position("to", best).cast("int") - 1)).withColumn("r", F.when(F.col("cell") >= 0, best))
-    small = ranked(own.where("cell >= 0").select("cell", "r", "rid"), ["cell"], [F.col("r"), F.col("rid")], k + 1).select("cell", "r").collect()  # PIVOTS x (k + 1) numbers
-    far = {x["cell"]: x["r"] for x in own.where("cell >= 0").groupBy("cell").agg(F.max("r").alias("r")).collect()}
-    asks = probes.select(F.col("rid").alias("probe"), F.col("a"), blank.alias("open"), to.alias("to"))
-    # one of the bounds may be the probe itself: the (k + 1)-th holds k others
-    bounds = F.array_sort(F.array(*[F.get("to", F.lit(x["cell"])) + x["r"] for x in small])) if len(small) > k else F.array().cast("array<double>")
-    asks = asks.withColumn("bound", F.when(F.col("open"), None).otherwise(F.get(bounds, F.lit(k))) + 1e-9)
-    visits = [F.when(F.col("bound").isNull() | (F.get("to", F.lit(c)) - r <= F.col("bound")), F.lit(c)) for c, r in sorted(far.items())]
-    asks = asks.select("probe", F.col("a").alias("b"), "to", "bound", F.explode(F.array_compact(F.array(F.lit(-1), *visits))).alias("cell"))
-    pairs = asks.join(own.select("rid", "a", "cell", "r"), "cell").where("probe <> rid")
-    pairs = pairs.where((F.col("cell") < 0) | F.col("bound").isNull() | (F.abs(F.get("to", F.col("cell")) - F.col("r")) <= F.col("bound")))
-    return ranked(pairs.select("probe", "rid", d), ["probe"], [F.col("d"), F.col("rid")], k).select("probe", "rank", "rid", "d")
+    rows and probes are (rid, a). With `within`, only rows with the same values of those columns (carried by both) count."""
+    index = Boxes(rows, within)
+    return among(index, index if probes is rows else Boxes(probes, within), k, kind, looked)
 
 
 def near(rf: RoleFrame, k: int) -> DataFrame:

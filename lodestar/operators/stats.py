@@ -63,9 +63,10 @@ def kth(df: DataFrame, value: str, k: int):
 FEW, PARTS = 100_000, 256
 
 
-def selected(df: DataFrame, keys: list[str], value: str, want: DataFrame, few: int = FEW) -> DataFrame:
-    """(keys, k, v): the value at place k (from 0) of the ascending order of each group, exact; want is (keys, k), and a
-    group may ask for several places. Places beyond a group's values give no row.
+def selected(df: DataFrame, keys: list[str], value: str, want: DataFrame, few: int = FEW, most: int | None = None) -> DataFrame:
+    """(keys, k, v, upto): the value at place k (from 0) of the ascending order of each group, exact, and how many values are
+    not above it; want is (keys, k), and a group may ask for several places. Places beyond a group's values give no row.
+    most: rows of the largest group, where that is known.
 
     All groups narrow together: a pass takes approximate percentiles of the values strictly between a group's bounds, counts
     what lies below, at and between the two that enclose the place, and keeps the part that holds it, about a hundredth
@@ -80,8 +81,9 @@ def selected(df: DataFrame, keys: list[str], value: str, want: DataFrame, few: i
     # _lo, _hi: bounds (exclusive); _r: the place among the values between them
     places = ask.select(*by, F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"), F.col("k").alias("_r"))
     between = (v > F.col("_lo")) & (v < F.col("_hi"))
-    places, found, none = keep(places, "places"), None, F.lit(None).cast("double")
-    while True:
+    found, none = None, F.lit(None).cast("double")
+    places = places if most is not None and most <= few else keep(places, "places")
+    while most is None or most > few:
         inside = (rows.join(F.broadcast(places), keys) if keys else rows.crossJoin(F.broadcast(places))).where(between)  # places: a row each that is asked for
         steps = F.percentile_approx("_v", [i / PARTS for i in range(PARTS + 1)], 100 * PARTS)
         cuts = keep(inside.groupBy(*by).agg(F.count("*").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_r").alias("_r"), steps.alias("_p")), "cuts")
@@ -97,17 +99,18 @@ def selected(df: DataFrame, keys: list[str], value: str, want: DataFrame, few: i
         cases = [(F.col("_lo"), F.col("_a"), none), (none, none, F.col("_a")), (F.col("_a"), F.col("_b"), none), (none, none, F.col("_b")), (F.col("_b"), F.col("_hi"), none)]
         step = F.lit(None).cast("struct<lo:double,hi:double,v:double,r:bigint>")
         for j, (lo, hi, got) in reversed(list(enumerate(cases))):
-            own = F.struct(lo.alias("lo"), hi.alias("hi"), got.alias("v"), (r - upto[j]).cast("long").alias("r"))
+            # a place that is found keeps in r what makes k - r the number of values up to it
+            own = F.struct(lo.alias("lo"), hi.alias("hi"), got.alias("v"), (r - upto[j + 1 if j in (1, 3) else j]).cast("long").alias("r"))
             step = own if j == 4 else F.when(r < upto[j + 1], own).otherwise(step)
         last, parts = places, keep(parts.select(*by, step.alias("s")).select(*by, "s.*"), "parts")
-        done = parts.where("v IS NOT NULL").select(*by, "v")
+        done = parts.where("v IS NOT NULL").select(*by, "v", (F.col("k") - F.col("r")).alias("upto"))
         found = done if found is None else found.unionByName(done)
         places = keep(parts.where("v IS NULL").select(*by, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("r").alias("_r")), "places")
         drop(last, cuts)
     inside = (rows.join(F.broadcast(places), keys) if keys else rows.crossJoin(F.broadcast(places))).where(between)
     counts = inside.groupBy(*by, "_v", "_r").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    got = counts.withColumn("_u", upto).where("_u > _r").groupBy(*by).agg(F.min("_v").alias("v"))
+    got = counts.withColumn("_u", upto).where("_u > _r").groupBy(*by).agg(F.min("_v").alias("v"), F.min(F.col("_u") - F.col("_r") + F.col("k")).alias("upto"))
     return got if found is None else found.unionByName(got)
 
 

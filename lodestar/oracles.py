@@ -55,9 +55,9 @@ def sd(n: str, t: str, q: str) -> str:
     return f"(CASE WHEN {n}<2 THEN 0 ELSE sqrt(greatest(0,{q}-{t}*{t}/{n})/({n}-1)) END)"
 
 
-def best_cuts(name: str, table: str, y: str = "y", leaf: int = 3) -> str:
+def best_cuts(name: str, table: str, y: str = "y", leaf: int = 3, cells_sql: str | None = None) -> str:
     """Table <name>: the cheapest cut of each node of a table with a node column."""
-    g = f"SELECT node, att, x, s, count(*) n, sum(y) t, sum(y*y) q FROM ({cells(table, y, 'node, ')}) GROUP BY node, att, x, s"
+    g = f"SELECT node, att, x, s, count(*) n, sum(y) t, sum(y*y) q FROM ({cells_sql or cells(table, y, 'node, ')}) GROUP BY node, att, x, s"
     up = lambda c: f"CASE WHEN s IS NULL THEN sum({c}) OVER (PARTITION BY node, att ORDER BY x ROWS UNBOUNDED PRECEDING) ELSE {c} END AS {c}1, sum({c}) OVER (PARTITION BY node, att) AS {c}"
     w = f"SELECT node, att, x, s, {', '.join(map(up, 'ntq'))} FROM ({g})"
     cost = f"(n1*{sd('n1', 't1', 'q1')}+(n-n1)*{sd('(n-n1)', '(t-t1)', '(q-q1)')})/n"
@@ -69,6 +69,16 @@ VALUE = "CASE c.att WHEN 'C_acctbal' THEN CAST(t.bal<=c.x AS INT) WHEN 'c_mktseg
 BEST = f"WITH {OC}, t0 AS (SELECT *, 1 AS node FROM oc), {best_cuts('c0', 't0')} SELECT att AS at, CASE WHEN s IS NULL THEN '<=' ELSE '==' END AS op, x, s, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(cost+1e-9,6) AS cost FROM c0"
 
 
+LINE_COLS = (("L_quantity", "l_quantity"), ("L_tax", "l_tax"), ("l_returnflag", "l_returnflag"), ("l_linestatus", "l_linestatus"))
+#: The best cut of two tables of different columns, each for its own distance to the ideal.
+MANY = (
+    f"WITH {OC}, l AS (SELECT *, l_extendedprice p, l_discount c FROM lineitem), ls AS (SELECT avg(p) mp, stddev_samp(p) sp, avg(c) mc, stddev_samp(c) sc FROM l)"
+    f", lc AS MATERIALIZED (SELECT l.*, sqrt((power({LOG.format(v='p', m='mp', s='sp')},2)+power(1-{LOG.format(v='c', m='mc', s='sc')},2))/2) AS y FROM l, ls)"
+    ", cells AS (" + cells("oc", "y", "'order' AS node, ") + " UNION ALL " + " UNION ALL ".join(f"SELECT 'line' AS node, '{at}' AS att, {'CAST(' + col + ' AS DOUBLE)' if at[0] == 'L' else 'CAST(NULL AS DOUBLE)'} AS x, {'CAST(NULL AS VARCHAR)' if at[0] == 'L' else col} AS s, y FROM lc" for at, col in LINE_COLS) + ")"
+    ", " + best_cuts("c0", "cells", cells_sql="SELECT * FROM cells") + " SELECT node AS file, att AS at, CASE WHEN s IS NULL THEN '<=' ELSE '==' END AS op, x, s, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(cost+1e-9,6) AS cost FROM c0"
+)
+
+
 def tree(depth: int, leaf: int = 3) -> str:
     """Tables t<depth> (rows with their last node) and nd (node, n, mid, inner)."""
     out = [OC, "t0 AS MATERIALIZED (SELECT *, 1 AS node FROM oc)"]

@@ -1,197 +1,17 @@
-"""Label-frugal acquisition, holdout studies and surrogate optimizers.
-
-Sequential by nature on bounded rows: pools are capped (CAP rows, the algorithm's own parameter), labels are few. Parallel
-over (arm, seed) in `sweep`.
-"""
+"""Labels on demand, and synthetic rows."""
 
 from __future__ import annotations
 
-import math
-import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cluster import some
-from ..operators.distance import coded, disty
+from ..functions.columns import gaussian, hashed, roulette
+from ..operators.summary import symbols
 from ..roles import RoleFrame
 
-CAP = 1024
-
-
-def gap(u, v, sym: bool) -> float:
-    if u is None and v is None:
-        return 1.0
-    if sym:
-        return float(u != v)
-    u = (1.0 if v < 0.5 else 0.0) if u is None else u
-    v = (1.0 if u < 0.5 else 0.0) if v is None else v
-    return abs(u - v)
-
-
-def dist(a: tuple, b: tuple) -> float:
-    gaps = [gap(u, v, False) for u, v in zip(a[0], b[0], strict=True)] + [gap(u, v, True) for u, v in zip(a[1], b[1], strict=True)]
-    return (sum(g * g for g in gaps) / max(1, len(gaps))) ** 0.5
-
-
-def acquire(rows: list[tuple], y: list[float], budget: int, more: int = 4, keep: float = 0.66, mode: str = "active", seed: int = 1) -> list[int]:
-    """Indexes of labelled rows, best first: label a few, keep the part of the pool nearest the better of two far labels in
-    the pool, again; when dry, redo on a fresh shuffle from the best and worst labels. A culled label no longer anchors."""
-    rng = random.Random(seed)
-    order = list(range(len(rows)))
-    rng.shuffle(order)
-    if mode == "random" or len(rows) <= budget:
-        return sorted(order[:budget], key=lambda i: (y[i], i))
-    labels: list[int] = []
-    pool, anchors = order[:], []
-    while len(labels) < min(budget, len(rows)):
-        fresh = [i for i in pool if i not in set(labels)][:more][: budget - len(labels)]
-        if not fresh or len(pool) < 2 * more:
-            if not fresh and len(pool) == len(rows):
-                break
-            pool = order[:]
-            rng.shuffle(pool)
-            anchors = [min(labels, key=lambda i: (y[i], i)), max(labels, key=lambda i: (y[i], i))] if labels else []
-            if not fresh:
-                fresh = [i for i in pool if i not in set(labels)][:1]
-        labels += fresh
-        here = [i for i in labels if i in set(pool)] or labels
-        if len(anchors) == 2:
-            east, west = anchors
-            anchors = []
-        else:
-            east = max(here, key=lambda i: (dist(rows[here[0]], rows[i]), -i))
-            west = max(here, key=lambda i: (dist(rows[east], rows[i]), -i))
-        if y[west] < y[east]:
-            east, west = west, east
-        c = dist(rows[east], rows[west]) + 1e-32
-        pool.sort(key=lambda i: (dist(rows[i], rows[east]) ** 2 + c * c - dist(rows[i], rows[west]) ** 2) / (2 * c))
-        pool = pool[: max(1, int(keep * len(pool)))]
-    return sorted(labels, key=lambda i: (y[i], i))
-
-
-def capped(rf: RoleFrame, seed: object = 1) -> tuple[list[tuple], list[float], list]:
-    """At most CAP rows by hashed order: coded inputs, distances to the goals, ids."""
-    own = coded(rf).join(rf.df.select(rf.rid, disty(rf).alias("d")), rf.rid).where("d IS NOT NULL")
-    got = some(own, rf.rid, CAP, seed).collect()
-    return [(tuple(r["n"]), tuple(r["s"])) for r in got], [r["d"] for r in got], [r[rf.rid] for r in got]
-
-
-def likes(table: list[tuple], row: tuple, n: int, kinds: int, k: int = 1, m: int = 2) -> float:
-    """Log-likelihood of a row under a table: m-estimates for symbols, normal densities for numbers; unknown cells and
-    likelihoods of zero take no part."""
-    prior = (len(table) + k) / (n + k * kinds)
-    out = math.log(prior)
-    for i, v in enumerate(row[0]):
-        known = [r[0][i] for r in table if r[0][i] is not None]
-        if v is None or not known:
-            continue
-        mu = sum(known) / len(known)
-        var = sum((u - mu) ** 2 for u in known) / max(1, len(known) - 1)
-        z = 2 * var + 1e-32
-        p = math.exp(-min(700.0, (v - mu) ** 2 / z)) / math.sqrt(math.pi * z)
-        out += math.log(p) if p > 0 else 0.0
-    for i, v in enumerate(row[1]):
-        if v is not None:
-            out += math.log((sum(r[1][i] == v for r in table) + m * prior) / (len(table) + m))
-    return out
-
-
-def middle(table: list[tuple]) -> tuple:
-    """Means of numbers, modes of symbols (of equal counts the smallest)."""
-    nums, syms = [], []
-    for i in range(len(table[0][0])):
-        known = [r[0][i] for r in table if r[0][i] is not None]
-        nums.append(sum(known) / len(known) if known else None)
-    for i in range(len(table[0][1])):
-        known = sorted(r[1][i] for r in table if r[1][i] is not None)
-        syms.append(max(dict.fromkeys(known), key=known.count) if known else None)
-    return tuple(nums), tuple(syms)
-
-
-def by_bayes(best: list[tuple], rest: list[tuple]) -> Callable[[tuple], float]:
-    n = len(best) + len(rest)
-    return lambda r: likes(best, r, n, 2) - likes(rest, r, n, 2)
-
-
-def by_centroid(best: list[tuple], rest: list[tuple]) -> Callable[[tuple], float]:
-    good, bad = middle(best), middle(rest)
-    return lambda r: dist(r, bad) - dist(r, good)
-
-
-def acquire_top(rows: list[tuple], y: list[float], budget: int, start: int = 20, scorer=by_centroid, seed: int = 1) -> list[int]:
-    """Warm start, then label the row of highest score, `budget` times. Best holds about the square root of the labels: a
-    new label goes there, and the worst of it goes to rest when it is too large. Best labels first."""
-    order = list(range(len(rows)))
-    random.Random(seed).shuffle(order)
-    labels = sorted(order[:start], key=lambda i: (y[i], i))
-    edge = max(1, int(len(labels) ** 0.5))
-    best, rest, pool = labels[:edge], labels[edge:], order[start:]
-    for _ in range(budget):
-        if not pool or not rest:
-            break
-        score = scorer([rows[i] for i in best], [rows[i] for i in rest])
-        top = max(pool, key=lambda i: (score(rows[i]), -i))
-        pool.remove(top)
-        labels.append(top)
-        best.append(top)
-        if len(best) > int(len(labels) ** 0.5):
-            worst = max(best, key=lambda i: (y[i], i))
-            best.remove(worst)
-            rest.append(worst)
-    return sorted(labels, key=lambda i: (y[i], i))
-
-
-def tree(rows: list[tuple], y: list[float], leaf: int = 3, depth: int = 4) -> Callable[[tuple], float]:
-    """A regression tree of the few labelled rows, as a function from row to the mean of its leaf. Inputs are normalized,
-    so numbers beyond three standard deviations are not told apart."""
-    spread = lambda ys: (sum((v - sum(ys) / len(ys)) ** 2 for v in ys) / (len(ys) - 1)) ** 0.5 if len(ys) > 1 else 0.0
-    known = lambda r, at: r[0][at] if at < len(r[0]) else r[1][at - len(r[0])]
-    num = lambda at: at < len(rows[0][0])
-    yes = lambda v, at, cut: v is None or (v <= cut if num(at) else v == cut)
-
-    def grow(ids: list[int], level: int):
-        mid = sum(y[i] for i in ids) / len(ids)
-        found = []
-        if len(ids) >= 2 * leaf and level < depth:
-            for at in range(len(rows[0][0]) + len(rows[0][1])):
-                cells = [(known(rows[i], at), y[i]) for i in ids if known(rows[i], at) is not None]
-                for cut in sorted({v for v, _ in cells}):
-                    near, far = [w for v, w in cells if yes(v, at, cut)], [w for v, w in cells if not yes(v, at, cut)]
-                    if len(near) >= leaf and len(far) >= leaf:
-                        found.append(((len(near) * spread(near) + len(far) * spread(far)) / len(cells), at, cut))
-        if not found:
-            return lambda r: mid
-        _, at, cut = min(found, key=lambda f: (round(f[0], 12), f[1], f[2]))
-        kids = [[i for i in ids if yes(known(rows[i], at), at, cut) == side] for side in (True, False)]
-        good, bad = (grow(k, level + 1) for k in kids)
-        return lambda r: (good if yes(known(r, at), at, cut) else bad)(r)
-
-    return grow(list(range(len(rows))), 0)
-
-
-def holdout(rows: list[tuple], y: list[float], budget: int = 50, check: int = 5, mode: str = "active", seed: int = 1) -> float:
-    """Win (100: the best row; 0: the median) of the best of `check` test rows that a tree of the labelled half's labels
-    ranks first. Modes: active, random, and top (warm start, then the best-scored row each turn)."""
-    rng = random.Random(seed)
-    order = list(range(len(rows)))
-    rng.shuffle(order)
-    train, test = order[: len(order) // 2], order[len(order) // 2 :]
-    if not train or not test:
-        return 0.0
-    data, ys, n = [rows[i] for i in train], [y[i] for i in train], budget - check
-    start = max(2, n // 3)
-    lab = acquire_top(data, ys, n - start, start, seed=seed) if mode == "top" else acquire(data, ys, n, mode=mode, seed=seed)
-    guess = tree([data[i] for i in lab], [ys[i] for i in lab])
-    top = sorted(test, key=lambda i: guess(rows[i]))[:check]
-    best = min((y[i] for i in top), default=0.0)
-    ys = sorted(y)
-    return max(-100.0, min(100.0, 100 * (1 - (best - ys[0]) / (ys[len(ys) // 2] - ys[0] + 1e-32))))
-
 
 class Ledger:
     """Labels that a model gives on demand, kept in a table (rid, label): only rows that have none are shown the model."""
@@ -211,175 +31,36 @@ class Ledger:
         return rows.join(self.known(), "rid", "left")
 
 
-def sweep(spark: SparkSession, views: dict[str, RoleFrame], arms: list[tuple[str, int]], seeds: int) -> DataFrame:
-    """(view, mode, budget, seed, win): one task a study; each view's capped rows (CAP at most) are broadcast."""
-    data = spark.sparkContext.broadcast({n: capped(v)[:2] for n, v in views.items()})
-    jobs = spark.createDataFrame([(n, m, b, s) for n in views for m, b in arms for s in range(seeds)], "view string, mode string, budget int, seed int")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            wins = [holdout(*data.value[v], budget=int(n), mode=m, seed=int(s)) for v, m, n, s in zip(b["view"], b["mode"], b["budget"], b["seed"], strict=True)]
-            yield b.assign(win=wins)
-
-    return jobs.repartition(8).mapInPandas(run, "view string, mode string, budget int, seed int, win double")
-
-
-# --------------------------------------------------------------------------- optimizers over a surrogate
-
-
-def optimize(spark: SparkSession, rows: list[tuple], score: list[float], how: list[str], chains: int = 4, steps: int = 300, size: int = 20, gens: int = 20) -> DataFrame:
-    """(optimizer, chain, best): the end of each chain of `timeline`."""
-    t = timeline(spark, rows, score, how, chains, steps, size, gens)
-    return t.groupBy("optimizer", "chain").agg(F.min("best").alias("best"))
-
-
-def race(spark: SparkSession, rows: list[tuple], score: list[float], how: list[str], **budget) -> DataFrame:
-    """(optimizer, best), best first: optimizers over the same surrogate."""
-    return optimize(spark, rows, score, how, **budget).groupBy("optimizer").agg(F.min("best").alias("best")).orderBy("best", "optimizer")
-
-
-def merged(times: DataFrame) -> DataFrame:
-    """(evaluation, optimizer, best): the steps of a timeline that beat all optimizers' steps before them."""
-    from ..operators.stats import improvements
-
-    first = times.groupBy("evaluation").agg(F.min(F.struct("best", "optimizer")).alias("m")).select("evaluation", "m.best", "m.optimizer")
-    return improvements(first, ["evaluation"], "best").select("evaluation", "optimizer", "best")
-
-
-def timeline(spark: SparkSession, rows: list[tuple], score: list[float], how: list[str], chains: int = 4, steps: int = 300, size: int = 20, gens: int = 20) -> DataFrame:
-    """(optimizer, chain, evaluation, best): each improvement of de, ga, sa, ls, climb and oneplus1, which minimize the
-    score of the nearest real row; one task a chain.
-
-    Rows are coded: numbers and symbols. de and ga have `size` rows for `gens` generations, the others `steps` steps: climb
-    keeps a change of one cell that is no worse, oneplus1 changes each cell with a chance of one over their number.
-    """
-    shared = spark.sparkContext.broadcast((rows, score))
-
-    def chain(kind: str, seed: int) -> list[tuple[int, float]]:
-        data, ys = shared.value
-        trace, seen = [], [0, float("inf")]
-        rng = random.Random(f"{kind}{seed}")
-        n = len(data[0][0])
-        real = [[*r[0], *r[1]] for r in data]
-        width = range(len(real[0]))
-        known = [[r[i] for r in real if r[i] is not None] for i in width]
-        lo, hi = [min(k, default=0) for k in known[:n]], [max(k, default=0) for k in known[:n]]
-        nums = np.array([r[:n] for r in real], float).reshape(len(real), n)
-        syms = np.array([r[n:] for r in real], object).reshape(len(real), len(width) - n)
-        sd = [float(np.std(k, ddof=1)) if len(k) > 1 else 0.0 for k in known[:n]]
-        blank = np.isnan(nums)
-
-        def guess(r: list) -> float:
-            d = np.zeros(len(real))
-            for i, v in enumerate(r):
-                if i >= n:
-                    d += 1.0 if v is None else syms[:, i - n] != v
-                elif v is None:  # unknown: as far away as can be
-                    d += np.where(blank[:, i], 1.0, np.maximum(nums[:, i], 1 - nums[:, i])) ** 2
-                else:
-                    d += np.where(blank[:, i], max(v, 1 - v), np.abs(nums[:, i] - v)) ** 2
-            y = ys[int(d.argmin())]
-            seen[0] += 1
-            if y < seen[1]:
-                seen[1] = y
-                trace.append((seen[0], float(y)))
-            return y
-
-        def move(r: list) -> list:
-            out, i = list(r), rng.choice(width)
-            if not known[i]:
-                return out
-            out[i] = rng.choice(known[i]) if i >= n else min(hi[i], max(lo[i], rng.gauss(r[i] if r[i] is not None else sum(known[i]) / len(known[i]), sd[i])))
-            return out
-
-        def blend(a: list, b: list, c: list) -> list:
-            out, keep = list(a), rng.choice(width)
-            for i in width:
-                if i == keep or rng.random() >= 0.7 or a[i] is None:
-                    continue
-                if i >= n:
-                    out[i] = b[i] if rng.random() < 0.5 else a[i]
-                elif b[i] is not None and c[i] is not None:
-                    out[i] = lo[i] + (a[i] + 0.5 * (b[i] - c[i]) - lo[i]) % (hi[i] - lo[i] + 1e-32)
-            return out
-
-        if kind in ("de", "ga"):
-            pop = rng.sample(real, min(size, len(real)))
-            fit = [guess(r) for r in pop]
-            for _ in range(gens):
-                if kind == "de":
-                    for i in range(len(pop)):
-                        kid = blend(*rng.sample(pop, 3)) if len(pop) > 2 else move(pop[i])
-                        if (g := guess(kid)) < fit[i]:
-                            pop[i], fit[i] = kid, g
-                else:
-                    pop = [move(r) for r in pop]
-                    fit = [guess(r) for r in pop]
-                    pair = lambda: pop[min(rng.sample(range(len(pop)), min(5, len(pop))), key=fit.__getitem__)]
-                    kids = []
-                    for _ in pop:
-                        mum, dad, cut = pair(), pair(), rng.choice(width)
-                        kids.append(mum[: cut + 1] + dad[cut + 1 :])
-                    pop, fit = kids, [guess(r) for r in kids]
-            return trace
-        now = rng.choice(real)
-        best = e = guess(now)
-        last = 0
-        for t in range(1, steps + 1):
-            kid = move(now)
-            if kind == "oneplus1":
-                kid = list(now)
-                for _ in range(max(1, sum(rng.random() < 1 / len(width) for _ in width))):
-                    kid = move(kid)
-            g = guess(kid)
-            if g < e or (g == e and kind in ("climb", "oneplus1")) or (kind == "sa" and rng.random() < math.exp((e - g) / (1 - t / steps + 1e-32))):
-                now, e = kid, g
-            if g < best:
-                best, last = g, t
-            if kind == "ls" and t - last > 40:
-                now, last = rng.choice(real), t
-                e = guess(now)
-                best = min(best, e)
-        return trace
-
-    jobs = spark.createDataFrame([(h, c) for h in how for c in range(chains)], "optimizer string, chain int")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(o, int(c), t, y) for o, c in zip(b["optimizer"], b["chain"], strict=True) for t, y in chain(o, int(c))]
-            yield pd.DataFrame(out, columns=["optimizer", "chain", "evaluation", "best"])
-
-    return jobs.repartition(8).mapInPandas(run, "optimizer string, chain int, evaluation long, best double")
-
-
 # --------------------------------------------------------------------------- synthetic rows
 
 
 def mutated(rf: RoleFrame, n: int, seed: object = 1) -> DataFrame:
-    """(rid, inputs): every row with n input cells drawn anew: numbers about their old value with the column's spread,
-    kept within three of it; symbols by their counts. Which cells, and the draws, are hashed."""
-    from ..functions.columns import gaussian, hashed, roulette
-    from ..operators.summary import symbols
+    """(rid, inputs): every row with n input cells drawn anew."""
+    syms = [c for c in rf.schema.x if c not in rf.schema.nums]
+    counts: dict[str, dict[str, int]] = {}
+    for r in symbols(rf.df, syms).collect() if syms else []:  # values of symbols
+        counts.setdefault(r["col"], {})[r["value"]] = r["n"]
+    return changed(rf, rf.df, rf.rid, n, seed, counts, [rf.rid])
+
 
+def changed(rf: RoleFrame, rows: DataFrame, key: str, n: int | Column, seed: object, counts: dict[str, dict[str, int]], others: list[str]) -> DataFrame:
+    """(others, inputs): rows with n input cells drawn anew: numbers about their old value with the column's spread, kept within
+    three of it; symbols by their counts in the view. Which cells, and the draws, are hashed by the key."""
     sch, st = rf.schema, rf.stats()
-    syms = [c for c in sch.x if c not in sch.nums]
-    counts: dict[str, dict[str, int]] = {c: {} for c in syms}
-    for r in symbols(rf.df, syms).collect() if syms else []:  # values of symbols
-        counts[r["col"]][r["value"]] = r["n"]
-    key = F.col(rf.rid)
-    order = F.transform(F.array_sort(F.array(*[F.struct(hashed(key, f"{seed}.{j}").alias("h"), F.lit(j).alias("j")) for j in range(len(sch.x))])), lambda s: s["j"])
-    rows = rf.df.withColumn("_cells", F.slice(order, 1, n))
+    k = F.col(key)
+    order = F.transform(F.array_sort(F.array(*[F.struct(hashed(k, f"{seed}.{j}").alias("h"), F.lit(j).alias("j")) for j in range(len(sch.x))])), lambda s: s["j"])
+    rows = rows.withColumn("_cells", F.slice(order, F.lit(1), n if isinstance(n, Column) else F.lit(n)))
     out = []
     for j, c in enumerate(sch.x):
         v = F.col(f"`{c}`")
         if c in sch.nums:
             mu, sd = st[c]["mu"] or 0.0, st[c]["sd"]
-            drawn = gaussian(key, f"{seed}.{j}.v", 0.0, 1.0) * sd + F.coalesce(v, F.lit(mu))
+            drawn = gaussian(k, f"{seed}.{j}.v", 0.0, 1.0) * sd + F.coalesce(v, F.lit(mu))
             new = F.greatest(F.lit(mu - 3 * sd), F.least(F.lit(mu + 3 * sd), drawn))
         else:
-            new = roulette(key, f"{seed}.{j}.v", counts[c]) if counts[c] else v
+            new = roulette(k, f"{seed}.{j}.v", counts[c]) if counts.get(c) else v
         out.append(F.when(F.array_contains("_cells", j), new).otherwise(v).alias(c))
-    return rows.select(rf.rid, *out)
+    return rows.select(*others, *out)
 
 
 def synthesized(rf: RoleFrame, leaf, n: int, seed: object = 1, least: int = 3) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from . import oracles
 from .functions import columns as C
 from .operators import cluster, distance, splits, stats, summary
-from .plans import goals, search
+from .plans import breed, goals, label
 from .roles import RoleFrame
 from .sources import tables
+from .sources.many import Many
+from .storage import keep
 from .streaming import folds
 
 R = C.rounded
@@ -318,22 +320,30 @@ def q53(s, d):
     return p.select(F.col("p_partkey").alias("rid"), R(C.effort(F.col("p_size"), [F.lit(1.1), F.lit(0.9)], [F.lit(3.72), F.lit(2.0)]), 5).alias("effort"), R(C.risk([(1.0, F.col("p_size") % 3), (2.0, F.lit(-1))])).alias("risk"))
 
 
+def whole(s: SparkSession, d: str, *names: str) -> DataFrame:
+    """Views as one table of tables, all rows coded and scored: (file, rid, a, x, y)."""
+    return keep(Many.of({n: view(s, d, n) for n in names}).scored().drop("inputs"), "scored")
+
+
 @query("q54_holdout")
 def q54(s, d):
-    rows, y, _ = search.capped(view(s, d, "order"))
-    return s.createDataFrame([(m, float(search.holdout(rows, y, mode=m))) for m in ("active", "random")], "mode string, win double")
+    runs = [label.Run(i, "part", m, 30) for i, m in enumerate(("active", "random"))]
+    got = label.holdout(whole(s, d, "part"), runs)
+    return got.select(F.when(F.col("run") == 0, "active").otherwise("random").alias("mode"), R(F.col("win"), 3).alias("win"), "spent", "checked")
 
 
 @query("q56_sweep")
 def q56(s, d):
-    got = search.sweep(s, {n: view(s, d, n) for n in ("order", "line")}, [("active", 20), ("active", 50), ("random", 50)], 5)
-    return got.groupBy("view", "mode", "budget").agg(R(F.avg("win"), 3).alias("win"))
+    arms = [(f, m, b) for f in ("order", "part") for m, b in (("active", 20), ("active", 50), ("random", 50))]
+    runs = label.study(whole(s, d, "order", "part"), [(f"{m}{b}", f, m, b) for f, m, b in arms], 5)
+    return runs.groupBy("file", "mode", "budget").agg(R(F.avg("win"), 3).alias("win"), F.max("spent").alias("spent"))
 
 
 @query("q49_optimizers")
 def q49(s, d):
-    rows, y, _ = search.capped(view(s, d, "line"))
-    got = search.optimize(s, rows, y, ["de", "ga", "sa", "ls"], chains=2)
+    rf = view(s, d, "order")
+    sur = breed.Surrogate(rf, rf.df.select("rid", distance.disty(rf).alias("y")))
+    got = breed.race(sur, ["de", "ga", "sa", "ls"], chains=1, size=10, gens=4, steps=40)
     return got.groupBy("optimizer").agg(R(F.min("best")).alias("best"))
 
 
@@ -593,9 +603,40 @@ def q51d(s, d):
 
 @query("q55_acquire")
 def q55(s, d):
-    rows, y, ids = search.capped(view(s, d, "order"))
-    picked = [("active", search.acquire(rows, y, 30)), ("bayes", search.acquire_top(rows, y, 20, 10, search.by_bayes)), ("centroid", search.acquire_top(rows, y, 20, 10, search.by_centroid))]
-    return s.createDataFrame([(m, i, int(ids[j]), float(y[j])) for m, got in picked for i, j in enumerate(got)], "mode string, i int, rid long, d double")
+    runs = [label.Run(0, "order", "active", 30), label.Run(1, "order", "bayes", 16), label.Run(2, "order", "centroid", 16)]
+    got = label.acquire(whole(s, d, "order"), runs, start=10)
+    mode = F.when(F.col("run") == 0, "active").when(F.col("run") == 1, "bayes").otherwise("centroid")
+    return got.select(mode.alias("mode"), "rid", R(F.col("y")).alias("d"), "turn")
+
+
+def hashed_sql(seed: str, turn: str, key: str = "rid") -> str:
+    return f"('0x'||substr(md5('{seed}.{turn}:'||{key}),1,8))::BIGINT/4294967296.0"
+
+
+@query("q55_random_labels", f"{DIST}, o AS (SELECT rid, d, row_number() OVER (ORDER BY {hashed_sql('7', '0')}, rid) r FROM d WHERE d IS NOT NULL) SELECT rid, round(d+1e-9,6) AS y FROM o WHERE r<=40")
+def q55r(s, d):
+    return label.acquire(whole(s, d, "part"), [label.Run(0, "part", "random", 40, 7)]).select("rid", R(F.col("y")).alias("y"))
+
+
+#: Both views as files of different headers: the statistics of all numbers.
+FILES = {"part": (("P_size+", "p_size"), ("P_retailprice-", "p_retailprice")), "line": (("L_quantity", "l_quantity"), ("L_tax", "l_tax"), ("L_extendedprice-", "l_extendedprice"), ("L_discount+", "l_discount"))}
+
+
+@query("q114_many_stats", " UNION ALL ".join(f"SELECT '{f}' AS file, '{n}' AS name, count({c}) AS n, round(avg({c})+1e-9,4) AS mu, round(stddev_samp({c})+1e-9,4) AS sd, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM main.{'part' if f == 'part' else 'lineitem'}" for f, cols in FILES.items() for n, c in cols))
+def q114(s, d):
+    got = Many.of({n: view(s, d, n) for n in ("part", "line")}).stats()
+    return got.select("file", "name", "n", R(F.col("mu"), 4).alias("mu"), R(F.col("sd"), 4).alias("sd"), "lo", "hi")
+
+
+@query("q115_many_disty", f"{DIST}, l AS (SELECT l_orderkey*8+l_linenumber AS rid, l_extendedprice p, l_discount c FROM lineitem), ls AS (SELECT avg(p) mp, stddev_samp(p) sp, avg(c) mc, stddev_samp(c) sc FROM l) SELECT 'part' AS file, rid, round(d+1e-9,6) AS y FROM d UNION ALL SELECT 'line', rid, round(sqrt((power({LOG.format(v='p', m='mp', s='sp')},2)+power(1-{LOG.format(v='c', m='mc', s='sc')},2))/2)+1e-9,6) FROM l, ls")
+def q115(s, d):
+    return Many.of({n: view(s, d, n) for n in ("part", "line")}).scored().select("file", "rid", R(F.col("y")).alias("y"))
+
+
+@query("q116_many_splits", oracles.MANY)
+def q116(s, d):
+    many = Many.of({n: view(s, d, n) for n in ("order", "line")})
+    return many.splits().select("file", "at", "op", "x", "s", "n1", "n2", R(F.col("cost")).alias("cost"))
 
 
 @query("q70_binned")

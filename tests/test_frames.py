@@ -1,0 +1,277 @@
+"""Frames that go round by round: selection, boxes, acquisition, many tables, populations; against plain Python."""
+
+import collections
+import hashlib
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestar.operators import boxes, distance, grids, neighbours, splits, stats
+from lodestar.plans import breed, label
+from lodestar.roles import RoleFrame
+from lodestar.sources import tables
+from lodestar.sources.many import Many
+
+
+def mixed_rows(n, seed=4, blanks=True):
+    r = random.Random(seed)
+    v = lambda: r.choice([None, r.random(), r.random()]) if blanks else r.random()
+    return [(i, v(), v(), r.choice(["a", "b", None] if blanks else ["a", "b"]), r.choice("xy"), r.random()) for i in range(n)]
+
+
+def mixed_frame(spark, rows):
+    return tables.from_rows(spark, ["A", "B", "c", "d", "Y-"], [["?" if v is None else v for v in row[1:]] for row in rows])
+
+
+@pytest.mark.parametrize("few", [100_000, 40])
+def test_selected(spark, few):
+    r = random.Random(1)
+    rows = [("a", r.gauss(0, 1)) for _ in range(1500)] + [("b", float(r.randrange(5))) for _ in range(900)] + [("c", 1.0)] * 50 + [("d", None)] + [("e", r.choice([7.0, r.random()])) for _ in range(900)]
+    by = collections.defaultdict(list)
+    for g, v in rows:
+        if v is not None:
+            by[g].append(v)
+    want = [(g, k) for g in by for k in {0, len(by[g]) // 2, len(by[g]) - 1, len(by[g]) // 7}] + [("d", 0), ("c", 99)]
+    got = stats.selected(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", spark.createDataFrame(want, "g string, k long"), few).collect()
+    expect = {(g, k): sorted(by[g])[k] for g, k in want if k < len(by[g])}
+    assert {(x["g"], x["k"]): x["v"] for x in got} == expect
+    assert all(x["upto"] == sum(v <= x["v"] for v in by[x["g"]]) for x in got)
+
+
+def plain_distance(a, b, kind):
+    if kind == "mixed":
+        return round(label.gap(a, b), 12)
+    known = [abs(u - v) for u, v in zip(a["n"], b["n"]) if u is not None and v is not None] + [float(u != v) for u, v in zip(a["s"], b["s"]) if u is not None and v is not None]
+    if kind == "chebyshev":
+        return round(max(known, default=0.0), 12)
+    return round(sum((u - v) ** 2 for u, v in zip(a["n"], b["n"])) ** 0.5, 12)
+
+
+@pytest.mark.parametrize("kind,within", [("mixed", None), ("mixed", ["g"]), ("chebyshev", None), ("euclid", None)])
+def test_boxes_equal_brute_force(spark, kind, within):
+    rows = mixed_rows(150, blanks=kind != "euclid") + [(150 + i, 0.5, 0.5, "a", "x", 0.1) for i in range(40)]
+    own = neighbours.cells(mixed_frame(spark, rows)).withColumn("g", F.col("rid") % 3)
+    if kind == "euclid":
+        own = own.withColumn("a", F.struct("a.n", F.array().cast("array<string>").alias("s")))
+    coded = {x["rid"]: x["a"] for x in own.collect()}
+    index, looked = boxes.Boxes(own, within, least=16), []
+    got = collections.defaultdict(list)
+    for x in boxes.nearest(index, index, 4, kind, looked).orderBy("probe", "rank").collect():
+        got[x["probe"]].append((x["d"], x["rid"]))
+    for i in coded:
+        d = sorted((plain_distance(coded[j], coded[i], kind), j) for j in coded if j != i and (not within or i % 3 == j % 3))[:4]
+        assert [x[0] for x in got[i]] == pytest.approx([x[0] for x in d], abs=1e-9)
+        if len({round(x[0], 9) for x in d}) == 4:
+            assert [x[1] for x in got[i]] == [x[1] for x in d] or got[i][-1][0] == pytest.approx(d[-1][0], abs=1e-9)
+    assert 0 < looked[0] <= 190 * 190
+    if within or kind == "euclid":
+        assert looked[0] < 190 * 190  # boxes were left out
+
+
+def test_against_equals_brute_force(spark):
+    own = neighbours.cells(mixed_frame(spark, mixed_rows(120))).withColumn("value", F.col("rid") * 2.0)
+    probes = neighbours.cells(mixed_frame(spark, mixed_rows(30, 9)))
+    coded, asks = ({x["rid"]: x["a"] for x in df.collect()} for df in (own, probes))
+    for x in boxes.against(boxes.Boxes(own), probes).collect():
+        best = min((plain_distance(coded[j], asks[x["probe"]], "mixed"), j) for j in coded)
+        assert x["d"] == pytest.approx(best[0], abs=1e-9) and x["value"] == 2 * x["rid"]
+    with pytest.raises(ValueError):
+        boxes.against(boxes.Boxes(own), own.withColumn("rid", F.explode(F.sequence(F.lit(1), F.lit(50)))))
+
+
+def test_pareto_of_three_goals_ends(spark, monkeypatch):
+    r = random.Random(3)
+    on_front = [(float(i), float(60 - i), float(i % 7)) for i in range(60)]
+    rows = on_front + [tuple(v + r.random() * 5 for v in r.choice(on_front)) for _ in range(60)] + on_front[:5]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(rows)], "rid long, `A-` double, `B-` double, `C-` double")
+    want = {i for i, a in enumerate(rows) if not any(b != a and all(x <= y for x, y in zip(b, a)) for b in rows)}
+    for front in (20_000, 25):
+        monkeypatch.setattr(distance, "FRONT", front)
+        assert {x[0] for x in distance.pareto(RoleFrame(df, "rid")).collect()} == want
+
+
+def test_twins_stop(spark):
+    rows = mixed_rows(40, blanks=False)
+    rf = mixed_frame(spark, rows)
+    coded = {x["rid"]: x["a"] for x in neighbours.cells(rf).collect()}
+    live = set(coded)
+    for turn in range(6):
+        u = lambda i: int(hashlib.md5(f"1.{turn}:{i}".encode()).hexdigest()[:8], 16)  # noqa: E731, B023
+        order = sorted(live, key=lambda i: (u(i), i))
+        spread = lambda i: round(sum(abs(v - 0.5) for v in coded[i]["n"]), 9)
+        gone = set()
+        for a, b in zip(order[::2], order[1::2], strict=False):
+            if label.gap(coded[a], coded[b]) < 0.5:
+                gone.add(b if (spread(a), -a) > (spread(b), -b) else a)
+        if not gone:
+            break
+        live -= gone
+    assert {x[0] for x in grids.twins(rf, 0.5).collect()} == live
+
+
+# --------------------------------------------------------------------------- acquisition
+
+
+def place(seed, turn, rid):
+    return int(hashlib.md5(f"{seed}.{turn}:{rid}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def plain_active(rows, budget, seed, more=4, share=0.66, leaf=3):
+    """rows: {rid: (a, y)}. The same draws, one row after another."""
+    turn, lab, anchors = 0, {}, None
+    pool = sorted(rows, key=lambda i: (place(seed, 0, i), i))
+    while len(lab) < min(budget, len(rows)):
+        left, here = min(more, budget - len(lab)), []
+        for i in pool:
+            if i in lab or left > 0:
+                left -= i not in lab
+                lab.setdefault(i, None)
+                here.append(i)
+        if len(lab) >= min(budget, len(rows)):
+            break
+        size = int(max(1, share * len(pool)))
+        if size < 2 * leaf:
+            best = sorted(lab, key=lambda i: (rows[i][1], i))
+            anchors, turn = (rows[best[0]][0], rows[best[-1]][0]), turn + 1
+            pool = sorted(rows, key=lambda i: (place(seed, turn, i), i))  # noqa: B023
+            continue
+        if anchors:
+            east, west = anchors
+        else:
+            far = lambda a: max(here, key=lambda i: (round(label.gap(a, rows[i][0]), 12), -i))  # noqa: E731, B023
+            e = far(rows[here[0]][0])
+            w = far(rows[e][0])
+            east, west = (rows[e][0], rows[w][0]) if rows[e][1] <= rows[w][1] else (rows[w][0], rows[e][0])
+        c = label.gap(east, west) + label.TINY
+        at = lambda i: round((label.gap(rows[i][0], east) ** 2 + c * c - label.gap(rows[i][0], west) ** 2) / (2 * c), 9)  # noqa: E731, B023
+        tie = lambda i: int(hashlib.md5(f"tie:{i}".encode()).hexdigest()[:8], 16)
+        kept = sorted(pool, key=lambda i: (at(i), tie(i)))[:size]
+        pool = sorted(kept, key=lambda i: (at(i), i))
+    return set(lab)
+
+
+def scored(spark, rows):
+    rf = mixed_frame(spark, rows)
+    return rf, Many.of({"t": rf}).scored()
+
+
+def test_acquire_equals_plain_python(spark):
+    rf, table = scored(spark, mixed_rows(160, blanks=False) + [(160 + i, 0.5, 0.25, "a", "x", 0.1 * (i % 3)) for i in range(30)])
+    rows = {r["rid"]: (r["a"], r["y"]) for r in table.collect()}
+    runs = [label.Run(0, "t", "active", 40, 1), label.Run(1, "t", "active", 12, 2), label.Run(2, "t", "random", 15, 3), label.Run(3, "t", "active", 500, 4)]
+    got = collections.defaultdict(set)
+    for r in label.acquire(table, runs).collect():
+        assert r["y"] == rows[r["rid"]][1]
+        got[r["run"]].add(r["rid"])
+    assert got[0] == plain_active(rows, 40, 1) and got[1] == plain_active(rows, 12, 2) and len(got[0]) == 40
+    assert got[2] == set(sorted(rows, key=lambda i: (place(3, 0, i), i))[:15])
+    assert got[3] == set(rows)  # a budget beyond the table labels all of it, once
+
+
+@pytest.mark.parametrize("mode", ["centroid", "bayes"])
+def test_greedy_takes_the_best_scored(spark, mode):
+    _, table = scored(spark, mixed_rows(60))
+    got = sorted((r["turn"], r["rid"], r["y"]) for r in label.acquire(table, [label.Run(0, "t", mode, 14, 1)], start=9).collect())
+    assert len(got) == len({r for _, r, _ in got}) == 14 and [t for t, *_ in got] == [0] * 9 + [1, 2, 3, 4, 5]
+    rows = {r["rid"]: (r["a"], r["y"]) for r in table.collect()}
+    lab = sorted(got[:9], key=lambda t: (t[2], t[1]))
+    best, rest = ([(i, y, rows[i][0]) for _, i, y in part] for part in (lab[:3], lab[3:]))
+    if mode == "centroid":
+        good, bad = ({"n": m[0], "s": m[1]} for m in (label.middle(best), label.middle(rest)))
+        free = [i for i in rows if i not in {r for _, r, _ in lab}]
+        top = max(free, key=lambda i: (round(label.gap(rows[i][0], bad) - label.gap(rows[i][0], good), 9), -i))
+        assert top == got[9][1]
+
+
+def test_trees_of_runs(spark):
+    rf, table = scored(spark, mixed_rows(90))
+    rows = table.withColumn("run", F.explode(F.array(F.lit(0), F.lit(1)))).where("run = 0 OR rid < 50").select("run", "rid", "a", "x", "y")
+    trees = label.grown(rows, 3, 3)
+    nodes = {(r["run"], r["node"]): r for r in trees.collect()}
+    for run, limit in ((0, 90), (1, 50)):
+        own = rf.clone(rf.df.where(F.col("rid") < limit))
+        y = {r["rid"]: r["y"] for r in table.collect()}
+        part = spark.createDataFrame(list(y.items()), "rid long, t double")
+        alone = RoleFrame(own.df.join(part, "rid"), "rid", own.schema)
+        tree = splits.grow(alone, F.col("t"), 3, 3)
+        assert {n: s[0] for n, s in tree.stats.items()} == {n: r["n"] for (k, n), r in nodes.items() if k == run}
+    for r in label.guessed(rows, trees, 3).collect():
+        assert r["guess"] == pytest.approx(nodes[r["run"], r["leaf"]]["mid"]) and nodes[r["run"], r["leaf"]]["at"] is None
+
+
+def test_holdout_spends_its_budget(spark):
+    _, table = scored(spark, mixed_rows(200, blanks=False))
+    runs = [label.Run(i, "t", m, 25, i) for i, m in enumerate(["active", "random", "centroid"])]
+    for r in label.holdout(table, runs, start=10).collect():
+        assert r["spent"] <= 20 and r["checked"] == 5 and -100 <= r["win"] <= 100
+    study = label.study(table, [("a", "t", "active", 20), ("r", "t", "random", 20)], 3, cap=120)
+    assert study.groupBy("arm").count().collect() and {r[0] for r in study.select("seed").distinct().collect()} == {1, 2, 3}
+    level = spark.createDataFrame([("t", a, w + k) for a, w in (("a", 50.0), ("r", 0.0)) for k in range(8)], "file string, arm string, win double")
+    assert label.verdicts(level, "a", "r").first()["verdict"] == "win" and label.verdicts(level, "r", "a").first()["verdict"] == "loss"
+
+
+# --------------------------------------------------------------------------- many tables
+
+
+def test_folder_of_tables(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("﻿A , b, Y-\n1, x, 3\n\n2,?,4 # a remark\n5,y,?\n")
+    (tmp_path / "two.csv").write_text("c,D,E+,skipX\nq,1,2,9\nr,3,8,9\nq,?,4,9\n")
+    (tmp_path / "none.csv").write_text("A,B\n")
+    many = Many.read(spark, str(tmp_path))
+    assert {r["file"]: r["n"] for r in many.rows.groupBy("file").agg(F.count("*").alias("n")).collect()} == {"one.csv": 3, "two.csv": 3}
+    got = {(r["file"], r["name"]): (r["n"], r["mu"], r["lo"], r["hi"]) for r in many.stats().collect()}
+    assert got["one.csv", "A"] == (3, 8 / 3, 1, 5) and got["one.csv", "Y-"] == (2, 3.5, 3, 4) and got["two.csv", "D"] == (2, 2, 1, 3)
+    assert {(r["file"], r["name"], r["value"], r["n"]) for r in many.symbols().collect()} == {("one.csv", "b", "x", 1), ("one.csv", "b", "y", 1), ("two.csv", "c", "q", 2), ("two.csv", "c", "r", 1)}
+    for name in ("one.csv", "two.csv"):  # as when each is read alone
+        rf = tables.read_csv(spark, str(tmp_path / name))
+        alone = sorted((r[1] is None, r[1] or 0, str(r[2])) for r in rf.df.select("rid", distance.disty(rf).alias("y")).join(neighbours.cells(rf), "rid").select("rid", "y", "a").collect())
+        both = sorted((r["y"] is None, r["y"] or 0, str(r["a"])) for r in many.scored().where(F.col("file") == name).collect())
+        assert [x[0] for x in alone] == [x[0] for x in both] and [x[1] for x in alone] == pytest.approx([x[1] for x in both]) and [x[2] for x in alone] == [x[2] for x in both]
+
+
+def test_splits_of_many(spark):
+    views = {"p": mixed_frame(spark, mixed_rows(60)), "q": mixed_frame(spark, mixed_rows(80, 7))}
+    got = {r["file"]: r for r in Many.of(views).splits().collect()}
+    for name, rf in views.items():
+        alone = splits.best(splits.candidates(splits.long_rows(rf.df, rf, distance.disty(rf), []), []), []).first()
+        assert (got[name]["at"], got[name]["op"], got[name]["n1"], got[name]["n2"]) == (alone["at"], alone["op"], alone["n1"], alone["n2"])
+        assert got[name]["cost"] == pytest.approx(alone["cost"])
+
+
+# --------------------------------------------------------------------------- populations
+
+
+def test_populations(spark):
+    rows = mixed_rows(90, blanks=False)
+    rf = mixed_frame(spark, rows)
+    sur = breed.Surrogate(rf, rf.df.select("rid", F.col("`Y-`").alias("y")))
+    coded = {x["rid"]: x["a"] for x in neighbours.cells(rf).collect()}
+    score = {r[0]: r[5] for r in rows}
+    pop = sur.start([("de", 0), ("ga", 1)], 6, 1)
+    order = lambda k, c: sorted(score, key=lambda i: (hashlib.md5(f"1.{k}.{c}:{i}".encode()).hexdigest(), i))[:6]
+    for k, c in (("de", 0), ("ga", 1)):
+        assert sorted(r["y"] for r in pop.where(F.col("kind") == k).collect()) == pytest.approx(sorted(score[i] for i in order(k, c)))
+    kids = sur.scored(pop.drop("y"))
+    own = RoleFrame(kids.select(F.col("slot").alias("rid"), *rf.schema.x), "rid", rf.schema)
+    own._stats = rf.stats()
+    made = {r["rid"]: r["a"] for r in neighbours.cells(own).collect()}
+    for r in kids.collect():  # every real row is a candidate
+        best = min((round(label.gap(coded[j], made[r["slot"]]), 12), j) for j in coded)
+        assert r["y"] == pytest.approx(score[best[1]])
+    one, two = ([tuple(r) for r in breed.evolved(sur, [("de", 0), ("ga", 0)], 6, 2).orderBy("kind", "generation").collect()] for _ in range(2))
+    assert one == two and len(one) == 6
+    for _, steps in itertools.groupby(one, key=lambda r: r[0]):
+        best = [r[3] for r in steps]
+        assert best == sorted(best, reverse=True) and best[-1] >= min(score.values())
+    trace = breed.stepped(sur, [(k, 0) for k in breed.STEPPERS], 16, ahead=8, restart=5)
+    by = collections.defaultdict(list)
+    for r in trace.orderBy("kind", "evaluation").collect():
+        by[r["kind"]].append((r["evaluation"], r["best"]))
+    assert set(by) == set(breed.STEPPERS)
+    assert all(e <= 17 and [b for _, b in v] == sorted((b for _, b in v), reverse=True) for v in by.values() for e, _ in v)
+    # how far ahead changes are drawn makes no difference
+    one, two = ([tuple(r) for r in breed.stepped(sur, [("climb", 0)], 12, ahead=n).orderBy("evaluation").collect()] for n in (12, 5))
+    assert one == two
+    sur.close()

@@ -102,14 +102,6 @@ def test_models(spark):
     assert off < 1e-9
 
 
-def test_acquire():
-    rows = [((i / 200, (i * 7 % 200) / 200), ()) for i in range(200)]
-    y = [abs(r[0][0] - 0.3) for r in rows]
-    lab = search.acquire(rows, y, 30)
-    assert len(lab) == len(set(lab)) == 30
-    assert len(search.acquire(rows[:5], y[:5], 30)) == 5
-
-
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("x", 1.0), ("x", 3.0), ("y", 5.0)], "k string, v double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k string, v double").parquet(str(tmp_path / "in"))
@@ -132,16 +124,6 @@ def test_order_values_and_improvements(spark):
     assert [r["i"] for r in stats.improvements(df, ["i"], "v").orderBy("i").collect()] == [0, 3, 5]
 
 
-def test_small_tree_and_top():
-    rows = [((i / 100,), ("a" if i % 2 else "b",)) for i in range(100)]
-    y = [float(i > 50) for i in range(100)]
-    guess = search.tree(rows, y)
-    assert guess(((0.1,), ("a",))) == 0 and guess(((0.9,), ("b",))) == 1 and guess(((None,), ("b",))) == 0
-    for scorer in (search.by_bayes, search.by_centroid):
-        got = search.acquire_top(rows, y, 10, 16, scorer)
-        assert len(got) == len(set(got)) == 26 and y[got[0]] == 0
-
-
 def test_ledger(spark, tmp_path):
     asked = []
 
@@ -168,24 +150,6 @@ def test_draws_of_symbols(spark):
     assert abs(r[0] - 0.75) < 0.05 and abs(r[1]) < 0.1 and abs(r[2] - 1) < 0.1 and r[3] == 2000
 
 
-def test_optimizers_see_every_row(spark, monkeypatch):
-    from lodestar import queries
-
-    lines = "/root/testdata/sf0.001"
-    seen = []
-    monkeypatch.setattr(queries.search, "optimize", lambda s, rows, y, *a, **k: seen.append((rows, y)) or s.createDataFrame([("de", 0, 0.0)], "optimizer string, chain int, best double"))
-    queries.queries()["q49_optimizers"](spark, lines)
-    rows, y = seen[0]
-    assert len(rows) == len(y) == min(queries.search.CAP, spark.read.parquet(f"{lines}/lineitem.parquet").count()) and len(rows) > 200
-    assert all(r[1] for r in rows)
-
-
-def test_optimizers_use_symbols(spark):
-    rows = [((0.5,), (c,)) for c in "abcd"] * 60 + [((None,), ("e",))] * 12
-    got = search.optimize(spark, rows, [1.0] * 240 + [0.0] * 12, ["de", "ga", "sa", "ls"], chains=2).collect()
-    assert len(got) == 8 and min(r["best"] for r in got) == 0.0
-
-
 def test_leaders_join_and_raise(spark):
     out = []
     era = folds.leaders(lambda a, b: abs(a[0] - b[0]), 1.0, 3, lambda df, _: out.extend(map(tuple, df.collect())))

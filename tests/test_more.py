@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar import queries, text
-from lodestar.operators import grids, neighbours, stats
-from lodestar.plans import goals, search, study
+from lodestar.operators import grids, stats
+from lodestar.plans import goals, search
 from lodestar.sources import tables
 from lodestar.streaming import folds
 
@@ -49,19 +49,6 @@ def test_ddmin_and_keys(spark):
     assert 0 < got["n_keys"] <= got["candidates"] and got["best"] <= got["mu"] and got["tests"] > 0
 
 
-def test_pivots_equal_brute_force(spark):
-    r = random.Random(4)
-    rows = [(i, *[r.choice([None, r.random(), r.random()]) for _ in range(2)], r.choice(["a", "b", None]), r.choice(["x", "y"])) for i in range(120)]
-    rf = tables.from_rows(spark, ["A", "B", "c", "d"], [["?" if v is None else v for v in row[1:]] for row in rows])
-    coded = {x["rid"]: x["a"] for x in neighbours.cells(rf).collect()}
-    got = collections.defaultdict(list)
-    for x in neighbours.near(rf, 4).orderBy("probe", "rank").collect():
-        got[x["probe"]].append(x["rid"])
-    for i in coded:
-        d = {j: round(search.dist((coded[j]["n"], coded[j]["s"]), (coded[i]["n"], coded[i]["s"])), 9) for j in coded if j != i}
-        assert [d[j] for j in got[i]] == sorted(d.values())[:4]
-
-
 def test_grids(spark):
     assert grids.row_gap((1, 0, 3), (5, 2, 3), 5) == 0.5 and grids.row_gap((0,), (3,), 5) == 1.0
     items = [tuple(random.Random(i).choices(range(1, 6), k=4)) for i in range(40)]
@@ -81,17 +68,6 @@ def test_grids(spark):
     assert grids.report(back)["mae"] == 0.25
 
 
-def test_study():
-    rows = [((i / 200, (i * 7 % 200) / 200), ("a" if i % 3 else "b",)) for i in range(200)]
-    y = [abs(r[0][0] - 0.3) for r in rows]
-    for shape in ("tree", "all", "spine", "rule"):
-        win, spent, checked = study.holdout(rows, y, "active", 30, 5, 3, shape)
-        assert spent <= 25 and checked == 5 and -100 <= win <= 100
-    t = study.grown(rows, y)
-    assert all(study.routed(t, r) in t["stats"] and study.routed(t, r) not in t["cuts"] for r in rows)
-    assert study.alike([1, 2, 3], [1, 2, 3]) and not study.alike([1, 2, 3] * 4, [10, 11, 12] * 4)
-
-
 def test_mutate_and_synthesize(spark):
     rf = queries.view(spark, DATA, "order")
     new = {r["rid"]: r for r in search.mutated(rf, 1).collect()}

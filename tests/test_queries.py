@@ -7,7 +7,6 @@ from lodestar import queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"q12_knn_vec", "q13_knn_classify"}
 
 
 @pytest.fixture(scope="module")
