@@ -11,7 +11,8 @@ from .operators import cluster, distance, grids, neighbours, splits, stats, summ
 from .plans import breed, label, search
 from .queries import DIST, LOG, PART, R, U, disty_part, mixed, order_tree, query, view, whole
 from .roles import RoleFrame
-from .sources import tables
+from .sources import stored, tables
+from .storage import keep, new_folder
 from .streaming import folds
 
 # --------------------------------------------------------------------------- neighbours of mixed rows
@@ -248,11 +249,13 @@ def coded_parts(s: SparkSession, d: str) -> tuple[list[str], DataFrame]:
 
 
 def era_model(s: SparkSession, d: str) -> tuple[list[str], DataFrame, grids.Eras]:
+    """All orders, in four eras by a hash of their key."""
     names, rows = coded_parts(s, d)
-    train = cluster.some(rows, "rid", 24).collect()  # eras x arrivals, in hashed order
-    model = grids.Eras(len(names), 5, 0.2)
-    for i in range(0, len(train), 4):
-        model.era([tuple(r["codes"]) for r in train[i : i + 4]])
+    rows = keep(rows, "coded")
+    model = grids.Eras(len(names), 5, 0.5)
+    part = F.floor(C.uniform(F.col("rid"), "era") * 4)
+    for i in range(4):
+        model.era(rows.where(part == i))
     return names, rows, model
 
 
@@ -264,29 +267,41 @@ def q101(s, d):
 
 @query("q102_grid_report")
 def q102(s, d):
-    names, rows, model = era_model(s, d)
-    own = model.assigned(rows).groupBy("delegate").agg(F.avg("d").alias("d")).collect()  # a row a delegate
-    score = {r["delegate"]: r["d"] for r in own}
-    scores = [score.get(i, 0.5) for i in range(len(model.delegates))]
-    tests = cluster.some(model.assigned(rows), "rid", 200, "test").collect()
-    lines = grids.emit(model, names, scores, [(scores[r["delegate"]], r["d"], tuple(r["codes"])) for r in tests], eps=0.2)
-    got = grids.report(grids.parse(lines))
-    return s.createDataFrame([(round(got["acc"], 6), round(got["mae"], 6), round(got["best"], 6), len(lines))], "acc double, mae double, best double, lines int")
+    _, rows, model = era_model(s, d)
+    own = model.assigned(rows).withColumn("train", C.uniform(F.col("rid"), "half") < 0.5)
+    got = grids.told(own.where("train"), own.where("NOT train"))
+    return got.select(R(F.col("acc")).alias("acc"), R(F.col("mae")).alias("mae"), R(F.col("best")).alias("best"))
 
 
 @query("q103_sweep")
 def q103(s, d):
-    rf = view(s, d, "order")
-    marked = grids.sweep(rf, grids.anchors(rf, 0.5, 4))
+    rows, names = grids.graded(view(s, d, "order"))
+    live = list(range(len(names)))
+    marked = grids.sweep(rows, live, grids.anchors(rows, live))
     return marked.groupBy("stays").agg(F.count("*").alias("n"), R(F.max("mark"), 4).alias("mark"))
 
 
+COLUMN_GAPS = "WITH o AS (SELECT l_quantity q, l_tax t, l_returnflag f, l_linestatus s, row_number() OVER (ORDER BY l_quantity)-1 rq, row_number() OVER (ORDER BY l_tax)-1 rt, count(*) OVER () n FROM lineitem), b AS (SELECT min(q) FILTER (rq=CAST(floor(0.1*n+1e-9) AS BIGINT)) ql, min(q) FILTER (rq=CAST(floor(0.9*n+1e-9) AS BIGINT)) qh, min(t) FILTER (rt=CAST(floor(0.1*n+1e-9) AS BIGINT)) tl, min(t) FILTER (rt=CAST(floor(0.9*n+1e-9) AS BIGINT)) th FROM o), fr AS (SELECT f, (row_number() OVER (ORDER BY f)-1)/greatest(1,count(*) OVER ()-1) AS vf FROM (SELECT DISTINCT f FROM o)), sr AS (SELECT s, (row_number() OVER (ORDER BY s)-1)/greatest(1,count(*) OVER ()-1) AS vs FROM (SELECT DISTINCT s FROM o)), v AS (SELECT greatest(0,least(1,(q-ql)/(qh-ql+1e-32))) a, greatest(0,least(1,(t-tl)/(th-tl+1e-32))) b, vf c, vs d FROM o, b, fr, sr WHERE o.f=fr.f AND o.s=sr.s) " + " UNION ALL ".join(f"SELECT '{x}' AS one, '{y}' AS two, round(sqrt(avg(power({i}-{j},2)))+1e-9,6) AS gap FROM v" for (i, x), (j, y) in (((p, m), (q, n)) for k, (p, m) in enumerate(zip("abcd", ("L_quantity", "L_tax", "l_returnflag", "l_linestatus"))) for q, n in list(zip("abcd", ("L_quantity", "L_tax", "l_returnflag", "l_linestatus")))[k + 1 :]))
+
+
+@query("q117_column_gaps", COLUMN_GAPS)
+def q117(s, d):
+    rows, names = grids.graded(view(s, d, "line"))
+    got = grids.column_gaps(rows, list(range(len(names))))
+    return s.createDataFrame([(names[i], names[j], round(g + 1e-9, 6)) for (i, j), g in got.items() if i < j], "one string, two string, gap double")
+
+
 @query("q104_squeeze")
 def q104(s, d):
     rf = view(s, d, "part")
-    left, spent = grids.squeeze(rf, 0.3, distance.disty(rf), budget=20, most=3, turns=1)
-    marks = grids.column_marks(rf)
-    return left.df.agg(F.count("*").alias("n"), F.lit(len(spent)).alias("labels"), F.lit(round(max(marks.values()), 6)).alias("mark"))
+    left, columns, spent = grids.squeeze(rf, distance.disty(rf), budget=20, most=3, least=2)
+    return left.agg(F.count("*").alias("n"), F.lit(len(spent)).alias("labels"), F.lit(",".join(columns)).alias("columns"), R(F.max("mark"), 4).alias("mark"))
+
+
+@query("q118_ranked_rest")
+def q118(s, d):
+    rf = view(s, d, "order")
+    return grids.ranked_rest(rf, distance.disty(rf)).select("rid", "near", R(F.col("guess")).alias("guess"), "rank")
 
 
 @query("q105_cells")
@@ -347,3 +362,29 @@ def q113(s, d):
     rating = {"acap": 1 + F.col("p_size") % 3, "pcap": F.when(F.col("p_partkey") % 2 == 0, F.lit(4)).otherwise(4) - 0, "prec": 1 + F.col("p_partkey") % 2}
     effort = C.rated_effort(F.col("p_size"), {k: v for k, v in rating.items() if k != "pcap"} | {"apex": F.lit(4)})
     return p.select(F.col("p_partkey").alias("rid"), R(effort, 5).alias("effort"), R(C.rated_risk([("apex", "acap", 2.0, 1, -1, 1)], {"apex": F.lit(4), "acap": rating["acap"]})).alias("risk"))
+
+
+@query("q119_stored_summaries", "SELECT 'l_quantity' AS col, count(l_quantity) AS n, round(avg(l_quantity)+1e-9,6) AS mu, round(stddev_samp(l_quantity)+1e-9,6) AS sd FROM lineitem WHERE l_linenumber<>2 UNION ALL SELECT 'l_tax', count(l_tax), round(avg(l_tax)+1e-9,6), round(stddev_samp(l_tax)+1e-9,6) FROM lineitem WHERE l_linenumber<>2")
+def q119(s, d):
+    rows = s.read.parquet(f"{d}/lineitem.parquet")
+    kept = stored.Summaries(s, new_folder(s, "summaries"), "l_linenumber", ["l_quantity", "l_tax"])
+    kept.refresh(rows.where("l_linenumber <= 4"))  # what was there before
+    kept.refresh(rows.where("l_linenumber <> 2"))  # slices have come, one has gone
+    return kept.numbers().select("col", "n", R(F.col("mu")).alias("mu"), R(F.col("sd")).alias("sd"))
+
+
+@query("q120_merged_slices", "SELECT p_brand AS col, count(*) AS n, round(avg(p_retailprice)+1e-9,6) AS mu, round(coalesce(stddev_samp(p_retailprice),0)+1e-9,6) AS sd FROM part WHERE p_size % 5 <> 0 GROUP BY 1")
+def q120(s, d):
+    p = s.read.parquet(f"{d}/part.parquet").withColumn("slice", F.concat_ws(":", "p_brand", (F.col("p_size") % 10).cast("string")))
+    own, _ = stored.parts(p, "slice", ["p_retailprice"], [])
+    own = own.withColumn("col", F.split("slice", ":")[0])
+    out = own.where("slice RLIKE ':(0|5)$'").withColumn("sign", F.lit(-1))
+    got = stored.combined(own.withColumn("sign", F.lit(1)).unionByName(out), "sign")
+    return got.select("col", "n", R(F.col("mu")).alias("mu"), R(F.col("sd")).alias("sd"))
+
+
+@query("q121_sessions", "WITH e AS (SELECT user_id, ts, value, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id AS key, CAST(epoch(min(ts)) AS BIGINT) AS start, CAST(epoch(max(ts)+INTERVAL 6 HOUR) AS BIGINT) AS stop, count(*) AS n, round(sum(value)+1e-9,4) AS total FROM g WHERE ts IS NOT NULL GROUP BY user_id, k")
+def q121(s, d):
+    ev = s.read.parquet(f"{d}/events.parquet").where("ts IS NOT NULL")
+    got = folds.sessions(ev.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "value", "6 hours")
+    return got.select("key", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n", R(F.col("total"), 4).alias("total"))

@@ -179,15 +179,58 @@ def percentile_candidates(rf: RoleFrame, y: Column, bins: int = 8, leaf: int = 3
 
 def race(tree: Tree, sums: dict[int, tuple[float, int]], shapes: str = "all") -> tuple[float, int, frozenset[int]]:
     """The pruning whose best-predicted leaf has the lowest mean of actual y (seeded with the leaf's mid), then fewest
-    leaves. sums: actual (sum, n) of each node."""
+    leaves. sums: actual (sum, n) of each node.
+
+    A pruning's score depends on its best-predicted leaf alone. So for each node a table from the bottom up has the fewest
+    leaves that a subtree needs if all of them predict worse than that node, and the node's ancestors are opened: work grows
+    with the square of the nodes, not with the number of prunings."""
+    key = lambda i: (tree.stats[i][1], i)
+
+    def fewest(b: int) -> frozenset[int] | None:
+        """Leaves of the smallest pruning whose best-predicted leaf is b."""
+        low: dict[int, frozenset[int] | None] = {}
+
+        def least(*some: frozenset[int] | None) -> frozenset[int] | None:
+            return min((x for x in some if x is not None), key=lambda x: (len(x), sorted(x)), default=None)
+
+        both = lambda x, y: None if x is None or y is None else x | y
+        above = {b >> k for k in range(1, b.bit_length())}
+        for i in sorted(tree.stats, reverse=True):  # children come first
+            stop = frozenset([i]) if i == b or key(i) > key(b) else None
+            if i == b:
+                low[i] = stop
+                continue
+            go = None
+            if i in tree.cuts:
+                x, y = 2 * i, 2 * i + 1
+                if shapes == "all":
+                    go = both(low[x], low[y])
+                else:  # one side stops at once
+                    ends = {k: frozenset([k]) if k == b or (k not in above and key(k) > key(b)) else None for k in (x, y)}
+                    go = least(both(ends[x], low[y]), both(low[x], ends[y]))
+            low[i] = go if i in above else least(stop, go)
+        return low[1]
+
     out = []
-    for leaves in tree.prunings(shapes=shapes):
-        b = min(leaves, key=lambda i: (tree.stats[i][1], i))
-        s, n = sums.get(b, (0.0, 0))
-        out.append(((s + tree.stats[b][1]) / (n + 1), len(leaves), leaves))
+    for b in tree.stats:
+        if b == 1 and 1 in tree.cuts:
+            continue
+        leaves = fewest(b)
+        if leaves is not None and (1 not in tree.cuts or len(leaves) > 1):
+            s, n = sums.get(b, (0.0, 0))
+            out.append(((s + tree.stats[b][1]) / (n + 1), len(leaves), leaves))
     return min(out, key=lambda t: (t[0], t[1], sorted(t[2])))
 
 
+def prunings(tree: Tree, shapes: str = "all") -> int:
+    """How many prunings a tree has, counted from the bottom up."""
+    n: dict[int, int] = {}
+    for i in sorted(tree.cuts, reverse=True):
+        x, y = n.get(2 * i, 0), n.get(2 * i + 1, 0)
+        n[i] = (1 + x) * (1 + y) if shapes == "all" else 1 + x + y
+    return n.get(1, 1)
+
+
 def tag_candidates(df: DataFrame, rf: RoleFrame, best: Column, leaf: int = 3) -> DataFrame:
     """(at, op, x, s, n1, n2, cost, keep): cuts by the entropy of best rows against the rest, and whether the near side
     holds the larger share of best ones. Cells are summed by value before anything is ordered."""

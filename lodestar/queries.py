@@ -216,7 +216,7 @@ def q29(s, d):
     rf, t = order_tree(s, d)
     sums = {i: (m * n, n) for i, (n, m) in t.stats.items()}
     full, spine = splits.race(t, sums), splits.race(t, sums, "spine")
-    return s.createDataFrame([("all", len(list(t.prunings())), full[1], round(float(full[0]) + 1e-9, 6)), ("spine", len(list(t.prunings(shapes="spine"))), spine[1], round(float(spine[0]) + 1e-9, 6))], "shapes string, prunings long, leaves long, score double")
+    return s.createDataFrame([("all", splits.prunings(t), full[1], round(float(full[0]) + 1e-9, 6)), ("spine", splits.prunings(t, "spine"), spine[1], round(float(spine[0]) + 1e-9, 6))], "shapes string, prunings long, leaves long, score double")
 
 
 @query("q30_wins", f"{DIST}, c AS (SELECT round(d,9) v, count(*) n FROM d GROUP BY 1), u AS (SELECT v, sum(n) OVER (ORDER BY v) u, sum(n) OVER () t FROM c), k AS (SELECT min(v) lo, min(CASE WHEN u > t//2 THEN v END) mid FROM u) SELECT rid, round(greatest(-100,least(100,100*(1-(round(d,9)-lo)/(mid-lo+1e-32))))+1e-9,3) AS win FROM d, k")

@@ -22,11 +22,17 @@ def shared(spark: SparkSession) -> str:
     return where
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one; it goes with the JVM."""
+    where = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    _path(spark, where, lambda fs, p: fs.deleteOnExit(p))
+    return where
+
+
 def keep(df: DataFrame, name: str = "rows") -> DataFrame:
     """The frame, written and read back. The files go with the JVM, or by `drop`."""
     spark = df.sparkSession
-    where = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-    _path(spark, where, lambda fs, p: fs.deleteOnExit(p))
+    where = new_folder(spark, name)
     df.write.parquet(where)
     out = spark.read.schema(df.schema).parquet(where)
     out._kept = where

@@ -1,4 +1,4 @@
-"""Structured Streaming: folds of unbounded rows into summaries, windows in event time, leaders that persist."""
+"""Structured Streaming: folds of unbounded rows into summaries, windows and sessions in event time, late rows, leaders in state."""
 
 from __future__ import annotations
 
@@ -26,34 +26,103 @@ def windows(stream: DataFrame, ts: str, value: str, width: str = "1 hour", late:
     return kept.groupBy(F.window(ts, width).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), "n", "total")
 
 
-def leaders(dist: Callable[[tuple, tuple], float], eps: float, most: int = 1000, write: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: each row of (rid, v) founds a leader, kept in `.leaders`, or joins the nearest.
+def sessions(stream: DataFrame, key: str, ts: str, value: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """(key, start, stop, n, total): rows of a key that follow each other within `gap` are one session, which ends `gap` after its
+    last row. Behind a watermark, so a stream forgets sessions that no row can reach any more (also right on a batch)."""
+    kept = stream.withWatermark(ts, late) if stream.isStreaming else stream
+    w = F.session_window(ts, gap).alias("w")
+    return kept.groupBy(F.col(key).alias("key"), w).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select("key", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", "total")
+
+
+class Late:
+    """A foreachBatch function that tells late rows apart: rows older than the newest event time of all earlier batches less
+    `delay` go to `late`, the others to `take`. The newest time of each batch is kept in a folder, so a query that starts
+    again, or a batch that comes again, parts its rows as before."""
+
+    def __init__(self, where: str, ts: str, delay: str, take: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None]) -> None:
+        self.where, self.ts, self.delay, self.take, self.late = where, ts, delay, take, late
+
+    def __call__(self, batch: DataFrame, n: int) -> None:
+        from pyspark.errors import AnalysisException
+
+        spark = batch.sparkSession
+        try:
+            newest = spark.read.schema("batch long, newest timestamp").parquet(self.where).where(F.col("batch") < n).agg(F.max("newest")).first()[0]
+        except AnalysisException:  # the first batch
+            newest = None
+        old = F.lit(False) if newest is None else F.col(self.ts) < F.lit(newest) - F.expr(f"INTERVAL {self.delay}")
+        self.take(batch.where(~F.coalesce(old, F.lit(False))), n)
+        self.late(batch.where(F.coalesce(old, F.lit(False))), n)
+        batch.agg(F.lit(n).cast("long").alias("batch"), F.max(self.ts).alias("newest")).write.mode("append").parquet(self.where)
 
-    `write`, if given, gets (rid, leader, d) of every row of a batch. More than `most` leaders are an error. A batch that
-    comes again after an error begins with the leaders before it.
+
+def leaders(gap: Callable, eps: float, most: int = 1000, write: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each row of (rid, codes), in the order of rid, founds a leader, kept in `.leaders`, or joins the
+    nearest. gap: from a row's codes to a leader's, as columns.
+
+    `write`, if given, gets (rid, leader, d) of every row of a batch: the number of its leader, of those up to its own place in
+    the order. More than `most` leaders are an error. A batch that comes again after an error begins with the leaders
+    before it. Rows stay in their tasks (grids.founded), leaders alone are on the driver.
     """
     kept: list[tuple] = []
 
     def era(batch: DataFrame, n: int) -> None:
-        found, joined = list(kept), []
-        for r in batch.orderBy("rid").toLocalIterator():
-            d, leader = min(((float(dist(r["v"], v)), i) for i, (_, v) in enumerate(found)), default=(float("inf"), -1))
-            if d > eps:
-                if len(found) >= most:
-                    raise ValueError(f"more than {most} leaders at eps {eps}")
-                found.append((r["rid"], r["v"]))
-                d, leader = 0.0, len(found) - 1
-            if write is not None:
-                joined.append((r["rid"], found[leader][0], d))
+        from ..operators.grids import founded
+        from ..storage import drop, keep
+
+        rows = keep(batch.select("rid", "codes"), "era")
+        found = founded(rows, "rid", kept, lambda c, lead: F.when(gap(c, lead) > eps, 1.0).otherwise(0.0), 1.0, most)
         if write is not None:
-            kind = batch.schema["rid"].dataType.simpleString()
-            write(batch.sparkSession.createDataFrame(joined, f"rid {kind}, leader {kind}, d double"), n)
-        kept.extend(found[len(kept) :])
+            new = {tuple(r["codes"]): r["rid"] for r in rows.where(F.col("codes").isin([F.array(*map(F.lit, v)) for v in found[len(kept) :]])).groupBy("codes").agg(F.min("rid").alias("rid")).collect()} if found[len(kept) :] else {}
+            place = [F.lit(None).cast("long") if i < len(kept) else F.lit(new[tuple(v)]) for i, v in enumerate(found)]
+            each = F.array(*[F.when(p.isNull() | (p <= F.col("rid")), F.struct(gap(F.col("codes"), v).alias("d"), F.lit(i).alias("leader"))) for i, (p, v) in enumerate(zip(place, found, strict=True))])
+            best = F.array_min(F.array_compact(each))
+            write(rows.select("rid", best["leader"].alias("leader"), best["d"].alias("d")), n)
+        kept[:] = found
+        drop(rows)
 
     era.leaders = kept
     return era
 
 
+def kept_leaders(stream: DataFrame, key: str, eps: float, ttl_ms: int | None = None) -> DataFrame:
+    """(key, rid, leader, d): leader clustering of each key's rows (key, rid, v: array of numbers) with its leaders in the state
+    store: a list state of leaders and a value state of how many rows have come. A row joins the nearest leader (largest
+    gap of numbers, ties to the first) or, farther than eps from all, founds one. Rows of a batch go by rid. A leader that
+    `ttl_ms` leaves unused is forgotten, where it is given. Needs the RocksDB state store."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Leaders(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            more = {} if ttl_ms is None else {"ttlDurationMs": ttl_ms}
+            self.leads = handle.getListState("leads", "rid long, v array<double>", **more)
+            self.seen = handle.getValueState("seen", "n long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            leads = [(r[0], list(r[1])) for r in self.leads.get()]
+            before, out, n = len(leads), [], 0
+            for batch in [pd.concat(list(rows)).sort_values("rid")]:
+                for rid, v in zip(batch["rid"], batch["v"], strict=True):
+                    d, i = min(((max((abs(a - b) for a, b in zip(v, lead, strict=True)), default=0.0), i) for i, (_, lead) in enumerate(leads)), default=(float("inf"), -1))
+                    if d > eps:
+                        leads.append((int(rid), [float(x) for x in v]))
+                        d, i = 0.0, len(leads) - 1
+                    out.append((key[0], int(rid), leads[i][0], float(d)))
+                    n += 1
+            if len(leads) > before:
+                self.leads.put([(r, v) for r, v in leads])
+            had = self.seen.get() if self.seen.exists() else (0,)
+            self.seen.update((had[0] + n,))
+            yield pd.DataFrame(out, columns=["key", "rid", "leader", "d"])
+
+        def close(self) -> None:
+            pass
+
+    kind = stream.schema[key].dataType.simpleString()
+    return stream.groupBy(key).transformWithStateInPandas(Leaders(), f"key {kind}, rid long, leader long, d double", "Append", "processingTime" if ttl_ms is not None else "None")
+
+
 def prequential(stream: DataFrame, tenant: str, klass: str, syms: list[str], nums: list[str], k: int = 1, m: int = 2, wait: int = 10) -> DataFrame:
     """(tenant, want, got): a stateful stream that classifies each row by naive Bayes from its tenant's rows before it, then
     learns it. State: counts and sums per class, however many rows have come. Rows of a batch go by their id `rid`."""

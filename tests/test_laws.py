@@ -111,13 +111,6 @@ def test_stream(spark, tmp_path):
     assert got == {"x": (2, 2.0), "y": (1, 5.0)} and math.isclose(sum(v[1] for v in got.values()), 7)
 
 
-def test_leaders(spark):
-    era = folds.leaders(lambda a, b: abs(a[0] - b[0]), 1.0)
-    era(spark.createDataFrame([(1, [0.0]), (2, [0.5]), (3, [2.0])], "rid long, v array<double>"), 0)
-    era(spark.createDataFrame([(4, [2.5]), (5, [9.0])], "rid long, v array<double>"), 1)
-    assert [r for r, _ in era.leaders] == [1, 3, 5]
-
-
 def test_order_values_and_improvements(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([5.0, 7.0, None, 4.0, 4.0, 1.0])], "i long, v double")
     assert stats.order_values(df, "v", [0, 0.5, 1]) == [1.0, 4.0, 7.0]
@@ -152,11 +145,11 @@ def test_draws_of_symbols(spark):
 
 def test_leaders_join_and_raise(spark):
     out = []
-    era = folds.leaders(lambda a, b: abs(a[0] - b[0]), 1.0, 3, lambda df, _: out.extend(map(tuple, df.collect())))
-    rows = lambda *xs: spark.createDataFrame([(i, (float(x),)) for i, x in xs], "rid long, v struct<x:double>")
+    era = folds.leaders(lambda c, lead: F.abs(F.get(c, F.lit(0)) - lead[0]), 1.0, 3, lambda df, _: out.extend(map(tuple, df.orderBy("rid").collect())))
+    rows = lambda *xs: spark.createDataFrame([(i, [float(x)]) for i, x in xs], "rid long, codes array<double>")
     era(rows((1, 0), (2, 0.5), (3, 5)), 0)
-    era(rows((4, 4.5), (5, 9)), 1)
-    assert out == [(1, 1, 0.0), (2, 1, 0.5), (3, 3, 0.0), (4, 3, 0.5), (5, 5, 0.0)]
+    era(rows((4, 4.5), (5, 9), (6, 8)), 1)
+    assert out == [(1, 0, 0.0), (2, 0, 0.5), (3, 1, 0.0), (4, 1, 0.5), (5, 2, 0.0), (6, 2, 1.0)]
     with pytest.raises(ValueError):
-        era(rows((6, 20)), 2)
-    assert [r for r, _ in era.leaders] == [1, 3, 5]
+        era(rows((7, 20)), 2)
+    assert [v[0] for v in era.leaders] == [0, 5, 9]
