@@ -5,7 +5,8 @@ parameter count, hyphens in the host, and suffix statistics (share of blocked la
 URLs under the host's last label and under its last two, smoothed). No feature knows words. The trees are trained on labelled
 URLs, which are a parameter: labelled_urls() makes a bounded, seeded set of made-up names. Those to block are shaped as in
 public feeds of spam and phishing URLs: names strung together by hyphens, generated hosts, digits in the host, many
-subdomains, tracking links of many parameters, cheap suffixes; some plain ones share each of these traits.
+subdomains, tracking links of many parameters, suffixes that are given away; some plain ones share each of these traits. Those
+to allow have the shapes of ordinary sites under many suffixes: spoken or short names, titles, dates, ids, articles.
 
 Cases: a null url or one without :// has an empty host and path, fits no rule and is allowed; very long urls are judged
 whole; repeated rows get equal verdicts; an empty table gives no rows; extra columns are ignored.
@@ -51,7 +52,7 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def labelled_urls(n: int = 4000, seed: int = 5) -> tuple[list[str], np.ndarray]:
+def labelled_urls(n: int = 9000, seed: int = 5) -> tuple[list[str], np.ndarray]:
     """URLs and labels (1: block), the same at every call."""
     rng = np.random.default_rng(seed)
     pick = lambda words: words[int(rng.integers(len(words)))]
@@ -67,12 +68,14 @@ def labelled_urls(n: int = 4000, seed: int = 5) -> tuple[list[str], np.ndarray]:
         "digits": lambda: name(1, 3) + some("0123456789", upto(2, 7)) + pick(["", name(1, 2)]),
         "deep": lambda: ".".join(name(1, 4) for _ in range(upto(3, 6))),
     }
-    ends = {0: ["com"] * 5 + ["org"] * 3 + ["net"] * 2 + ["info"], 1: ["com"] * 3 + ["net", "org", "info", "top", "top", "xyz", "xyz", "win", "click"]}
     out, labels = [], (np.arange(n) % 3 == 0).astype(int)
     for label in labels.tolist():
+        if not label and rng.random() < 0.6:
+            out.append(_ordinary(rng, pick, upto, some, name))
+            continue
         kind = pick(["hyphen", "hyphen", "hyphen", "made", "digits", "deep", "links"] if label else ["plain"] * 17 + ["hyphen", "digits", "deep"])
         host = hosts.get(kind, hosts["plain"])()
-        end = pick([".example.com", ".example.net", ".example.org"]) if rng.random() < 0.5 else "." + pick(ends[label])
+        end = pick([".example.com", ".example.net", ".example.org"]) if rng.random() < 0.5 else "." + (pick(CHEAP) if label and rng.random() < 0.6 else pick(ENDS))
         lead = pick(["", "", "", "www.", "blog.", "m.", "shop."])
         depth = upto(2, 7) if kind == "links" else upto(0, 4)
         path = "".join("/" + pick([name(1, 3), str(upto(1, 9999)), pick(["en", "de", "fr", "es"])]) for _ in range(depth)) + pick(["", "/", ".html"])
@@ -82,6 +85,29 @@ def labelled_urls(n: int = 4000, seed: int = 5) -> tuple[list[str], np.ndarray]:
     return out, labels
 
 
+# fixed values: suffixes of ordinary sites, and those that are given away
+ENDS = "com com com com com com com com com com org org org org net net info edu edu gov gov io io ai dev app tv me de de fr fr it es nl be ch at se no dk fi pl cz ru ua jp jp cn in br au ca ca eu us uk co.uk co.uk co.uk org.uk gov.uk gov.uk ac.uk ac.uk nhs.uk co.jp ac.jp com.au gov.au edu.au com.br co.in gov.in co.nz co.za com.cn com.tr co.kr or.jp int mil museum google blog".split()
+CHEAP = "top xyz win click loan icu buzz cyou rest gq tk ml cf ga".split()
+
+
+def _ordinary(rng, pick, upto, some, name) -> str:  # noqa: ANN001
+    """A URL as sites of news, science, code, shops and offices have them: short or spoken names, few labels, titles, dates, ids."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    brand = pick([lambda: name(), lambda: some(letters, upto(2, 6)), lambda: name(1, 3) + name(1, 2), lambda: name(1, 3) + "-" + name(1, 4)])()
+    lead = pick(["", "", "www.", "www.", "www.", "en.", "docs.", "news.", "www2.", name(1, 2) + ".", name(1, 2) + "." + some(letters, upto(2, 5)) + "."])
+    title = lambda sign: sign.join(name(1, 4) for _ in range(upto(2, 10)))
+    step = [
+        lambda: name(1, 4), lambda: title("-"), lambda: title("_").title(), lambda: str(upto(1990, 2026)), lambda: f"{upto(1, 13):02d}",
+        lambda: str(upto(1, 10**8)), lambda: some(letters, 3).upper() + str(upto(1, 10**7)), lambda: name(1, 2) + "-" + str(upto(1, 10**8)),
+        lambda: "v" + str(upto(1, 20)) + "." + str(upto(0, 20)), lambda: f"{upto(1000, 2600)}.{upto(10000, 99999)}", lambda: some("0123456789abcdef", pick([7, 12, 40])),
+        lambda: name(1, 3).upper(), lambda: "@" + name(1, 3),
+    ]
+    path = "".join("/" + pick(step)() for _ in range(upto(0, 6)))
+    tail = pick(["", "", "", "/", ".html", ".htm", ".php", ".pdf", ".txt"]) if path else pick(["", "/"])
+    query = "&".join(f"{pick(['id', 'q', 'page', 'lang', 'v', name(1, 2)])}={pick([name(1, 4), str(upto(1, 10**6)), some(letters + '0123456789', 11)])}" for _ in range(pick([0, 0, 0, 0, 1, 1, 2, 3])))
+    return pick(["https://", "https://", "http://"]) + lead + brand + "." + pick(ENDS) + path + tail + ("?" + query if query else "") + pick(["", "", "", "", "#" + name(1, 4)])
+
+
 def entropy(text: str) -> float:
     n = len(text)
     return -sum(c / n * np.log2(c / n) for c in Counter(text).values()) if n else 0.0
@@ -106,8 +132,10 @@ class Model:
             for k in self.suffixes(split_url(url)[0]):
                 suffix[k][0] += label
                 suffix[k][1] += 1
-        # a suffix of few urls would only repeat their labels
+        # a suffix of few urls would only repeat their labels; one that is not known is taken for one of an allowed url
         self.suffix = {k: a / b for k, (a, b) in suffix.items() if b >= 22}
+        good = [self.suffix[k] for url, label in zip(urls, labels.tolist(), strict=True) if not label for k in self.suffixes(split_url(url)[0])[:1] if k in self.suffix]
+        self.unknown = float(np.mean(good)) if good else 0.5
         self.trees = Boosted(self.features(urls), labels, trees=80, depth=3)
 
     @staticmethod
@@ -119,7 +147,7 @@ class Model:
         digits = lambda t: sum(c.isdigit() for c in t) / max(1, len(t))
         for url in urls:
             host, path, rest = split_url(url)
-            short, long = (self.suffix.get(s, 0.5) for s in self.suffixes(host))
+            short, long = (self.suffix.get(s, self.unknown) for s in self.suffixes(host))
             rows.append([len(host), len(path), len(rest), host.count("."), path.count("/"), digits(url or ""), digits(host), entropy(url or ""), entropy(host), rest.count("="), host.count("-"), short, long])
         return np.array(rows, float).reshape(len(urls), len(FEATURES))
 

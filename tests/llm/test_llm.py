@@ -1,4 +1,4 @@
-"""The ten operators against brute force, the libraries they must equal, and odd rows."""
+"""The first ten operators against brute force, the libraries they must equal, and odd rows."""
 
 import collections
 import hashlib
@@ -451,6 +451,80 @@ def test_urls(spark):
     assert got[6] == ("", "", None, "allow") and got[7] == ("", "", None, "allow") and got[8][3] == "block" and got[9][2] == "com/en/" and got[10][3] == "allow"
 
 
+#: Well-known public addresses, as anyone knows them: none of them is to be blocked.
+PUBLIC = """
+https://www.bbc.co.uk/news/uk-politics-67912345
+https://www.ncbi.nlm.nih.gov/pmc/articles/PMC7095418/
+https://www.lemonde.fr/politique/article/2023/03/16/reforme-des-retraites_6165735_823448.html
+https://www.heise.de/news/Linux-6-1-freigegeben-7393472.html
+https://www.gov.uk/government/publications/spring-budget-2023
+https://blog.google/technology/ai/bard-google-ai-search-updates/
+https://www.spiegel.de/international/germany/
+https://www.rfc-editor.org/rfc/rfc2616
+https://en.wikipedia.org/wiki/Suffix_array
+https://github.com/apache/spark/pull/12345
+https://stackoverflow.com/questions/11227809/why-is-processing-a-sorted-array-faster
+https://arxiv.org/abs/1706.03762
+https://docs.python.org/3/library/re.html
+https://www.nytimes.com/2023/05/01/technology/ai-google-chatbot-engineer-quits-hinton.html
+https://www.theguardian.com/environment/2022/nov/20/cop27-climate-summit
+https://news.ycombinator.com/item?id=35154527
+https://www.youtube.com/watch?v=dQw4w9WgXcQ
+https://www.amazon.com/dp/B08N5WRWNW
+https://www.nasa.gov/mission_pages/hubble/main/index.html
+https://www.who.int/news-room/fact-sheets/detail/malaria
+https://www.nature.com/articles/s41586-020-2649-2
+https://developer.mozilla.org/en-US/docs/Web/HTTP/Status/404
+https://www.reddit.com/r/programming/comments/abc123/some_title/
+https://www.cam.ac.uk/research/news
+https://www.mit.edu/
+https://www.lefigaro.fr/
+https://www.elpais.com/internacional/
+https://www.asahi.com/ajw/
+https://www.jma.go.jp/jma/indexe.html
+https://medium.com/@someone/a-story-about-things-9f8e7d6c5b4a
+https://pypi.org/project/pyspark/
+https://www.postgresql.org/docs/current/sql-select.html
+https://spark.apache.org/docs/latest/sql-programming-guide.html
+https://www.nhs.uk/conditions/asthma/
+https://europa.eu/youreurope/citizens/travel/index_en.htm
+https://www.un.org/en/about-us/universal-declaration-of-human-rights
+https://www.imdb.com/title/tt0111161/
+https://www.goodreads.com/book/show/2767052-the-hunger-games
+https://www.britannica.com/biography/Ada-Lovelace
+https://www.bundestag.de/parlament
+https://www.repubblica.it/politica/
+https://www.uni-heidelberg.de/en/study
+https://www.ox.ac.uk/admissions/undergraduate
+https://www.cdc.gov/flu/index.htm
+https://www.loc.gov/item/today-in-history/july-04/
+https://www.gutenberg.org/files/1342/1342-h/1342-h.htm
+https://kernel.org/doc/html/latest/
+https://www.debian.org/releases/stable/
+https://lwn.net/Articles/940000/
+https://www.wired.com/story/what-is-a-quantum-computer/
+https://www.sciencedirect.com/science/article/pii/S0004370221000862
+https://doi.org/10.1145/3292500.3330701
+https://www.economist.com/leaders/2023/01/05/the-world-ahead
+https://www.abc.net.au/news/2023-01-10/some-story/101840000
+https://www.cbc.ca/news/canada/toronto
+https://www.irs.gov/forms-pubs/about-form-1040
+https://www.khanacademy.org/math/algebra
+https://www.w3.org/TR/html52/
+https://www.ietf.org/rfc/rfc791.txt
+https://www.archlinux.org/packages/?q=python
+https://timesofindia.indiatimes.com/india
+https://www.hs.fi/kotimaa/
+""".split()
+
+
+def test_ordinary_sites_are_allowed():
+    model = urls.default_model()
+    assert (model.predict(PUBLIC) >= 0.5).mean() < 0.02
+    # a suffix that no labelled url has tells nothing against a site
+    assert all(s < 0.5 for s in model.predict(["https://www.bank.example.museumx/about", "https://en.library.zz/wiki/River_Thames", "https://news.paper.qq/2023/05/01/city-council-vote"]))
+
+
 def test_urls_brute(spark):
     """The query's rows against plain Python, row by row."""
 
@@ -491,12 +565,34 @@ def test_secrets_other_templates():
 
 
 def test_secret_scan_brute(spark, docs):
-    """The query's rows against the operator's parts, text by text, without Spark."""
-    forest, want = secret_scan.default_forest(), []
-    for i, t in docs.select("doc_id", "text").collect():
-        want += [(i, a, b, k, round(s, 9), s >= 0.5) for a, b, k, s in secret_scan.judged([t or ""], forest)[0]]
+    """The query's rows against plain searches and a walk down each tree, text by text, without Spark."""
+    forest = secret_scan.default_forest()
+    texts = dict(docs.select("doc_id", "text").collect())
     rows = entries.queries()["op8_secret_forest"](spark, DATA).collect()
-    assert sorted((r["doc_id"], r["start"], r["end"], r["kind"], round(r["score"], 9), r["secret"]) for r in rows) == sorted(want)
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+
+    def walk(tree, x):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.left[at] if x[tree.feature[at]] <= tree.cut[at] else tree.right[at]
+        return tree.value[at]
+
+    for i, found in by.items():
+        found.sort(key=lambda r: r["start"])
+        assert all(a["end"] <= b["start"] for a, b in zip(found, found[1:]))  # no overlaps
+        for r in found:
+            inner = [c for c in secret_scan.nested(texts[i]) if c[0] == r["start"] and c[1] == r["end"]]
+            assert inner
+            spans = [(r["start"], r["end"], r["kind"]), *inner[0][3]]
+            scores = [sum(walk(t, secret_scan.features(texts[i], *c)) for t in forest.trees) / len(forest.trees) for c in spans]
+            assert any(abs(r["score"] - s) < 1e-9 for s in scores) and r["secret"] == (r["score"] >= 0.5)
+    # what plain patterns find is there, whole
+    plain = [(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])", t or "")]
+    named = [(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r"(?i)(?:password|secret|api_key)[ \t]*[=:][ \t]*\"([^\"\\\n]{6,})\"", t or "")]
+    for i, a, b in plain + named:
+        assert any(r["start"] <= a and b <= r["end"] for r in by[i])
 
 
 def test_quality_brute(spark, docs):
