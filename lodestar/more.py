@@ -9,7 +9,7 @@ from . import oracles as O
 from .functions import columns as C
 from .operators import cluster, distance, grids, neighbours, splits, stats, summary
 from .plans import breed, label, search
-from .queries import DIST, LOG, PART, R, U, disty_part, mixed, order_tree, query, view, whole
+from .queries import DIST, LOG, PART, R, U, disty_part, mixed, order_tree, part_keys, query, view, whole
 from .roles import RoleFrame
 from .sources import stored, tables
 from .storage import keep, new_folder
@@ -146,9 +146,9 @@ def q87(s, d):
     return rf.df.select(F.col("Key").cast("long").alias("Key"), "brand", "`Size-`")
 
 
-@query("q88_mock64", f"WITH x AS (SELECT i AS rid, {U.format(s='1.1', k='i')} AS x1, {U.format(s='1.2', k='i')} AS x2 FROM range(64) t(i)) SELECT rid, round(x1+1e-9,6) AS x1, CASE WHEN x1+x2<1 THEN 'lo' ELSE 'hi' END AS klass FROM x")
+@query("q88_mock64", f"WITH x AS (SELECT i AS rid, {U.format(s='1.1', k='i')} AS x1, {U.format(s='1.2', k='i')} AS x2 FROM (SELECT p_partkey AS i FROM part)) SELECT rid, round(x1+1e-9,6) AS x1, CASE WHEN x1+x2<1 THEN 'lo' ELSE 'hi' END AS klass FROM x")
 def q88(s, d):
-    return tables.mock64(s).df.select("rid", R(F.col("X1")).alias("x1"), F.col("`class!`").alias("klass"))
+    return tables.mock64(s, part_keys(s, d)).df.select("rid", R(F.col("X1")).alias("x1"), F.col("`class!`").alias("klass"))
 
 
 @query("q89_between", "SELECT count(*) AS n FROM events WHERE value IS NULL OR value BETWEEN 20 AND 60")
@@ -356,12 +356,26 @@ def q112(s, d):
     return breed.merged(breed.race(sur, ["climb", "oneplus1"], 1, steps=40)).select("evaluation", "optimizer", R(F.col("best")).alias("best"))
 
 
-@query("q113_rated_effort", "SELECT p_partkey AS rid, round(2.94*power(p_size,0.91+0.01*(CASE p_partkey%2 WHEN 0 THEN 6.20 ELSE 4.96 END+3.04+4.24+3.29+4.68))*CASE p_size%3 WHEN 0 THEN 1.42 WHEN 1 THEN 1.19 ELSE 1.00 END*0.88+1e-9,5) AS effort, round(((CASE WHEN (1+p_size%3)*-1+4-1>=0 THEN 2*power(2,4-(1+p_size%3)-1) ELSE 0 END))/3.73+1e-9,6) AS risk FROM part")
+RATED = {"acap": "1+p_size%3", "pcap": "2+p_partkey%3", "prec": "1+p_partkey%2", "apex": "4", "sced": "1+p_size%4", "cplx": "2+p_partkey%4", "tool": "3"}
+
+
+def risk_sql() -> str:
+    """Every pair of drivers, unrated ones at 3."""
+    e = lambda x, y, kx, ky, t: f"({kx})*({RATED.get(x, '3')})+({ky})*({RATED.get(y, '3')})-({t})"
+    return "+".join(f"CASE WHEN {e(x, y, kx, ky, t)}>=0 THEN {w}*power(2,{e(x, y, kx, ky, t)}) ELSE 0 END" for x, y, w, kx, ky, t in C.RISKS)
+
+
+def effort_sql() -> str:
+    pick = lambda table, n: f"CASE {RATED[n]} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(table[n], 1) if v is not None) + " END" if n in RATED else str(table[n][2])
+    return f"2.94*power(p_size,0.91+0.01*({'+'.join(pick(C.SCALES, n) for n in C.SCALES)}))*{'*'.join(pick(C.MULTIPLIERS, n) for n in C.MULTIPLIERS)}"
+
+
+@query("q113_rated_effort", f"WITH e AS (SELECT p_partkey AS rid, {effort_sql()} AS effort, 0.91+0.01*({'+'.join(str(C.SCALES[n][2]) if n not in RATED else f'CASE {RATED[n]} ' + ' '.join(f'WHEN {i} THEN {v}' for i, v in enumerate(C.SCALES[n], 1)) + ' END' for n in C.SCALES)}) AS ex, ({risk_sql()})/3.73 AS risk FROM part) SELECT rid, round(effort+1e-9,5) AS effort, round(3.67*power(effort,0.28+0.2*(ex-0.91))+1e-9,5) AS months, round(risk+1e-9,6) AS risk FROM e")
 def q113(s, d):
     p = s.read.parquet(f"{d}/part.parquet")
-    rating = {"acap": 1 + F.col("p_size") % 3, "pcap": F.when(F.col("p_partkey") % 2 == 0, F.lit(4)).otherwise(4) - 0, "prec": 1 + F.col("p_partkey") % 2}
-    effort = C.rated_effort(F.col("p_size"), {k: v for k, v in rating.items() if k != "pcap"} | {"apex": F.lit(4)})
-    return p.select(F.col("p_partkey").alias("rid"), R(effort, 5).alias("effort"), R(C.rated_risk([("apex", "acap", 2.0, 1, -1, 1)], {"apex": F.lit(4), "acap": rating["acap"]})).alias("risk"))
+    rating = {n: F.expr(e) for n, e in RATED.items()}
+    effort = C.rated_effort(F.col("p_size"), rating)
+    return p.select(F.col("p_partkey").alias("rid"), R(effort, 5).alias("effort"), R(C.rated_months(effort, rating), 5).alias("months"), R(C.rated_risk(C.RISKS, rating)).alias("risk"))
 
 
 @query("q119_stored_summaries", "SELECT 'l_quantity' AS col, count(l_quantity) AS n, round(avg(l_quantity)+1e-9,6) AS mu, round(stddev_samp(l_quantity)+1e-9,6) AS sd FROM lineitem WHERE l_linenumber<>2 UNION ALL SELECT 'l_tax', count(l_tax), round(avg(l_tax)+1e-9,6), round(stddev_samp(l_tax)+1e-9,6) FROM lineitem WHERE l_linenumber<>2")
@@ -383,7 +397,7 @@ def q120(s, d):
     return got.select("col", "n", R(F.col("mu")).alias("mu"), R(F.col("sd")).alias("sd"))
 
 
-@query("q121_sessions", "WITH e AS (SELECT user_id, ts, value, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id AS key, CAST(epoch(min(ts)) AS BIGINT) AS start, CAST(epoch(max(ts)+INTERVAL 6 HOUR) AS BIGINT) AS stop, count(*) AS n, round(sum(value)+1e-9,4) AS total FROM g WHERE ts IS NOT NULL GROUP BY user_id, k")
+@query("q121_sessions", "WITH e AS (SELECT user_id, ts, value, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id AS key, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts)+INTERVAL 6 HOUR)) AS BIGINT) AS stop, count(*) AS n, round(sum(value)+1e-9,4) AS total FROM g WHERE ts IS NOT NULL GROUP BY user_id, k")
 def q121(s, d):
     ev = s.read.parquet(f"{d}/events.parquet").where("ts IS NOT NULL")
     got = folds.sessions(ev.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "value", "6 hours")

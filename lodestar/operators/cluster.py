@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hashed, uniform
 from ..roles import RoleFrame
 from ..storage import drop, keep
-from .distance import coded, disty, distx, farthest, literal, on_line, project
+from .distance import coded, disty, distx, farthest, literal, on_line, prepared, project
 from .stats import numbered, order_values, ranges, running, selected
 
 
@@ -38,7 +38,7 @@ def split_half(df: DataFrame, key: str, seed: object = 1) -> DataFrame:
 
 def poles90(rf: RoleFrame, seed: object = 1, share: float = 0.9):
     """Poles that outliers don't draw away: at `share` of the order by distance, from a hashed start and from the first pole."""
-    rows = coded(rf)
+    rows = coded(prepared(rf))
     at, out = some(rows, rf.rid, 1, seed).first(), []
     for _ in range(2):
         d = keep(rows.select(rf.rid, "n", "s", F.round(distx(F.struct("n", "s"), literal(at)), 9).alias("d")), "far")
@@ -50,7 +50,7 @@ def poles90(rf: RoleFrame, seed: object = 1, share: float = 0.9):
 
 def poles(rf: RoleFrame, seed: object = 1):
     """Two rows far from each other, from a hashed start."""
-    start = some(coded(rf), rf.rid, 1, seed).first()
+    start = some(coded(prepared(rf)), rf.rid, 1, seed).first()
     east = farthest(rf, start)
     return east, farthest(rf, east)
 
@@ -182,7 +182,7 @@ def recentred(own: DataFrame, nn: int, ns: int) -> list[tuple]:
 def kmeans(rf: RoleFrame, k: int = 8, iters: int = 3, seed: object = 1, errors: list | None = None) -> DataFrame:
     """(rid, cluster, d): means of numbers, modes of symbols. Only k-row aggregates leave the tasks. `errors`, if given,
     gets the mean distance of each assignment."""
-    rows = keep(coded(rf).select(rf.rid, F.struct("n", "s").alias("a")), "coded")
+    rows = coded(prepared(rf)).select(rf.rid, F.struct("n", "s").alias("a"))
     start = some(rows, rf.rid, k, seed).collect()
     cents = [(i, r["a"]["n"], r["a"]["s"]) for i, r in enumerate(start)]
     for _ in range(iters):
@@ -203,7 +203,7 @@ def seeds(rf: RoleFrame, k: int, few: int = 32, seed: object = 1) -> list:
     draw is the hashed number of the turn."""
     import hashlib
 
-    rows = coded(rf)
+    rows = coded(prepared(rf))
     out = [some(rows, rf.rid, 1, seed).first()]
     for step in range(1, k):
         pool = some(rows, rf.rid, few, f"{seed}.{step}").withColumn("a", F.struct("n", "s"))
@@ -221,7 +221,7 @@ def seeds(rf: RoleFrame, k: int, few: int = 32, seed: object = 1) -> list:
 def pole_grid(rf: RoleFrame, dims: int = 2, bins: int = 4, seed: object = 1) -> DataFrame:
     """(rid, bucket): digits of the projections on successive lines between poles, cut at exact order values. All
     dimensions are projected in one pass, their cuts are literals."""
-    c = coded(rf).select(rf.rid, F.struct("n", "s").alias("a"))
+    c = coded(prepared(rf)).select(rf.rid, F.struct("n", "s").alias("a"))
     lines = [poles(rf, f"{seed}.{d}") for d in range(dims)]
     at = c.select(rf.rid, *[F.round(on_line(F.col("a"), literal(e), literal(w)), 9).alias(f"p{d}") for d, (e, w) in enumerate(lines)])
     code = F.lit(0)
@@ -231,15 +231,6 @@ def pole_grid(rf: RoleFrame, dims: int = 2, bins: int = 4, seed: object = 1) ->
     return at.select(rf.rid, code.alias("bucket"))
 
 
-def cover(rows: list[tuple], dist, eps: float) -> list[int]:
-    """Leader clustering of a bounded list in arrival order: a row farther than eps from all leaders leads."""
-    leaders: list[int] = []
-    for i, r in enumerate(rows):
-        if all(dist(r, rows[j]) > eps for j in leaders):
-            leaders.append(i)
-    return leaders
-
-
 def prequential(rf: RoleFrame, order: list[str], k: int = 1, m: int = 2, wait: int = 10) -> DataFrame:
     """(pos, want, got, like): each row is classified by naive Bayes from the rows before it, then learned from.
 
@@ -250,6 +241,7 @@ def prequential(rf: RoleFrame, order: list[str], k: int = 1, m: int = 2, wait: i
     nums = [c for c in sch.x if c in sch.nums]
     syms = [c for c in sch.x if c not in sch.nums]
     rows = numbered(rf.df, order).select(F.col("pos").cast("long").alias("pos"), F.col(f"`{sch.klass}`").alias("want"), *[F.col(f"`{c}`").cast("double").alias(f"n{i}") for i, c in enumerate(nums)], *[F.col(f"`{c}`").alias(f"s{i}") for i, c in enumerate(syms)])
+    rows = keep(rows, "arrivals")
     classes = sorted(r[0] for r in rf.df.select(f"`{sch.klass}`").distinct().collect() if r[0] is not None)
     pairs = rows.withColumn("klass", F.explode(F.array(*map(F.lit, classes)).cast("array<string>")))
     mine = F.coalesce((F.col("want") == F.col("klass")).cast("int"), F.lit(0))
@@ -259,9 +251,9 @@ def prequential(rf: RoleFrame, order: list[str], k: int = 1, m: int = 2, wait: i
         v = F.when(mine == 1, F.col(f"n{i}"))
         sums |= {f"c{i}": v.isNotNull().cast("int"), f"t{i}": F.coalesce(v, F.lit(0.0)), f"q{i}": F.coalesce(v * v, F.lit(0.0))}
     pairs = running(pairs.withColumns({f"_{n}": v for n, v in sums.items()}), "pos", [f"_{n}" for n in sums], ["klass"], cut)
-    pairs = pairs.withColumns({n: F.col(f"upto__{n}") - F.col(f"_{n}") for n in sums})
+    pairs = keep(pairs.withColumns({n: F.col(f"upto__{n}") - F.col(f"_{n}") for n in sums}).drop(*[f"_{n}" for n in sums], *[f"upto__{n}" for n in sums]), "before")
     for i in range(len(syms)):
-        pairs = counted(pairs, i, cut)
+        pairs = keep(counted(pairs, i, cut), "before")
     nh = F.sum((F.col("nk") > 0).cast("int")).over(Window.partitionBy("pos"))
     pairs = pairs.withColumn("nh", nh).where((F.col("pos") > wait) & (F.col("nk") > 0))
     prior = (F.col("nk") + k) / (F.col("pos") - 1 + k * F.col("nh"))
@@ -276,7 +268,8 @@ def prequential(rf: RoleFrame, order: list[str], k: int = 1, m: int = 2, wait: i
 
 def counted(pairs: DataFrame, i: int, cut) -> DataFrame:
     """Adds f<i>: how many rows before are of the class and have the same symbol i."""
-    own = running(pairs.withColumn(f"_f{i}", F.col("_nk")), "pos", [f"_f{i}"], ["klass", f"s{i}"], cut)
+    mine = F.coalesce((F.col("want") == F.col("klass")).cast("int"), F.lit(0))
+    own = running(pairs.withColumn(f"_f{i}", mine), "pos", [f"_f{i}"], ["klass", f"s{i}"], cut)
     return own.withColumn(f"f{i}", F.col(f"upto__f{i}") - F.col(f"_f{i}")).drop(f"upto__f{i}", f"_f{i}")
 
 

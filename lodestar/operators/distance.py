@@ -38,12 +38,21 @@ def disty(rf: RoleFrame, p: float = 2.0, how: str = "logistic") -> Column:
 
 def coded(rf: RoleFrame) -> DataFrame:
     """rid, n (normalized numbers) and s (symbols) of the inputs: what distx needs of a row."""
+    if rf.coded is not None:
+        return rf.coded
     nums = [c for c in rf.schema.x if c in rf.schema.nums]
     syms = [c for c in rf.schema.x if c not in rf.schema.nums]
     n = norms(rf, nums)
     return rf.df.select(rf.rid, F.array(*[n[c] for c in nums]).cast("array<double>").alias("n"), F.array(*[F.col(f"`{c}`") for c in syms]).cast("array<string>").alias("s"))
 
 
+def prepared(rf: RoleFrame) -> RoleFrame:
+    """The same frame, its coded rows written once for operators that pass them several times."""
+    if rf.coded is None:
+        rf.coded = keep(coded(rf), "coded")
+    return rf
+
+
 def distx(a: str | Column, b: str | Column, p: float = 2.0, gower: bool = False) -> Column:
     """Between two coded rows in struct columns a and b. With gower, cells that either row lacks take no part."""
     a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))

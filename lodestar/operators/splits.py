@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import holds
 from ..roles import RoleFrame
+from ..storage import drop, keep
 from .stats import running
 
 
@@ -22,6 +23,7 @@ def long_rows(df: DataFrame, rf: RoleFrame, y: Column, keys: list[str]) -> DataF
 def sides(cells: DataFrame, own: list[str], sums: str) -> DataFrame:
     """(own, x, s, <c>1, <c>): sums of the near side (numbers: up to x; symbols: the value's own) and of the whole column.
     Values of a column go range by range (stats.running), so no task holds a whole continuous column."""
+    cells = keep(cells, "cells")
     whole = cells.groupBy(*own).agg(*[F.sum(c).alias(f"{c}_all") for c in sums])
     upto = running(cells, "x", list(sums), own)
     near = [F.when(F.col("num"), F.col(f"upto_{c}")).otherwise(F.col(c)).alias(f"{c}1") for c in sums]
@@ -128,11 +130,11 @@ def grow_by(rf: RoleFrame, target, leaf: int = 3, depth: int = 4) -> Tree:
     `target` takes the rows of a level, with their `_node`, and adds what to split on, `_y`."""
     cuts: dict = {}
     stats: dict = {}
-    df = rf.df
+    df = keep(rf.df, "view")  # a view may be a join of tables
     for level in range(depth + 1):
         tree = Tree(cuts, stats)
         rows = df.withColumn("_node", tree.leaf_column())
-        rows = target(rows.where((F.col("_node") >= 2**level) & (F.col("_node") < 2 ** (level + 1))))
+        rows = keep(target(rows.where((F.col("_node") >= 2**level) & (F.col("_node") < 2 ** (level + 1)))), "level")
         for r in rows.groupBy("_node").agg(F.count("_y").alias("n"), F.avg("_y").alias("mid")).collect():
             stats[r[0]] = (r[1], r[2] if r[2] is not None else 0.0)
         if level == depth:
@@ -144,8 +146,10 @@ def grow_by(rf: RoleFrame, target, leaf: int = 3, depth: int = 4) -> Tree:
         for r in best(candidates(long, ["_node"], leaf), ["_node"]).collect():
             if r["at"] is not None:
                 cuts[r["_node"]] = (r["at"], r["op"], r["x"] if r["op"] == "<=" else r["s"])
+        drop(rows)
         if not any(i in cuts for i in open_nodes):
             break
+    drop(df)
     return Tree(cuts, stats)
 
 
@@ -278,7 +282,7 @@ def roc(df: DataFrame, share: Column, positive: Column, thetas: list[float]) ->
 
 def grow_rule(rf: RoleFrame, score: Column, conjuncts: int = 2) -> list[tuple]:
     """Conjuncts (at, op, value, keep): tag the sqrt(n) best, cut, keep a side, again."""
-    df, out = rf.df.withColumn("_s", score).where("_s IS NOT NULL"), []
+    df, out = keep(rf.df.withColumn("_s", score).where("_s IS NOT NULL"), "scored"), []
     for _ in range(conjuncts):
         n = df.count()
         edge = df.select("_s").orderBy("_s").limit(max(1, int(n**0.5))).agg(F.max("_s")).first()[0]
@@ -301,6 +305,7 @@ def frugal(rf: RoleFrame, y: Column, bins: int = 7, depth: int = 4) -> tuple[flo
     n = norms(rf, [c for c in rf.schema.x if c in rf.schema.nums])
     codes = {c: (F.floor(bins * n[c]) if c in n else F.col(f"`{c}`")).cast("string") for c in rf.schema.x}
     df = rf.df.select(rf.rid, y.alias("_y"), *[codes[c].alias(f"x{i}") for i, c in enumerate(rf.schema.x)]).where("_y IS NOT NULL")
+    df = keep(df, "coded")
     rows, rest = df.agg(F.count("*"), F.avg("_y")).first()
     least, rest = rows**0.33, rest or 0.0
     trees, done = {"": []}, []

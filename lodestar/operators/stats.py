@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import drop, keep
 
 #: Ranges that running sums go over at most.
 RANGES = 256
@@ -55,7 +56,7 @@ def sliced(df: DataFrame, order: list[str], lo: int, hi: int) -> DataFrame:
 
 def kth(df: DataFrame, value: str, k: int):
     """The value at place k (from 0) of the ascending order; exact, on counts of distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    counts = keep(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")), "counts")
     return running(counts, "v", ["n"]).agg(F.min(F.when(F.col("upto_n") > k, F.col("v")))).first()[0]
 
 
@@ -73,8 +74,6 @@ def selected(df: DataFrame, keys: list[str], value: str, want: DataFrame, few: i
     of it. Values at a bound end the search at once, so frequent ones don't stay. What is left, at most `few` rows a
     group, is counted by value and ordered. The number of passes grows with the logarithm of the largest group.
     """
-    from ..storage import drop, keep
-
     by, v = [*keys, "k"], F.col("_v")
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     ask = want.select(*keys, F.col("k").cast("long").alias("k"))
@@ -123,6 +122,7 @@ def samples(a: DataFrame, b: DataFrame, value: Column) -> DataFrame:
 
 def effects(counts: DataFrame) -> DataFrame:
     """One row: n, m, cliffs (delta), ks, gap in pooled standard deviations (cohen) of two samples' (v, a, b)."""
+    counts = keep(counts, "counts")
     upto = running(counts, "v", ["a", "b"])
     total = counts.agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
     rows = upto.crossJoin(F.broadcast(total))  # one row
@@ -148,7 +148,7 @@ def same(counts: DataFrame, cliff: float = 0.195, conf: float = 1.36, eps: float
 
 def wins(df: DataFrame, score: str) -> DataFrame:
     """Adds `win`: 100 for the best score, 0 for the (upper) median, not under -100."""
-    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n"))
+    counts = keep(df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n")), "counts")
     n = counts.agg(F.sum("n")).first()[0] or 0
     row = running(counts, "v", ["n"]).agg(F.min("v"), F.min(F.when(F.col("upto_n") > n // 2, F.col("v")))).first()
     lo, mid = row
@@ -167,7 +167,7 @@ def ranks(means: list[tuple[str, float]], level, big: bool = False) -> dict[str,
 
 def order_values(df: DataFrame, value: str, ranks: list[float]) -> list:
     """The values at floor(rank * n) of the ascending order (the last one for rank 1), exact; nulls take no part."""
-    counts = df.where(F.col(f"`{value}`").isNotNull()).groupBy(F.col(f"`{value}`").cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = keep(df.where(F.col(f"`{value}`").isNotNull()).groupBy(F.col(f"`{value}`").cast("double").alias("v")).agg(F.count("*").alias("n")), "counts")
     n = counts.agg(F.sum("n")).first()[0] or 0
     picks = [F.min(F.when(F.col("upto_n") > min(int(r * n + 1e-9), n - 1), F.col("v"))) for r in ranks]
     return list(running(counts, "v", ["n"]).agg(*picks).first())
@@ -195,6 +195,7 @@ def rank_groups(df: DataFrame, group: str, value: str, big: bool = False) -> dic
     """Ranks of a column's groups by mean value; those that `same` can't tell from their rank's champion share it. Groups
     are few names; each comparison runs on counts of distinct values."""
     counts = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = keep(counts, "counts")
     means = [(r["g"], r["m"]) for r in counts.groupBy("g").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m")).collect()]
 
     def level(a: str, b: str) -> bool:

@@ -238,7 +238,7 @@ def dtlz() -> str:
     for n, g, theta in ((2, "gs", "x1"), (3, "gr", "x1"), (4, "gs", "power(x1,100)"), (5, "gs", "x1"), (6, "gp", "x1")):
         f[n] = (f"(1+{g})*cos({theta}*pi()/2)", f"(1+{g})*sin({theta}*pi()/2)")
     out = ", ".join(f"round({e}+1e-9,6) AS f{n}_{i}" for n in range(1, 8) for i, e in enumerate(f[n]))
-    return f"WITH x AS (SELECT i AS rid, {', '.join(f'{u(j)} AS x{j}' for j in range(1, 7))} FROM range(1000) t(i)), g AS (SELECT *, {sq} AS gs, {rast} AS gr, {root} AS gp, {g7} AS g7 FROM x) SELECT rid, {out} FROM g"
+    return f"WITH x AS (SELECT i AS rid, {', '.join(f'{u(j)} AS x{j}' for j in range(1, 7))} FROM (SELECT p_partkey AS i FROM part)), g AS (SELECT *, {sq} AS gs, {rast} AS gr, {root} AS gp, {g7} AS g7 FROM x) SELECT rid, {out} FROM g"
 
 
 #: Coded documents: number v, symbols lang, source, quality (often unknown).

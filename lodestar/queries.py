@@ -300,16 +300,20 @@ def q51(s, d):
     return p.select(k.alias("rid"), F.when(C.uniform(k, "m") < 0.5, R(F.col("p_size") + 10 * C.uniform(k, "d"))).otherwise(F.col("p_size").cast("double")).alias("size"))
 
 
-@query("q52_dtlz2", f"WITH x AS (SELECT i AS rid, {', '.join(U.format(s=f'1.{j}', k='i') + f' x{j}' for j in range(1, 7))} FROM range(1000) t(i)), g AS (SELECT *, {'+'.join(f'power(x{j}-0.5,2)' for j in range(2, 7))} g FROM x) SELECT rid, round((1+g)*cos(x1*pi()/2)+1e-9,6) AS f1, round((1+g)*sin(x1*pi()/2)+1e-9,6) AS f2 FROM g")
+def part_keys(s: SparkSession, d: str) -> DataFrame:
+    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("rid"))
+
+
+@query("q52_dtlz2", f"WITH x AS (SELECT i AS rid, {', '.join(U.format(s=f'1.{j}', k='i') + f' x{j}' for j in range(1, 7))} FROM (SELECT p_partkey AS i FROM part)), g AS (SELECT *, {'+'.join(f'power(x{j}-0.5,2)' for j in range(2, 7))} g FROM x) SELECT rid, round((1+g)*cos(x1*pi()/2)+1e-9,6) AS f1, round((1+g)*sin(x1*pi()/2)+1e-9,6) AS f2 FROM g")
 def q52(s, d):
-    p = tables.pool(s, 1000, 6)
+    p = tables.pool(s, part_keys(s, d), 6)
     f = C.dtlz2([F.col(f"X{i}") for i in range(1, 7)], 2)
     return p.select("rid", R(f[0]).alias("f1"), R(f[1]).alias("f2"))
 
 
 @query("q52_dtlz_all")
 def q52b(s, d):
-    p, x = tables.pool(s, 1000, 6), [F.col(f"X{i}") for i in range(1, 7)]
+    p, x = tables.pool(s, part_keys(s, d), 6), [F.col(f"X{i}") for i in range(1, 7)]
     made = [R(v).alias(f"f{n}_{i}") for n in range(1, 8) for i, v in enumerate(getattr(C, f"dtlz{n}")(x, 2))]
     return p.select("rid", *made)
 
@@ -362,13 +366,18 @@ def goal_model() -> dict[str, list]:
 WORLDS = "WITH way(w, help, other, kind, leaves) AS (VALUES ('bought', 'fast', 'cheap', 'f', 2), ('coded', 'cheap', 'fast', 'fft', 3)), draw AS (SELECT w, leaves, substr('ttf', h, 1) AS helped, substr(kind, CAST(o AS INT), 1) AS hit FROM way, range(1, 4) a(h), range(1, 4) b(o) WHERE o<=length(kind)), ws AS (SELECT DISTINCT w AS way, CASE w WHEN 'bought' THEN helped ELSE hit END AS fast, CASE w WHEN 'bought' THEN hit ELSE helped END AS cheap, leaves FROM draw)"
 
 
+def customers(s: SparkSession, d: str) -> DataFrame:
+    """A world for each customer, numbered by the key."""
+    return s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"))
+
+
 def rig(s: SparkSession) -> goals.Rig:
     return goals.Rig(s, goal_model(), ["shipped"], ["fast", "cheap"])
 
 
 @query("q57_goal_worlds", f"{WORLDS} SELECT way, fast, cheap FROM ws")
 def q57(s, d):
-    ws = rig(s).worlds(1000)
+    ws = rig(s).worlds(customers(s, d))
     val = lambda a: F.max(F.when(F.col("atom") == a, F.col("val")))
     rows = ws.groupBy("world").agg(val("bought").alias("b"), val("coded").alias("c"), val("fast").alias("fast"), val("cheap").alias("cheap"))
     return rows.select(F.when(F.col("b") == "t", "bought").when(F.col("c") == "t", "coded").alias("way"), "fast", "cheap").distinct()
@@ -377,13 +386,13 @@ def q57(s, d):
 @query("q58_goal_benefits", f"{WORLDS}, bf AS (SELECT CAST(fast='t' AS INT)+CAST(cheap='t' AS INT) AS benefit, leaves AS footprint FROM ws), mm AS (SELECT min(benefit) b0, max(benefit) b1, min(footprint) f0, max(footprint) f1 FROM bf) SELECT DISTINCT CAST(benefit AS BIGINT) AS benefit, CAST(footprint AS BIGINT) AS footprint, round(sqrt((power(1-(benefit-b0)/(b1-b0),2)+power((footprint-f0)/(f1-f0),2))/2)+1e-9,6) AS d FROM bf, mm")
 def q58(s, d):
     r = rig(s)
-    ws = r.worlds(1000)
+    ws = r.worlds(customers(s, d))
     return r.counts(ws).select("benefit", "footprint", R(goals.d2h(r.yardstick(ws))).alias("d")).distinct()
 
 
 @query("q59_goal_keys")
 def q59(s, d):
-    return s.createDataFrame(rig(s).run(400)["keys"], "atom string, val string")
+    return s.createDataFrame(rig(s).run(customers(s, d))["keys"], "atom string, val string")
 
 
 EDGES = "e(h, r, a) AS (VALUES ('shipped','all','tested'),('shipped','any','bought'),('shipped','any','coded'),('bought','all','vendor'),('bought','link','fast'),('bought','link','cheap'),('coded','all','staff'),('coded','all','tools'),('coded','link','fast'),('coded','link','cheap')), m AS (SELECT h AS a FROM e UNION SELECT a FROM e), q AS (SELECT a FROM e WHERE r='link' EXCEPT SELECT h FROM e)"
@@ -391,13 +400,14 @@ EDGES = "e(h, r, a) AS (VALUES ('shipped','all','tested'),('shipped','any','boug
 
 @query("q59_goal_statics", f"WITH {EDGES} SELECT 'qualities' AS role, a AS atom FROM q UNION ALL SELECT 'leaves', a FROM (SELECT a FROM m EXCEPT SELECT h FROM e EXCEPT SELECT a FROM q) UNION ALL SELECT 'settable', a FROM ((SELECT a FROM m EXCEPT SELECT h FROM e) UNION SELECT a FROM e WHERE r='any')")
 def q59s(s, d):
-    found = goals.statics(goal_model(), ["shipped"], ["fast", "cheap"])
-    return s.createDataFrame([(r, a) for r in ("qualities", "leaves", "settable") for a in sorted(found[r])], "role string, atom string")
+    found = goals.roles(s, goal_model(), ["shipped", "fast", "cheap"])
+    kinds = F.array(*[F.when(F.col(c), F.lit(n)) for c, n in (("quality", "qualities"), ("leaf", "leaves"), ("settable", "settable"))])
+    return found.select(F.explode(F.array_compact(kinds)).alias("role"), "atom")
 
 
 @query("q59_goal_rig")
 def q59r(s, d):
-    got = rig(s).run(400)
+    got = rig(s).run(customers(s, d))
     names = ["mu", "sd", "best", "mu_keys", "sd_keys", "candidates", "n_keys", "tests", "share"]
     return s.createDataFrame([tuple(float(got[n]) for n in names)], ", ".join(f"{n} double" for n in names))
 

@@ -36,6 +36,7 @@ class RoleFrame:
         self.df, self.rid = df, rid
         self.schema = schema or RoleSchema.parse([c for c in df.columns if c != rid])
         self._stats: dict | None = None
+        self.coded: DataFrame | None = None  # written by operators.distance.prepared
 
     def clone(self, df: DataFrame) -> RoleFrame:
         """The same roles over other rows."""

@@ -73,7 +73,7 @@ def frozen_codes(warm: RoleFrame, bins: int = 5) -> dict[str, Column]:
     return {c: out[c] for c in warm.schema.x}
 
 
-def mock64(spark: SparkSession, n: int = 64, width: int = 2, seed: int = 1) -> RoleFrame:
+def mock64(spark: SparkSession, n: int | DataFrame = 64, width: int = 2, seed: int = 1) -> RoleFrame:
     """Uniform inputs and a class by their sum, for tests."""
     x = pool(spark, n, width, seed)
     total = sum((F.col(f"X{i}") for i in range(1, width + 1)), F.lit(0.0))
@@ -101,9 +101,9 @@ def role_view(spark: SparkSession, sf_dir: str, name: str) -> RoleFrame:
     raise KeyError(name)
 
 
-def pool(spark: SparkSession, n: int, width: int, seed: int = 1) -> DataFrame:
-    """Synthetic rows: rid and uniform X1..Xwidth, the same for the same seed."""
-    base = spark.range(n).withColumnRenamed("id", "rid")
+def pool(spark: SparkSession, n: int | DataFrame, width: int, seed: int = 1) -> DataFrame:
+    """Synthetic rows: rid and uniform X1..Xwidth, the same for the same seed: n of them, or one for each row of a frame (rid)."""
+    base = spark.range(n).withColumnRenamed("id", "rid") if isinstance(n, int) else n
     return base.select("rid", *[uniform(F.col("rid"), f"{seed}.{i}").alias(f"X{i}") for i in range(1, width + 1)])
 
 
