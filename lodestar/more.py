@@ -273,7 +273,27 @@ def q102(s, d):
     return got.select(R(F.col("acc")).alias("acc"), R(F.col("mae")).alias("mae"), R(F.col("best")).alias("best"))
 
 
-@query("q103_sweep")
+def sweep_sql() -> str:
+    """Codes of orders, four anchors beyond a standard deviation of random pairs, six lines, marks."""
+    raw = lambda p, q: f"sqrt(({'+'.join(f'power({p}.v{i}-{q}.v{i},2)' for i in range(4))})/4)"
+    gap = lambda p, q: f"round({raw(p, q)},9)"
+    rank = lambda c: f"r{c} AS (SELECT v, (row_number() OVER (ORDER BY v)-1)/greatest(1,count(*) OVER ()-1) AS x FROM (SELECT DISTINCT {c} AS v FROM ord))"
+    out = [O.OC, "bo AS (SELECT bal, row_number() OVER (ORDER BY bal)-1 AS r, count(*) OVER () AS n FROM ord)", "bd AS (SELECT max(bal) FILTER (r=CAST(floor(0.1*n+1e-9) AS BIGINT)) AS lo, max(bal) FILTER (r=CAST(floor(0.9*n+1e-9) AS BIGINT)) AS hi FROM bo)", rank("a"), rank("b"), rank("c")]
+    out.append("g AS MATERIALIZED (SELECT rid, greatest(0,least(1,(bal-lo)/(hi-lo+1e-32))) AS v0, ra.x AS v1, rb.x AS v2, rc.x AS v3 FROM ord JOIN ra ON a=ra.v JOIN rb ON b=rb.v JOIN rc ON c=rc.v CROSS JOIN bd)")
+    out.append("pr AS (SELECT *, row_number() OVER (ORDER BY md5('1.pairs:'||rid), rid)-1 AS p FROM g QUALIFY p<64)")
+    out.append(f"eps AS (SELECT stddev_samp({raw('x', 'y')}) AS e FROM pr x JOIN pr y ON x.p%2=0 AND y.p=x.p+1)")
+    for i in range(4):
+        far = " AND ".join(f"{gap('g', f'a{j}')}>e" for j in range(i)) or "true"
+        out.append(f"a{i} AS MATERIALIZED (SELECT g.* FROM g, eps{''.join(f', a{j}' for j in range(i))} WHERE {far} ORDER BY md5('1:'||g.rid), g.rid LIMIT 1)")
+    every = "g, " + ", ".join(f"a{i}" for i in range(4))
+    line = lambda i, j: f"SELECT g.rid, {gap(f'a{i}', f'a{j}')}+1e-32 AS c, {4 * i + j} AS l, round((power({gap('g', f'a{i}')},2)+power({gap(f'a{i}', f'a{j}')}+1e-32,2)-power({gap('g', f'a{j}')},2))/(2*({gap(f'a{i}', f'a{j}')}+1e-32)),9) AS att FROM {every}"
+    out.append("ln AS MATERIALIZED (" + " UNION ALL ".join(line(i, j) for i in range(4) for j in range(i + 1, 4)) + ")")
+    out.append("md AS (SELECT l, att AS mid FROM (SELECT l, att, row_number() OVER (PARTITION BY l ORDER BY att)-1 AS r, count(*) OVER (PARTITION BY l) AS n FROM ln) WHERE r=n//2)")
+    out.append("mk AS MATERIALIZED (SELECT rid, round(sum(c*abs(att-mid)),9) AS mark FROM ln JOIN md USING (l) GROUP BY rid)")
+    return f"WITH {', '.join(out)}, st2 AS (SELECT rid, mark, mark>=0.5*((SELECT max(mark) FROM mk)+1e-32) OR rid IN ({' UNION '.join(f'SELECT rid FROM a{i}' for i in range(4))}) AS stays FROM mk) SELECT stays, count(*) AS n, round(max(mark)+1e-9,4) AS mark FROM st2 GROUP BY 1"
+
+
+@query("q103_sweep", sweep_sql())
 def q103(s, d):
     rows, names = grids.graded(view(s, d, "order"))
     live = list(range(len(names)))
@@ -311,7 +331,17 @@ def q105(s, d):
     return scored.agg(F.count("*").alias("cells"), R(F.max("score"), 4).alias("best")).crossJoin(rows.agg(F.count("*").alias("rows"))).crossJoin(cols.agg(F.count("*").alias("cols")))  # one row each
 
 
-@query("q106_twins")
+def twins_sql(turns: int = 6) -> str:
+    """Parts have symbols only, so twins are equal in both; each turn pairs by a hashed order, till one drops nothing."""
+    out = ["t0 AS MATERIALIZED (SELECT p_partkey AS rid, p_brand AS b, p_type AS t FROM part)"]
+    for i in range(turns):
+        out.append(f"n{i} AS (SELECT *, row_number() OVER (ORDER BY {U.format(s=f'1.{i}', k='rid')}, rid)-1 AS p FROM t{i})")
+        out.append(f"h{i} AS MATERIALIZED (SELECT greatest(x.rid,y.rid) AS rid FROM n{i} x JOIN n{i} y ON x.p//2=y.p//2 AND x.p%2=0 AND y.p%2=1 WHERE x.b=y.b AND x.t=y.t" + (f" AND (SELECT count(*) FROM h{i - 1})>0)" if i else ")"))
+        out.append(f"t{i + 1} AS MATERIALIZED (SELECT * FROM t{i} WHERE rid NOT IN (SELECT rid FROM h{i}))")
+    return f"WITH {', '.join(out)} SELECT count(*) AS n FROM t{turns}"
+
+
+@query("q106_twins", twins_sql())
 def q106(s, d):
     return grids.twins(view(s, d, "part"), 0.4).agg(F.count("*").alias("n"))
 
@@ -335,7 +365,17 @@ def q109(s, d):
     return label.verdicts(runs, "active", "random")
 
 
-@query("q110_mutate")
+MUTATE = (
+    f"WITH {O.OC}, cnt AS (SELECT 1 AS j, a AS v, count(*) AS n FROM ord GROUP BY a UNION ALL SELECT 2, b, count(*) FROM ord GROUP BY b UNION ALL SELECT 3, c, count(*) FROM ord GROUP BY c)"
+    ", cum AS (SELECT j, v, sum(n) OVER (PARTITION BY j ORDER BY v)-n AS lo, sum(n) OVER (PARTITION BY j ORDER BY v) AS hi, sum(n) OVER (PARTITION BY j) AS t FROM cnt)"
+    ", k AS (SELECT ord.*, list_transform(list_slice(list_sort([" + ", ".join(f"{{'h': md5('1.{j}:'||rid), 'j': {j}}}" for j in range(4)) + "]),1,2), lambda x: x.j) AS js, " + ", ".join(f"{U.format(s=f'1.{j}.v', k='rid')} AS u{j}" for j in (1, 2, 3))
+    + f", greatest(mb-3*sb,least(mb+3*sb,greatest(-3.0,least(3.0,sqrt(-2*ln(1-{U.format(s='1.0.v.u', k='rid')}))*cos(2*pi()*{U.format(s='1.0.v.v', k='rid')})))*sb+bal)) AS nb FROM ord, st)"
+    " SELECT CAST(CAST(list_contains(js,0) AND nb<>bal AS INT)" + "".join(f"+CAST(list_contains(js,{j}) AND c{j}.v<>k.{x} AS INT)" for j, x in ((1, "a"), (2, "b"), (3, "c"))) + " AS INTEGER) AS changed, count(*) AS n FROM k"
+    + "".join(f" JOIN cum c{j} ON c{j}.j={j} AND u{j}*c{j}.t>=c{j}.lo AND u{j}*c{j}.t<c{j}.hi" for j in (1, 2, 3)) + " GROUP BY 1"
+)
+
+
+@query("q110_mutate", MUTATE)
 def q110(s, d):
     rf = view(s, d, "order")
     got = search.mutated(rf, 2).select("rid", *[F.col(c).alias(f"m_{c}") for c in rf.schema.x]).join(rf.df, "rid")
