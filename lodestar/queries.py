@@ -347,7 +347,7 @@ def q56(s, d):
 def q49(s, d):
     rf = view(s, d, "order")
     sur = breed.Surrogate(rf, rf.df.select("rid", distance.disty(rf).alias("y")))
-    got = breed.race(sur, ["de", "ga", "sa", "ls"], chains=1, size=10, gens=4, steps=40)
+    got = breed.race(sur, ["de", "ga", "sa", "ls"], chains=1, size=8, gens=2, steps=16)
     return got.groupBy("optimizer").agg(R(F.min("best")).alias("best"))
 
 
