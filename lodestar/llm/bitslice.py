@@ -8,8 +8,8 @@ slices are then read from the most significant downward: rows surely among the k
 narrow down. What is left at the boundary are equal scores, which go to the smallest ids. Scores of the chosen rows are
 then computed exactly from their integers.
 
-Queries go out in broadcasts of at most QUERY_BLOCK rows, one after another; each task sums its rows in bitmaps of at most BLOCK rows and
-returns at most k rows a query, and the k best of each query follow.
+Spark deals the rows into blocks, each a set of bitmaps, and the queries into slots; each pair of them is a group of its own,
+which returns at most k rows a query, and the k best of each query follow. Queries don't pass through the driver.
 
 Cases: as in rabitq, but that zero vectors take part; components are floor(256 x), x as double. Rows and queries
 with a component of 16384 or more in size are scored by Python's integers instead of slices; a score among the k best that
@@ -18,18 +18,16 @@ passes 64 bits is an error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Parts, plain_schema
-from .rabitq import dimensions, query_blocks, top_k, usable
+from .common import Parts, dealt, forget, plain_schema, save, tiles, vectors_of
+from .rabitq import asked, dimensions, top_k, usable
 
-#: Queries in a broadcast, rows in a bitmap.
-QUERY_BLOCK, BLOCK = 16384, 65536
+#: Queries of a slot, rows of a block (a bitmap has a bit for each).
+SLOT, BLOCK = 16384, 65536
 #: Components from this size on are not kept as slices.
 WIDE = 16384
 
@@ -154,46 +152,31 @@ def search(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", v
         return parts.frame()
     own = df.where(usable(F.col(vector_col), zero=True) & (F.size(vector_col) == dims) & F.col(id_col).isNotNull())
     own = own.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), queries.alias("asks"))
-    for block in query_blocks(own.where("asks").drop("asks"), QUERY_BLOCK):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            asks, vectors = shared.value
-            narrow = (np.abs(vectors) < WIDE).all(1)
-            weights = np.floor(vectors[narrow] * 256).astype(np.int64).tolist()
-            wide = integers(vectors[~narrow])
-            few = [(q, np.array(w, object)) for q, w in zip(asks[narrow].tolist(), weights, strict=True)]
-            many = list(zip(asks[~narrow].tolist(), wide, strict=True))
-
-            def answers(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-                rows = pa.Table.from_batches(parts).combine_chunks()
-                keys = rows.column(0).to_numpy()
-                values = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows.column(1).chunks]).reshape(-1, dims)
-                small = (np.abs(values) < WIDE).all(1)
-                got = []
-                if small.any():
-                    made = Index(keys[small], np.floor(values[small] * 256).astype(np.int64))
-                    got += [(q, *made.best(w, k, q)) for q, w in zip(asks[narrow].tolist(), weights, strict=True)]
-                for own, questions in ((~small, few), (np.ones(len(keys), bool), many)):
-                    at = np.flatnonzero(own) if questions else np.empty(0, np.int64)
-                    for i in range(0, len(at), 4096):
-                        block = at[i : i + 4096]
-                        made = integers(values[block])
-                        got += [(q, *exact(keys[block], made, w, k, q)) for q, w in questions]
-                columns = [[q for q, i, _ in got for _ in i], [x for _, i, _ in got for x in i], [x for _, _, v in got for x in v]]
-                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-            held, n = [], 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    held.append(batch.slice(at, BLOCK))
-                    n += held[-1].num_rows
-                    if n >= BLOCK:
-                        yield answers(held)
-                        held, n = [], 0
-            if n:
-                yield answers(held)
-
-        parts.add(top_k(own.select("id", "vector").mapInArrow(run, plain_schema("query_id long, vec_id long, score long")), k, "long"))
-        shared.destroy()
+    made = save(own.withColumn("n", F.monotonically_increasing_id()), "rows")
+    rows, blocks = dealt(made.drop("asks"), BLOCK, "block")
+    asks, slots = asked(made.where("asks").select("id", "vector"), SLOT)
+
+    def answer(block: pa.Table, slot: pa.Table) -> pa.Table:
+        keys, values = block.column("id").to_numpy(), vectors_of(block, dims)
+        ids, vectors = slot.column("id").to_numpy(), vectors_of(slot, dims)
+        narrow, small = (np.abs(vectors) < WIDE).all(1), (np.abs(values) < WIDE).all(1)
+        weights = np.floor(vectors[narrow] * 256).astype(np.int64).tolist()
+        few = [(q, np.array(w, object)) for q, w in zip(ids[narrow].tolist(), weights, strict=True)]
+        many = list(zip(ids[~narrow].tolist(), integers(vectors[~narrow]), strict=True))
+        got = []
+        if small.any():
+            slices = Index(keys[small], np.floor(values[small] * 256).astype(np.int64))
+            got += [(q, *slices.best(w, k, q)) for q, w in zip(ids[narrow].tolist(), weights, strict=True)]
+        for wide, questions in ((~small, few), (np.ones(len(keys), bool), many)):
+            at = np.flatnonzero(wide) if questions else np.empty(0, np.int64)
+            for i in range(0, len(at), 4096):
+                some = at[i : i + 4096]
+                plain = integers(values[some])
+                got += [(q, *exact(keys[some], plain, w, k, q)) for q, w in questions]
+        columns = [[q for q, i, _ in got for _ in i], [x for _, i, _ in got for x in i], [x for _, _, v in got for x in v]]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+
+    for found in tiles(rows, asks, blocks, slots, answer, plain_schema("query_id long, vec_id long, score long")):
+        parts.add(top_k(found, k, "long"))
+    forget(made, asks)
     return parts.frame()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -236,6 +236,36 @@ def clear_name(df: DataFrame, name: str) -> str:
     return name
 
 
+# --------------------------------------------------------------------------- tiles
+
+#: Slots of queries that one job answers (so many copies of the rows it shuffles), shuffle partitions of its tiles at most.
+SLOTS, TILES = 64, 16384
+
+
+def dealt(df: DataFrame, most: int, name: str) -> tuple[DataFrame, int]:
+    """A written frame's rows with their number among `n` blocks of about `most` rows (fewer, if cores would idle), and n.
+    A row's block is a hash of its place in the written table (`n` of it), so equal rows part and a lost task deals alike."""
+    total, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    n = max(-(-total // most), min(cores, total // 1024), 1)
+    return df.withColumn(name, F.pmod(F.xxhash64("n"), F.lit(n)).cast("int")).drop("n"), n
+
+
+def tiles(rows: DataFrame, asks: DataFrame, blocks: int, slots: int, answer: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType) -> Iterator[DataFrame]:
+    """Every block of rows meets every slot of queries in a group of its own, which `answer` gets as two tables. A frame for each
+    SLOTS slots, so that a job's shuffle stays bounded; nothing passes through the driver, and no task holds more than a tile."""
+    for low in range(0, slots, SLOTS):
+        high = min(low + SLOTS, slots) - 1
+        n = min(TILES, blocks * (high - low + 1))
+        many = rows.withColumn("slot", F.explode(F.sequence(F.lit(low), F.lit(high)))).repartition(n, "block", "slot")
+        every = asks.where(F.col("slot").between(low, high)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(n, "block", "slot")
+        yield many.groupBy("block", "slot").cogroup(every.groupBy("block", "slot")).applyInArrow(answer, schema)
+
+
+def vectors_of(table: pa.Table, dims: int) -> np.ndarray:
+    rows = [c.flatten().to_numpy(zero_copy_only=False) for c in table.column("vector").chunks]
+    return np.concatenate([np.empty(0), *rows]).reshape(-1, dims)
+
+
 # --------------------------------------------------------------------------- components
 
 

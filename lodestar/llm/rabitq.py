@@ -3,12 +3,12 @@
 Index: every vector is turned by one random orthogonal matrix and kept as its signs (one bit a dimension, packed), its
 norm and the correction scalar <code, direction>. The unbiased estimate of <direction, query> is
 <code, query> / <code, direction>, and with e = sqrt((1 - c^2) / c^2 / (D - 1)) the true value lies within
-WIDTH * e * |query| of it but for a small chance. Search: query rows meet the index block by block; for each query the
-blocks keep a floor, the k-th largest exact product so far; only vectors whose upper bound passes the floor are reranked
-with exact double-precision products. The first block's floor comes from its best estimates, reranked.
+WIDTH * e * |query| of it but for a small chance. Search: queries meet a block of the index in stretches; for each query the
+stretches keep a floor, the k-th largest exact product so far; only vectors whose upper bound passes the floor are reranked
+with exact double-precision products. The first stretch's floor comes from its best estimates, reranked.
 
-Queries go out in broadcasts of at most QUERY_BLOCK rows, one after another, one pass over the index for each; a task
-returns at most k rows a query, the k best of each query are written, and the broadcast is dropped before the next.
+Spark deals the index into blocks and the queries into slots; each pair of them is a group of its own, which returns at most
+k rows a query, and the k best of each query follow. Queries don't pass through the driver.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part; a vector whose length is
 not that of the most frequent length takes none either; equal scores go to the smaller id; repeated vectors are
@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Parts, forget, plain_schema, save
+from .common import Parts, dealt, forget, plain_schema, save, tiles, vectors_of
 
-#: Queries in a broadcast (64 dimensions: 8 MB), rows of the index that are looked at together, width of the bounds.
-QUERY_BLOCK, BLOCK, WIDTH = 16384, 8192, 1.9
+#: Queries of a slot and rows of a block (64 dimensions: 32 MB each), rows that are looked at together, width of the bounds.
+SLOT, BLOCK, STRETCH, WIDTH = 65536, 65536, 8192, 1.9
 
 
 def usable(vector: Column, zero: bool = False) -> Column:
@@ -140,18 +140,13 @@ def dimensions(df: DataFrame, vector_col: str = "embedding") -> int:
     return row[0] if row else 0
 
 
-def query_blocks(queries: DataFrame, most: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of distinct query ids, at most `most` at a time, in the order of their ids."""
-    after = None
-    while True:
-        own = queries if after is None else queries.where(F.col("id") > after)
-        rows = own.groupBy("id").agg(F.min("vector").alias("vector")).orderBy("id").limit(most).collect()
-        if not rows:
-            return
-        yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
-        if len(rows) < most:
-            return
-        after = rows[-1][0]
+def asked(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """(id, vector, slot) of distinct query ids of (id, vector), written, and the number of slots."""
+    one = rows.groupBy("id").agg(F.min("vector").alias("vector"))
+    made = save(one.withColumn("n", F.monotonically_increasing_id()), "asked")
+    out, n = dealt(made, most, "slot")
+    out._saved_at = made._saved_at
+    return out, n
 
 
 def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -161,23 +156,20 @@ def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     parts = Parts(spark, "nearest", plain_schema("query_id long, rank int, vec_id long, score double"))
     if not dims:
         return parts.frame()
-    made = save(index(df, dims, id_col, vector_col), "codes")
+    made = save(index(df, dims, id_col, vector_col).withColumn("n", F.monotonically_increasing_id()), "codes")
+    rows, blocks = dealt(made, BLOCK, "block")
     own = df.where(queries & usable(F.col(vector_col)) & (F.size(vector_col) == dims) & F.col(id_col).isNotNull())
-    own = own.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    for block in query_blocks(own):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            scan = Scan(*shared.value, k)
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(at, BLOCK)
-                    vec = np.array(part.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dims)
-                    code = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                    scan.add(part.column(0).to_numpy(), vec, code, part.column(3).to_numpy(), part.column(4).to_numpy())
-            yield scan.result()
-
-        parts.add(top_k(made.mapInArrow(run, plain_schema("query_id long, vec_id long, score double")), k, "double"))
-        shared.destroy()
-    forget(made)
+    asks, slots = asked(own.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")), SLOT)
+
+    def answer(block: pa.Table, slot: pa.Table) -> pa.Table:
+        scan = Scan(slot.column("id").to_numpy(), vectors_of(slot, dims), k)
+        for at in range(0, block.num_rows if slot.num_rows else 0, STRETCH):
+            part = block.slice(at, STRETCH)
+            code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            scan.add(part.column("id").to_numpy(), vectors_of(part, dims), code, part.column("norm").to_numpy(), part.column("c").to_numpy())
+        return pa.Table.from_batches([scan.result()])
+
+    for found in tiles(rows, asks, blocks, slots, answer, plain_schema("query_id long, vec_id long, score double")):
+        parts.add(top_k(found, k, "double"))
+    forget(made, asks)
     return parts.frame()

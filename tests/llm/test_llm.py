@@ -287,6 +287,22 @@ def test_bit_sliced(vectors):
             assert got[q, rank] == (ids[i], s[i])
 
 
+def test_tiles(vectors, monkeypatch):
+    """Many blocks and slots, two jobs: op10's rows are the same, op3 finds as many."""
+    x, df = vectors
+    whole = bitslice.search(df, F.col("vec_id") % 20 == 0).collect()
+    for m in (bitslice, rabitq):
+        monkeypatch.setattr(m, "BLOCK", 64)
+        monkeypatch.setattr(m, "SLOT", 5)
+    monkeypatch.setattr(common, "SLOTS", 3)
+    assert sorted(bitslice.search(df, F.col("vec_id") % 20 == 0).collect()) == sorted(whole)
+    got = collections.defaultdict(set)
+    for r in rabitq.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = sum(len(got[q] & set(np.argsort(-np.where(np.arange(400) == q, -np.inf, x @ x[q]))[:20].tolist())) for q in range(0, 400, 20))
+    assert hit / 400 >= 0.9 and all(len(v) == 20 for v in got.values())
+
+
 def test_one_bit_width():
     assert rabitq.WIDTH >= 1.9
 
