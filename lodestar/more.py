@@ -318,6 +318,14 @@ def q104(s, d):
     return left.agg(F.count("*").alias("n"), F.lit(len(spent)).alias("labels"), F.lit(",".join(columns)).alias("columns"), R(F.max("mark"), 4).alias("mark"))
 
 
+@query("q122_sphere_probes")
+def q122(s, d):
+    rf = view(s, d, "order")
+    left, labels = grids.probed(rf, distance.disty(rf), budget=16, wait=4)
+    known = s.createDataFrame([(i, y) for i, y in labels.items()], "rid long, label double")
+    return left.select("rid").join(F.broadcast(known), "rid", "left").select("rid", R(F.col("label")).alias("label"))
+
+
 @query("q118_ranked_rest")
 def q118(s, d):
     rf = view(s, d, "order")
