@@ -273,13 +273,31 @@ def q102(s, d):
     return got.select(R(F.col("acc")).alias("acc"), R(F.col("mae")).alias("mae"), R(F.col("best")).alias("best"))
 
 
+def graded_orders() -> list[str]:
+    """Tables up to g: (rid, v0 to v3), the codes of orders."""
+    rank = lambda c: f"r{c} AS (SELECT v, (row_number() OVER (ORDER BY v)-1)/greatest(1,count(*) OVER ()-1) AS x FROM (SELECT DISTINCT {c} AS v FROM ord))"
+    out = [O.OC, "bo AS (SELECT bal, row_number() OVER (ORDER BY bal)-1 AS r, count(*) OVER () AS n FROM ord)", "bd AS (SELECT max(bal) FILTER (r=CAST(floor(0.1*n+1e-9) AS BIGINT)) AS lo, max(bal) FILTER (r=CAST(floor(0.9*n+1e-9) AS BIGINT)) AS hi FROM bo)", rank("a"), rank("b"), rank("c")]
+    return [*out, "g AS MATERIALIZED (SELECT rid, greatest(0,least(1,(bal-lo)/(hi-lo+1e-32))) AS v0, ra.x AS v1, rb.x AS v2, rc.x AS v3 FROM ord JOIN ra ON a=ra.v JOIN rb ON b=rb.v JOIN rc ON c=rc.v CROSS JOIN bd)"]
+
+
+def culled_cells(picks: int = 30) -> list[str]:
+    """Tables up to kr (rows that keep half of their cells) and kc (columns that do), over the first orders by hash."""
+    widest = lambda p, q: f"greatest({','.join(f'abs({p}.v{i}-{q}.v{i})' for i in range(4))})"
+    out = [*graded_orders(), f"f AS MATERIALIZED (SELECT g.*, y FROM g JOIN oc USING (rid) ORDER BY md5('1:'||rid), rid LIMIT {picks})"]
+    out.append(f"rd AS (SELECT p.rid, avg({widest('p', 'q')}) AS rd FROM f p JOIN f q ON p.rid<>q.rid GROUP BY 1)")
+    apart = lambda i: "+".join(f"max(abs(v{i}-v{j}))" for j in range(4) if j != i)
+    out.append("cd AS (" + " UNION ALL ".join(f"SELECT {i} AS att, ({apart(i)})/3 AS cd FROM f" for i in range(4)) + ")")
+    out.append("ce AS MATERIALIZED (SELECT f.rid, f.y, att, round(1-f.y+rd+cd,9) AS score FROM f JOIN rd USING (rid) CROSS JOIN cd)")
+    out.append("cu AS (SELECT score AS cut FROM (SELECT score, row_number() OVER (ORDER BY score)-1 AS r, count(*) OVER () AS n FROM ce) WHERE r=n//2)")
+    out += [f"k{x} AS MATERIALIZED (SELECT {by} FROM ce, cu GROUP BY {by} HAVING count(*) FILTER (score<cut)<=count(*)/2)" for x, by in (("r", "rid, y"), ("c", "att"))]
+    return out
+
+
 def sweep_sql() -> str:
     """Codes of orders, four anchors beyond a standard deviation of random pairs, six lines, marks."""
     raw = lambda p, q: f"sqrt(({'+'.join(f'power({p}.v{i}-{q}.v{i},2)' for i in range(4))})/4)"
     gap = lambda p, q: f"round({raw(p, q)},9)"
-    rank = lambda c: f"r{c} AS (SELECT v, (row_number() OVER (ORDER BY v)-1)/greatest(1,count(*) OVER ()-1) AS x FROM (SELECT DISTINCT {c} AS v FROM ord))"
-    out = [O.OC, "bo AS (SELECT bal, row_number() OVER (ORDER BY bal)-1 AS r, count(*) OVER () AS n FROM ord)", "bd AS (SELECT max(bal) FILTER (r=CAST(floor(0.1*n+1e-9) AS BIGINT)) AS lo, max(bal) FILTER (r=CAST(floor(0.9*n+1e-9) AS BIGINT)) AS hi FROM bo)", rank("a"), rank("b"), rank("c")]
-    out.append("g AS MATERIALIZED (SELECT rid, greatest(0,least(1,(bal-lo)/(hi-lo+1e-32))) AS v0, ra.x AS v1, rb.x AS v2, rc.x AS v3 FROM ord JOIN ra ON a=ra.v JOIN rb ON b=rb.v JOIN rc ON c=rc.v CROSS JOIN bd)")
+    out = graded_orders()
     out.append("pr AS (SELECT *, row_number() OVER (ORDER BY md5('1.pairs:'||rid), rid)-1 AS p FROM g QUALIFY p<64)")
     out.append(f"eps AS (SELECT stddev_samp({raw('x', 'y')}) AS e FROM pr x JOIN pr y ON x.p%2=0 AND y.p=x.p+1)")
     for i in range(4):
@@ -326,13 +344,20 @@ def q122(s, d):
     return left.select("rid").join(F.broadcast(known), "rid", "left").select("rid", R(F.col("label")).alias("label"))
 
 
-@query("q118_ranked_rest")
+def ranked_rest_sql(check: int = 5) -> str:
+    """Orders that nobody picked, by the label of the pick that lives and is nearest by the largest gap over living columns."""
+    gap = f"greatest({','.join(f'CASE WHEN {i} IN (SELECT att FROM kc) THEN abs(g.v{i}-p.v{i}) ELSE 0 END' for i in range(4))})"
+    near = f"SELECT g.rid, p.rid AS near, kr.y AS guess FROM g CROSS JOIN kr JOIN f p ON p.rid=kr.rid WHERE g.rid NOT IN (SELECT rid FROM f) QUALIFY row_number() OVER (PARTITION BY g.rid ORDER BY round({gap},12), p.rid)=1"
+    return f"WITH {', '.join(culled_cells())}, nr AS ({near}) SELECT rid, near, round(guess+1e-9,6) AS guess, CAST(row_number() OVER (ORDER BY round(guess,9), rid) AS INT) AS rank FROM nr ORDER BY 4 LIMIT {check}"
+
+
+@query("q118_ranked_rest", ranked_rest_sql())
 def q118(s, d):
     rf = view(s, d, "order")
     return grids.ranked_rest(rf, distance.disty(rf)).select("rid", "near", R(F.col("guess")).alias("guess"), "rank")
 
 
-@query("q105_cells")
+@query("q105_cells", f"WITH {', '.join(culled_cells())} SELECT count(*) AS cells, round(max(score)+1e-9,4) AS best, (SELECT count(*) FROM kr) AS rows, (SELECT count(*) FROM kc) AS cols FROM ce")
 def q105(s, d):
     rf = view(s, d, "order")
     scored, rows, cols = grids.cells(rf, distance.disty(rf))
