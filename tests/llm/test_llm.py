@@ -303,6 +303,16 @@ def test_tiles(vectors, monkeypatch):
     assert hit / 400 >= 0.9 and all(len(v) == 20 for v in got.values())
 
 
+def test_tiles_empty(spark):
+    """No query, no candidate but the query's own row, and zero vectors alone give no rows."""
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (3, [0.5, 1.0])], "vec_id long, embedding array<double>")
+    zero = spark.createDataFrame([(0, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    for m in (rabitq, bitslice):
+        assert m.search(rows, F.col("vec_id") == 2).count() == 0
+        assert m.search(rows.where("vec_id = 1"), F.col("vec_id") == 1).count() == 0
+        assert m.search(zero, F.col("vec_id") == 0).count() == 0
+
+
 def test_one_bit_width():
     assert rabitq.WIDTH >= 1.9
 
