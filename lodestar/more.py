@@ -379,7 +379,24 @@ def q106(s, d):
     return grids.twins(view(s, d, "part"), 0.4).agg(F.count("*").alias("n"))
 
 
-@query("q107_ball_tree")
+def ball_sql(depth: int = 3, pool: int = 64) -> str:
+    """Balls of a hashed pool of orders level by level: the longest pair of a node, the pole toward one end of its line, the upper
+    median distance to the pole; then all orders take the same turns."""
+    out = [O.OC, f"p AS MATERIALIZED (SELECT * FROM oc ORDER BY md5('1:'||rid), rid LIMIT {pool})", f"m AS MATERIALIZED (SELECT x.rid AS i, z.rid AS j, CASE WHEN x.rid=z.rid THEN 0 ELSE round({O.dist('x', 'z')},9) END AS d FROM p x, p z)"]
+    out += ["t0 AS MATERIALIZED (SELECT rid AS i, 1 AS node FROM p)", "r0 AS MATERIALIZED (SELECT rid, 1 AS node FROM oc)"]
+    for n in range(depth):
+        out.append(f"x{n} AS MATERIALIZED (SELECT node, i AS x, j AS y, d+1e-32 AS c FROM (SELECT a.node, m.i, m.j, m.d FROM t{n} a JOIN t{n} b ON a.node=b.node AND a.i<b.i JOIN m ON m.i=a.i AND m.j=b.i WHERE a.node IN (SELECT node FROM t{n} GROUP BY 1 HAVING count(*)>=8) QUALIFY row_number() OVER (PARTITION BY a.node ORDER BY m.d DESC, m.i, m.j)=1))")
+        out.append(f"l{n} AS (SELECT t.node, t.i, (u.d*u.d+c*c-w.d*w.d)/(2*c) AS att FROM t{n} t JOIN x{n} USING (node) JOIN m u ON u.i=x AND u.j=t.i JOIN m w ON w.i=y AND w.j=t.i)")
+        out.append(f"o{n} AS MATERIALIZED (SELECT node, i AS pole FROM (SELECT node, i, row_number() OVER (PARTITION BY node ORDER BY att, i)-1 AS r, count(*) OVER (PARTITION BY node) AS n FROM l{n}) WHERE r=CAST(floor(0.1*n-1e-9) AS BIGINT))")
+        out.append(f"g{n} AS MATERIALIZED (SELECT t.node, t.i, pole, d FROM t{n} t JOIN o{n} USING (node) JOIN m ON m.i=pole AND m.j=t.i)")
+        out.append(f"b{n} AS (SELECT node, pole, d AS radius FROM (SELECT node, pole, d, row_number() OVER (PARTITION BY node ORDER BY d)-1 AS r, count(*) OVER (PARTITION BY node) AS n FROM g{n}) WHERE r=n//2)")
+        out.append(f"c{n} AS MATERIALIZED (SELECT * FROM b{n} WHERE EXISTS (SELECT 1 FROM g{n} WHERE g{n}.node=b{n}.node AND d>radius))")
+        out.append(f"t{n + 1} AS MATERIALIZED (SELECT i, 2*node+CAST(d>radius AS INT) AS node FROM g{n} JOIN c{n} USING (node))")
+        out.append(f"r{n + 1} AS MATERIALIZED (SELECT r.rid, CASE WHEN c.node IS NULL THEN r.node ELSE 2*r.node+CAST(round({O.dist('q', 'p')},9)>radius AS INT) END AS node FROM r{n} r JOIN oc q ON q.rid=r.rid LEFT JOIN c{n} c ON c.node=r.node LEFT JOIN p ON p.rid=c.pole)")
+    return f"WITH {', '.join(out)} SELECT node AS leaf, count(*) AS n FROM r{depth} GROUP BY 1"
+
+
+@query("q107_ball_tree", ball_sql())
 def q107(s, d):
     rf = view(s, d, "order")
     tree = grids.ball_tree(rf, 3, pool=64)
