@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import RoleFrame
-from .boxes import Boxes
+from .boxes import COPIES, Boxes
 from .boxes import nearest as among
 from .distance import coded, distx, scored_gaps
 
@@ -20,7 +20,7 @@ def cells(rf: RoleFrame) -> DataFrame:
 def nearest(rows: DataFrame, probes: DataFrame, k: int, within: list[str] | None = None, kind: str = "mixed", looked: list | None = None) -> DataFrame:
     """(probe, rank, rid, d): the k rows nearest to each probe, ties to the smaller id; a row is not its own neighbour.
     rows and probes are (rid, a). With `within`, only rows with the same values of those columns (carried by both) count."""
-    index = Boxes(rows, within)
+    index = Boxes(rows, within, copies=max(COPIES, k + 1))
     return among(index, index if probes is rows else Boxes(probes, within), k, kind, looked)
 
 
