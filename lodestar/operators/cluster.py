@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,60 +234,87 @@ def pole_grid(rf: RoleFrame, dims: int = 2, bins: int = 4, seed: object = 1) ->
     return at.select(rf.rid, code.alias("bucket"))
 
 
+#: Arrivals of a range, about.
+ARRIVALS = 100_000
+
+
 def prequential(rf: RoleFrame, order: list[str], k: int = 1, m: int = 2, wait: int = 10) -> DataFrame:
     """(pos, want, got, like): each row is classified by naive Bayes from the rows before it, then learned from.
 
-    Arrival order is one sequence by definition. Its sums before each row go range by range (stats.running), for each
-    class and each symbol, so no task holds the sequence. Classes are few: they are literals.
+    Arrival order is one sequence by definition. It is cut into ranges of about ARRIVALS rows; each range is counted by class and
+    by symbol and class, and gets the sums of the ranges before it, so no task holds the sequence. Within a range, sums before
+    each row are cumulated. A row moves once. Classes are few.
     """
     sch = rf.schema
     nums = [c for c in sch.x if c in sch.nums]
     syms = [c for c in sch.x if c not in sch.nums]
-    rows = numbered(rf.df, order).select(F.col("pos").cast("long").alias("pos"), F.col(f"`{sch.klass}`").alias("want"), *[F.col(f"`{c}`").cast("double").alias(f"n{i}") for i, c in enumerate(nums)], *[F.col(f"`{c}`").alias(f"s{i}") for i, c in enumerate(syms)])
-    rows = keep(rows, "arrivals")
-    classes = sorted(r[0] for r in rf.df.select(f"`{sch.klass}`").distinct().collect() if r[0] is not None)
-    pairs = rows.withColumn("klass", F.explode(F.array(*map(F.lit, classes)).cast("array<string>")))
-    mine = F.coalesce((F.col("want") == F.col("klass")).cast("int"), F.lit(0))
-    cut = ranges(rows, "pos")
-    sums = {"nk": mine}
-    for i in range(len(nums)):
-        v = F.when(mine == 1, F.col(f"n{i}"))
-        sums |= {f"c{i}": v.isNotNull().cast("int"), f"t{i}": F.coalesce(v, F.lit(0.0)), f"q{i}": F.coalesce(v * v, F.lit(0.0))}
-    pairs = running(pairs.withColumns({f"_{n}": v for n, v in sums.items()}), "pos", [f"_{n}" for n in sums], ["klass"], cut)
-    pairs = keep(pairs.withColumns({n: F.col(f"upto__{n}") - F.col(f"_{n}") for n in sums}).drop(*[f"_{n}" for n in sums], *[f"upto__{n}" for n in sums]), "before")
-    for i in range(len(syms)):
-        pairs = keep(counted(pairs, i, cut), "before")
-    nh = F.sum((F.col("nk") > 0).cast("int")).over(Window.partitionBy("pos"))
-    pairs = pairs.withColumn("nh", nh).where((F.col("pos") > wait) & (F.col("nk") > 0))
-    prior = (F.col("nk") + k) / (F.col("pos") - 1 + k * F.col("nh"))
-    like = F.log(prior)
-    for i in range(len(nums)):
-        like = like + positive_log(like_num(F.col(f"n{i}"), *[F.col(f"{c}{i}") for c in "ctq"]))
-    for i in range(len(syms)):
-        like = like + F.when(F.col(f"s{i}").isNotNull(), positive_log(like_sym(F.col(f"f{i}"), F.col("nk"), prior, m))).otherwise(0.0)
-    scored = pairs.select("pos", "want", "klass", like.alias("like"))
-    return scored.groupBy("pos", "want").agg(F.min(F.struct(F.round(-F.col("like"), 9).alias("o"), "klass")).alias("m"), F.max("like").alias("like")).select("pos", "want", F.col("m.klass").alias("got"), "like")
-
-
-def counted(pairs: DataFrame, i: int, cut) -> DataFrame:
-    """Adds f<i>: how many rows before are of the class and have the same symbol i."""
-    mine = F.coalesce((F.col("want") == F.col("klass")).cast("int"), F.lit(0))
-    own = running(pairs.withColumn(f"_f{i}", mine), "pos", [f"_f{i}"], ["klass", f"s{i}"], cut)
-    return own.withColumn(f"f{i}", F.col(f"upto__f{i}") - F.col(f"_f{i}")).drop(f"upto__f{i}", f"_f{i}")
-
-
-def like_num(v, c, t, q):
-    """Normal density of v under a count, sum and square sum."""
-    var = F.when(c < 2, 0.0).otherwise(F.greatest(F.lit(0.0), q - t * t / c) / (c - 1))
-    z = 2 * var + 1e-32
-    return F.exp(-F.pow(v - t / F.greatest(c, F.lit(1)), F.lit(2)) / z) / F.sqrt(F.pi() * z)
-
-
-def like_sym(f, n, prior, m: int = 2):
-    """m-estimate of a symbol seen f times among n rows."""
-    return (f + m * prior) / (n + m)
-
-
-def positive_log(p):
-    """Logarithm of a likelihood; unknown ones and zero take no part."""
-    return F.when(p > 0, F.log(p)).otherwise(0.0)
+    spark, total = rf.df.sparkSession, rf.df.count()
+    cut = ranges(rf.df, order[0], min(4096, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ARRIVALS))))
+    n, s, o = ([f"{c}{i}" for i in range(len(names))] for c, names in (("n", nums), ("s", syms), ("o", order)))
+    own = [(F.col(f"`{c}`"), x) for c, x in zip(order, o, strict=True)] + [(F.col(f"`{c}`").cast("double"), x) for c, x in zip(nums, n, strict=True)] + [(F.col(f"`{c}`").cast("string"), x) for c, x in zip(syms, s, strict=True)]
+    rows = keep(rf.df.select(F.coalesce(cut, F.lit(0)).alias("part"), F.col(f"`{sch.klass}`").alias("want"), *[c.alias(x) for c, x in own]), "arrivals")
+    square = [F.sum(F.col(x) * F.col(x)).alias(f"q{x}") for x in n]
+    sums = rows.groupBy("part", F.col("want").cast("string").alias("want")).agg(F.count("*").alias("z"), *[F.count(x).alias(f"c{x}") for x in n], *[F.sum(x).alias(f"t{x}") for x in n], *square).collect()  # a row a range and class
+    classes = sorted({r["want"] for r in sums if r["want"] is not None})
+    names = ["z", *[f"{c}{x}" for x in n for c in "ctq"]]
+    parts = sorted({r["part"] for r in sums})
+    at, here = {p: i for i, p in enumerate(parts)}, np.zeros((len(parts), len(classes) + 1, len(names)))
+    for r in sums:
+        here[at[r["part"]], classes.index(r["want"]) if r["want"] is not None else -1] += [r[x] or 0 for x in names]
+    before = here.cumsum(0) - here  # of each range, by class (the last: none)
+    kinds = [F.count_if(F.col("want").cast("string") == c).alias(f"k{i}") for i, c in enumerate(classes)]
+    cells = rows.select("part", "want", F.posexplode(F.array(*s).cast("array<string>")).alias("at", "symbol")).where("symbol IS NOT NULL").groupBy("part", "at", "symbol").agg(F.count("*").alias("k"), *kinds)
+    past = Window.partitionBy("at", "symbol").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    known = cells.select(F.col("part").alias("part_"), "at", "symbol", F.array(*[F.coalesce(F.sum(f"k{i}").over(past), F.lit(0)) for i in range(len(classes))]).cast("array<bigint>").alias("seen"))
+
+    def told(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"pos": pa.array([], pa.int64()), "want": left.column("want"), "got": pa.array([], pa.string()), "like": pa.array([], pa.float64())})
+        left = left.take(pc.sort_indices(left, [(x, "ascending") for x in o], null_placement="at_start"))
+        base = before[at[left.column("part")[0].as_py()]]
+        pos = int(base[:, 0].sum()) + 1 + np.arange(left.num_rows)
+        want = pc.fill_null(pc.index_in(left.column("want").cast(pa.string()), pa.array(classes, pa.string())), -1).to_numpy()
+        values = [left.column(x).to_numpy().astype(float) for x in n]
+        valid = [left.column(x).is_valid().to_numpy() for x in n]
+        until = lambda x: np.cumsum(x) - x
+        mine = [want == c for c in range(len(classes))]
+        nk = [base[c, 0] + until(mine[c].astype(float)) for c in range(len(classes))]
+        nh = sum((x > 0).astype(float) for x in nk) if nk else 0.0
+        codes, seen = [], []
+        for i, x in enumerate(s):
+            d = left.column(x).combine_chunks().dictionary_encode()
+            mark = right.filter(pc.equal(right.column("at"), i))
+            old = dict(zip(mark.column("symbol").to_pylist(), mark.column("seen").to_pylist(), strict=True))
+            codes.append(d.indices.fill_null(-1).to_numpy(zero_copy_only=False))
+            seen.append(np.array([old[v] for v in d.dictionary.to_pylist()], float).reshape(-1, len(classes)))
+        sorts = [np.argsort(c, kind="stable") for c in codes]
+        best, name, top = np.full(left.num_rows, np.inf), np.full(left.num_rows, -1), np.full(left.num_rows, -np.inf)
+        with np.errstate(all="ignore"):
+            for c in range(len(classes)):
+                prior = (nk[c] + k) / (pos - 1 + k * nh)
+                like = np.log(prior)
+                for i, v in enumerate(values):
+                    use = mine[c] & valid[i]
+                    w = np.where(use, v, 0.0)
+                    z, t, q = (base[c, 1 + 3 * i + j] + until(x) for j, x in enumerate((use.astype(float), w, w * w)))
+                    var = np.where(z < 2, 0.0, np.maximum(0.0, q - t * t / z) / (z - 1))
+                    wide = 2 * var + 1e-32
+                    p = np.exp(-((v - t / np.maximum(z, 1)) ** 2) / wide) / np.sqrt(np.pi * wide)
+                    like = like + np.where(valid[i] & (p > 0), np.log(p), 0.0)
+                for code, old, by in zip(codes, seen, sorts, strict=True):
+                    f = until(mine[c][by].astype(float))
+                    f = f - f[np.searchsorted(code[by], code[by])]
+                    count = np.empty(len(f))
+                    count[by] = f
+                    count = count + (old[code, c] if len(old) else 0.0)
+                    p = (count + m * prior) / (nk[c] + m)
+                    like = like + np.where((code >= 0) & (p > 0), np.log(p), 0.0)
+                first = (nk[c] > 0) & (np.round(-like, 9) < best)
+                best, name = np.where(first, np.round(-like, 9), best), np.where(first, c, name)
+                top = np.where(nk[c] > 0, np.maximum(top, like), top)
+        out = (pos > wait) & (name >= 0)
+        got = pa.array(classes, pa.string()).take(pa.array(name[out]))
+        return pa.table({"pos": pa.array(pos[out].astype(np.int64)), "want": left.column("want").filter(pa.array(out)), "got": got, "like": pa.array(top[out])})
+
+    kind = rows.schema["want"].dataType.simpleString()
+    return rows.groupBy("part").cogroup(known.groupBy("part_")).applyInArrow(told, f"pos long, want {kind}, got string, like double")

@@ -288,3 +288,54 @@ def test_bucket_stream(spark, tmp_path):
     take(rf.df.where("rid % 2 = 1"), 1)
     whole = rf.df.select("rid", frozen.bucket().alias("bucket")).groupBy("bucket").count().collect()
     assert {r["bucket"]: r["count"] for r in whole} == take.seen and all(len(v) == min(4, take.seen[b]) for b, v in take.kept.items())
+
+
+def test_prequential_in_ranges(spark, monkeypatch):
+    """Ranges of few arrivals, unknown cells, equal times, new symbols and classes: the same as one pass in plain Python."""
+    import math
+
+    from lodestar.operators import cluster
+    from lodestar.roles import RoleFrame
+
+    monkeypatch.setattr(cluster, "ARRIVALS", 20)
+    r = random.Random(5)
+    rows = [(i, float(i // 3), r.choice([None, float(r.randrange(24))]), r.choice([None, "a", "b", f"s{i // 90}"]), r.choice(["x", "y", None] if i < 200 else ["x", "y", "z"])) for i in range(400)]
+    rf = RoleFrame(spark.createDataFrame(rows, "rid long, tX double, Hour double, u string, `klass!` string"), "rid")
+    got = {x["pos"]: (x["want"], x["got"], x["like"]) for x in cluster.prequential(rf, ["tX", "rid"]).collect()}
+    seen, want = {}, {}
+    for pos, (_, _, h, u, c) in enumerate(sorted(rows, key=lambda x: (x[1], x[0])), 1):
+        scores = []
+        for name, own in seen.items():
+            prior = (len(own) + 1) / (pos - 1 + len(seen))
+            like = math.log(prior)
+            hs = [a for a, _ in own if a is not None]
+            if h is not None:
+                mu = sum(hs) / max(1, len(hs))
+                z = 2 * (max(0.0, sum(a * a for a in hs) - sum(hs) ** 2 / len(hs)) / (len(hs) - 1) if len(hs) > 1 else 0.0) + 1e-32
+                p = math.exp(-min(700.0, (h - mu) ** 2 / z)) / math.sqrt(math.pi * z) if (h - mu) ** 2 / z < 700 else 0.0
+                like += math.log(p) if p > 0 else 0.0
+            if u is not None:
+                like += math.log((sum(b == u for _, b in own) + 2 * prior) / (len(own) + 2))
+            scores.append((round(-like, 9), name, like))
+        if pos > 10 and scores:
+            want[pos] = (c, min(scores)[1], max(s[2] for s in scores))
+        if c is not None:
+            seen.setdefault(c, []).append((h, u))
+    assert got.keys() == want.keys()
+    for pos, x in want.items():
+        assert got[pos][:2] == x[:2] and got[pos][2] == pytest.approx(x[2], abs=1e-6)
+
+
+def test_ranges_compare_with_few_bounds(spark):
+    """A row's range comes from a search among the bounds, not from a sum over all of them."""
+    from lodestar.operators import stats
+
+    df = spark.range(1000).select((F.col("id") * 1.0).alias("v"))
+    cut = stats.ranges(df, "v", 64)
+    n = df.groupBy(cut.alias("p")).count().orderBy("p").collect()
+    assert [x["p"] for x in n] == list(range(64)) and max(x["count"] for x in n) <= 20
+    depth, most = 0, 0
+    for c in cut._jc.toString():
+        depth += (c == "(") - (c == ")")
+        most = max(most, depth)
+    assert "+" not in cut._jc.toString() and most < 40
