@@ -25,11 +25,25 @@ def halves(df: DataFrame, key: str, seed: object = 1) -> DataFrame:
     return df.withColumn("train", F.substring(hashed(F.col(key), seed), 1, 1) < "8")
 
 
+#: Rows beyond a reservoir's cap that are looked at, for a cap of one.
+SPARE = 32
+
+
 def reservoir(df: DataFrame, bucket: str, key: str, cap: int, seed: object = 1) -> DataFrame:
-    """At most cap rows of each bucket by hashed order, with the number seen."""
-    seen = df.groupBy(bucket).agg(F.count("*").alias("seen"))
+    """At most cap rows of each bucket by hashed order, with the number seen. Hashes are even, so the first cap of n rows have
+    small ones: only rows under a bound are ordered, and a bucket with too few of those is ordered whole."""
+    seen = keep(df.groupBy(bucket).agg(F.count("*").alias("seen")), "seen")
     w = Window.partitionBy(bucket).orderBy(hashed(F.col(key), seed), key)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r").join(seen, bucket)
+    first = lambda rows: rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)
+    share = (cap + 8 * cap**0.5 + SPARE) / F.col("seen")
+    edge = F.when(share >= 1, F.lit("g")).otherwise(F.lpad(F.lower(F.hex(F.ceil(share * 4294967296).cast("long"))), 8, "0"))  # no digit of a hash reaches g
+    near = df.join(seen.withColumn("_edge", edge), bucket).where(hashed(F.col(key), seed) < F.col("_edge"))
+    shape = [bucket, *[c for c in df.columns if c != bucket], "seen"]
+    kept = keep(first(near).select(*shape), "reservoir")
+    short = keep(kept.groupBy(bucket).agg(F.count("*").alias("_n")).join(seen, bucket, "right").where(F.coalesce("_n", F.lit(0)) < F.least("seen", F.lit(cap))).select(bucket, "seen"), "short")
+    if short.where(F.col(bucket).isNotNull()).isEmpty():
+        return kept
+    return kept.join(short, bucket, "left_anti").unionByName(first(df.join(short, bucket)).select(*shape))
 
 
 def split_half(df: DataFrame, key: str, seed: object = 1) -> DataFrame:

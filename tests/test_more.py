@@ -339,3 +339,19 @@ def test_ranges_compare_with_few_bounds(spark):
         depth += (c == "(") - (c == ")")
         most = max(most, depth)
     assert "+" not in cut._jc.toString() and most < 40
+
+
+@pytest.mark.parametrize("spare", [32, -75])
+def test_reservoir_orders_few_rows(spark, monkeypatch, spare):
+    """Exact, also where the bound of hashes was too small for a bucket."""
+    import hashlib
+
+    from lodestar.operators import cluster
+
+    monkeypatch.setattr(cluster, "SPARE", spare)
+    df = spark.range(3000).selectExpr("id AS rid", "CASE WHEN id % 7 = 0 THEN 'few' WHEN id < 3 THEN 'three' ELSE 'many' END AS b", "id * 2 AS v")
+    by = collections.defaultdict(list)
+    for x in df.collect():
+        by[x["b"]].append((hashlib.md5(f"1:{x['rid']}".encode()).hexdigest(), x["rid"]))
+    got = cluster.reservoir(df, "b", "rid", 50).collect()
+    assert {(x["b"], x["rid"], x["seen"]) for x in got} == {(b, rid, len(own)) for b, own in by.items() for _, rid in sorted(own)[:50]}
