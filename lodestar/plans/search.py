@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import gaussian, hashed, roulette
 from ..operators.summary import symbols
 from ..roles import RoleFrame
+from ..storage import keep
 
 
 class Ledger:
@@ -72,7 +73,7 @@ def synthesized(rf: RoleFrame, leaf, n: int, seed: object = 1, least: int = 3) -
 
     sch, st = rf.schema, rf.stats()
     rows = rf.df.withColumn("_leaf", leaf).withColumn("_key", F.col("_leaf") + uniform(F.col(rf.rid), seed))
-    rows = numbered(rows, ["_key", rf.rid], "_pos")
+    rows = keep(numbered(rows, ["_key", rf.rid], "_pos"), "numbered")  # read for the sizes and for each of three rows
     sizes = rows.groupBy("_leaf").agg(F.min("_pos").alias("_lo"), F.count("*").alias("_n")).where(F.col("_n") >= least).orderBy("_leaf").collect()  # a row a leaf
     total = sum(r["_n"] for r in sizes)
     draws = rf.df.sparkSession.range(n).withColumnRenamed("id", "draw")
